@@ -408,12 +408,12 @@ def _(t):
       avg(score) FILTER (label = 'positive') AS ap, avg(score) FILTER (label = 'negative') AS an,
       count(*) FILTER (label = 'positive') / count(*) AS rp, count(*) FILTER (label = 'negative') / count(*) AS rn,
       avg(post_score) AS aps, avg(comment_score) AS acs FROM comments GROUP BY 1, 2)
-    SELECT community, day, {R('coalesce(rp, 0) * coalesce(ap, 0) - coalesce(rn, 0) * coalesce(an, 0)', 8)} AS weighted_sentiment,
+    SELECT community, day, {R('coalesce(rp, 0) * coalesce(ap, 0) - coalesce(rn, 0) * coalesce(an, 0)', 10)} AS weighted_sentiment,
     (posts * comments)::DOUBLE AS activity, {R('aps * acs', 4)} AS score_product FROM d""",
 )
 def _(t):
     f = scalars.ratio_score_features(aggregate.daily_sentiment_ratio(t.comments))
-    return f.select("community", "day", r("weighted_sentiment", 8).alias("weighted_sentiment"), "activity", r("score_product", 4).alias("score_product"))
+    return f.select("community", "day", r("weighted_sentiment", 10).alias("weighted_sentiment"), "activity", r("score_product", 4).alias("score_product"))
 
 
 @query(

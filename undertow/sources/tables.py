@@ -94,6 +94,30 @@ class Tables:
             F.sum("comment_score").alias("volume"),
         )
 
+    @cached_property
+    def flows(self) -> DataFrame:
+        """Trade between nations above the average flow: edges (src, dst, weight)."""
+        nation = self.raw("nation")
+        customer = self.raw("customer").select("c_custkey", F.col("c_nationkey").alias("_src"))
+        supplier = self.raw("supplier").select("s_suppkey", F.col("s_nationkey").alias("_dst"))
+        sold = self.raw("lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_extendedprice").alias("w"))
+        flow = (
+            sold.join(self.raw("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+            .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+            .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+            .groupBy("_src", "_dst")
+            .agg(F.sum("w").alias("w"))
+            .filter("_src <> _dst")
+        )
+        level = flow.agg(F.avg("w")).scalar()
+        names = [nation.select(F.col("n_nationkey").alias(f"_{c}"), F.col("n_name").alias(c)) for c in ("src", "dst")]
+        return (
+            flow.filter(F.col("w") > level)
+            .join(names[0], "_src")
+            .join(names[1], "_dst")
+            .select("src", "dst", F.col("w").alias("weight"))
+        )
+
     @cached_property
     def returns(self) -> DataFrame:
         from undertow.operators.features import pct_change
@@ -129,3 +153,9 @@ BARS = COMMENTS + """, bars AS (
 RETURNS = PRICES + """, returns AS (
   SELECT * FROM (SELECT symbol AS series, day AS ts, price / lag(price) OVER (PARTITION BY symbol ORDER BY day) - 1 AS ret
   FROM prices) WHERE ret IS NOT NULL)"""
+FLOWS = """flow AS (
+  SELECT a.n_name AS src, b.n_name AS dst, sum(l_extendedprice) AS w
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey
+  WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
+edges AS (SELECT src, dst, w AS weight FROM flow WHERE w > (SELECT avg(w) FROM flow))"""
