@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def beta_fraction(a, b, x, rounds: int = 300):
@@ -68,17 +69,17 @@ def _known(function, *columns: pd.Series) -> pd.Series:
     return pd.Series(out).where(good, None).astype("float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_udf(t: pd.Series, df: pd.Series) -> pd.Series:
     return _known(t_two_sided, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _f_udf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _known(f_upper, f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_udf(z: pd.Series) -> pd.Series:
     return _known(normal_cdf, z)
 

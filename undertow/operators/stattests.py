@@ -184,7 +184,7 @@ def jarque_bera(df: DataFrame, *, keys: Sequence[str], value: str, alpha: float
     return out.withColumn("result", verdict(F.col("p_value") > alpha))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal_score(p: pd.Series) -> pd.Series:
     quantile = NormalDist().inv_cdf
     return p.map(quantile)
@@ -192,7 +192,7 @@ def _normal_score(p: pd.Series) -> pd.Series:
 
 def _ranked(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Position in value order inside each group, over value blocks (ties in any order)."""
-    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x"), F.monotonically_increasing_id().alias("_id"))
+    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x"))
     size = known.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"), F.var_pop("x").alias("v")
     )
@@ -332,7 +332,7 @@ def one_sample_t(df: DataFrame, *, keys: Sequence[str], value: str) -> DataFrame
     return out.withColumn("p_value", tails.t_tail(F.col("statistic"), F.col("n") - 1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_quantile(df: pd.Series) -> pd.Series:
     def solve(nu):
         lo, hi = 0.0, 1e3
