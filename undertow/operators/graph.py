@@ -217,10 +217,10 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
     return component_labels(edges, nodes).groupBy("label").agg(F.count(F.lit(1)).alias("size"))
 
 
-def node_table(edges: DataFrame, nodes: DataFrame | None = None, *, net: DataFrame | None = None, with_betweenness: bool = True) -> DataFrame:
+def node_table(edges: DataFrame, nodes: DataFrame | None = None, *, net: DataFrame | None = None, with_betweenness: bool = True, rank_options: dict | None = None) -> DataFrame:
     """All metrics per node; ``net`` (node, net) defaults to the net weight."""
     table = weighted_degree(edges, nodes)
-    table = table.join(pagerank(edges, nodes), "node", "left").join(weighted_clustering(edges, nodes), "node", "left")
+    table = table.join(pagerank(edges, nodes, **(rank_options or {})), "node", "left").join(weighted_clustering(edges, nodes), "node", "left")
     if with_betweenness:
         table = table.join(betweenness(edges, nodes), "node", "left")
     table = table.withColumnRenamed("net_weight", "net") if net is None else table.drop("net_weight").join(net, "node", "left")

@@ -79,7 +79,8 @@ def pivot_wide(df: DataFrame, *, ts: str, series: str, value: str, names: Sequen
 
 def pivot_two_level(df: DataFrame, *, ts: str, outer: str, inner: str, names: Sequence[str]) -> DataFrame:
     """Counts per (outer, inner) pair as columns ``outer_inner``, missing 0."""
-    return df.groupBy(ts).pivot(F.concat_ws("_", outer, inner), list(names)).count().na.fill(0)
+    pairs = df.select(ts, F.concat_ws("_", outer, inner).alias("pair"))
+    return pairs.groupBy(ts).pivot("pair", list(names)).count().na.fill(0)
 
 
 def _ordered(keys: Sequence[str], ts: str):

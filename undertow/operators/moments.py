@@ -37,9 +37,7 @@ def gram_cells(df: DataFrame, *, keys: Sequence[str], columns: Sequence[str]) ->
 def gram_packed(df: DataFrame, *, keys: Sequence[str], vector: str) -> DataFrame:
     """Packed upper triangle of the sum of v v' per group: (keys, n, cells array<double>)."""
     keys = list(keys)
-    schema = T.StructType(
-        [df.schema[k] for k in keys] + [T.StructField("n", T.LongType()), T.StructField("cells", T.ArrayType(T.DoubleType()))]
-    )
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("cells", T.ArrayType(T.DoubleType()))])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -50,19 +48,21 @@ def gram_packed(df: DataFrame, *, keys: Sequence[str], vector: str) -> DataFrame
             for key, part in groups:
                 v = np.vstack(part[vector].to_numpy())
                 cells = (v.T @ v)[np.triu_indices(v.shape[1])]
-                rows.append((*(key if isinstance(key, tuple) else (key,)), len(part), cells))
-            yield pd.DataFrame(rows, columns=[*keys, "n", "cells"])
+                rows.append((*(key if isinstance(key, tuple) else (key,)), np.concatenate([[len(part)], cells])))
+            yield pd.DataFrame(rows, columns=[*keys, "cells"])
 
     partials = df.select(*keys, vector).mapInPandas(partial, schema)
-    counts = partials.groupBy(*keys).agg(F.sum("n").alias("n"))
-    cells = (
+    summed = (
         partials.select(*keys, F.posexplode("cells").alias("i", "c"))
         .groupBy(*keys, "i")
         .agg(F.sum("c").alias("c"))
         .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("cells"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("_cells"))
+    )
+    # The row count travels as the first cell, so the rows are read once.
+    return summed.select(
+        *keys, F.get("_cells", F.lit(0)).cast("long").alias("n"), F.slice("_cells", 2, F.greatest(F.size("_cells") - 1, F.lit(0))).alias("cells")
     )
-    return cells.join(counts, keys) if keys else cells.withColumn("n", counts.scalar())
 
 
 def unpack(cells, d: int) -> np.ndarray:

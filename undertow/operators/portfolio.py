@@ -42,13 +42,13 @@ def position_limits(signal: DataFrame, *, max_position: float = 0.2) -> DataFram
 
 
 def target_weights(signal: DataFrame, prices: DataFrame) -> DataFrame:
-    """(ts, series, price, weight): weights sum to 1 in absolute value; dates with a missing price are skipped."""
-    joined = signal.join(prices.select("ts", "series", "price"), ["ts", "series"], "left")
+    """(ts, series, price, weight): absolute weights sum to 1; dates without a price for every series are skipped."""
+    n_series = signal.agg(F.countDistinct("series")).scalar()
+    joined = signal.join(prices.select("ts", "series", "price").filter("price is not null"), ["ts", "series"])
     w = Window.partitionBy("ts")
-    total, missing = F.sum(F.abs("signal")).over(w), F.count_if(F.col("price").isNull()).over(w)
     return (
-        joined.withColumns({"_t": total, "_m": missing})
-        .filter("_m = 0")
+        joined.withColumns({"_t": F.sum(F.abs("signal")).over(w), "_c": F.count(F.lit(1)).over(w)})
+        .filter(F.col("_c") == n_series)
         .select("ts", "series", "price", F.when(F.col("_t") > 0, F.col("signal") / F.col("_t")).otherwise(0.0).alias("weight"))
     )
 

@@ -103,48 +103,55 @@ def _unit_root(edges, max_lag: int, criterion: str | None):
         return None, sum(n for _, n, _ in parts), np.nan
 
 
-def _lag_products(e: DataFrame, keys: Sequence[str], most: str) -> DataFrame:
-    """Sum of e_t e_{t-i} for i = 1..most of each group: (keys, i, s)."""
-    keys = list(keys)
-    shifted = e.withColumn("i", F.explode(F.when(F.col(most) >= 1, F.sequence(F.lit(1), F.col(most).cast("int"))))).select(
-        *keys, "i", (F.col("_pos") - F.col("i")).alias("_pos"), F.col("_e").alias("_later")
-    )
-    return shifted.join(e.select(*keys, "_pos", "_e"), [*keys, "_pos"]).groupBy(*keys, "i").agg(F.sum(F.col("_e") * F.col("_later")).alias("s"))
+SHORT_LAGS = 24  # n^(2/9) for 1.6 million bars per series
 
 
 def kpss_test(
     df: DataFrame, *, keys: Sequence[str], ts: str, value: str, lags: int | None = None, alpha: float = 0.05
 ) -> DataFrame:
-    """Level stationarity: partial sums against the Bartlett long-run variance."""
+    """Level stationarity: partial sums against the Bartlett long-run variance.
+
+    The Bartlett sum over l lags equals the sum of squared (l + 1)-step
+    differences of the partial sums, so each row meets one other position
+    instead of l of them.
+    """
     keys = list(keys)
-    known = df.filter(F.col(value).isNotNull())
-    size = known.groupBy(*keys).agg(F.avg(value).alias("_m"), F.count(F.lit(1)).alias("n"))
-    w = _ordered(keys, ts)
-    e = known.join(size, keys).select(
-        *keys, "n", F.row_number().over(w).alias("_pos"), (F.col(value) - F.col("_m")).alias("_e"),
-        F.sum(F.col(value) - F.col("_m")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"),
+    w, whole = _ordered(keys, ts), Window.partitionBy(*keys)
+    known = df.filter(F.col(value).isNotNull()).select(
+        *keys, ts, (F.col(value) - F.avg(value).over(whole)).alias("_e"), F.count(F.lit(1)).over(whole).alias("n")
+    )
+    e = known.select(
+        *keys, "n", "_e", F.row_number().over(w).alias("_pos"), F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"),
+        *[F.lag("_e", i).over(w).alias(f"_e{i}") for i in range(1, SHORT_LAGS + 1) if lags is None],
     )
-    base = e.groupBy(*keys, "n").agg(F.sum(F.col("_e") * F.col("_e")).alias("ee"), F.sum(F.col("_s") * F.col("_s")).alias("ss"))
+    sums = {"ee": F.sum(F.col("_e") * F.col("_e")), "ss": F.sum(F.col("_s") * F.col("_s"))}
     if lags is None:
-        short = e.withColumn("_c", F.floor(F.pow(F.col("n"), 2.0 / 9.0)))
-        r = _lag_products(short, keys, "_c").groupBy(*keys).agg(F.sum("s").alias("_r"), F.sum(F.col("i") * F.col("s")).alias("_ir"))
-        half = F.col("n") / 2
-        s0 = F.col("ee") / F.col("n") + F.coalesce("_r", F.lit(0.0)) / half
-        s1 = F.coalesce("_ir", F.lit(0.0)) / half
-        ratio = s1 / F.nullif(s0, F.lit(0.0))
-        auto = F.floor(1.1447 * F.pow(ratio * ratio, 1.0 / 3.0) * F.pow(F.col("n"), 1.0 / 3.0))
-        base = base.join(r, keys, "left").withColumn("lags", F.least(auto, F.col("n") - 1).cast("int")).drop("_r", "_ir")
+        c = F.floor(F.pow(F.col("n"), 2.0 / 9.0))
+        within = [F.when(c >= i, F.col("_e") * F.col(f"_e{i}")).otherwise(0.0) for i in range(1, SHORT_LAGS + 1)]
+        sums["r"] = F.sum(sum((F.coalesce(x, F.lit(0.0)) for x in within), F.lit(0.0)))
+        sums["ir"] = F.sum(sum((i * F.coalesce(x, F.lit(0.0)) for i, x in enumerate(within, 1)), F.lit(0.0)))
+    base = e.groupBy(*keys, "n").agg(*[x.alias(name) for name, x in sums.items()])
+    if lags is None:
+        n, half = F.col("n"), F.col("n") / 2
+        short = F.when(F.floor(F.pow(n, 2.0 / 9.0)) > SHORT_LAGS, F.raise_error(F.lit("series too long for the automatic lag")))
+        ratio = F.col("ir") / half / F.nullif(F.col("ee") / n + F.col("r") / half, F.lit(0.0))
+        auto = F.floor(1.1447 * F.pow(ratio * ratio, 1.0 / 3.0) * F.pow(n, 1.0 / 3.0))
+        base = base.withColumn("lags", F.coalesce(short.cast("int"), F.least(auto, n - 1).cast("int"))).drop("r", "ir")
     else:
         base = base.withColumn("lags", F.lit(lags))
-    far = _lag_products(e.join(base.select(*keys, "lags"), keys), keys, "lags")
-    weighted = far.join(base.select(*keys, "lags"), keys).groupBy(*keys).agg(
-        F.sum((1 - F.col("i") / (F.col("lags") + 1)) * F.col("s")).alias("_w")
-    )
-    out = base.join(weighted, keys, "left").withColumn(
-        "_lrv", (F.col("ee") + 2 * F.coalesce("_w", F.lit(0.0))) / F.col("n")
+    steps = e.select(*keys, "_pos", "_s").join(base.select(*keys, "lags"), keys).select(
+        *keys,
+        F.inline(
+            F.array(
+                F.struct(F.col("_pos").alias("at"), F.col("_s").alias("d")), F.struct((F.col("_pos") + F.col("lags") + 1).alias("at"), (-F.col("_s")).alias("d"))
+            )
+        ),
     )
-    out = out.select(
-        *keys, "lags", "n", (F.col("ss") / (F.col("n") * F.col("n")) / F.nullif("_lrv", F.lit(0.0))).alias("statistic")
+    spread = steps.groupBy(*keys, "at").agg(F.sum("d").alias("d")).groupBy(*keys).agg(F.sum(F.col("d") * F.col("d")).alias("dd"))
+    n = F.col("n")
+    variance = F.col("dd") / (n * (F.col("lags") + 1))
+    out = base.join(spread, keys).select(
+        *keys, "lags", "n", (F.col("ss") / (n * n) / F.nullif(variance, F.lit(0.0))).alias("statistic")
     ).withColumn("p_value", tails.kpss_p(F.col("statistic")))
     return out.withColumn("result", verdict(F.col("p_value") > alpha))
 

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from undertow.functions import varmath
 from undertow.operators import grid, moments, stattests
+from undertow.session import cut_lineage
 
+SEPARATOR = "\u0001"  # between series names while they serve as a key
 MAX_DIMENSION = 400  # k * p; beyond it a window reports an error
 
 
@@ -63,8 +65,8 @@ def rolling_windows(panel: DataFrame, *, window: int = 252, step: int = 21) -> D
         .withColumn("_first", first)
         .withColumn("_last", last)
         .filter("_last >= _first")
-        .withColumn("window_id", F.explode(F.sequence("_first", "_last")).cast("long"))
-        .select("ts", "window_id")
+        .select("ts", F.explode(F.sequence("_first", "_last")).alias("window_id"))
+        .select("ts", F.col("window_id").cast("long"))
     )
     return panel.join(members, "ts")
 
@@ -84,6 +86,7 @@ def make_stationary(windows: DataFrame, decision: DataFrame | None = None, *, me
     """Transform every series that was not judged stationary, then keep complete times."""
     keys = ["window_id", "series"]
     if decision is None:
+        windows = cut_lineage(windows)
         decision = stattests.stationarity_decision(windows, keys=keys, ts="ts", value="value")
     judged = windows.join(decision.select(*keys, "decision"), keys)
     if method == "first_difference":
@@ -116,16 +119,16 @@ def var_moments(windows: DataFrame, *, max_lags: int) -> DataFrame:
     zero = F.transform("y", lambda x: F.lit(0.0))
     lags = [F.coalesce(F.lag("y", i).over(w), zero) for i in range(1, max_lags + 1)]
     design = capped.withColumn("_lags", F.array(*lags)).select(
-        "window_id", "names", "n_rows", "k", "p_max",
+        "window_id", F.array_join("names", SEPARATOR).alias("names"), "n_rows", "k", "p_max",
         F.least("pos", F.col("p_max") + 1).alias("edge"),
         F.concat(F.array(F.lit(1.0)), F.flatten(F.slice("_lags", 1, F.col("p_max"))), "y").alias("v"),
     )
-    names = design.groupBy("window_id").agg(F.min("names").alias("names"))
-    packed = moments.gram_packed(design, keys=["window_id", "n_rows", "k", "p_max", "edge"], vector="v")
-    per_window = packed.groupBy("window_id", "n_rows", "k", "p_max").agg(
-        F.array_sort(F.collect_list(F.struct("edge", "n", "cells"))).alias("edges")  # at most p_max + 1 entries
+    packed = moments.gram_packed(design, keys=["window_id", "names", "n_rows", "k", "p_max", "edge"], vector="v")
+    return (
+        packed.groupBy("window_id", "names", "n_rows", "k", "p_max")
+        .agg(F.array_sort(F.collect_list(F.struct("edge", "n", "cells"))).alias("edges"))  # at most p_max + 1 entries
+        .withColumn("names", F.split("names", SEPARATOR))
     )
-    return per_window.join(names, "window_id")
 
 
 FIT = (
@@ -253,9 +256,9 @@ def spill_table(theta: DataFrame) -> DataFrame:
 
 def rolling_spillover(panel: DataFrame, *, window: int = 252, step: int = 21, horizon: int = 10, method: str = "cholesky") -> DataFrame:
     """Per window: end date, total and net effects; a failed window keeps its reason."""
-    windows = rolling_windows(panel, window=window, step=step)
+    windows = cut_lineage(rolling_windows(panel, window=window, step=step))
     ends = windows.groupBy("window_id").agg(F.max("ts").alias("date"))
-    fits = analyse(windows, max_lags=min(10, window // 20), horizon=horizon, method=method)
+    fits = cut_lineage(analyse(windows, max_lags=min(10, window // 20), horizon=horizon, method=method))
     theta = last_horizon(theta_table(fits))
     net = spill_net(theta).groupBy("window_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("series", "net")))).alias("net"))
     return (
@@ -283,3 +286,25 @@ def param_sweep(bars: DataFrame, *, series: str, ts: str, value: str, windows: l
         .agg(F.avg("strength").alias("strength"), F.stddev_pop("strength").alias("spread"))
         .withColumn("objective", F.col("strength") / (1 + F.col("spread")))
     )
+
+
+def ma_table(fits: DataFrame) -> DataFrame:
+    """Moving-average matrices of two-series, one-lag fits as columns f11..f22 per horizon."""
+    cell = F.concat(F.lit("f"), (F.col("i") + 1).cast("string"), (F.col("j") + 1).cast("string"))
+    return ma_long(fits).withColumn("cell", cell).groupBy("h").pivot("cell", ["f11", "f12", "f21", "f22"]).agg(F.max("phi"))
+
+
+def ma_long(fits: DataFrame) -> DataFrame:
+    """Phi_h[i, j] of every fitted window: (window_id, h, i, j, phi)."""
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                k = len(r.names)
+                phi = varmath.moving_average(np.asarray(r.lags).reshape(-1, k, k), r.horizon)
+                rows += [(r.window_id, h, i, j, phi[h, i, j]) for h in range(r.horizon) for i in range(k) for j in range(k)]
+            yield pd.DataFrame(rows, columns=["window_id", "h", "i", "j", "phi"])
+
+    fitted = fits.filter("lags is not null").select("window_id", "names", "lags", "horizon")
+    return fitted.mapInPandas(solve, "window_id long, h int, i int, j int, phi double")

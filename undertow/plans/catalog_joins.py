@@ -216,13 +216,13 @@ def rows_back(w):
 @query(
     "rolling_vwap_sentiment",
     f"WITH {COMMENTS} SELECT comment_id, "
-    + ", ".join(R(f"coalesce(sum(score * comment_score) OVER {rows_back(w)} / nullif(sum(comment_score) OVER {rows_back(w)}, 0), 0)", 10) + f" AS vw_{w}" for w in (6, 24))
+    + ", ".join(R(f"coalesce(sum(score * comment_score) OVER {rows_back(w)} / nullif(sum(comment_score) OVER {rows_back(w)}, 0), 0)", 12) + f" AS vw_{w}" for w in (6, 24))
     + " FROM comments",
 )
 def _(t):
     c = t.comments.select("community", "ts", "comment_id", "score", "comment_score")
     v = features.rolling_vwap(c, "score", "comment_score", keys=["community"], order=["ts", "comment_id"], block=blocks.time_block("ts"), widths=[6, 24])
-    return rounded(v.select("comment_id", "vw_6", "vw_24"), 10)
+    return rounded(v.select("comment_id", "vw_6", "vw_24"), 12)
 
 
 @query(

@@ -97,6 +97,14 @@ class Tables:
     @cached_property
     def flows(self) -> DataFrame:
         """Trade between nations above the average flow: edges (src, dst, weight)."""
+        return self.flows_above(0.0)
+
+    @cached_property
+    def strong_flows(self) -> DataFrame:
+        """The same, at least 1.5 sample deviations above the average."""
+        return self.flows_above(1.5)
+
+    def flows_above(self, deviations: float) -> DataFrame:
         nation = self.raw("nation")
         customer = self.raw("customer").select("c_custkey", F.col("c_nationkey").alias("_src"))
         supplier = self.raw("supplier").select("s_suppkey", F.col("s_nationkey").alias("_dst"))
@@ -109,7 +117,7 @@ class Tables:
             .agg(F.sum("w").alias("w"))
             .filter("_src <> _dst")
         )
-        level = flow.agg(F.avg("w")).scalar()
+        level = flow.agg(F.avg("w") + deviations * F.stddev_samp("w")).scalar()
         names = [nation.select(F.col("n_nationkey").alias(f"_{c}"), F.col("n_name").alias(c)) for c in ("src", "dst")]
         return (
             flow.filter(F.col("w") > level)
@@ -158,4 +166,5 @@ FLOWS = """flow AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON s_nationkey = b.n_nationkey
   WHERE c_nationkey <> s_nationkey GROUP BY 1, 2),
-edges AS (SELECT src, dst, w AS weight FROM flow WHERE w > (SELECT avg(w) FROM flow))"""
+edges AS (SELECT src, dst, w AS weight FROM flow WHERE w > (SELECT avg(w) FROM flow)),
+strong AS (SELECT src, dst, w AS weight FROM flow WHERE w > (SELECT avg(w) + 1.5 * stddev_samp(w) FROM flow))"""
