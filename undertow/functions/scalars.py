@@ -50,7 +50,8 @@ def label_sign(label: Column) -> Column:
 
 def compound(label: Column, score: Column) -> Column:
     """Signed confidence, clipped to [-1, 1]."""
-    return F.greatest(F.least(label_sign(label) * score, F.lit(1.0)), F.lit(-1.0))
+    signed = label_sign(label) * score
+    return F.when(signed.isNotNull(), F.greatest(F.least(signed, F.lit(1.0)), F.lit(-1.0)))
 
 
 def compound_sentiment(df: DataFrame, *, label: str = "label", score: str = "score") -> DataFrame:

@@ -137,8 +137,10 @@ def betweenness(edges: DataFrame, nodes: DataFrame | None = None, *, weight_is_d
     dist = cut_lineage(names.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0.0).alias("d")))
     fresh = dist
     while True:
-        offers = fresh.join(arcs, fresh.v == arcs.src).groupBy("s", "dst").agg(F.min(F.col("d") + F.col("len")).alias("_d"))
-        merged = dist.join(offers.withColumnRenamed("dst", "v"), ["s", "v"], "full")
+        offers = fresh.join(arcs.withColumnRenamed("src", "v"), "v").groupBy("s", F.col("dst").alias("v")).agg(
+            F.min(F.col("d") + F.col("len")).alias("_d")
+        )
+        merged = dist.join(offers, ["s", "v"], "full")
         better = F.col("d").isNull() | (F.col("_d") < F.col("d"))
         merged = cut_lineage(
             merged.select("s", "v", F.coalesce(F.least("d", "_d"), "d", "_d").alias("d"), (F.col("_d").isNotNull() & better).alias("_new"))
@@ -154,7 +156,8 @@ def betweenness(edges: DataFrame, nodes: DataFrame | None = None, *, weight_is_d
     hop = names.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("c"))
     parts, h = [hop], 0
     while True:
-        hop = hop.join(dag, (hop.s == dag.s) & (hop.v == dag.src)).groupBy(dag.s, dag.dst.alias("v")).agg(F.sum("c").alias("c"))
+        step = dag.withColumnRenamed("src", "v")
+        hop = hop.join(step, ["s", "v"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum("c").alias("c"))
         hop, h = cut_lineage(hop), h + 1
         if hop.isEmpty():
             break
@@ -167,7 +170,8 @@ def betweenness(edges: DataFrame, nodes: DataFrame | None = None, *, weight_is_d
     flow = sigma.filter("s <> v").select("s", "v", (1 / F.col("sigma")).alias("g"))
     back = []
     while True:
-        flow = flow.join(dag, (flow.s == dag.s) & (flow.v == dag.dst)).groupBy(dag.s, dag.src.alias("v")).agg(F.sum("g").alias("g"))
+        step = dag.withColumnRenamed("dst", "v")
+        flow = flow.join(step, ["s", "v"]).groupBy("s", F.col("src").alias("v")).agg(F.sum("g").alias("g"))
         flow = cut_lineage(flow.filter("s <> v"))
         if flow.isEmpty():
             break

@@ -523,7 +523,7 @@ def corrected_resampled_t(scores: DataFrame, *, model: str, split: str, score: s
 
 def bonferroni(results: DataFrame, *, p: str = "p_value") -> DataFrame:
     """p times the number of tests, at most 1 (over the few result rows)."""
-    return results.withColumn("p_corrected", F.least(F.lit(1.0), F.col(p) * F.count(F.lit(1)).over(Window.partitionBy())))
+    return results.withColumn("p_corrected", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.col(p) * F.count(F.lit(1)).over(Window.partitionBy()))))
 
 
 def f_regression_screen(df: DataFrame, *, features: Sequence[str], target: str, alpha: float = 0.05) -> DataFrame:

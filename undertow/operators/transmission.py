@@ -308,3 +308,40 @@ def ma_long(fits: DataFrame) -> DataFrame:
 
     fitted = fits.filter("lags is not null").select("window_id", "names", "lags", "horizon")
     return fitted.mapInPandas(solve, "window_id long, h int, i int, j int, phi double")
+
+
+def residuals(stationary: DataFrame, fits: DataFrame) -> DataFrame:
+    """Residuals of every equation: (window_id, series, ts, residual).
+
+    The fit is one row per window; predictions are array expressions on the
+    lagged rows, so no Python runs over the data.
+    """
+    w = Window.partitionBy("window_id").orderBy("ts")
+    rows = stationary.groupBy("window_id", "ts").agg(F.array_sort(F.collect_list(F.struct("series", "value"))).alias("_c"))
+    base = rows.select("window_id", "ts", F.transform("_c", lambda c: c["value"]).alias("y"))
+    most = fits.agg(F.max("p")).first()[0] or 1
+    lagged = base.select("*", F.array(*[F.lag("y", i).over(w) for i in range(1, most + 1)]).alias("_lags"))
+    joined = lagged.join(fits.filter("lags is not null").select("window_id", "names", "p", "intercept", "lags"), "window_id")
+    x = F.flatten(F.slice("_lags", 1, F.col("p")))
+    k = F.size("names")
+    known = joined.withColumns({"_x": x, "_k": k}).filter(F.col("_x").isNotNull())
+
+    def predicted(j):
+        # Row j of each lag matrix, in lag order: lags are stored as (p, k, k).
+        row = F.flatten(F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.slice("lags", (i * F.col("_k") * F.col("_k") + j * F.col("_k") + 1).cast("int"), F.col("_k"))))
+        return F.get("intercept", j) + F.aggregate(F.zip_with(row, "_x", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+    each = known.select(
+        "window_id", "ts",
+        F.explode(F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: F.struct(F.get("names", j).alias("series"), (F.get("y", j) - predicted(j)).alias("residual")))).alias("r"),
+    )
+    return each.select("window_id", "r.series", "ts", "r.residual")
+
+
+def residual_tests(windows: DataFrame, *, max_lags: int = 10, criterion: str = "aic") -> DataFrame:
+    """Autocorrelation test of every residual series beside the stability of its model."""
+    stationary = cut_lineage(make_stationary(windows))
+    fits = cut_lineage(var_fit(var_moments(stationary, max_lags=max_lags), criterion=criterion))
+    tested = stattests.ljung_box(residuals(stationary, fits), keys=["window_id", "series"], ts="ts", value="residual")
+    stable = fits.select("window_id", "p", F.when(F.col("radius") < 1, "PASS").otherwise("WARNING").alias("stability"))
+    return tested.join(stable, "window_id")

@@ -8,5 +8,6 @@ from undertow.plans import (  # noqa: F401  (importing registers)
     catalog_series,
     catalog_graph,
     catalog_portfolio,
+    catalog_tests,
 )
 from undertow.plans.registry import ORACLES, QUERIES  # noqa: F401

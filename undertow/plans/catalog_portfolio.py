@@ -26,7 +26,7 @@ def market(t):
 
 SIGNAL = MARKET + """, s1 AS (SELECT *, CASE WHEN count(net) OVER w >= 5 THEN avg(net) OVER w END * CASE WHEN count(value) OVER w >= 5 THEN avg(value) OVER w END AS raw FROM market WINDOW w AS (PARTITION BY series ORDER BY ts ROWS 4 PRECEDING)),
   s2 AS (SELECT *, CASE WHEN count(raw) OVER w >= 252 THEN stddev_samp(raw) OVER w END AS sd FROM s1 WINDOW w AS (PARTITION BY series ORDER BY ts ROWS 251 PRECEDING)),
-  s3 AS (SELECT *, greatest(least(raw / nullif(2 * sd, 0), 1), -1) AS z FROM s2),
+  s3 AS (SELECT *, CASE WHEN raw / nullif(2 * sd, 0) IS NOT NULL THEN greatest(least(raw / nullif(2 * sd, 0), 1), -1) END AS z FROM s2),
   s4 AS (SELECT ts, series, coalesce(last_value(z IGNORE NULLS) OVER (PARTITION BY series ORDER BY ts), 0) AS signal FROM s3),
   s5 AS (SELECT ts, series, greatest(least(signal, 0.2), -0.2) AS c FROM s4),
   sig AS (SELECT ts, series, coalesce(c * least(1, 1 / nullif(sum(abs(c)) OVER (PARTITION BY ts), 0)), 0) AS signal FROM s5)"""
