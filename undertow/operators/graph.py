@@ -50,7 +50,8 @@ def pagerank(
 
     One join on src and one sum by dst per round; sums combine before the
     shuffle, so a node with most of the edges stays cheap.  Lineage is cut and
-    convergence tested every ``cut_every`` rounds; ``tolerance=None`` runs
+    convergence tested every ``cut_every`` rounds (each round while dangling
+    nodes lose mass: that one number is read back); ``tolerance=None`` runs
     exactly ``rounds`` rounds.
     """
     names = nodes_of(edges) if nodes is None else nodes.select("node")
@@ -62,22 +63,24 @@ def pagerank(
     links = cut_lineage(flows.join(out.filter("_total > 0"), "src").select("src", "dst", (F.col("weight") / F.col("_total")).alias("share")))
     sources = links.select("src").distinct().withColumn("_has", F.lit(1))
     base = cut_lineage(names.join(sources, names.node == sources.src, "left").select("node", F.col("_has").isNull().alias("dangling")))
+    leaks = not base.filter("dangling").isEmpty()
     ranks = base.withColumn("rank", F.lit(1.0 / n))
     previous = ranks
     for step in range(1, rounds + 1):
+        lost = (ranks.filter("dangling").agg(F.sum("rank")).first()[0] or 0.0) if leaks else 0.0
         received = links.join(ranks, links.src == ranks.node).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("_in"))
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).scalar()
         new = base.join(received, base.node == received.dst, "left").select(
             "node", "dangling", (alpha * (F.coalesce("_in", F.lit(0.0)) + lost / n) + (1 - alpha) / n).alias("rank")
         )
-        if step % cut_every == 0 or step == rounds:
+        if leaks or step % cut_every == 0 or step == rounds:
             new = cut_lineage(new)
-            if tolerance is not None:
-                late = new.join(previous.select("node", F.col("rank").alias("_old")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0]
+            if tolerance is not None and (step % cut_every == 0 or step == rounds):
+                old = previous.select("node", F.col("rank").alias("_old"))
+                late = new.join(old, "node").agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0]
                 if late < n * tolerance:
                     ranks = new
                     break
-            previous = new
+                previous = new
         ranks = new
     return ranks.select("node", "rank")
 

@@ -9,5 +9,7 @@ from undertow.plans import (  # noqa: F401  (importing registers)
     catalog_graph,
     catalog_portfolio,
     catalog_tests,
+    catalog_models,
+    catalog_plans,
 )
 from undertow.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -79,13 +79,18 @@ def hourly_sql(source="activity", group="community, date_trunc('hour', ts) AS ho
             if f == "count" or (f == "sum" and c in exact):
                 cells.append(f"({e})::BIGINT AS {name}")
             else:
-                cells.append(f"{R(e, digits)} AS {name}")
+                cells.append(f"{R(e, 10 if name == 'upvote_ratio_mean' else digits)} AS {name}")
     return f"SELECT {group}, {', '.join(cells)} FROM {source} GROUP BY {by}"
 
 
+def round_hourly(df):
+    doubles = {f.name for f in df.schema.fields if f.dataType.typeName() == "double"}
+    return df.select(*[r(c, 10 if c == "upvote_ratio_mean" else 6).alias(c) if c in doubles else F.col(c) for c in df.columns])
+
+
 @query("hourly_activity", f"WITH {ACTIVITY} " + hourly_sql())
 def _(t):
-    return rounded(aggregate.hourly_activity(activity_rows(t)))
+    return round_hourly(aggregate.hourly_activity(activity_rows(t)))
 
 
 @query(
