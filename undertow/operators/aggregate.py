@@ -142,16 +142,13 @@ def daily_post_counts(df: DataFrame) -> DataFrame:
 
 def dq_timestamps(df: DataFrame, *, key: str = "community", ts: str = "ts", stored: str = "comment_id") -> DataFrame:
     """Per community: rows, repeated times, stored in time order?, gaps over a day, gap and span statistics."""
-    by_time = blocks.over_rows(
-        df.select(key, ts, stored), [key], [ts, stored],
-        lambda frame: {"_before": F.lag(ts).over(frame.ordered)},
-        block=blocks.time_block(ts), back=1,
-    ).withColumn("gap", (F.unix_micros(ts) - F.unix_micros("_before")) / 60e6)
-    by_stored = blocks.over_rows(
-        df.select(key, ts, stored), [key], [stored],
-        lambda frame: {"_before": F.lag(ts).over(frame.ordered)},
-        block=F.floor(F.col(stored) / 1_000_000), back=1,
-    ).groupBy(key).agg(F.bool_and(F.coalesce(F.col(ts) >= F.col("_before"), F.lit(True))).cast("int").alias("monotonic"))
+    rows = df.select(key, ts, stored)
+    by_time = blocks.previous(rows, [key], [ts, stored], {"_before": ts}, blocks.time_block(ts)).withColumn(
+        "gap", (F.unix_micros(ts) - F.unix_micros("_before")) / 60e6
+    )
+    by_stored = blocks.previous(rows, [key], [stored], {"_before": ts}, F.floor(F.col(stored) / 1_000_000)).groupBy(key).agg(
+        F.bool_and(F.coalesce(F.col(ts) >= F.col("_before"), F.lit(True))).cast("int").alias("monotonic")
+    )
     stats = by_time.groupBy(key, ts).agg(
         F.count(F.lit(1)).alias("c"), F.count("gap").alias("g"), F.sum("gap").alias("gap_sum"),
         F.count_if(F.col("gap") > 1440).alias("long"),

@@ -8,7 +8,9 @@ repair the block edges exactly:
 * ``running``    - running totals: block totals are summed ahead of the blocks;
 * ``positions``  - running row number;
 * ``over_rows``  - row frames: each block also receives the few rows before/after it;
-* ``over_time``  - time frames: each block also receives the span before/after it;
+* ``over_time``  - short time frames: each block also receives the span before/after it;
+* ``time_sums``  - sums over time frames of any width, from running totals (linear);
+* ``previous``   - the value of the row before;
 * ``carry``      - last known value, handed from block to block;
 * ``quantiles``  - exact interpolated quantiles from value counts.
 
@@ -50,10 +52,12 @@ def running(
     order: Sequence[str],
     totals: Mapping[str, Column],
     block: Column,
+    peers: bool = False,
 ) -> DataFrame:
     """Add running sums of ``totals`` along ``order`` inside ``keys``.
 
-    ``block`` must not decrease along ``order``.
+    ``block`` must not decrease along ``order``.  With ``peers`` rows of equal
+    order count together.
     """
     keys = list(keys)
     blocked = df.withColumn("_block", block)
@@ -63,7 +67,8 @@ def running(
     ahead = sums.select(
         *keys, "_block", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_ahead_{n}") for n in names]
     )
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    inside = (inside.rangeBetween if peers else inside.rowsBetween)(Window.unboundedPreceding, 0)
     local = blocked.select("*", *[F.sum(totals[n]).over(inside).alias(f"_local_{n}") for n in names])
     joined = local.join(ahead, [*keys, "_block"])
     return joined.select(
@@ -144,6 +149,47 @@ def over_time(
     return out.select(*df.columns, *made)
 
 
+def time_sums(
+    df: DataFrame,
+    keys: Sequence[str],
+    id: Sequence[str],
+    ts: str,
+    totals: Mapping[str, Column],
+    spans: Mapping[str, int],
+    seconds: int = HOUR,
+) -> DataFrame:
+    """Sums of ``totals`` over [ts - span, ts] for every row: (keys, id, ts, <total>_<span>).
+
+    Every row also travels as one probe per span to the instant before its frame
+    opens; a frame is the running total at the row minus the one at the probe.
+    The cost is linear in the rows whatever the width of the frame.  ``id`` must
+    tell rows of a series apart.
+    """
+    keys, id, names = list(keys), list(id), list(totals)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    probes = [F.struct(F.lit(tag).alias("_tag"), (us - span * 1_000_000 - 1).alias("_us"), F.lit(0.0).alias("_own")) for tag, span in spans.items()]
+    stops = F.array(F.struct(F.lit("").alias("_tag"), us.alias("_us"), F.lit(1.0).alias("_own")), *probes)
+    values = df.select(*keys, *id, ts, *[totals[n].cast("double").alias(n) for n in names], F.inline(stops))
+    run = running(
+        values, keys, ["_us"], {f"_p_{n}": F.col(n) * F.col("_own") for n in names}, F.floor(F.col("_us") / (seconds * 1_000_000)), peers=True
+    )
+    at = lambda tag, n: F.max(F.when(F.col("_tag") == tag, F.col(f"_p_{n}")))
+    return run.groupBy(*keys, *id, ts).agg(*[(at("", n) - at(tag, n)).alias(f"{n}_{tag}") for tag in spans for n in names])
+
+
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], block: Column) -> DataFrame:
+    """Add, per new name, a column's value on the row before (along ``order``, inside ``keys``)."""
+    keys = list(keys)
+    blocked = df.withColumn("_block", block)
+    stamp = F.struct(*[F.col(c) for c in order])
+    ends = blocked.groupBy(*keys, "_block").agg(F.max_by(F.struct(*[F.col(c).alias(n) for n, c in values.items()]), stamp).alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_block")))
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    local = blocked.select("*", F.lag(F.struct(*[F.col(c).alias(n) for n, c in values.items()])).over(inside).alias("_before"))
+    joined = local.join(ends, [*keys, "_block"]).withColumn("_before", F.coalesce("_before", "_end"))
+    return joined.select(*df.columns, *[F.col(f"_before.{n}").alias(n) for n in values])
+
+
 def carry(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], block: Column
 ) -> DataFrame:

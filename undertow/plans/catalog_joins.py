@@ -206,7 +206,7 @@ def _(t):
 )
 def _(t):
     c = t.comments.select("community", "ts", "comment_id", "score")
-    return round_moments(features.rolling_stats_time(c, "score", keys=["community"], ts="ts"))
+    return round_moments(features.rolling_stats_time(c, "score", keys=["community"], ts="ts", id=["comment_id"]))
 
 
 def rows_back(w):
