@@ -58,7 +58,9 @@ def test_over_rows_frame_wider_than_block(data, frame):
 
 def test_time_sums_match_brute_force(data, frame):
     got = ordered(
-        blocks.time_sums(data, ["series"], ["id"], "ts", {"n": F.lit(1.0), "s": F.coalesce("x", F.lit(0.0))}, {"h": 3600, "d": 86400}, seconds=5 * 3600)
+        blocks.time_sums(
+            data, ["series"], "ts", {"n": F.lit(1.0), "s": F.coalesce("x", F.lit(0.0))}, {"h": 3600, "d": 86400}, lambda us: F.floor(F.col(us) / 18_000_000_000)
+        )
     )
     for tag, span in (("h", 3600), ("d", 86400)):
         for i, row in frame.iterrows():
@@ -69,10 +71,41 @@ def test_time_sums_match_brute_force(data, frame):
 
 def test_rolling_time_statistics_match_frames(data, frame):
     clean = data.filter("x is not null")
-    got = features.rolling_stats_time(clean, "x", keys=["series"], ts="ts", id=["id"], hours=(6,)).toPandas().set_index("id")
-    w = blocks.over_time(clean, ["series"], "ts", lambda f: {"m": F.avg("x").over(f(-6 * 3_600_000_000, 0)), "s": F.stddev_samp("x").over(f(-6 * 3_600_000_000, 0))}, back=6 * 3600).toPandas().set_index("id")
-    np.testing.assert_allclose(got["mean_6h"], w.loc[got.index, "m"], atol=1e-9)
-    np.testing.assert_allclose(got["std_6h"].astype(float), w.loc[got.index, "s"].astype(float), atol=1e-7)
+    got = features.rolling_stats_time(clean, "x", keys=["series"], ts="ts", hours=(6,)).toPandas().set_index("id")
+    for row in frame.dropna().itertuples():
+        mine = frame.dropna()
+        mine = mine[(mine.series == row.series) & (mine.ts <= row.ts) & (mine.ts >= row.ts - pd.Timedelta(hours=6))].x
+        assert got.loc[row.id, "mean_6h"] == pytest.approx(mine.mean(), abs=1e-9)
+        if len(mine) > 3:
+            assert got.loc[row.id, "std_6h"] == pytest.approx(mine.std(), abs=1e-7)
+            assert got.loc[row.id, "skew_6h"] == pytest.approx(mine.skew(), abs=1e-5)
+
+
+def test_even_blocks_bound_every_group(spark, monkeypatch):
+    # Half of all rows share one instant and one series; the id still splits them.
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, "hot").otherwise("cold").alias("k"),
+        F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id")).alias("t"), "id",
+    )
+    sizes = df.withColumn("b", blocks.even_block(df, ["t", "id"], rows=200)).groupBy("b").count().toPandas()
+    assert len(sizes) >= 15 and sizes["count"].max() < 800
+    order = df.withColumn("b", blocks.even_block(df, ["t", "id"], rows=200)).orderBy("t", "id").toPandas()
+    assert order.b.is_monotonic_increasing
+    monkeypatch.setattr(blocks, "ROWS_PER_BLOCK", 200)
+    pos = blocks.positions(df, ["k"], ["t", "id"]).toPandas().sort_values(["k", "t", "id"])
+    assert (pos.pos.to_numpy() == pos.groupby("k").cumcount().to_numpy() + 1).all()
+
+
+def test_operators_agree_across_block_sizes(data, monkeypatch):
+    def results():
+        before = ordered(blocks.previous(data, ["series"], ["ts", "id"], {"b": "id"}))
+        last = ordered(blocks.carry(data, ["series"], ["ts", "id"], {"c": "x"}))
+        sums = ordered(blocks.time_sums(data, ["series"], "ts", {"n": F.lit(1.0)}, {"d": 86400}))
+        return before.b.fillna(-1).tolist(), last.c.astype(float).fillna(-9).tolist(), sums.n_d.tolist()
+
+    whole = results()
+    monkeypatch.setattr(blocks, "ROWS_PER_BLOCK", 70)
+    assert results() == whole
 
 
 def test_carry_and_previous(data, frame):
@@ -95,11 +128,11 @@ def test_quantiles_with_copies(spark):
     assert blocks.quantiles(df, [], "x", {"m": 0.5}).first()["m"] == 5.0
 
 
+@pytest.mark.parametrize("rows", [None, 60])
 @pytest.mark.parametrize("by", [[], ["series"]])
-def test_asof_nearest_brute_force(spark, data, frame, by):
-    rng = np.random.default_rng(3)
+def test_asof_nearest_brute_force(data, frame, by, rows):
     left, right = data.filter("id % 3 = 0"), data.filter("id % 3 = 1").withColumnRenamed("id", "rid")
-    got = joins.asof_join_nearest(left, right, on="ts", left_id="id", right_id="rid", tolerance=600, by=by).toPandas().set_index("id")["rid"]
+    got = joins.asof_join_nearest(left, right, on="ts", left_id="id", right_id="rid", tolerance=600, by=by, rows=rows).toPandas().set_index("id")["rid"]
     lf, rf = frame[frame.id % 3 == 0], frame[frame.id % 3 == 1]
     for row in lf.itertuples():
         c = rf if not by else rf[rf.series == row.series]
@@ -107,7 +140,6 @@ def test_asof_nearest_brute_force(spark, data, frame, by):
         c = c[gap <= 600].assign(gap=gap[gap <= 600]).sort_values(["gap", "ts", "id"])
         want = c.id.iloc[0] if len(c) else None
         assert (pd.isna(got[row.id]) and want is None) or got[row.id] == want
-    assert rng is not None
 
 
 def test_asof_nearest_ties(spark):
@@ -118,7 +150,7 @@ def test_asof_nearest_ties(spark):
 
 def test_asof_backward(spark, data, frame):
     right = data.filter("id % 4 = 0").select("series", "ts", F.col("id").alias("seen"))
-    got = joins.asof_join_backward(data.filter("id % 4 = 1"), right, on="ts", values=["seen"], by=["series"], seconds=7200).toPandas()
+    got = joins.asof_join_backward(data.filter("id % 4 = 1"), right, on="ts", values=["seen"], by=["series"], block=blocks.time_block("ts", 7200)).toPandas()
     rf = frame[frame.id % 4 == 0]
     for row in got.itertuples():
         c = rf[(rf.series == row.series) & (rf.ts <= row.ts)].sort_values("ts")

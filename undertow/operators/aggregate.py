@@ -108,7 +108,7 @@ def market_series(
         *[F.sum(c).alias(f"{c}_total") for c in total],
     )
     names = [c for c in per_time.columns if c != ts]
-    filled = blocks.carry(per_time, [], [ts], {f"_f_{c}": c for c in names}, blocks.time_block(ts))
+    filled = blocks.carry(per_time, [], [ts], {f"_f_{c}": c for c in names})
     return filled.select(ts, *[F.col(f"_f_{c}").alias(c) for c in names])
 
 
@@ -143,10 +143,10 @@ def daily_post_counts(df: DataFrame) -> DataFrame:
 def dq_timestamps(df: DataFrame, *, key: str = "community", ts: str = "ts", stored: str = "comment_id") -> DataFrame:
     """Per community: rows, repeated times, stored in time order?, gaps over a day, gap and span statistics."""
     rows = df.select(key, ts, stored)
-    by_time = blocks.previous(rows, [key], [ts, stored], {"_before": ts}, blocks.time_block(ts)).withColumn(
+    by_time = blocks.previous(rows, [key], [ts, stored], {"_before": ts}).withColumn(
         "gap", (F.unix_micros(ts) - F.unix_micros("_before")) / 60e6
     )
-    by_stored = blocks.previous(rows, [key], [stored], {"_before": ts}, F.floor(F.col(stored) / 1_000_000)).groupBy(key).agg(
+    by_stored = blocks.previous(rows, [key], [stored], {"_before": ts}).groupBy(key).agg(
         F.bool_and(F.coalesce(F.col(ts) >= F.col("_before"), F.lit(True))).cast("int").alias("monotonic")
     )
     stats = by_time.groupBy(key, ts).agg(

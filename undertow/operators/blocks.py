@@ -1,32 +1,37 @@
 """Ordered computations over series of any length.
 
 A plain ``Window.partitionBy(series)`` sends a whole series to one task, and one
-series may hold a third of all rows.  The helpers here cut every series into
-blocks that are ordered among themselves, work inside ``(series, block)`` and
-repair the block edges exactly:
+series (or one hour) may hold a third of all rows.  The helpers here cut the
+rows into blocks of about equal size along their order, work inside
+``(series, block)`` and repair the block edges exactly:
 
+* ``even_block`` - block number along an order, from cut points of a small sample;
 * ``running``    - running totals: block totals are summed ahead of the blocks;
 * ``positions``  - running row number;
-* ``over_rows``  - row frames: each block also receives the few rows before/after it;
-* ``over_time``  - short time frames: each block also receives the span before/after it;
-* ``time_sums``  - sums over time frames of any width, from running totals (linear);
 * ``previous``   - the value of the row before;
 * ``carry``      - last known value, handed from block to block;
+* ``over_rows``  - row frames: each block also receives the few rows before/after it;
+* ``time_sums``  - sums over time frames of any width, from running totals (linear);
 * ``quantiles``  - exact interpolated quantiles from value counts.
 
 The only un-blocked windows are over the block *summaries*: one row per series
-and block.
+and block.  Data that fits one block skips the summaries.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HOUR = 3600
 DAY = 24 * HOUR
+ROWS_PER_BLOCK = 2_000_000
+MOST_BLOCKS = 16_384
 
 
 def time_block(ts: str, seconds: int = DAY) -> Column:
@@ -34,11 +39,43 @@ def time_block(ts: str, seconds: int = DAY) -> Column:
     return F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / seconds)
 
 
+def even_block(df: DataFrame, order: Sequence[str], rows: int | None = None) -> Column | None:
+    """Block number that grows with ``order``; None when one block is enough.
+
+    Cut points come from a hash sample of at most a few values per block, so no
+    block - and no (series, block) - holds much more than ``rows`` rows, however
+    the rows crowd in time or in one series.  They are fixed in the plan: every
+    stage, also a recomputed one, sees the same blocks.
+    """
+    n = df.count()
+    blocks = min(MOST_BLOCKS, ceil(n / (rows or ROWS_PER_BLOCK)))
+    if blocks <= 1:
+        return None
+    point = [F.unix_micros(c).alias(c) if isinstance(df.schema[c].dataType, T.TimestampType) else F.col(c) for c in order]
+    every = max(1, n // (blocks * 8))
+    sample = df.select(*point).na.drop().filter(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).distinct().orderBy(*order)
+    values = [tuple(row) for row in sample.collect()]  # bounded: about 8 per block
+    step = max(1, len(values) // blocks)
+    cuts = values[step::step]
+    if not cuts:
+        return None
+    wide = max(1, int(len(cuts) ** 0.5))
+
+    def table(points):
+        """The points as one constant array."""
+        rows = [dict(zip(order, p)) for p in points]
+        return F.from_json(F.lit(json.dumps(rows, default=str)), T.ArrayType(sample.schema))
+
+    here = F.struct(*point)
+    below = lambda array: F.size(F.filter(array, lambda c: c < here))
+    coarse = below(table(cuts[wide - 1 :: wide])) * wide  # this many cut points lie below, found in steps
+    return coarse + below(F.slice(table(cuts), coarse + 1, F.lit(wide)))
+
+
 def value_block(df: DataFrame, value: str, n: int = 64) -> Column:
     """Block number that grows with ``value``: n blocks of about equal size.
 
-    The n cut points come from one sketch pass and are fixed in the plan, so
-    every later stage (or a recomputed task) sees the same blocks.
+    The n cut points come from one sketch pass and are fixed in the plan.
     """
     probs = [i / n for i in range(1, n)]
     cuts = df.agg(F.percentile_approx(value, probs, 1000)).first()[0] or []
@@ -51,48 +88,96 @@ def running(
     keys: Sequence[str],
     order: Sequence[str],
     totals: Mapping[str, Column],
-    block: Column,
+    block: Column | None = None,
     peers: bool = False,
 ) -> DataFrame:
     """Add running sums of ``totals`` along ``order`` inside ``keys``.
 
-    ``block`` must not decrease along ``order``.  With ``peers`` rows of equal
-    order count together.
+    ``block`` must not decrease along ``order``; by default rows are cut evenly.
+    With ``peers`` rows of equal order count together.
     """
-    keys = list(keys)
+    keys, names = list(keys), list(totals)
+    block = even_block(df, order) if block is None else block
+
+    def window(*by):
+        w = Window.partitionBy(*by).orderBy(*order)
+        return (w.rangeBetween if peers else w.rowsBetween)(Window.unboundedPreceding, 0)
+
+    if block is None:
+        return df.select("*", *[F.sum(totals[n]).over(window(*keys)).alias(n) for n in names])
     blocked = df.withColumn("_block", block)
-    names = list(totals)
     sums = blocked.groupBy(*keys, "_block").agg(*[F.sum(totals[n]).alias(f"_sum_{n}") for n in names])
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     ahead = sums.select(
         *keys, "_block", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_ahead_{n}") for n in names]
     )
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    inside = (inside.rangeBetween if peers else inside.rowsBetween)(Window.unboundedPreceding, 0)
-    local = blocked.select("*", *[F.sum(totals[n]).over(inside).alias(f"_local_{n}") for n in names])
+    local = blocked.select("*", *[F.sum(totals[n]).over(window(*keys, "_block")).alias(f"_local_{n}") for n in names])
     joined = local.join(ahead, [*keys, "_block"])
-    return joined.select(
-        *df.columns, *[(F.col(f"_local_{n}") + F.col(f"_ahead_{n}")).alias(n) for n in names]
-    )
+    return joined.select(*df.columns, *[(F.col(f"_local_{n}") + F.col(f"_ahead_{n}")).alias(n) for n in names])
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, name: str = "pos"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column | None = None, name: str = "pos"
 ) -> DataFrame:
     """Add the 1-based position of each row in its series."""
     return running(df, keys, order, {name: F.lit(1).cast("long")}, block)
 
 
+def previous(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], block: Column | None = None
+) -> DataFrame:
+    """Add, per new name, a column's value on the row before (along ``order``, inside ``keys``)."""
+    keys = list(keys)
+    block = even_block(df, order) if block is None else block
+    if block is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.select("*", *[F.lag(c).over(w).alias(n) for n, c in values.items()])
+    blocked = df.withColumn("_block", block)
+    row = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
+    ends = blocked.groupBy(*keys, "_block").agg(F.max_by(row, F.struct(*[F.col(c) for c in order])).alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_block")))
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    joined = blocked.select("*", F.lag(row).over(inside).alias("_before")).join(ends, [*keys, "_block"])
+    joined = joined.withColumn("_before", F.coalesce("_before", "_end"))
+    return joined.select(*df.columns, *[F.col(f"_before.{n}").alias(n) for n in values])
+
+
+def carry(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], block: Column | None = None
+) -> DataFrame:
+    """Add, per new name, the last non-null value of a column up to and including the row."""
+    keys = list(keys)
+    block = even_block(df, order) if block is None else block
+    if block is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.last(c, ignorenulls=True).over(w).alias(n) for n, c in values.items()])
+    blocked = df.withColumn("_block", block)
+    stamp = F.struct(*[F.col(c) for c in order])
+    lasts = blocked.groupBy(*keys, "_block").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), stamp)).alias(f"_last_{n}") for n, c in values.items()]
+    )
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    handed = lasts.select(
+        *keys, "_block", *[F.last(f"_last_{n}", ignorenulls=True).over(before).alias(f"_from_{n}") for n in values]
+    )
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = blocked.select(
+        "*", *[F.last(c, ignorenulls=True).over(inside).alias(f"_in_{n}") for n, c in values.items()]
+    )
+    joined = local.join(handed, [*keys, "_block"])
+    return joined.select(*df.columns, *[F.coalesce(f"_in_{n}", f"_from_{n}").alias(n) for n in values])
+
+
 def over_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     columns: Callable[[Callable[[int, int], object]], Mapping[str, Column]],
     *,
-    block: Column,
+    block: Column | None = None,
     back: int = 0,
     ahead: int = 0,
-    rows: int = 50_000,
+    rows: int = ROWS_PER_BLOCK,
     keep_position: bool = False,
 ) -> DataFrame:
     """Add row-frame expressions, ``back`` rows before and ``ahead`` rows after.
@@ -119,97 +204,34 @@ def over_rows(
     return out.select(*df.columns, *extra, *made)
 
 
-def over_time(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    columns: Callable[[Callable[[int, int], object]], Mapping[str, Column]],
-    *,
-    back: int = 0,
-    ahead: int = 0,
-    seconds: int = DAY,
-) -> DataFrame:
-    """Add time-frame expressions; ``frame(lo, hi)`` counts microseconds around ``ts``."""
-    keys = list(keys)
-    at = F.unix_seconds(F.col(ts).cast("timestamp"))
-    spread = (
-        df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-        .withColumn("_home", F.floor(at / seconds))
-        .withColumn(
-            "_part", F.explode(F.sequence(F.floor((at - ahead - 1) / seconds), F.floor((at + back + 1) / seconds)))
-        )
-    )
-    base = Window.partitionBy(*keys, "_part").orderBy("_us")
-
-    def frame(lo: int, hi: int):
-        return base.rangeBetween(lo, hi)
-
-    made = columns(frame)
-    out = spread.select("*", *[c.alias(n) for n, c in made.items()]).filter("_part = _home")
-    return out.select(*df.columns, *made)
-
-
 def time_sums(
     df: DataFrame,
     keys: Sequence[str],
-    id: Sequence[str],
     ts: str,
     totals: Mapping[str, Column],
     spans: Mapping[str, int],
-    seconds: int = HOUR,
+    block: Callable[[str], Column] | None = None,
 ) -> DataFrame:
-    """Sums of ``totals`` over [ts - span, ts] for every row: (keys, id, ts, <total>_<span>).
+    """Add sums of ``totals`` over [ts - span, ts] to every row: columns <total>_<span>.
 
-    Every row also travels as one probe per span to the instant before its frame
-    opens; a frame is the running total at the row minus the one at the probe.
-    The cost is linear in the rows whatever the width of the frame.  ``id`` must
-    tell rows of a series apart.
+    Rows of one instant are added up first.  Every instant then travels also as
+    one probe per span to the moment before its frame opens; a frame is the
+    running total at the instant minus the one at the probe.  The cost is linear
+    whatever the width of the frame.
     """
-    keys, id, names = list(keys), list(id), list(totals)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    probes = [F.struct(F.lit(tag).alias("_tag"), (us - span * 1_000_000 - 1).alias("_us"), F.lit(0.0).alias("_own")) for tag, span in spans.items()]
-    stops = F.array(F.struct(F.lit("").alias("_tag"), us.alias("_us"), F.lit(1.0).alias("_own")), *probes)
-    values = df.select(*keys, *id, ts, *[totals[n].cast("double").alias(n) for n in names], F.inline(stops))
+    keys, names = list(keys), list(totals)
+    timed = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    instants = timed.groupBy(*keys, "_at").agg(*[F.sum(totals[n].cast("double")).alias(n) for n in names])
+    stops = [F.struct(F.lit("").alias("_tag"), F.col("_at").alias("_us"), F.lit(1.0).alias("_own"))]
+    stops += [F.struct(F.lit(tag).alias("_tag"), (F.col("_at") - span * 1_000_000 - 1).alias("_us"), F.lit(0.0).alias("_own")) for tag, span in spans.items()]
+    stream = instants.select(*keys, "_at", *names, F.inline(F.array(*stops)))
     run = running(
-        values, keys, ["_us"], {f"_p_{n}": F.col(n) * F.col("_own") for n in names}, F.floor(F.col("_us") / (seconds * 1_000_000)), peers=True
+        stream, keys, ["_us"], {f"_p_{n}": F.col(n) * F.col("_own") for n in names}, None if block is None else block("_us"), peers=True
     )
     at = lambda tag, n: F.max(F.when(F.col("_tag") == tag, F.col(f"_p_{n}")))
-    return run.groupBy(*keys, *id, ts).agg(*[(at("", n) - at(tag, n)).alias(f"{n}_{tag}") for tag in spans for n in names])
-
-
-def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], block: Column) -> DataFrame:
-    """Add, per new name, a column's value on the row before (along ``order``, inside ``keys``)."""
-    keys = list(keys)
-    blocked = df.withColumn("_block", block)
-    stamp = F.struct(*[F.col(c) for c in order])
-    ends = blocked.groupBy(*keys, "_block").agg(F.max_by(F.struct(*[F.col(c).alias(n) for n, c in values.items()]), stamp).alias("_end"))
-    ends = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_block")))
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    local = blocked.select("*", F.lag(F.struct(*[F.col(c).alias(n) for n, c in values.items()])).over(inside).alias("_before"))
-    joined = local.join(ends, [*keys, "_block"]).withColumn("_before", F.coalesce("_before", "_end"))
-    return joined.select(*df.columns, *[F.col(f"_before.{n}").alias(n) for n in values])
-
-
-def carry(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], block: Column
-) -> DataFrame:
-    """Add, per new name, the last non-null value of a column up to and including the row."""
-    keys = list(keys)
-    blocked = df.withColumn("_block", block)
-    stamp = F.struct(*[F.col(c) for c in order])
-    lasts = blocked.groupBy(*keys, "_block").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), stamp)).alias(f"_last_{n}") for n, c in values.items()]
-    )
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    handed = lasts.select(
-        *keys, "_block", *[F.last(f"_last_{n}", ignorenulls=True).over(before).alias(f"_from_{n}") for n in values]
-    )
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = blocked.select(
-        "*", *[F.last(c, ignorenulls=True).over(inside).alias(f"_in_{n}") for n, c in values.items()]
-    )
-    joined = local.join(handed, [*keys, "_block"])
-    return joined.select(*df.columns, *[F.coalesce(f"_in_{n}", f"_from_{n}").alias(n) for n in values])
+    made = [f"{n}_{tag}" for tag in spans for n in names]
+    frames = run.groupBy(*keys, "_at").agg(*[(at("", n) - at(tag, n)).alias(f"{n}_{tag}") for tag in spans for n in names])
+    return timed.join(frames, [*keys, "_at"]).select(*df.columns, *made)
 
 
 def quantiles(

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +39,7 @@ def granger_pairwise(
     vector = design.select("src", "dst", F.array(F.lit(1.0), *[F.col(c) for c in [*lagged, "y"]]).alias("v"))
     packed = moments.gram_packed(vector, keys=["src", "dst"], vector="v")
     last = 2 * lag + 1
-
-    def residuals(xs: Sequence[int], name: str) -> DataFrame:
-        return _rss(packed, xs, last, name)
-
-    both = residuals(range(0, 1 + lag), "rss_r").join(residuals(range(0, 1 + 2 * lag), "rss_u").drop("n"), ["src", "dst"])
+    both = _residual_sums(packed, {"rss_r": range(0, 1 + lag), "rss_u": range(0, 1 + 2 * lag)}, last)
     free = F.col("n") - 2 * lag - 1
     sample = F.col("n") + lag
     enough = (sample >= 3 * max_lags) & (free > 0) & (F.col("rss_u") > 0)
@@ -53,25 +49,22 @@ def granger_pairwise(
     return out.withColumn("p_value", p).drop("_free")
 
 
-def _rss(packed: DataFrame, xs: Sequence[int], y: int, name: str) -> DataFrame:
-    """Residual sum of squares of column y on columns xs, one small solve per pair."""
-    import numpy as np
-    import pandas as pd
+def _residual_sums(packed: DataFrame, designs: dict[str, range], y: int) -> DataFrame:
+    """Residual sum of squares of column y on each named set of columns; NULL when singular."""
 
-    xs = list(xs)
+    def rss(cells, xs):
+        try:
+            return float(moments.ols(moments.unpack(cells, y + 1), list(xs), [y])[1][0, 0])
+        except np.linalg.LinAlgError:
+            return np.nan
 
     def solve(batches):
         for batch in batches:
-            values = []
-            for cells in batch["cells"]:
-                try:
-                    values.append(float(moments.ols(moments.unpack(cells, y + 1), xs, [y])[1][0, 0]))
-                except np.linalg.LinAlgError:
-                    values.append(np.nan)
-            yield pd.DataFrame({"src": batch["src"], "dst": batch["dst"], "n": batch["n"], name: values})
+            sums = {name: [rss(c, xs) for c in batch["cells"]] for name, xs in designs.items()}
+            yield pd.DataFrame({"src": batch["src"], "dst": batch["dst"], "n": batch["n"], **sums})
 
-    out = packed.mapInPandas(solve, f"src string, dst string, n long, {name} double")
-    return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))
+    out = packed.mapInPandas(solve, "src string, dst string, n long, " + ", ".join(f"{name} double" for name in designs))
+    return out.withColumns({name: F.when(~F.isnan(name), F.col(name)) for name in designs})
 
 
 def granger_edges(tests: DataFrame, *, alpha: float = 0.05) -> DataFrame:
@@ -107,9 +100,6 @@ def lagged_corr(bars: DataFrame, *, series: str, ts: str, value: str, max_lags:
 
 
 def _pair_correlations(batches):
-    import numpy as np
-    import pandas as pd
-
     for batch in batches:
         for row in batch.itertuples(index=False):
             k = len(row.names)

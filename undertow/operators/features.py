@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undertow.operators import blocks
+from undertow.session import attach
 
 
 def by_series(keys: Sequence[str], order: str):
@@ -61,7 +62,7 @@ def _moments(value: str, frame, tag: str) -> dict[str, Column]:
 
 
 def rolling_stats_rows(
-    df: DataFrame, value: str, *, keys: Sequence[str], order: Sequence[str], block: Column, widths: Sequence[int] = (1, 6, 24)
+    df: DataFrame, value: str, *, keys: Sequence[str], order: Sequence[str], block: Column | None = None, widths: Sequence[int] = (1, 6, 24)
 ) -> DataFrame:
     """Mean, std, corrected skew and excess kurtosis over the last w rows, for any series length."""
 
@@ -75,9 +76,9 @@ def rolling_stats_rows(
 
 
 def rolling_stats_time(
-    df: DataFrame, value: str, *, keys: Sequence[str], ts: str, id: Sequence[str], hours: Sequence[int] = (1, 6, 24)
+    df: DataFrame, value: str, *, keys: Sequence[str], ts: str, hours: Sequence[int] = (1, 6, 24), block=None
 ) -> DataFrame:
-    """The same over true time frames of any width: (keys, id, ts, statistics).
+    """The same over true time frames of any width.
 
     Power sums about the series mean run once over the rows, so a frame that
     holds a billion rows costs no more than one that holds ten.  Frames whose
@@ -85,13 +86,13 @@ def rolling_stats_time(
     """
     keys = list(keys)
     means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    centred = df.join(means, keys).withColumn("_x", F.col(value) - F.col("_mean"))
+    centred = attach(df, means, keys).withColumn("_x", F.col(value) - F.col("_mean"))
     x = F.col("_x")
     known = F.when(x.isNotNull(), 1.0).otherwise(0.0)
     zero = F.coalesce(x, F.lit(0.0))
     totals = {"n": known, "s1": zero, "s2": zero**2, "s3": zero**3, "s4": zero**4}
     tags = {f"{h}h": h * 3600 for h in hours}
-    sums = blocks.time_sums(centred, [*keys, "_mean"], id, ts, totals, tags)
+    sums = blocks.time_sums(centred, keys, ts, totals, tags, block)
     made = {}
     for tag in tags:
         n, s1, s2, s3, s4 = (F.col(f"{name}_{tag}") for name in totals)
@@ -105,11 +106,11 @@ def rolling_stats_time(
         made[f"std_{tag}"] = F.when(n > 1, F.sqrt(F.greatest(m2, F.lit(0.0)) * n / (n - 1)))
         made[f"skew_{tag}"] = F.when((n >= 3) & spread, m3 / F.pow(m2, 1.5) * F.sqrt(n * (n - 1)) / (n - 2))
         made[f"kurt_{tag}"] = F.when((n > 3) & spread, m4 / (m2 * m2) - 3)
-    return sums.select(*keys, *id, ts, *[c.alias(name) for name, c in made.items()])
+    return sums.select(*df.columns, *[c.alias(name) for name, c in made.items()])
 
 
 def rolling_vwap(
-    df: DataFrame, value: str, weight: str, *, keys: Sequence[str], order: Sequence[str], block: Column, widths: Sequence[int]
+    df: DataFrame, value: str, weight: str, *, keys: Sequence[str], order: Sequence[str], block: Column | None = None, widths: Sequence[int] = (1, 6, 24)
 ) -> DataFrame:
     """Weighted rolling mean; 0 while no weight is known."""
 
@@ -124,7 +125,7 @@ def rolling_vwap(
     return blocks.over_rows(df, keys, order, columns, block=block, back=max(widths) - 1)
 
 
-def rolling_counts(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], block: Column, widths: Sequence[int]) -> DataFrame:
+def rolling_counts(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], block: Column | None = None, widths: Sequence[int] = (1, 6, 24)) -> DataFrame:
     """Rows in the last w rows, and rows so far."""
     return blocks.over_rows(
         df, keys, order, lambda frame: {f"count_{w}": F.count(F.lit(1)).over(frame(-(w - 1), 0)) for w in widths},
@@ -133,7 +134,7 @@ def rolling_counts(df: DataFrame, *, keys: Sequence[str], order: Sequence[str],
 
 
 def rolling_ratio(
-    df: DataFrame, flags: Sequence[str], *, keys: Sequence[str], order: Sequence[str], block: Column, width: int
+    df: DataFrame, flags: Sequence[str], *, keys: Sequence[str], order: Sequence[str], block: Column | None = None, width: int = 24
 ) -> DataFrame:
     """Rolling share of each flag."""
     return blocks.over_rows(
@@ -163,7 +164,7 @@ def rolling_volatility(df: DataFrame, value: str, *, keys: Sequence[str], order:
 def volume_share_weight(df: DataFrame, value: str, volume: str, *, keys: Sequence[str], name: str = "weighted") -> DataFrame:
     """Value times the row's share in its community's volume; totals are joined, not windowed."""
     totals = df.groupBy(*keys).agg(F.sum(volume).alias("_total"))
-    return df.join(totals, list(keys)).withColumn(name, F.col(value) * F.col(volume) / F.col("_total")).drop("_total")
+    return attach(df, totals, keys).withColumn(name, F.col(value) * F.col(volume) / F.col("_total")).drop("_total")
 
 
 def cross_section_mean_corr(df: DataFrame, value: str, *, key: str, ts: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undertow.operators import blocks
+
 MINUTES_15, HOUR, DAY = 900, 3600, 86400
 
 
@@ -29,10 +31,10 @@ def resample_mean(df: DataFrame, *, series: str, ts: str, value: str, step: int)
 
 
 def infer_frequency(df: DataFrame, *, ts: str) -> DataFrame:
-    """Median gap between distinct times -> grid step in seconds (over bars, not raw rows)."""
+    """Median gap between distinct times -> grid step in seconds."""
     times = df.select(ts).distinct()
-    gaps = times.select((F.unix_seconds(ts) - F.lag(F.unix_seconds(ts)).over(Window.orderBy(ts))).alias("gap"))
-    median = gaps.agg(F.percentile("gap", 0.5).alias("median_gap"))
+    gaps = blocks.previous(times, [], [ts], {"_before": ts}).select((F.unix_seconds(ts) - F.unix_seconds("_before")).alias("gap"))
+    median = blocks.quantiles(gaps, [], "gap", {"median_gap": 0.5})
     return median.withColumn(
         "step", F.when(F.col("median_gap") > 3600, DAY).when(F.col("median_gap") > 900, HOUR).otherwise(MINUTES_15)
     )

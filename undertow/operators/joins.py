@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undertow.functions.scalars import map_value
@@ -15,16 +15,21 @@ from undertow.session import ceiling
 def sentiment_price_join(sentiment: DataFrame, prices: DataFrame, *, first: str | None = None, last: str | None = None) -> DataFrame:
     """Communities x symbols of the same day, with the neighbouring prices.
 
-    The price side is cut to the range padded by the widest gap it needs: the
-    last price before and the first price after it, so the filter still reaches
-    the scan in spite of the window.
+    A filter cannot pass the window over prices, so the price side is cut by
+    hand: the range itself and, per symbol, the last row before and the first
+    row after it.
     """
-    by_symbol = Window.partitionBy("symbol").orderBy("day")
-    moves = prices.withColumns({"prev_price": F.lag("price").over(by_symbol), "next_price": F.lead("price").over(by_symbol)})
+    kept = prices
     if first is not None:
-        sentiment = sentiment.filter(F.col("day") >= F.lit(first).cast("date"))
+        start = F.lit(first).cast("date")
+        kept = kept.filter(F.col("day") >= start).unionByName(_edge(prices.filter(F.col("day") < start), F.max_by))
+        sentiment = sentiment.filter(F.col("day") >= start)
     if last is not None:
-        sentiment = sentiment.filter(F.col("day") <= F.lit(last).cast("date"))
+        stop = F.lit(last).cast("date")
+        kept = kept.filter(F.col("day") <= stop).unionByName(_edge(prices.filter(F.col("day") > stop), F.min_by))
+        sentiment = sentiment.filter(F.col("day") <= stop)
+    by_symbol = Window.partitionBy("symbol").orderBy("day")
+    moves = kept.withColumns({"prev_price": F.lag("price").over(by_symbol), "next_price": F.lead("price").over(by_symbol)})
     return sentiment.join(moves, "day").withColumns(
         {
             "price_direction": F.when(F.col("next_price") > F.col("price"), 1).when(F.col("next_price") < F.col("price"), -1).otherwise(0),
@@ -33,6 +38,12 @@ def sentiment_price_join(sentiment: DataFrame, prices: DataFrame, *, first: str
     )
 
 
+def _edge(prices: DataFrame, pick) -> DataFrame:
+    """The nearest row outside the range, per symbol."""
+    row = F.struct(*[F.col(c) for c in prices.columns])
+    return prices.groupBy("symbol").agg(pick(row, "day").alias("_r")).select("_r.*")
+
+
 def asof_join_nearest(
     left: DataFrame,
     right: DataFrame,
@@ -42,59 +53,61 @@ def asof_join_nearest(
     right_id: str,
     tolerance: int,
     by: Sequence[str] = (),
+    rows: int | None = None,
 ) -> DataFrame:
     """Nearest right row within ``tolerance`` seconds of every left row, else NULL.
 
-    Both sides become one ordered stream cut into time blocks; only right rows
-    are repeated into neighbouring blocks, and one scan looks back and ahead.
-    No left/right pair is ever formed, so a hot key or a busy hour costs its
-    own rows only.  Equal distances: the earlier right row wins, then the
-    smaller key.
+    Both sides become one stream in time order, cut into even blocks; inside a
+    block one scan looks back and one ahead, and block summaries hand the nearest
+    right row over the edges.  No left/right pair is ever formed, so a hot key
+    or a crowded hour costs its own rows only.  Equal distances: the earlier
+    right row wins, then the smaller key (``right_id`` is a number).
     """
     by = list(by)
-    width = max(blocks.HOUR, tolerance)
     us = F.unix_micros(F.col(on).cast("timestamp"))
-    l = left.select(
-        *by, us.alias("_us"), F.col(left_id).alias("_lid"), F.lit(None).cast(right.schema[right_id].dataType).alias("_rid"),
-        F.floor(us / (width * 1_000_000)).alias("_part"),
-    )
-    r = right.select(
-        *by, us.alias("_us"), F.lit(None).cast(left.schema[left_id].dataType).alias("_lid"), F.col(right_id).alias("_rid"),
-        F.explode(
-            F.sequence(
-                F.floor((us - tolerance * 1_000_000) / (width * 1_000_000)), F.floor((us + tolerance * 1_000_000) / (width * 1_000_000))
-            )
-        ).alias("_part"),
-    )
-    hit = F.when(F.col("_rid").isNotNull(), F.struct("_us", "_rid"))
-    past = Window.partitionBy(*by, "_part").orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
-    # Looking ahead is a running minimum from the far end: linear, unlike a frame that is open to the future.
-    ahead = Window.partitionBy(*by, "_part").orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, 0)
+    number = right.schema[right_id].dataType
+    l = left.select(*by, us.alias("_us"), F.col(left_id).alias("_lid"), F.lit(None).cast(number).alias("_rid"), F.xxhash64(left_id).alias("_tie"))
+    r = right.select(*by, us.alias("_us"), F.lit(None).cast(left.schema[left_id].dataType).alias("_lid"), F.col(right_id).alias("_rid"), F.xxhash64(right_id).alias("_tie"))
     stream = l.unionByName(r)
-    scanned = stream.select(
-        *by, "_us", "_lid", "_part",
-        F.max(F.when(F.col("_rid").isNotNull(), F.struct(F.col("_us").alias("t"), (-F.col("_rid")).alias("k")))).over(past).alias("_before"),
-        F.min(hit).over(ahead).alias("_after"),
-    ).filter(F.col("_lid").isNotNull())
-    gap_before = F.col("_us") - F.col("_before.t")
-    gap_after = F.col("_after._us") - F.col("_us")
+    block = blocks.even_block(stream, ["_us", "_tie"], rows)
+    stream = stream.withColumn("_block", F.lit(0) if block is None else block)
+    known = F.col("_rid").isNotNull()
+    back = F.when(known, F.struct(F.col("_us").alias("t"), (-F.col("_rid")).alias("k")))
+    forth = F.when(known, F.struct(F.col("_us").alias("t"), F.col("_rid").alias("k")))
+    inside = Window.partitionBy(*by, "_block")
+    # Looking ahead is a running minimum from the far end: linear, unlike a frame that is open to the future.
+    past = inside.orderBy("_us", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    coming = inside.orderBy(F.desc("_us"), F.desc("_tie")).rowsBetween(Window.unboundedPreceding, 0)
+    scanned = stream.select(*by, "_block", "_us", "_lid", F.max(back).over(past).alias("_b"), F.min(forth).over(coming).alias("_a"))
+    if block is not None:
+        edges = stream.groupBy(*by, "_block").agg(F.max(back).alias("_b"), F.min(forth).alias("_a"))
+        along = Window.partitionBy(*by)
+        earlier = along.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        later = along.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+        edges = edges.select(*by, "_block", F.max("_b").over(earlier).alias("_eb"), F.min("_a").over(later).alias("_ea"))
+        scanned = scanned.join(edges, [*by, "_block"])
+        scanned = scanned.withColumns({"_b": F.coalesce("_b", "_eb"), "_a": F.coalesce("_a", "_ea")})
+    wanted = scanned.filter(F.col("_lid").isNotNull())
     limit = tolerance * 1_000_000
+    gap_back, gap_forth = F.col("_us") - F.col("_b.t"), F.col("_a.t") - F.col("_us")
+    near_back, near_forth = -F.col("_b.k"), F.col("_a.k")
     near = (
-        F.when((gap_before <= limit) & (gap_after.isNull() | (gap_before <= gap_after)), -F.col("_before.k"))
-        .when(gap_after <= limit, F.col("_after._rid"))
+        F.when((gap_back == 0) & (gap_forth == 0), F.least(near_back, near_forth))
+        .when((gap_back <= limit) & (gap_forth.isNull() | (gap_back <= gap_forth)), near_back)
+        .when(gap_forth <= limit, near_forth)
     )
-    return scanned.select(*by, F.col("_lid").alias(left_id), near.alias(right_id))
+    return wanted.select(*by, F.col("_lid").alias(left_id), near.alias(right_id))
 
 
 def asof_join_backward(
-    left: DataFrame, right: DataFrame, *, on: str, values: Sequence[str], by: Sequence[str] = (), seconds: int = blocks.DAY
+    left: DataFrame, right: DataFrame, *, on: str, values: Sequence[str], by: Sequence[str] = (), block: Column | None = None
 ) -> DataFrame:
     """The latest right values at or before each left time (forward fill onto another index)."""
     by = list(by)
     l = left.select("*", F.lit(1).alias("_side"))
     r = right.select(*by, on, F.lit(0).alias("_side"), *[F.col(v).alias(f"_r_{v}") for v in values])
     stream = l.unionByName(r, allowMissingColumns=True)
-    carried = blocks.carry(stream, by, [on, "_side"], {f"_c_{v}": f"_r_{v}" for v in values}, blocks.time_block(on, seconds))
+    carried = blocks.carry(stream, by, [on, "_side"], {f"_c_{v}": f"_r_{v}" for v in values}, block)
     return carried.filter("_side = 1").select(*left.columns, *[F.col(f"_c_{v}").alias(v) for v in values])
 
 
@@ -135,7 +148,7 @@ def node_feature_join(df: DataFrame, nodes: DataFrame, *, key: str, features: Se
 def edge_membership_filter(edges: DataFrame, present: DataFrame, *, key: str) -> DataFrame:
     """Edges whose two ends have data, with ends coded 0..n-1 in name order."""
     names = present.select(key).distinct()
-    code = names.select(F.col(key), (F.row_number().over(Window.orderBy(key)) - 1).alias("code"))
+    code = blocks.positions(names, [], [key], name="_p").select(F.col(key), (F.col("_p") - 1).alias("code"))
     return (
         edges.join(code.select(F.col(key).alias("src"), F.col("code").alias("src_code")), "src")
         .join(code.select(F.col(key).alias("dst"), F.col("code").alias("dst_code")), "dst")

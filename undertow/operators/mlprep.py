@@ -29,7 +29,7 @@ def exact_stratified_split(
 ) -> DataFrame:
     """Exact shares per label: position in hash order inside the label, counted over hash blocks."""
     hashed = df.withColumn("_h", hash_number(F.lit(seed), *[F.col(c) for c in id]))
-    placed = blocks.positions(hashed, [label], ["_h", *id], F.floor(F.col("_h") / (1 << 24)), "_pos")
+    placed = blocks.positions(hashed, [label], ["_h", *id], name="_pos")
     size = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     cut = placed.join(size, label).withColumns({"_t": F.ceil(F.col("_n") * test)})
     cut = cut.withColumn("_v", F.ceil((F.col("_n") - F.col("_t")) * validation))
@@ -40,7 +40,7 @@ def exact_stratified_split(
 
 def time_position(df: DataFrame, *, ts: str, id: Sequence[str], block: Column | None = None) -> DataFrame:
     """Global 0-based time position and row count, over time blocks (no single-task sort)."""
-    placed = blocks.positions(df, [], [ts, *id], blocks.time_block(ts, blocks.HOUR) if block is None else block, "_pos")
+    placed = blocks.positions(df, [], [ts, *id], block, "_pos")
     return placed.withColumn("pos", F.col("_pos") - 1).withColumn("n", df.agg(F.count(F.lit(1))).scalar()).drop("_pos")
 
 
@@ -91,7 +91,7 @@ def select_k_best(df: DataFrame, *, features: Sequence[str], label: str, k: int)
     return stattests.anova_oneway(long, group="_l", value="x", keys=["feature"]).orderBy(F.desc("statistic"), "feature").limit(k)
 
 
-def balanced_sample(df: DataFrame, *, key: str, order: Sequence[str], block: Column, per_batch: int) -> DataFrame:
+def balanced_sample(df: DataFrame, *, key: str, order: Sequence[str], per_batch: int, block: Column | None = None) -> DataFrame:
     """Batch number per row so that every batch takes an equal share of each community."""
     placed = blocks.positions(df, [key], order, block, "_pos")
     return placed.withColumn("batch", F.ceil(F.col("_pos") / per_batch)).drop("_pos")

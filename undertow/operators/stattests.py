@@ -473,16 +473,16 @@ def permutation_test(df: DataFrame, *, id: str, features: Sequence[str], target:
     """In-sample R^2 of a linear model against label permutations: (draw, r2), draw 0 = the data.
 
     Permuted labels meet rows by position in hash order; positions come from
-    hash blocks, so no task ever orders a whole permutation.
+    even blocks, so no task ever orders a whole permutation.
     """
     rows = df.select(F.col(id).alias("id"), F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features]).alias("x"), F.col(target).cast("double").alias("y"))
-    copies = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws))))
-    home = copies.withColumn("h", hash_number(F.lit("row"), F.col("id")))
-    away = copies.withColumn("h", F.when(F.col("b") == 0, hash_number(F.lit("row"), F.col("id"))).otherwise(hash_number(F.col("b"), F.col("id"))))
-    block = F.floor(F.col("h") / (1 << 26))
-    x = blocks.positions(home.select("b", "id", "x", "h"), ["b"], ["h", "id"], block).select("b", "pos", "x")
-    y = blocks.positions(away.select("b", "id", "y", "h"), ["b"], ["h", "id"], block).select("b", "pos", "y")
-    v = x.join(y, ["b", "pos"]).select("b", F.concat("x", F.array("y")).alias("v"))
+    at_home = hash_number(F.lit("row"), F.col("id"))
+    home = rows.select("id", "x", at_home.alias("h"))
+    copies = rows.select("id", "y", F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("b"))
+    away = copies.withColumn("h", F.when(F.col("b") == 0, at_home).otherwise(hash_number(F.col("b"), F.col("id"))))
+    x = blocks.positions(home, [], ["h", "id"]).select("pos", "x")
+    y = blocks.positions(away, ["b"], ["h", "id"]).select("b", "pos", "y")
+    v = y.join(x, "pos").select("b", F.concat("x", F.array("y")).alias("v"))
     packed = moments.gram_packed(v, keys=["b"], vector="v")
     d = len(features) + 2
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undertow.functions import varmath
-from undertow.operators import grid, moments, stattests
+from undertow.operators import blocks, grid, moments, stattests
 from undertow.session import cut_lineage
 
 SEPARATOR = "\u0001"  # between series names while they serve as a key
@@ -55,7 +55,7 @@ def rolling_windows(panel: DataFrame, *, window: int = 252, step: int = 21) -> D
     Each row is copied into at most ceil(window/step) windows.
     """
     times = panel.select("ts").distinct()
-    numbered = times.withColumn("_at", F.row_number().over(Window.orderBy("ts")) - 1)  # the calendar, one row per step
+    numbered = blocks.positions(times, [], ["ts"], name="_pos").select("ts", (F.col("_pos") - 1).alias("_at"))
     total = times.agg(F.count(F.lit(1))).scalar()
     tagged = numbered.withColumn("_n", total)
     first = F.greatest(F.lit(0), F.ceil((F.col("_at") - (window - 1)) / step))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from undertow.functions import scalars
-from undertow.operators import aggregate, blocks, features, joins
+from undertow.operators import aggregate, features, joins
 from undertow.plans.registry import R, query, r, rounded
 from undertow.sources.tables import BARS, COMMENTS, FLOWS, POSTS, PRICES, RETURNS
 
@@ -118,7 +118,7 @@ def present_nations(t):
 @query(
     "edge_membership_filter",
     f"""WITH {FLOWS}, {PRESENT}, code AS (SELECT n_name, row_number() OVER (ORDER BY n_name) - 1 AS code FROM present)
-    SELECT src, dst, a.code::INT AS src_code, b.code::INT AS dst_code, {R('weight', 2)} AS weight FROM edges JOIN code a ON src = a.n_name JOIN code b ON dst = b.n_name""",
+    SELECT src, dst, a.code::BIGINT AS src_code, b.code::BIGINT AS dst_code, {R('weight', 2)} AS weight FROM edges JOIN code a ON src = a.n_name JOIN code b ON dst = b.n_name""",
 )
 def _(t):
     e = joins.edge_membership_filter(t.flows, present_nations(t), key="n_name")
@@ -194,7 +194,7 @@ def round_moments(df):
 def _(t):
     c = t.comments.select("community", "ts", "comment_id", "score")
     return round_moments(
-        features.rolling_stats_rows(c, "score", keys=["community"], order=["ts", "comment_id"], block=blocks.time_block("ts"))
+        features.rolling_stats_rows(c, "score", keys=["community"], order=["ts", "comment_id"])
     )
 
 
@@ -206,7 +206,7 @@ def _(t):
 )
 def _(t):
     c = t.comments.select("community", "ts", "comment_id", "score")
-    return round_moments(features.rolling_stats_time(c, "score", keys=["community"], ts="ts", id=["comment_id"]))
+    return round_moments(features.rolling_stats_time(c, "score", keys=["community"], ts="ts"))
 
 
 def rows_back(w):
@@ -221,7 +221,7 @@ def rows_back(w):
 )
 def _(t):
     c = t.comments.select("community", "ts", "comment_id", "score", "comment_score")
-    v = features.rolling_vwap(c, "score", "comment_score", keys=["community"], order=["ts", "comment_id"], block=blocks.time_block("ts"), widths=[6, 24])
+    v = features.rolling_vwap(c, "score", "comment_score", keys=["community"], order=["ts", "comment_id"], widths=[6, 24])
     return rounded(v.select("comment_id", "vw_6", "vw_24"), 12)
 
 
@@ -231,7 +231,7 @@ def _(t):
 )
 def _(t):
     c = t.comments.select("community", "ts", "comment_id")
-    n = features.rolling_counts(c, keys=["community"], order=["ts", "comment_id"], block=blocks.time_block("ts"), widths=[6, 24])
+    n = features.rolling_counts(c, keys=["community"], order=["ts", "comment_id"], widths=[6, 24])
     return n.select("comment_id", "count_6", "count_24", "count_all")
 
 
@@ -248,7 +248,7 @@ SIGN = "CASE label WHEN 'positive' THEN 1 WHEN 'neutral' THEN 0 ELSE -1 END"
 def _(t):
     e = scalars.emotion_scores_fallback(scalars.compound_sentiment(t.comments))
     e = features.rolling_ratio(
-        e, ["fear", "greed", "fomo"], keys=["community"], order=["ts", "comment_id"], block=blocks.time_block("ts"), width=24
+        e, ["fear", "greed", "fomo"], keys=["community"], order=["ts", "comment_id"], width=24
     )
     return rounded(e.select("comment_id", "fear_ratio", "greed_ratio", "fomo_ratio"), 10)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from undertow.operators import blocks, mlmodels, mlprep
+from undertow.operators import mlmodels, mlprep
 from undertow.plans.catalog_grid import NAIVE, naive_forecasts
 from undertow.plans.catalog_tests import FOLDS, anova_sql, model_scores
 from undertow.plans.registry import R, query, r, rounded
@@ -158,7 +158,7 @@ def _(t):
 
 def folded(t):
     d = regression_rows(t)
-    return mlprep.timeseries_folds(d, ts="_at", id=ITEM, folds=3, block=blocks.time_block("_at"))
+    return mlprep.timeseries_folds(d, ts="_at", id=ITEM, folds=3)
 
 
 @query("cv_scores")
@@ -252,7 +252,7 @@ def _(t):
 @query("balanced_sample", "SELECT event_id, ceil(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) / 16)::BIGINT AS batch FROM events")
 def _(t):
     c = t.comments.select(F.col("comment_id").alias("event_id"), "community", "ts")
-    return mlprep.balanced_sample(c, key="community", order=["ts", "event_id"], block=blocks.time_block("ts"), per_batch=16).select("event_id", "batch")
+    return mlprep.balanced_sample(c, key="community", order=["ts", "event_id"], per_batch=16).select("event_id", "batch")
 
 
 @query(

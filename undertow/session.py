@@ -57,3 +57,14 @@ def ceiling(limit: int, what: str):
         return F.when(F.size(column) <= limit, column).otherwise(F.raise_error(message))
 
     return check
+
+
+def attach(df: DataFrame, summary: DataFrame, keys, limit: int = 1_000_000) -> DataFrame:
+    """Join a per-group summary to the rows it came from.
+
+    The summary is computed once and counted: up to ``limit`` groups it is
+    broadcast, so the rows stay where they are; beyond it the join shuffles.
+    """
+    made = cut_lineage(summary)
+    small = made.count() <= limit
+    return df.join(F.broadcast(made) if small else made, list(keys))

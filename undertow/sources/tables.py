@@ -108,7 +108,7 @@ class Tables:
         nation = self.raw("nation")
         customer = self.raw("customer").select("c_custkey", F.col("c_nationkey").alias("_src"))
         supplier = self.raw("supplier").select("s_suppkey", F.col("s_nationkey").alias("_dst"))
-        sold = self.raw("lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.sum("l_extendedprice").alias("w"))
+        sold = self.raw("lineitem").select("l_orderkey", "l_suppkey", F.col("l_extendedprice").alias("w"))
         flow = (
             sold.join(self.raw("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(customer, F.col("o_custkey") == F.col("c_custkey"))
