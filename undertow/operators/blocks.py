@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from undertow.session import cut_lineage
+
 HOUR = 3600
 DAY = 24 * HOUR
 ROWS_PER_BLOCK = 2_000_000
@@ -243,8 +245,8 @@ def quantiles(
     and the ordering runs over value blocks instead of one task per group.
     """
     keys = list(keys)
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c")
+    counts = cut_lineage(
+        df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     )
     ranked = running(counts, keys, ["_v"], {"_cum": F.col("_c")}, value_block(counts, "_v", blocks))
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from undertow.functions.tails import f_tail, t_tail
 from undertow.operators import moments
 from undertow.operators.joins import all_ordered_pairs
-from undertow.session import ceiling
+from undertow.session import ceiling, cut_lineage
 
 
 def paired_bars(bars: DataFrame, *, series: str, ts: str, value: str, max_series: int = 2000) -> DataFrame:
@@ -19,7 +19,7 @@ def paired_bars(bars: DataFrame, *, series: str, ts: str, value: str, max_series
     Works on bars (one row per series and step): the size is the size of the
     result, pairs x calendar, and the number of series is checked.
     """
-    known = bars.filter(F.col(value).isNotNull())
+    known = cut_lineage(bars.filter(F.col(value).isNotNull()).select(series, ts, value))  # small, and read three times
     pairs = all_ordered_pairs(known, key=series, max_series=max_series)
     x = known.select(F.col(series).alias("src"), F.col(ts).alias("ts"), F.col(value).alias("x"))
     y = known.select(F.col(series).alias("dst"), F.col(ts).alias("ts"), F.col(value).alias("y"))
@@ -79,7 +79,8 @@ def lagged_corr(bars: DataFrame, *, series: str, ts: str, value: str, max_lags:
     of the vector are taken once and correlations come from one moment matrix
     per lag.
     """
-    names = bars.select(series).distinct().agg(F.array_sort(F.collect_set(series)).alias("names"))
+    bars = cut_lineage(bars.select(series, ts, value))
+    names = bars.select(series).distinct().limit(max_series + 1).agg(F.array_sort(F.collect_set(series)).alias("names"))
     dims = names.select(ceiling(max_series, "series")(F.col("names")).alias("names"))
     rows = bars.groupBy(ts).agg(F.array_sort(F.collect_list(F.struct(series, value))).alias("_cells"))
     complete = rows.filter(F.size("_cells") == F.size(dims.scalar()))

@@ -22,7 +22,7 @@ MOVES = PRICES + ", moves AS (SELECT *, lag(price) OVER w AS prev, lead(price) O
     FROM d JOIN moves USING (day) WHERE day BETWEEN DATE '{FIRST}' AND DATE '{LAST}'""",
 )
 def _(t):
-    j = joins.sentiment_price_join(aggregate.daily_sentiment(t.comments), t.prices, first=FIRST, last=LAST)
+    j = joins.sentiment_price_join(aggregate.daily_sentiment(t.comments_in(FIRST, LAST)), t.prices, first=FIRST, last=LAST)
     return j.select(
         "community", "symbol", "day", "comments", r("avg_pos_score", 10).alias("avg_pos_score"), r("price").alias("price"),
         "price_direction", r("price_change", 10).alias("price_change"),

@@ -202,7 +202,7 @@ def _(t):
     f"WITH {COMMENTS} SELECT community, comment_id, ts FROM comments WHERE day BETWEEN DATE '{FIRST}' AND DATE '{LAST}'",
 )
 def _(t):
-    return readers.scan_range(t.comments, "day", FIRST, LAST).select("community", "comment_id", "ts").orderBy("ts")
+    return readers.scan_range(t.comments_in(FIRST, LAST), "day", FIRST, LAST).select("community", "comment_id", "ts").orderBy("ts")
 
 
 @query(
@@ -211,7 +211,7 @@ def _(t):
     FROM comments WHERE comment_id IS NOT NULL AND day BETWEEN DATE '{FIRST}' AND DATE '{LAST}'""",
 )
 def _(t):
-    return rounded(readers.scan_comments_range(t.comments, FIRST, LAST))
+    return rounded(readers.scan_comments_range(t.comments_in(FIRST, LAST), FIRST, LAST))
 
 
 @query(
@@ -228,10 +228,8 @@ def _(t):
     UNION ALL SELECT 'first', count(*) FROM comments WHERE day >= DATE '{FIRST}' UNION ALL SELECT 'last', count(*) FROM comments WHERE day <= DATE '{LAST}'""",
 )
 def _(t):
-    c = t.comments
-
     def counted(name, first, last):
-        return readers.scan_range(c, "day", first, last).agg(F.count("*").alias("n")).select(F.lit(name).alias("bounds"), "n")
+        return readers.scan_range(t.comments_in(first, last), "day", first, last).agg(F.count("*").alias("n")).select(F.lit(name).alias("bounds"), "n")
 
     return counted("both", FIRST, LAST).union(counted("first", FIRST, None)).union(counted("last", None, LAST))
 

@@ -233,7 +233,21 @@ def spill_results(t):
     return stattests.spill_significance(t.returns, event_days(t), key="series", ts="ts", value="ret", draws=DRAWS)
 
 
-@query("permutation_test")
+def mixed(tag):
+    return f"(('0x' || substr(md5(concat_ws('-', {tag}, id)), 1, 8))::UBIGINT::BIGINT)"
+
+
+PERMUTED = f"""li AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_quantity AS q, l_discount AS d, l_extendedprice AS y FROM lineitem),
+  px AS (SELECT q, d, row_number() OVER (ORDER BY {mixed(chr(39) + 'row' + chr(39))}, id) AS pos FROM li),
+  py AS (SELECT b, y, row_number() OVER (PARTITION BY b ORDER BY CASE WHEN b = 0 THEN {mixed(chr(39) + 'row' + chr(39))} ELSE {mixed('b')} END, id) AS pos FROM li, range(0, 11) g(b)),
+  pm AS (SELECT b, count(*) AS n, var_pop(q) AS v1, var_pop(d) AS v2, covar_pop(q, d) AS c12, covar_pop(y, q) AS c1, covar_pop(y, d) AS c2, var_pop(y) AS vy FROM py JOIN px USING (pos) GROUP BY 1),
+  pr AS (SELECT b, n, ((c1 * v2 - c2 * c12) * c1 + (c2 * v1 - c1 * c12) * c2) / (v1 * v2 - c12 * c12) / vy AS r2 FROM pm), ps AS (SELECT r2 AS seen FROM pr WHERE b = 0)"""
+
+
+@query(
+    "permutation_test",
+    f"WITH {PERMUTED} SELECT n::BIGINT AS n, {R('max(seen)')} AS score, {R('(count(*) FILTER (b > 0 AND r2 >= seen) + 1) / count(*)')} AS p_value FROM pr, ps GROUP BY 1",
+)
 def _(t):
     li = t.raw("lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     scores = stattests.permutation_test(li, id="id", features=["l_quantity", "l_discount"], target="l_extendedprice", draws=10)

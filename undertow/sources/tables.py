@@ -31,8 +31,17 @@ class Tables:
 
     @cached_property
     def comments(self) -> DataFrame:
-        value = F.col("value")
-        return self.raw("events").select(
+        return self.comments_in()
+
+    def comments_in(self, first: str | None = None, last: str | None = None) -> DataFrame:
+        """Comments of a day range; the bounds are set on the stored time, so they reach the file scan."""
+        value, raw = F.col("value"), self.raw("events")
+        kind = raw.schema["ts"].dataType
+        if first is not None:
+            raw = raw.filter(F.col("ts") >= F.lit(first).cast(kind))
+        if last is not None:
+            raw = raw.filter(F.col("ts") < F.date_add(F.lit(last).cast("date"), 1).cast(kind))
+        return raw.select(
             F.col("event_type").alias("community"),
             F.col("user_id").alias("post_id"),
             F.col("event_id").alias("comment_id"),
