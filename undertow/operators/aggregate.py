@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undertow.operators import blocks
+from undertow.session import cut_lineage
 
 LABELS = ["positive", "neutral", "negative"]
 
@@ -53,6 +54,7 @@ def daily_sentiment_ratio(df: DataFrame) -> DataFrame:
     )
 
 
+# The measures of an hourly bar and their names.
 HOURLY = {
     "score": ["sum", "mean", "std", "count"],
     "num_comments": ["sum", "mean"],
@@ -202,7 +204,7 @@ def dq_coverage(df: DataFrame, *, key: str = "community", ts: str = "ts") -> Dat
 
 def gini(sizes: DataFrame, *, value: str) -> DataFrame:
     """Gini coefficient of a column of sizes, from counts of equal sizes."""
-    tied = sizes.groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    tied = cut_lineage(sizes.groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("c")))
     cum = blocks.running(tied, [], ["x"], {"cum": F.col("c")}, blocks.value_block(tied, "x"))
     total = cum.agg(
         F.sum("c").alias("n"),

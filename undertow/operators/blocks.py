@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from undertow.session import cut_lineage
+from undertow.session import attach, cut_lineage
 
 HOUR = 3600
 DAY = 24 * HOUR
@@ -251,7 +251,7 @@ def quantiles(
     ranked = running(counts, keys, ["_v"], {"_cum": F.col("_c")}, value_block(counts, "_v", blocks))
     sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     if keys:
-        ranked = ranked.join(sizes, keys)
+        ranked = attach(ranked, sizes, keys)
         n = F.col("_n")
     else:
         n = sizes.scalar()

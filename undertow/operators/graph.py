@@ -44,44 +44,64 @@ def weighted_degree(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
 
 
 def pagerank(
-    edges: DataFrame, nodes: DataFrame | None = None, *, alpha: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, cut_every: int = 5
+    edges: DataFrame, nodes: DataFrame | None = None, *, alpha: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6, stride: int = 10
 ) -> DataFrame:
     """Weighted PageRank with dangling mass spread evenly.
 
-    One join on src and one sum by dst per round; sums combine before the
-    shuffle, so a node with most of the edges stays cheap.  Lineage is cut and
-    convergence tested every ``cut_every`` rounds (each round while dangling
-    nodes lose mass: that one number is read back); ``tolerance=None`` runs
-    exactly ``rounds`` rounds.
+    A round is one join on src and one sum by dst; sums combine before the
+    shuffle, so a node with most of the edges stays cheap.  Teleport and
+    dangling mass both add the same amount to every node, so ``stride`` rounds
+    run without knowing that amount: the powers of the link matrix applied to
+    the ranks and (once) to the even vector are kept per node, their sums are
+    read back, and the amounts of the whole stride follow from the ranks adding
+    up to 1.  Lineage is cut and convergence tested once per stride;
+    ``tolerance=None`` runs exactly ``rounds`` rounds.
     """
     names = nodes_of(edges) if nodes is None else nodes.select("node")
+    names = cut_lineage(names)
     n = names.count()
     if n == 0:
         return names.withColumn("rank", F.lit(0.0))
     flows = edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     out = flows.groupBy("src").agg(F.sum("weight").alias("_total"))
-    links = cut_lineage(flows.join(out.filter("_total > 0"), "src").select("src", "dst", (F.col("weight") / F.col("_total")).alias("share")))
-    sources = links.select("src").distinct().withColumn("_has", F.lit(1))
-    base = cut_lineage(names.join(sources, names.node == sources.src, "left").select("node", F.col("_has").isNull().alias("dangling")))
-    leaks = not base.filter("dangling").isEmpty()
-    ranks = base.withColumn("rank", F.lit(1.0 / n))
-    previous = ranks
-    for step in range(1, rounds + 1):
-        lost = (ranks.filter("dangling").agg(F.sum("rank")).first()[0] or 0.0) if leaks else 0.0
-        received = links.join(ranks, links.src == ranks.node).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("_in"))
-        new = base.join(received, base.node == received.dst, "left").select(
-            "node", "dangling", (alpha * (F.coalesce("_in", F.lit(0.0)) + lost / n) + (1 - alpha) / n).alias("rank")
-        )
-        if leaks or step % cut_every == 0 or step == rounds:
-            new = cut_lineage(new)
-            if tolerance is not None and (step % cut_every == 0 or step == rounds):
-                old = previous.select("node", F.col("rank").alias("_old"))
-                late = new.join(old, "node").agg(F.sum(F.abs(F.col("rank") - F.col("_old")))).first()[0]
-                if late < n * tolerance:
-                    ranks = new
-                    break
-                previous = new
-        ranks = new
+    shares = flows.join(out.filter("_total > 0"), "src").select("src", "dst", (F.col("weight") / F.col("_total") * alpha).alias("share"))
+    keep = names.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(None).cast("double").alias("share"))
+    links = cut_lineage(shares.unionByName(keep))  # a NULL share hands a node's history to itself
+
+    def powers(start: DataFrame, k: int) -> DataFrame:
+        """(node, z): the vector and its k images under the links."""
+        state = start.select("node", F.array("rank").alias("z"))
+        for _ in range(k):
+            sent = links.join(state, links.src == state.node)
+            state = sent.groupBy("dst").agg(
+                F.sum(F.col("share") * F.element_at("z", -1)).alias("_in"), F.collect_list(F.when(F.col("share").isNull(), F.col("z"))).alias("_z")
+            ).select(F.col("dst").alias("node"), F.array_append(F.get("_z", F.lit(0)), F.coalesce("_in", F.lit(0.0))).alias("z"))
+        return cut_lineage(state)
+
+    def sums(state: DataFrame, k: int) -> list[float]:
+        return list(state.agg(*[F.sum(F.get("z", F.lit(j))).alias(f"m{j}") for j in range(k + 1)]).first())
+
+    ranks, even, even_sums, done = names.withColumn("rank", F.lit(1.0 / n)), None, None, 0
+    while done < rounds:
+        k = min(stride, rounds - done)
+        state = powers(ranks, k)
+        mass = sums(state, k)
+        if even is None:
+            even, even_sums = state.select("node", F.col("z").alias("a")), mass
+        added: list[float] = []
+        for j in range(k):
+            added.append(1.0 - mass[j + 1] - sum(added[i] * even_sums[j - i] for i in range(j)))
+
+        def image(j: int):
+            total = F.get("z", F.lit(j))
+            for i in range(j):
+                total = total + F.get("a", F.lit(j - 1 - i)) * added[i]
+            return total
+
+        ranks = state.join(even, "node").select("node", image(k).alias("rank"), F.abs(image(k) - image(k - 1)).alias("_moved"))
+        done += k
+        if tolerance is not None and ranks.agg(F.sum("_moved")).first()[0] < n * tolerance:
+            break
     return ranks.select("node", "rank")
 
 

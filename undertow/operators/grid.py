@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undertow.operators import blocks
-from undertow.session import cut_lineage
+from undertow.session import attach, cut_lineage
 
 MINUTES_15, HOUR, DAY = 900, 3600, 86400
 
@@ -58,7 +58,7 @@ def drop_sparse_series(df: DataFrame, *, series: str, value: str, max_missing: f
     kept = df.groupBy(*keys, series).agg(F.avg(F.col(value).isNull().cast("int")).alias("_missing")).filter(
         F.col("_missing") <= max_missing
     )
-    return df.join(kept.select(*keys, series), [*keys, series], "left_semi")
+    return attach(df, kept.select(*keys, series), [*keys, series], "left_semi")
 
 
 def complete_rows(df: DataFrame, *, ts: str, value: str, keys: Sequence[str] = (), how: str = "all") -> DataFrame:
@@ -71,7 +71,7 @@ def complete_rows(df: DataFrame, *, ts: str, value: str, keys: Sequence[str] = (
 
 def min_obs_filter(df: DataFrame, *, series: str, value: str, more_than: int = 100) -> DataFrame:
     kept = df.groupBy(series).agg(F.count(value).alias("_n")).filter(F.col("_n") > more_than)
-    return df.join(kept.select(series), series, "left_semi")
+    return attach(df, kept.select(series), [series], "left_semi")
 
 
 def pivot_wide(df: DataFrame, *, ts: str, series: str, value: str, names: Sequence[str], fill: float | None = None) -> DataFrame:
@@ -108,4 +108,4 @@ def log_difference(df: DataFrame, *, keys: Sequence[str], ts: str, value: str, n
 def standardize(df: DataFrame, *, keys: Sequence[str], value: str, name: str = "z") -> DataFrame:
     """(x - mean) / sample std per series; the statistics are aggregated and joined back."""
     stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    return df.join(stats, list(keys)).withColumn(name, (F.col(value) - F.col("_m")) / F.nullif("_s", F.lit(0.0))).drop("_m", "_s")
+    return attach(df, stats, keys).withColumn(name, (F.col(value) - F.col("_m")) / F.nullif("_s", F.lit(0.0))).drop("_m", "_s")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from undertow.functions.scalars import map_value
 from undertow.operators import blocks
-from undertow.session import ceiling
+from undertow.session import attach, ceiling
 
 
 def sentiment_price_join(sentiment: DataFrame, prices: DataFrame, *, first: str | None = None, last: str | None = None) -> DataFrame:
@@ -142,7 +142,7 @@ def all_ordered_pairs(df: DataFrame, *, key: str, max_series: int = 2000) -> Dat
 
 def node_feature_join(df: DataFrame, nodes: DataFrame, *, key: str, features: Sequence[str], keep_all: bool = False) -> DataFrame:
     """Node metrics on every row; rows of unknown nodes are dropped, or kept with zeros."""
-    joined = df.join(nodes.select(key, *features), key, "left" if keep_all else "inner")
+    joined = attach(df, nodes.select(key, *features), [key], "left" if keep_all else "inner")
     return joined.na.fill(0, list(features)) if keep_all else joined
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from undertow.operators import mlprep, moments
+from undertow.session import attach
 
 CLASSIFIERS = {
     "random_forest": lambda **p: RandomForestClassifier(**{"numTrees": 20, "maxDepth": 5, "seed": 42, **p}),
@@ -30,7 +31,7 @@ def balanced_weights(df: DataFrame, *, label: str) -> DataFrame:
     """Weight n / (classes * count) per row."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     n, k = counts.agg(F.sum("_c")).scalar(), counts.agg(F.count(F.lit(1))).scalar()
-    return df.join(counts.withColumn("class_weight", n / (k * F.col("_c"))).drop("_c"), label)
+    return attach(df, counts.withColumn("class_weight", n / (k * F.col("_c"))).drop("_c"), [label])
 
 
 def train_classifier(df: DataFrame, *, features: Sequence[str], label: str, kind: str, balanced: bool = False, **params):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from undertow.operators import blocks, stattests
 from undertow.operators.stattests import hash_number
+from undertow.session import attach, cut_lineage
 
 SPACE = float(1 << 32)
 
@@ -31,7 +32,7 @@ def exact_stratified_split(
     hashed = df.withColumn("_h", hash_number(F.lit(seed), *[F.col(c) for c in id]))
     placed = blocks.positions(hashed, [label], ["_h", *id], name="_pos")
     size = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    cut = placed.join(size, label).withColumns({"_t": F.ceil(F.col("_n") * test)})
+    cut = attach(placed, size, [label]).withColumns({"_t": F.ceil(F.col("_n") * test)})
     cut = cut.withColumn("_v", F.ceil((F.col("_n") - F.col("_t")) * validation))
     return cut.withColumn(
         "split", F.when(F.col("_pos") <= F.col("_t"), "test").when(F.col("_pos") <= F.col("_t") + F.col("_v"), "val").otherwise("train")
@@ -137,7 +138,7 @@ def classification_metrics(df: DataFrame, *, y: str, p: str) -> DataFrame:
 
 def binary_auc(df: DataFrame, *, y: str, score: str) -> DataFrame:
     """Rank-sum area with ties averaged, from counts per score."""
-    c = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    c = cut_lineage(df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg")))
     r = blocks.running(c, [], ["s"], {"below": F.col("neg")}, blocks.value_block(c, "s"))
     wins = F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2))
     return r.agg((wins / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from undertow.functions import tails
 from undertow.operators import blocks, moments
+from undertow.session import attach, cut_lineage
 
 
 def _ordered(keys: Sequence[str], ts: str):
@@ -203,10 +204,10 @@ def _ranked(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     size = known.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"), F.var_pop("x").alias("v")
     )
-    counted = known.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"))
+    counted = cut_lineage(known.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c")))
     cum = blocks.running(counted, keys, ["x"], {"cum": F.col("c")}, blocks.value_block(counted, "x"))
     each = cum.withColumn("i", F.explode(F.sequence(F.col("cum") - F.col("c") + 1, F.col("cum"))))
-    return each.drop("c", "cum").join(size, list(keys))
+    return attach(each.drop("c", "cum"), size, keys)
 
 
 # Published polynomial coefficients of the normality weights and of the p-value.
@@ -297,7 +298,7 @@ def wilcoxon_signed_rank(df: DataFrame, *, keys: Sequence[str], a: str, b: str,
     keys = list(keys)
     d = F.round(F.col(a) - F.col(b), digits)
     diff = df.select(*keys, d.alias("d")).filter("d <> 0")
-    tied = diff.groupBy(*keys, F.abs("d").alias("x")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("up"))
+    tied = cut_lineage(diff.groupBy(*keys, F.abs("d").alias("x")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("up")))
     cum = blocks.running(tied, keys, ["x"], {"cum": F.col("c")}, blocks.value_block(tied, "x"))
     rank = F.col("cum") - (F.col("c") - 1) / 2
     c = F.col("c").cast("double")

@@ -59,12 +59,13 @@ def ceiling(limit: int, what: str):
     return check
 
 
-def attach(df: DataFrame, summary: DataFrame, keys, limit: int = 1_000_000) -> DataFrame:
+def attach(df: DataFrame, summary: DataFrame, keys, how: str = "inner", limit: int = 1_000_000) -> DataFrame:
     """Join a per-group summary to the rows it came from.
 
     The summary is computed once and counted: up to ``limit`` groups it is
-    broadcast, so the rows stay where they are; beyond it the join shuffles.
+    broadcast, so the rows stay where they are and a hot key costs nothing;
+    beyond it the join shuffles (and adaptive execution splits skewed keys).
     """
     made = cut_lineage(summary)
     small = made.count() <= limit
-    return df.join(F.broadcast(made) if small else made, list(keys))
+    return df.join(F.broadcast(made) if small else made, list(keys), how)
