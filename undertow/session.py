@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The workers' functions travel with their code: no executor needs the package installed or on its path.
+cloudpickle.register_pickle_by_value(sys.modules["undertow"])
+
 
 def build_session(app: str = "undertow", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on (UTC, AQE, skew join)."""
