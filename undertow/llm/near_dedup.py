@@ -156,7 +156,7 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", *, perc
     pivots = stash(pivots.select("band", "key", "size", F.col("pivot.rep").alias("pivot")), "pivots")
     held = stash(members.alias("m").join(pivots.alias("p"), ["band", "key"]).select("band", "key", "size", "pivot", "rep", "n"), "buckets")
 
-    wanted = held.select("rep").distinct()
+    wanted = stash(held.select("rep").distinct(), "wanted")
     look = stash(classes.join(wanted, "rep", "left_semi").select("rep", "n", "sketch"), "sketches")
     known = wanted.count() <= 1_000_000  # ids only: small enough to send, so that texts stay where they are
     some = narrow.join(F.broadcast(wanted) if known else wanted, F.col("id") == F.col("rep"), "left_semi")

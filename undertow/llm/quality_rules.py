@@ -72,7 +72,7 @@ def with_counts(docs: DataFrame, text: str, out: str) -> DataFrame:
     ahead = F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(p), i + 1) - x, F.lit(WINDOW))))
     return d.select(
         *keep,
-        F.struct(
+        F.explode(F.array(F.struct(
             F.col(f"{t}.words").cast("long").alias("n_words"),
             F.col(f"{t}.chars").cast("long").alias("word_chars"),
             F.col(f"{t}.symbols").cast("long").alias("n_symbols"),
@@ -81,7 +81,7 @@ def with_counts(docs: DataFrame, text: str, out: str) -> DataFrame:
             F.col(f"{t}.lines").cast("long").alias("n_lines"),
             F.col(f"{t}.upper").cast("long").alias("n_upper"),
             F.col(f"{t}.digits").cast("long").alias("n_digits"),
-        ).alias(out),
+        ))).alias(out),  # one row each; a filter on the counts must not be unfolded into the steps above
     )
 
 
