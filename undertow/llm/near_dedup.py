@@ -35,7 +35,7 @@ SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 48, 8
 SKETCH_WORDS = 8  # of 64 bits
-MARGIN = 0.12  # of similarity, between sketch and full sets: above five standard deviations
+MARGIN = 0.10  # of similarity, between sketch and full sets: about five standard deviations
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 TRIES = 64
 K = BANDS * ROWS
@@ -157,7 +157,7 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", *, perc
     held = stash(members.alias("m").join(pivots.alias("p"), ["band", "key"]).select("band", "key", "size", "pivot", "rep", "n"), "buckets")
 
     wanted = stash(held.select("rep").distinct(), "wanted")
-    look = stash(classes.join(wanted, "rep", "left_semi").select("rep", "n", "sketch"), "sketches")
+    look = stash(classes.join(wanted, "rep", "left_semi").select("rep", "n", "sketch", "bands"), "sketches")
     known = wanted.count() <= 1_000_000  # ids only: small enough to send, so that texts stay where they are
     some = narrow.join(F.broadcast(wanted) if known else wanted, F.col("id") == F.col("rep"), "left_semi")
     sets = map_batches(some, full_sets, f"id {kind}, set array<long>").groupBy("id").agg(F.first("set").alias("set"))
@@ -185,12 +185,14 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", *, perc
     # what is left: buckets that still hold several components
     open_ = stash(held.filter("size > 2").join(label, F.col("rep") == F.col("node")).select("band", "key", "pivot", "rep", "n", "label"), "labelled")
     split = open_.groupBy("band", "key").agg((F.min("label") < F.max("label")).alias("several")).filter("several").select("band", "key")
-    rest = stash(open_.join(split, ["band", "key"], "left_semi").filter("rep <> pivot").join(look.select("rep", "sketch"), "rep"), "rest")
+    rest = stash(open_.join(split, ["band", "key"], "left_semi").filter("rep <> pivot").join(look.select("rep", "sketch", "bands"), "rep"), "rest")
     if not rest.isEmpty():
         x, y = rest.alias("x"), rest.alias("y")
         meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
         fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & (differing(F.col("x.sketch"), F.col("y.sketch")) <= limit)
-        more = near(x.join(y, meet & fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+        # a pair that shares several bands meets in the first of them only
+        agree = F.zip_with("x.bands", "y.bands", lambda a, b: a == b)
+        more = near(x.join(y, meet & fits & (F.array_position(agree, True) - 1 == F.col("x.band"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
         label = component_labels(stash(links.unionByName(more), "links2"), nodes)
 
     named = classes.select("class", "rep").join(label, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("label", "rep").alias("component_id"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from undertow.llm import decontaminate, mixing, near_dedup, quality_rules, sharding
+from undertow.llm import decontaminate, language_id, mixing, near_dedup, quality_rules, secrets, sharding, url_filter
 from undertow.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -15,9 +15,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ppm_language": lambda s, d: language_id.language_query(table(s, d, "documents")),
     "op2_odd_sketches": lambda s, d: near_dedup.dedup_query(table(s, d, "documents")),
     "op3_quality_rules": lambda s, d: quality_rules.quality_query(table(s, d, "documents"), table(s, d, "labels")),
     "op5_pareto_mix": lambda s, d: mixing.mixing_query(table(s, d, "documents")),
+    "op7_assignment_secrets": lambda s, d: secrets.scan_secrets(table(s, d, "documents")),
     "op8_suffix_arrays": lambda s, d: decontaminate.decontamination_query(table(s, d, "documents"), table(s, d, "benchmark")),
+    "op9_bloom_urls": lambda s, d: url_filter.url_query(table(s, d, "pages")),
     "op10_hash_ring": lambda s, d: sharding.sharding_query(table(s, d, "documents")),
 }
