@@ -9,7 +9,8 @@
 3. Classes that agree in a band are candidates.  In each bucket every class is first compared with one pivot (chosen
    by hash, another one in each band), so a group of n near copies costs n comparisons a band, not n^2.  Sketches
    discard what is clearly different; what remains is confirmed on the full sets.  Links join into components.
-4. Pairs of one bucket that are still in different components are compared too, so no candidate is lost; a pair
+   Buckets that still hold several components get two more pivots.
+4. Pairs of one bucket that are even then in different components are compared too, so no candidate is lost; a pair
    inside one component cannot change the result and needs no look.
 
 At the limit of 85 % the chance that no band of a linked pair agrees is (1 - 0.85^8)^48 = 2e-7.
@@ -38,6 +39,7 @@ SKETCH_WORDS = 8  # of 64 bits
 MARGIN = 0.10  # of similarity, between sketch and full sets: about five standard deviations
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 TRIES = 64
+MORE_PIVOTS = 2
 K = BANDS * ROWS
 EDGES = (np.arange(K, dtype=np.float64) * (2.0**64 / K)).astype(np.uint64)
 
@@ -182,10 +184,25 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", *, perc
     nodes = wanted.select(F.col("rep").alias("node"))
     label = component_labels(links, nodes)
 
+    def open_buckets() -> DataFrame:
+        """Members of the buckets of three or more that hold several components."""
+        rows = stash(held.filter("size > 2").join(label, F.col("rep") == F.col("node")).select("band", "key", "pivot", "rep", "n", "label"), "labelled")
+        several = rows.groupBy("band", "key").agg((F.min("label") < F.max("label")).alias("several")).filter("several").select("band", "key")
+        return rows.join(several, ["band", "key"], "left_semi")
+
+    # other pivots for those buckets: groups of near copies close up before pairs are looked at one by one
+    for turn in range(MORE_PIVOTS):
+        rows = stash(open_buckets(), "open")
+        if rows.isEmpty():
+            break
+        first = F.min(F.struct(F.xxhash64(F.lit(turn), "band", "rep").alias("o"), F.col("rep"), F.col("label")))
+        other = rows.groupBy("band", "key").agg(first.alias("other"))
+        meet = rows.join(other, ["band", "key"]).filter("label <> other.label").select(*pair("rep", F.col("other.rep"))).distinct()
+        links = stash(links.unionByName(near(meet)), "links")
+        label = component_labels(links, nodes)
+
     # what is left: buckets that still hold several components
-    open_ = stash(held.filter("size > 2").join(label, F.col("rep") == F.col("node")).select("band", "key", "pivot", "rep", "n", "label"), "labelled")
-    split = open_.groupBy("band", "key").agg((F.min("label") < F.max("label")).alias("several")).filter("several").select("band", "key")
-    rest = stash(open_.join(split, ["band", "key"], "left_semi").filter("rep <> pivot").join(look.select("rep", "sketch", "bands"), "rep"), "rest")
+    rest = stash(open_buckets().filter("rep <> pivot").join(look.select("rep", "sketch", "bands"), "rep"), "rest")
     if not rest.isEmpty():
         x, y = rest.alias("x"), rest.alias("y")
         meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label"))
