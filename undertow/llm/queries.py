@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from undertow.llm import attention_lm, decontaminate, language_id, mixing, near_dedup, quality_rules, secrets, sharding, url_filter
+from undertow.llm import attention_lm, decontaminate, language_id, mixing, near_dedup, quality_rules, secrets, sharding, token_counts, url_filter
 from undertow.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": lambda s, d: quality_rules.quality_query(table(s, d, "documents"), table(s, d, "labels")),
     "op5_pareto_mix": lambda s, d: mixing.mixing_query(table(s, d, "documents")),
     "op4_attention_lm": lambda s, d: attention_lm.lm_query(table(s, d, "documents")),
+    "op6_edit_tokens": lambda s, d: token_counts.token_query(table(s, d, "documents")),
     "op7_assignment_secrets": lambda s, d: secrets.scan_secrets(table(s, d, "documents")),
     "op8_suffix_arrays": lambda s, d: decontaminate.decontamination_query(table(s, d, "documents"), table(s, d, "benchmark")),
     "op9_bloom_urls": lambda s, d: url_filter.url_query(table(s, d, "pages")),
