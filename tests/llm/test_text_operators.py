@@ -277,7 +277,7 @@ def test_windows(spark, odd, nothing, monkeypatch):
     vocabulary = [f"w{i}" for i in range(6)]
     items = [(k, " ".join(rng.choices(vocabulary, k=n))) for k, n in enumerate([1, 2, 5, 13, 14, 20, 40])] + [(None, None), (3, "W1 w2-W3"), (7, "...")]
     docs = [(i, " ".join(rng.choices(vocabulary + ["other"], k=rng.randint(0, 80)))) for i in range(60)]
-    docs += [(100 + k, f"other, {t}; other") for k, t in items if t] + [(200, None)]
+    docs += [(100 + k, f"other, {t}; other") for k, (_, t) in enumerate(items) if t] + [(200, None)]
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
 
     def brute(text):
