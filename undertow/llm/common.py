@@ -75,7 +75,8 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
                     yield part
 
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(lambda batches: fn(run(batches)), schema)
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # mapInArrow would read a dot in a name as a path
+    return plain.mapInArrow(lambda batches: fn(run(batches)), schema)
 
 
 def texts_of(batch: pa.RecordBatch, at: int) -> list[bytes]:
