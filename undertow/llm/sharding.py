@@ -69,12 +69,14 @@ def placed(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc
     # the arc that ends at the first point not below the place; beyond the last point the ring begins again
     ends = F.array(*[F.lit(p) for p, _ in points])
     index = (F.size(F.filter(ends, lambda p: p < place)) % len(points)).cast("int")
-    known = lambda d, columns: d.select(
-        *[q(c) for c in columns],
-        F.struct((F.octet_length(F.coalesce(q(text), F.lit(""))) + 1).cast("long").alias("size"), F.crc32(bytes_).alias("text_crc32")).alias(out),
-        index.alias(arc),
-        F.pmod(F.xxhash64(q(key).cast("string")), F.lit(ranks)).cast("int").alias(rank),
-    )
+
+    def known(d: DataFrame, columns: list[str]) -> DataFrame:
+        size = (F.octet_length(F.coalesce(q(text), F.lit(""))) + 1).cast("long")
+        cell = F.struct(index.alias("arc"), F.pmod(F.xxhash64(q(key).cast("string")), F.lit(ranks)).cast("int").alias("rank"))
+        # one row each; the join below must not infer filters from how the cell is computed
+        d = d.select(*[q(c) for c in columns], F.struct(size.alias("size"), F.crc32(bytes_).alias("text_crc32")).alias(out), F.explode(F.array(cell)).alias(arc))
+        return d.select(*[q(c) for c in columns], out, F.col(f"{arc}.rank").alias(rank), F.col(f"{arc}.arc").alias(arc))
+
     narrow = known(docs, [key])
     sums = narrow.groupBy(arc, rank).agg(F.count(F.lit(1)).alias("rows"), F.sum(f"{out}.size").alias("load")).toArrow()
     cells = sorted(zip(*[sums.column(i).to_pylist() for i in range(4)]))
