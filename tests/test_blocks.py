@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from undertow.operators import blocks, features, joins
+from undertow.operators import blocks, features, joins, mlprep, stattests
 
 
 @pytest.fixture(scope="module")
@@ -158,3 +158,33 @@ def test_asof_backward(spark, data, frame):
             assert frame.loc[frame.id == row.seen, "ts"].iloc[0] == c.ts.iloc[-1]
         else:
             assert pd.isna(row.seen)
+
+
+def test_rows_without_a_key_survive_every_block_size(data, monkeypatch):
+    some = data.withColumn("series", F.when(F.col("id") % 9 > 0, F.col("series"))).withColumn("label", F.when(F.col("id") % 7 > 0, F.col("id") % 2))
+
+    def results():
+        made = [
+            blocks.positions(some, ["series"], ["ts", "id"]),
+            blocks.previous(some, ["series"], ["ts", "id"], {"b": "id"}),
+            blocks.carry(some, ["series"], ["ts", "id"], {"c": "x"}),
+            blocks.time_sums(some, ["series"], "ts", {"n": F.lit(1.0)}, {"d": 86400}),
+            mlprep.exact_stratified_split(some, id=["id"], label="label"),
+            joins.asof_join_nearest(some.filter("id % 2 = 0"), some.filter("id % 2 = 1").withColumnRenamed("id", "rid"), on="ts", left_id="id", right_id="rid", tolerance=900, by=["series"]),
+        ]
+        return [sorted(map(str, df.collect())) for df in made]
+
+    whole = results()
+    assert [len(rows) for rows in whole] == [900] * 5 + [450]
+    for size in (50, 300):
+        monkeypatch.setattr(blocks, "ROWS_PER_BLOCK", size)
+        assert results() == whole
+
+
+def test_groups_without_a_key_are_ranked_and_sizes_get_a_reason(data):
+    some = data.filter("x is not null").withColumn("series", F.when(F.col("series") != "a", F.col("series")))
+    for test in (stattests.anderson_darling, stattests.jarque_bera, stattests.shapiro_wilk):
+        assert {r["series"] for r in test(some, keys=["series"], value="x").collect()} == {"hot", "b", None}
+    assert blocks.quantiles(some, ["series"], "x", {"m": 0.5}).filter("series is null and m is not null").count() == 1
+    rows = {r["series"]: r for r in stattests.shapiro_wilk(some, keys=["series"], value="x", most=200).collect()}
+    assert rows["hot"]["result"] == "too many values" and rows["hot"]["p_value"] is None and rows["b"]["p_value"] is not None

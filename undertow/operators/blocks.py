@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from undertow.session import attach, cut_lineage
+from undertow.session import attach, cut_lineage, match
 
 HOUR = 3600
 DAY = 24 * HOUR
@@ -74,13 +74,14 @@ def even_block(df: DataFrame, order: Sequence[str], rows: int | None = None) ->
     return coarse + below(F.slice(table(cuts), coarse + 1, F.lit(wide)))
 
 
-def value_block(df: DataFrame, value: str, n: int = 64) -> Column:
-    """Block number that grows with ``value``: n blocks of about equal size.
+def value_block(df: DataFrame, value: str, n: int | None = None) -> Column:
+    """Block number that grows with ``value``: n blocks of about equal size, by default one per ``ROWS_PER_BLOCK`` and 64 at least.
 
     The n cut points come from one sketch pass and are fixed in the plan.
     """
+    n = n or max(64, ceil(df.count() / ROWS_PER_BLOCK))
     probs = [i / n for i in range(1, n)]
-    cuts = df.agg(F.percentile_approx(value, probs, 1000)).first()[0] or []
+    cuts = df.agg(F.percentile_approx(value, probs, max(1000, 10 * n))).first()[0] or []
     fixed = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
     return F.size(F.filter(fixed, lambda c: c < F.col(value)))
 
@@ -114,7 +115,7 @@ def running(
         *keys, "_block", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_ahead_{n}") for n in names]
     )
     local = blocked.select("*", *[F.sum(totals[n]).over(window(*keys, "_block")).alias(f"_local_{n}") for n in names])
-    joined = local.join(ahead, [*keys, "_block"])
+    joined = match(local, ahead, [*keys, "_block"])
     return joined.select(*df.columns, *[(F.col(f"_local_{n}") + F.col(f"_ahead_{n}")).alias(n) for n in names])
 
 
@@ -139,7 +140,7 @@ def previous(
     ends = blocked.groupBy(*keys, "_block").agg(F.max_by(row, F.struct(*[F.col(c) for c in order])).alias("_end"))
     ends = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_block")))
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    joined = blocked.select("*", F.lag(row).over(inside).alias("_before")).join(ends, [*keys, "_block"])
+    joined = match(blocked.select("*", F.lag(row).over(inside).alias("_before")), ends, [*keys, "_block"])
     joined = joined.withColumn("_before", F.coalesce("_before", "_end"))
     return joined.select(*df.columns, *[F.col(f"_before.{n}").alias(n) for n in values])
 
@@ -166,7 +167,7 @@ def carry(
     local = blocked.select(
         "*", *[F.last(c, ignorenulls=True).over(inside).alias(f"_in_{n}") for n, c in values.items()]
     )
-    joined = local.join(handed, [*keys, "_block"])
+    joined = match(local, handed, [*keys, "_block"])
     return joined.select(*df.columns, *[F.coalesce(f"_in_{n}", f"_from_{n}").alias(n) for n in values])
 
 
@@ -233,11 +234,11 @@ def time_sums(
     at = lambda tag, n: F.max(F.when(F.col("_tag") == tag, F.col(f"_p_{n}")))
     made = [f"{n}_{tag}" for tag in spans for n in names]
     frames = run.groupBy(*keys, "_at").agg(*[(at("", n) - at(tag, n)).alias(f"{n}_{tag}") for tag in spans for n in names])
-    return timed.join(frames, [*keys, "_at"]).select(*df.columns, *made)
+    return match(timed, frames, [*keys, "_at"]).select(*df.columns, *made)
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], blocks: int = 64
+    df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], blocks: int | None = None
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per ``keys``: one row per group.
 

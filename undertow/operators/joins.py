@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from undertow.functions.scalars import map_value
 from undertow.operators import blocks
-from undertow.session import attach, ceiling
+from undertow.session import attach, ceiling, match
 
 
 def sentiment_price_join(sentiment: DataFrame, prices: DataFrame, *, first: str | None = None, last: str | None = None) -> DataFrame:
@@ -85,7 +85,7 @@ def asof_join_nearest(
         earlier = along.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
         later = along.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
         edges = edges.select(*by, "_block", F.max("_b").over(earlier).alias("_eb"), F.min("_a").over(later).alias("_ea"))
-        scanned = scanned.join(edges, [*by, "_block"])
+        scanned = match(scanned, edges, [*by, "_block"])
         scanned = scanned.withColumns({"_b": F.coalesce("_b", "_eb"), "_a": F.coalesce("_a", "_ea")})
     wanted = scanned.filter(F.col("_lid").isNotNull())
     limit = tolerance * 1_000_000
@@ -102,12 +102,15 @@ def asof_join_nearest(
 def asof_join_backward(
     left: DataFrame, right: DataFrame, *, on: str, values: Sequence[str], by: Sequence[str] = (), block: Column | None = None
 ) -> DataFrame:
-    """The latest right values at or before each left time (forward fill onto another index)."""
+    """The latest right values at or before each left time (forward fill onto another index).
+
+    Among right rows of one time a hash of their values decides, so reruns agree.
+    """
     by = list(by)
-    l = left.select("*", F.lit(1).alias("_side"))
-    r = right.select(*by, on, F.lit(0).alias("_side"), *[F.col(v).alias(f"_r_{v}") for v in values])
+    l = left.select("*", F.lit(1).alias("_side"), F.xxhash64(*[c for c, kind in left.dtypes if "map<" not in kind]).alias("_tie"))
+    r = right.select(*by, on, F.lit(0).alias("_side"), F.xxhash64(*values).alias("_tie"), *[F.col(v).alias(f"_r_{v}") for v in values])
     stream = l.unionByName(r, allowMissingColumns=True)
-    carried = blocks.carry(stream, by, [on, "_side"], {f"_c_{v}": f"_r_{v}" for v in values}, block)
+    carried = blocks.carry(stream, by, [on, "_side", "_tie"], {f"_c_{v}": f"_r_{v}" for v in values}, block)
     return carried.filter("_side = 1").select(*left.columns, *[F.col(f"_c_{v}").alias(v) for v in values])
 
 

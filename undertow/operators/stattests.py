@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from undertow.functions import tails
 from undertow.operators import blocks, moments
-from undertow.session import attach, cut_lineage
+from undertow.session import attach, cut_lineage, match
 
 
 def _ordered(keys: Sequence[str], ts: str):
@@ -225,10 +225,11 @@ def _poly(x: Column, coefficients: Sequence[float], start: int = 0) -> Column:
 
 
 def shapiro_wilk(df: DataFrame, *, keys: Sequence[str], value: str, alpha: float = 0.05, most: int = 5000) -> DataFrame:
-    """W from ordered values and normal scores, for groups of 12 to ``most`` values."""
+    """W from ordered values and normal scores, for groups of 12 to ``most`` values; other groups give their reason as result."""
     keys = list(keys)
-    fit = df.groupBy(*keys).agg(F.count(value).alias("_n")).filter(F.col("_n").between(12, most))
-    r = _ranked(df.join(fit.select(*keys), keys, "left_semi"), keys, value)
+    sizes = cut_lineage(df.groupBy(*keys).agg(F.count(value).alias("n")))
+    fit = sizes.filter(F.col("n").between(12, most))
+    r = _ranked(match(df, fit, keys, "left_semi"), keys, value)
     scored = r.withColumn("s", _normal_score((F.col("i") - 0.375) / (F.col("n") + 0.25)))
     i, n, x, s = (F.col(c) for c in "i n x s".split())
     inner = (i > 2) & (i < n - 1)
@@ -249,7 +250,10 @@ def shapiro_wilk(df: DataFrame, *, keys: Sequence[str], value: str, alpha: float
     log_n = F.log("n")
     z = (F.log(1 - F.col("statistic")) - _poly(log_n, W_MEAN)) / F.exp(_poly(log_n, W_SCALE))
     out = g.select(*keys, "n", "statistic", (1 - tails.normal(z)).alias("p_value"))
-    return out.withColumn("result", verdict(F.col("p_value") > alpha))
+    out = out.withColumn("result", verdict(F.col("p_value") > alpha))
+    none = F.lit(None).cast("double")
+    reason = F.when(F.col("n") < 12, "too few values").otherwise("too many values")
+    return out.unionByName(sizes.filter(~F.col("n").between(12, most)).select(*keys, "n", none.alias("statistic"), none.alias("p_value"), reason.alias("result")))
 
 
 def anderson_darling(df: DataFrame, *, keys: Sequence[str], value: str) -> DataFrame:
@@ -270,7 +274,7 @@ def ljung_box(df: DataFrame, *, keys: Sequence[str], ts: str, value: str, lags:
     keys = list(keys)
     known = df.filter(F.col(value).isNotNull())
     means = known.groupBy(*keys).agg(F.avg(value).alias("_m"))
-    e = known.join(means, keys).select(*keys, ts, (F.col(value) - F.col("_m")).alias("e"))
+    e = attach(known, means, keys).select(*keys, ts, (F.col(value) - F.col("_m")).alias("e"))
     w = _ordered(keys, ts)
     wide = e.select(*keys, "e", *[F.lag("e", k).over(w).alias(f"e{k}") for k in range(1, lags + 1)])
     g = wide.groupBy(*keys).agg(
@@ -430,9 +434,11 @@ def event_window_bootstrap(df: DataFrame, events: DataFrame, *, key: str, ts: st
     gives statistic 0 and p 1.
     """
     numbered = _numbered(df, [key], ts, value)
-    at = numbered.join(events, F.col(ts) == F.col("event")).select(key, "event", F.col("pos").alias("_at"))
     width = F.least(F.lit(20), F.floor(F.col("n") / 4))
-    near = numbered.join(at, key).filter((F.col("pos") >= F.col("_at") - width) & (F.col("pos") < F.col("_at") + width))
+    at = numbered.join(events, F.col(ts) == F.col("event")).filter(width > 0).select(key, "event", F.col("pos").alias("_at"), width.cast("long").alias("_w"))
+    # every event names its few positions, so no row meets an event that is not near
+    places = at.select(key, "event", "_at", F.explode(F.sequence(F.col("_at") - F.col("_w"), F.col("_at") + F.col("_w") - 1)).alias("pos"))
+    near = match(numbered, places, [key, "pos"])
     keys = [key, "event"]
     w = Window.partitionBy(*keys)
     local = near.select(
@@ -545,8 +551,8 @@ RESULT = ["category", "series", "test", "statistic", "p_value", "result"]
 def stat_suite(df: DataFrame, *, key: str, ts: str, value: str, min_tests: int = 20, min_unit: int = 50, category: str = "var_assumptions") -> DataFrame:
     """Unit root, stationarity, normality and autocorrelation tests of every series, behind size gates."""
     size = df.groupBy(key).agg(F.count(value).alias("_n"))
-    some = df.join(size.filter(F.col("_n") > min_tests), key, "left_semi")
-    many = df.join(size.filter(F.col("_n") > min_unit), key, "left_semi")
+    some = match(df, size.filter(F.col("_n") > min_tests), [key], "left_semi")
+    many = match(df, size.filter(F.col("_n") > min_unit), [key], "left_semi")
     tests = [
         ("adf_stationarity", adf_test(many, keys=[key], ts=ts, value=value, criterion="aic")),
         ("kpss_stationarity", kpss_test(many, keys=[key], ts=ts, value=value)),

@@ -31,7 +31,7 @@ PRICE_FILE = _struct(snapped_at=_TS, price=_D, market_cap=_D, total_volume=_D)
 # Defaults of missing fields in a flat post.
 FLAT_POST_DEFAULTS = {
     "id": "", "title": "", "selftext": "", "author": "", "url": "", "score": 0, "num_comments": 0,
-    "upvote_ratio": 0.5, "gilded": 0, "total_awards_received": 0, "is_self": False, "is_video": False,
+    "upvote_ratio": 0.5, "gilded": 0, "total_awards_received": 0, "is_self": True, "is_video": False,
     "over_18": False, "spoiler": False, "stickied": False, "locked": False,
 }
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 import tempfile
+from functools import reduce
+from operator import and_
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -64,13 +66,20 @@ def ceiling(limit: int, what: str):
     return check
 
 
+def match(df: DataFrame, other: DataFrame, keys, how: str = "inner", *, small: bool = False) -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL, so that rows without a key keep their group; ``small`` broadcasts ``other``."""
+    names = {k: f"_on_{i}" for i, k in enumerate(keys)}
+    side = other.withColumnsRenamed(names)
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(v)) for k, v in names.items()], F.lit(True))
+    return df.join(F.broadcast(side) if small else side, on, how).drop(*names.values())
+
+
 def attach(df: DataFrame, summary: DataFrame, keys, how: str = "inner", limit: int = 1_000_000) -> DataFrame:
-    """Join a per-group summary to the rows it came from.
+    """Join a per-group summary to the rows it came from, NULL keys included.
 
     The summary is computed once and counted: up to ``limit`` groups it is
     broadcast, so the rows stay where they are and a hot key costs nothing;
     beyond it the join shuffles (and adaptive execution splits skewed keys).
     """
     made = cut_lineage(summary)
-    small = made.count() <= limit
-    return df.join(F.broadcast(made) if small else made, list(keys), how)
+    return match(df, made, list(keys), how, small=made.count() <= limit)
