@@ -3,7 +3,7 @@
 1. Every text becomes the set of its distinct five-word shingles (64-bit hashes).  Texts with the same set are one
    class from here on: its members are counted and named by their smallest id before anything is compared.
 2. A class has ``BANDS`` x ``ROWS`` one-permutation MinHash samples (bins of the hash range; an empty bin borrows the
-   sample of a bin chosen by hash, alike in every text).  Samples fold into an odd sketch: one bit per hashed
+   sample of a bin chosen by hash, alike in every text).  ``FINE`` more samples fold into an odd sketch: one bit per hashed
    (bin, sample), where an even number of hits cancels out.  The population count of the XOR of two sketches
    estimates how many samples differ, most exactly where few do.
 3. Classes that agree in a band are candidates.  In each bucket every class is first compared with one pivot (chosen
@@ -35,13 +35,13 @@ from undertow.operators.graph import component_labels
 SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 48, 8
-SKETCH_WORDS = 8  # of 64 bits
-MARGIN = 0.10  # of similarity, between sketch and full sets: about five standard deviations
+FINE = 1536  # samples of a sketch
+SKETCH_WORDS = 32  # of 64 bits
+MARGIN = 0.055  # of similarity, between sketch and full sets: about five standard deviations
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 TRIES = 64
 MORE_PIVOTS = 2
 K = BANDS * ROWS
-EDGES = (np.arange(K, dtype=np.float64) * (2.0**64 / K)).astype(np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -51,10 +51,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def borrowed() -> np.ndarray:
-    """(try, bin) -> the bin to borrow from."""
+def borrowed(k: int) -> np.ndarray:
+    """(try, bin) -> the bin of ``k`` to borrow from."""
     with np.errstate(over="ignore"):
-        return (mixed(np.arange(TRIES * K, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(11)) % np.uint64(K)).astype(np.int64).reshape(TRIES, K)
+        return (mixed(np.arange(TRIES * k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(11)) % np.uint64(k)).astype(np.int64).reshape(TRIES, k)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -74,8 +74,9 @@ def shingles(text: bytes) -> np.ndarray:
 
 
 def samples(hashes: np.ndarray, from_: np.ndarray) -> np.ndarray:
-    """One MinHash sample per bin."""
-    at = np.searchsorted(hashes, EDGES)
+    """One MinHash sample per bin (``from_``: where empty bins of so many borrow)."""
+    bins = from_.shape[1]
+    at = np.searchsorted(hashes, (np.arange(bins, dtype=np.float64) * (2.0**64 / bins)).astype(np.uint64))
     got = hashes[np.minimum(at, len(hashes) - 1)]
     full = (at < np.r_[at[1:], len(hashes)])
     value = np.where(full, got, np.uint64(0))
@@ -88,15 +89,15 @@ def samples(hashes: np.ndarray, from_: np.ndarray) -> np.ndarray:
         value[empty[ok]] = value[source[ok]]
         empty = empty[~ok]
     with np.errstate(over="ignore"):
-        for j in empty:  # almost empty texts
-            value[j] = hashes[np.argmin(mixed(hashes ^ mixed(np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15))))]
+        salt = mixed((empty + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # almost empty texts
+        value[empty] = hashes[np.argmin(mixed(hashes[None, :] ^ salt[:, None]), axis=1)]
     return value
 
 
 def signatures(batches):
     """id, text -> id, n_shingles, class (digest of the set), band hashes, odd sketch."""
-    from_ = borrowed()
-    bin_ = mixed(np.arange(1, K + 1, dtype=np.uint64))
+    from_, fine = borrowed(K), borrowed(FINE)
+    bin_, fine_bin = mixed(np.arange(1, K + 1, dtype=np.uint64)), mixed(np.arange(1, FINE + 1, dtype=np.uint64))
     band = mixed(np.arange(7, BANDS + 7, dtype=np.uint64))
     for batch in batches:
         count, digest, bands, sketches = [], [], [], []
@@ -113,6 +114,7 @@ def signatures(batches):
                 key = band.copy()
                 for column in v.reshape(BANDS, ROWS).T:
                     key = mixed(key + column)
+            v = mixed(samples(h, fine) ^ fine_bin)
             bits = np.bincount((v >> np.uint64(11)).astype(np.int64) % (SKETCH_WORDS * 64), minlength=SKETCH_WORDS * 64) & 1
             bands.append(key.view(np.int64))
             sketches.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
@@ -138,8 +140,8 @@ def differing(a: Column, b: Column) -> Column:
 
 
 def most_differing(percent: int) -> int:
-    """Bits that differ at most for a pair worth confirming: n/2 (1 - exp(-2 m / n)) for m = 2 K (1 - J)."""
-    n, m = SKETCH_WORDS * 64, 2 * K * (1 - percent / 100 + MARGIN)
+    """Bits that differ at most for a pair worth confirming: n/2 (1 - exp(-2 m / n)) for m = 2 FINE (1 - J)."""
+    n, m = SKETCH_WORDS * 64, 2 * FINE * (1 - percent / 100 + MARGIN)
     return int(n / 2 * (1 - np.exp(-2 * m / n)))
 
 
