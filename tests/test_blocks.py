@@ -81,6 +81,37 @@ def test_rolling_time_statistics_match_frames(data, frame):
             assert got.loc[row.id, "skew_6h"] == pytest.approx(mine.skew(), abs=1e-5)
 
 
+@pytest.mark.parametrize("rows", [50, 2_000_000])
+def test_rolling_time_statistics_keep_their_digits(spark, monkeypatch, rows):
+    # An outlier long gone, small units, a large offset, a constant stretch and rows without a key.
+    monkeypatch.setattr(blocks, "ROWS_PER_BLOCK", rows)
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.integers(0, 400 * 600, 400))
+    wave = np.sin(t / 5000) + rng.normal(size=400) * 0.1
+    wave[150:200] = 0.5
+    shapes = {"outlier": np.where(np.arange(400) == 10, 1e6, wave), "small": wave * 1e-7, "far": wave + 1e9, None: wave}
+    frame = pd.concat([pd.DataFrame({"k": k, "t": t, "i": np.arange(400), "x": x}) for k, x in shapes.items()])
+    df = spark.createDataFrame(frame.astype({"k": object}), "k string, t long, i long, x double").withColumn("ts", F.timestamp_seconds("t"))
+    got = features.rolling_stats_time(df, "x", keys=["k"], ts="ts", hours=(1, 6)).toPandas()
+    assert len(got) == len(frame)
+    for k, x in shapes.items():
+        mine = got[got.k.isna() if k is None else got.k == k].sort_values("i")
+        for hours in (1, 6):
+            for i, row in enumerate(mine.itertuples()):
+                if k == "outlier" and t[i] - hours * 3600 <= t[10]:
+                    continue
+                part = x[(t >= t[i] - hours * 3600) & (t <= t[i])]
+                z = part - part[0] - (part - part[0]).mean()  # a mean near 1e9 would itself be off by 1e-7
+                n, m2 = len(z), (z**2).mean()
+                assert getattr(row, f"mean_{hours}h") == pytest.approx(part.mean(), rel=1e-12)
+                if n > 3 and part.max() == part.min():
+                    assert pd.isna(getattr(row, f"skew_{hours}h")) and pd.isna(getattr(row, f"kurt_{hours}h")) and getattr(row, f"std_{hours}h") == 0
+                elif n > 3:
+                    assert getattr(row, f"std_{hours}h") == pytest.approx(np.sqrt(m2 * n / (n - 1)), rel=1e-6)
+                    assert getattr(row, f"skew_{hours}h") == pytest.approx((z**3).mean() / m2**1.5 * np.sqrt(n * (n - 1)) / (n - 2), rel=1e-6, abs=1e-6)
+                    assert getattr(row, f"kurt_{hours}h") == pytest.approx((z**4).mean() / m2**2 - 3, rel=1e-6, abs=1e-6)
+
+
 def test_even_blocks_bound_every_group(spark, monkeypatch):
     # Half of all rows share one instant and one series; the id still splits them.
     df = spark.range(4000).select(

@@ -12,6 +12,7 @@ rows into blocks of about equal size along their order, work inside
 * ``carry``      - last known value, handed from block to block;
 * ``over_rows``  - row frames: each block also receives the few rows before/after it;
 * ``time_sums``  - sums over time frames of any width, from running totals (linear);
+* ``time_moments`` - moments over time frames, linear and without differences of totals;
 * ``quantiles``  - exact interpolated quantiles from value counts.
 
 The only un-blocked windows are over the block *summaries*: one row per series
@@ -93,13 +94,15 @@ def running(
     totals: Mapping[str, Column],
     block: Column | None = None,
     peers: bool = False,
+    most: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Add running sums of ``totals`` along ``order`` inside ``keys``.
+    """Add running sums of ``totals`` and running maxima of ``most`` along ``order`` inside ``keys``.
 
     ``block`` must not decrease along ``order``; by default rows are cut evenly.
     With ``peers`` rows of equal order count together.
     """
-    keys, names = list(keys), list(totals)
+    keys = list(keys)
+    steps = {n: (F.sum, c) for n, c in totals.items()} | {n: (F.max, c) for n, c in (most or {}).items()}
     block = even_block(df, order) if block is None else block
 
     def window(*by):
@@ -107,16 +110,16 @@ def running(
         return (w.rangeBetween if peers else w.rowsBetween)(Window.unboundedPreceding, 0)
 
     if block is None:
-        return df.select("*", *[F.sum(totals[n]).over(window(*keys)).alias(n) for n in names])
+        return df.select("*", *[f(c).over(window(*keys)).alias(n) for n, (f, c) in steps.items()])
     blocked = df.withColumn("_block", block)
-    sums = blocked.groupBy(*keys, "_block").agg(*[F.sum(totals[n]).alias(f"_sum_{n}") for n in names])
+    sums = blocked.groupBy(*keys, "_block").agg(*[f(c).alias(f"_sum_{n}") for n, (f, c) in steps.items()])
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = sums.select(
-        *keys, "_block", *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_ahead_{n}") for n in names]
-    )
-    local = blocked.select("*", *[F.sum(totals[n]).over(window(*keys, "_block")).alias(f"_local_{n}") for n in names])
+    ahead = sums.select(*keys, "_block", *[f(f"_sum_{n}").over(before).alias(f"_ahead_{n}") for n, (f, _) in steps.items()])
+    local = blocked.select("*", *[f(c).over(window(*keys, "_block")).alias(f"_local_{n}") for n, (f, c) in steps.items()])
     joined = match(local, ahead, [*keys, "_block"])
-    return joined.select(*df.columns, *[(F.col(f"_local_{n}") + F.col(f"_ahead_{n}")).alias(n) for n in names])
+    here, past = (lambda n: F.col(f"_local_{n}")), (lambda n: F.col(f"_ahead_{n}"))
+    made = [(here(n) + F.coalesce(past(n), F.lit(0)) if f is F.sum else F.greatest(here(n), past(n))).alias(n) for n, (f, _) in steps.items()]
+    return joined.select(*df.columns, *made)
 
 
 def positions(
@@ -237,6 +240,67 @@ def time_sums(
     return match(timed, frames, [*keys, "_at"]).select(*df.columns, *made)
 
 
+def _central(n: Column, s1: Column, s2: Column, s3: Column, s4: Column) -> tuple[Column, ...]:
+    """Mean and central sums of powers 2 to 4, from power sums about any point; zeros without values."""
+    m = F.when(n > 0, s1 / n).otherwise(0.0)
+    return m, s2 - n * m**2, s3 - 3 * m * s2 + 2 * n * m**3, s4 - 4 * m * s3 + 6 * m**2 * s2 - 3 * n * m**4
+
+
+def time_moments(
+    df: DataFrame, keys: Sequence[str], ts: str, value: str, spans: Mapping[str, int], block: Callable[[str], Column] | None = None
+) -> DataFrame:
+    """Add n, mean, m2, m3, m4 (central sums), low and high of ``value`` over [ts - span, ts]: columns <name>_<span>.
+
+    Time is cut into parts as wide as the span, so a frame is the end of one part and the beginning of the next:
+    a running total backwards and one forwards, merged by the rules for central moments.  Nothing is taken off a
+    longer total, so values outside a frame leave no trace in it; powers are about the median of their part, so
+    neither large offsets nor small units cost digits.  Linear at any width, and parts with many rows run in blocks.
+    Rows without a time have no frame (NULL); rows without a value have the frame of the others.
+    """
+    keys, powers = list(keys), ["n", "s1", "s2", "s3", "s4"]
+    timed = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
+    tags = F.array(*[F.struct(F.lit(tag).alias("_tag"), F.lit(span * 1_000_000).cast("long").alias("_span")) for tag, span in spans.items()])
+    rows = timed.filter("_at is not null").select(*keys, "_at", F.col(value).cast("double").alias("_x"), F.inline(tags))
+    rows = rows.withColumn("_part", F.col("_at") - F.pmod("_at", "_span"))
+    middle = rows.groupBy(*keys, "_tag", "_part").agg(F.coalesce(F.percentile_approx("_x", 0.5, 1000), F.lit(0.0)).alias("_c"))
+    d = F.col("_x") - F.col("_c")
+    instants = attach(rows, middle, [*keys, "_tag", "_part"]).groupBy(*keys, "_tag", "_span", "_part", "_at").agg(
+        F.first("_c").alias("_c"), F.count("_x").cast("double").alias("n"), *[F.coalesce(F.sum(d**k), F.lit(0.0)).alias(f"s{k}") for k in range(1, 5)],
+        F.max("_x").alias("_high"), F.max(-F.col("_x")).alias("_low"),
+    )
+    here = F.struct(F.col("_part").alias("_in"), F.col("_at").alias("_us"), F.lit(True).alias("_own"))
+    opens = F.struct((F.col("_part") - F.col("_span")).alias("_in"), (F.col("_at") - F.col("_span")).alias("_us"), F.lit(False).alias("_own"))
+    stream = cut_lineage(instants).select("*", F.inline(F.array(here, opens))).withColumn("_down", -F.col("_us"))
+
+    def run(stream, order, side, cut):
+        own = lambda c: F.when(F.col("_own"), F.col(c))
+        most = {f"{side}{c}": own(c) for c in ("_high", "_low", "_c")}
+        return running(stream, [*keys, "_tag", "_in"], [order], {f"{side}{c}": F.coalesce(own(c), F.lit(0.0)) for c in powers}, cut, peers=True, most=most)
+
+    stream = run(stream, "_us", "b", None if block is None else block("_us"))
+    stream = run(stream, "_down", "a", None if block is None else -block("_us"))
+    frames = stream.groupBy(*keys, "_tag", "_at").agg(
+        *[F.max(F.when(F.col("_own") == (side == "b"), F.col(side + c))).alias(side + c) for side in "ab" for c in (*powers, "_high", "_low", "_c")]
+    )
+    (am, a2, a3, a4), (bm, b2, b3, b4) = (_central(*[F.col(side + c) for c in powers]) for side in "ab")
+    frames = frames.withColumns({"am": am, "a2": a2, "a3": a3, "a4": a4, "bm": bm, "b2": b2, "b3": b3, "b4": b4, "n": F.col("an") + F.col("bn")})
+    both = (F.col("an") > 0) & (F.col("bn") > 0)
+    frames = frames.withColumn("d", F.when(both, F.col("b_c") - F.col("a_c") + F.col("bm") - F.col("am")).otherwise(0.0))
+    a, b, n, d = F.col("an"), F.col("bn"), F.nullif(F.col("n"), F.lit(0.0)), F.col("d")
+    a2, a3, a4, b2, b3, b4 = (F.col(c) for c in ("a2", "a3", "a4", "b2", "b3", "b4"))
+    merged = {
+        "n": F.col("n"),
+        "mean": F.when(a > 0, F.col("a_c") + (F.col("am") + d * b / n)).otherwise(F.col("b_c") + F.col("bm")),
+        "m2": a2 + b2 + d**2 * a * b / n,
+        "m3": a3 + b3 + d**3 * a * b * (a - b) / n**2 + 3 * d * (a * b2 - b * a2) / n,
+        "m4": a4 + b4 + d**4 * a * b * (a * a - a * b + b * b) / n**3 + 6 * d**2 * (a * a * b2 + b * b * a2) / n**2 + 4 * d * (a * b3 - b * a3) / n,
+        "low": -F.greatest("a_low", "b_low"), "high": F.greatest("a_high", "b_high"),
+    }
+    tagged = frames.select(*keys, "_tag", "_at", *[c.alias(name) for name, c in merged.items()])
+    wide = tagged.groupBy(*keys, "_at").agg(*[F.max(F.when(F.col("_tag") == tag, F.col(name))).alias(f"{name}_{tag}") for tag in spans for name in merged])
+    return match(timed, wide, [*keys, "_at"], "left").select(*df.columns, *[f"{name}_{tag}" for tag in spans for name in merged])
+
+
 def quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], blocks: int | None = None
 ) -> DataFrame:

@@ -78,35 +78,19 @@ def rolling_stats_rows(
 def rolling_stats_time(
     df: DataFrame, value: str, *, keys: Sequence[str], ts: str, hours: Sequence[int] = (1, 6, 24), block=None
 ) -> DataFrame:
-    """The same over true time frames of any width.
-
-    Power sums about the series mean run once over the rows, so a frame that
-    holds a billion rows costs no more than one that holds ten.  Frames whose
-    spread is below the rounding noise of the sums count as constant.
-    """
-    keys = list(keys)
-    means = df.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    centred = attach(df, means, keys).withColumn("_x", F.col(value) - F.col("_mean"))
-    x = F.col("_x")
-    known = F.when(x.isNotNull(), 1.0).otherwise(0.0)
-    zero = F.coalesce(x, F.lit(0.0))
-    totals = {"n": known, "s1": zero, "s2": zero**2, "s3": zero**3, "s4": zero**4}
+    """The same over true time frames of any width: a frame that holds a billion rows costs no more than one of ten."""
     tags = {f"{h}h": h * 3600 for h in hours}
-    sums = blocks.time_sums(centred, keys, ts, totals, tags, block)
+    frames = blocks.time_moments(df, keys, ts, value, tags, block)
     made = {}
     for tag in tags:
-        n, s1, s2, s3, s4 = (F.col(f"{name}_{tag}") for name in totals)
-        n = F.round(n)
-        m = s1 / n
-        m2 = s2 / n - m * m
-        m3 = s3 / n - 3 * m * s2 / n + 2 * m**3
-        m4 = s4 / n - 4 * m * s3 / n + 6 * m * m * s2 / n - 3 * m**4
-        spread = m2 > 1e-12 * (1 + F.col("_mean") ** 2)
-        made[f"mean_{tag}"] = F.when(n > 0, F.col("_mean") + m)
-        made[f"std_{tag}"] = F.when(n > 1, F.sqrt(F.greatest(m2, F.lit(0.0)) * n / (n - 1)))
-        made[f"skew_{tag}"] = F.when((n >= 3) & spread, m3 / F.pow(m2, 1.5) * F.sqrt(n * (n - 1)) / (n - 2))
-        made[f"kurt_{tag}"] = F.when((n > 3) & spread, m4 / (m2 * m2) - 3)
-    return sums.select(*df.columns, *[c.alias(name) for name, c in made.items()])
+        n, mean, m2, m3, m4, low, high = (F.col(f"{name}_{tag}") for name in ("n", "mean", "m2", "m3", "m4", "low", "high"))
+        m2 = F.greatest(m2, F.lit(0.0))
+        spread = (high > low) & (m2 > 0)
+        made[f"mean_{tag}"] = F.when(n > 0, mean)
+        made[f"std_{tag}"] = F.when(n > 1, F.sqrt(m2 / (n - 1)) * F.when(high > low, 1.0).otherwise(0.0))
+        made[f"skew_{tag}"] = F.when((n >= 3) & spread, (m3 / n) / F.pow(m2 / n, 1.5) * F.sqrt(n * (n - 1)) / (n - 2))
+        made[f"kurt_{tag}"] = F.when((n > 3) & spread, n * m4 / (m2 * m2) - 3)
+    return frames.select(*df.columns, *[c.alias(name) for name, c in made.items()])
 
 
 def rolling_vwap(
