@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from undertow import schemas
 from undertow.functions import scalars, tails, varmath
-from undertow.operators import aggregate, features, graph, grid, mlprep, portfolio, stattests, transmission
+from undertow.operators import aggregate, causality, features, graph, grid, mlprep, portfolio, stattests, transmission
 
 
 def test_tail_tables():
@@ -151,3 +151,28 @@ def test_numeric_guards(spark):
     assert [r["x"] for r in scalars.inf_to_null(df, ["x"]).collect()] == [1.0, None, None, None]
     assert [r["column_name"] for r in scalars.numeric_columns(df).collect()] == ["x"]
     assert schemas.COMMUNITY_COIN["xrp"] == "ripple"
+
+
+def test_lagged_correlations_use_the_times_each_pair_has(spark):
+    rng = np.random.default_rng(3)
+    full = {name: rng.normal(size=60) + 1e6 for name in "abc"}
+    full["b"][1:] = 0.7 * (full["a"][:-1] - 1e6) + full["b"][1:]
+    rows = [(name, i * 3600, float(v)) for name, x in full.items() for i, v in enumerate(x)]
+    frame = "series string, t long, value double"
+    shape = lambda data: spark.createDataFrame(data, frame).withColumn("ts", F.timestamp_seconds("t"))
+    found = lambda data: {(r.src, r.dst, r.lag): r for r in causality.lagged_corr(shape(data), series="series", ts="ts", value="value", max_lags=3).collect()}
+    plain = found(rows)
+    for (src, dst, lag), r in plain.items():
+        assert r.n == 60 - lag
+        assert r.corr == pytest.approx(np.corrcoef(full[src][:-lag], full[dst][lag:])[0, 1], abs=1e-6)
+    assert plain["a", "b", 1].p_value < 0.01
+    # one bar of a new series, one value missing, one series with half its bars
+    other = [(n, t, None if (n, t) == ("c", 36000) else v) for n, t, v in rows if n != "c" or t < 30 * 3600] + [("d", 7200, 5.0), ("e", None, 1.0), (None, 3600, 1.0)]
+    sparse = found(other)
+    for lag in (1, 2, 3):
+        for pair in (("a", "b"), ("b", "a")):
+            assert sparse[*pair, lag].n == 60 - lag and sparse[*pair, lag].corr == pytest.approx(plain[*pair, lag].corr, abs=1e-9)
+        assert sparse["d", "a", lag].n == 1 and sparse["d", "a", lag].corr is None and sparse["d", "a", lag].p_value is None
+        at = np.array([i for i in range(30) if i != 10])  # c at i meets a at i + lag
+        assert sparse["c", "a", lag].n == 29
+        assert sparse["c", "a", lag].corr == pytest.approx(np.corrcoef(full["c"][at], full["a"][at + lag])[0, 1], abs=1e-6)

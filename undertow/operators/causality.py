@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from undertow.functions.tails import f_tail, t_tail
 from undertow.operators import moments
 from undertow.operators.joins import all_ordered_pairs
-from undertow.session import ceiling, cut_lineage
+from undertow.session import attach, ceiling, cut_lineage
 
 
 def paired_bars(bars: DataFrame, *, series: str, ts: str, value: str, max_series: int = 2000) -> DataFrame:
@@ -31,7 +31,8 @@ def granger_pairwise(
 ) -> DataFrame:
     """F test that ``lag`` lags of src improve the autoregression of dst, for every ordered pair.
 
-    Pairs with fewer than 3 * max_lags common bars report F = 0, p = 1.
+    Pairs with fewer than 3 * max_lags common bars report F = 0, p = 1; pairs without a statistic (singular
+    regression, or nothing left to explain) report NULL.
     """
     pairs = paired_bars(bars, series=series, ts=ts, value=value)
     design = moments.lag_design(pairs, keys=["src", "dst"], ts="ts", values=["x", "y"], lags=lag)
@@ -42,10 +43,10 @@ def granger_pairwise(
     both = _residual_sums(packed, {"rss_r": range(0, 1 + lag), "rss_u": range(0, 1 + 2 * lag)}, last)
     free = F.col("n") - 2 * lag - 1
     sample = F.col("n") + lag
-    enough = (sample >= 3 * max_lags) & (free > 0) & (F.col("rss_u") > 0)
+    short, solved = sample < 3 * max_lags, (free > 0) & (F.col("rss_u") > 0)
     f = ((F.col("rss_r") - F.col("rss_u")) / lag) / (F.col("rss_u") / free)
-    out = both.select("src", "dst", F.lit(lag).alias("lag"), sample.alias("n"), F.when(enough, f).otherwise(0.0).alias("f_stat"), free.alias("_free"))
-    p = F.when(F.col("f_stat") > 0, f_tail(F.col("f_stat"), F.lit(lag), F.col("_free"))).otherwise(1.0)
+    out = both.select("src", "dst", F.lit(lag).alias("lag"), sample.alias("n"), F.when(short, 0.0).when(solved, f).alias("f_stat"), free.alias("_free"))
+    p = F.when(F.col("f_stat") > 0, f_tail(F.col("f_stat"), F.lit(lag), F.col("_free"))).when(F.col("f_stat").isNotNull(), 1.0)
     return out.withColumn("p_value", p).drop("_free")
 
 
@@ -75,44 +76,48 @@ def granger_edges(tests: DataFrame, *, alpha: float = 0.05) -> DataFrame:
 def lagged_corr(bars: DataFrame, *, series: str, ts: str, value: str, max_lags: int = 5, max_series: int = 300) -> DataFrame:
     """corr(src at t-l, dst at t) for every ordered pair and lag, with its two-sided p.
 
-    One row per time holds the vector of all series (a bounded dimension); lags
-    of the vector are taken once and correlations come from one moment matrix
-    per lag.
+    Lags are steps of the calendar (all times at which any series has a bar), and every pair uses all the times
+    that it has in common: one row per time holds, for all series (a bounded dimension), whether a value is known,
+    the value about the series mean, and its square, so one moment matrix per lag gives the sums of every pair.
+    Several bars of one series and time count as their mean; pairs without spread in common have a NULL coefficient.
     """
-    bars = cut_lineage(bars.select(series, ts, value))
-    names = bars.select(series).distinct().limit(max_series + 1).agg(F.array_sort(F.collect_set(series)).alias("names"))
+    bars = cut_lineage(bars.filter(F.col(series).isNotNull() & F.col(ts).isNotNull()).groupBy(series, ts).agg(F.avg(value).alias("_v")))
+    means = bars.groupBy(series).agg(F.avg("_v").alias("_mean"))
+    names = means.agg(F.array_sort(F.collect_list(series)).alias("names"))
     dims = names.select(ceiling(max_series, "series")(F.col("names")).alias("names"))
-    rows = bars.groupBy(ts).agg(F.array_sort(F.collect_list(F.struct(series, value))).alias("_cells"))
-    complete = rows.filter(F.size("_cells") == F.size(dims.scalar()))
-    base = complete.select(ts, F.transform("_cells", lambda c: c[value]).alias("v"))
+    known = attach(bars, means, [series]).select(ts, F.col(series).alias("_name"), (F.col("_v") - F.col("_mean")).alias("_d"))
+    rows = known.groupBy(ts).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_d"))).alias("_cells"))
+    cells = rows.withColumn("_names", dims.scalar()).select(ts, F.transform("_names", lambda n: F.element_at("_cells", n)).alias("d"))
+    parts = [lambda c: c.isNotNull().cast("double"), lambda c: F.coalesce(c, F.lit(0.0)), lambda c: F.coalesce(c * c, F.lit(0.0))]
+    base = cells.select(ts, F.concat(*[F.transform("d", part) for part in parts]).alias("v"))
     w = Window.orderBy(ts)  # one row per grid step: the calendar, not the data
     lagged = base.select("v", *[F.lag("v", i).over(w).alias(f"v{i}") for i in range(1, max_lags + 1)])
     stacked = lagged.select(
         F.inline(F.array(*[F.struct(F.lit(i).alias("lag"), F.col("v").alias("y"), F.col(f"v{i}").alias("x")) for i in range(1, max_lags + 1)]))
     ).filter("x is not null")
-    packed = moments.gram_packed(
-        stacked.select("lag", F.concat(F.array(F.lit(1.0)), "x", "y").alias("v")), keys=["lag"], vector="v"
-    ).withColumn("names", dims.scalar())
+    packed = moments.gram_packed(stacked.select("lag", F.concat("x", "y").alias("v")), keys=["lag"], vector="v").withColumn("names", dims.scalar())
     corr = packed.mapInPandas(_pair_correlations, "src string, dst string, lag int, n long, corr double")
     corr = corr.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
     free = F.col("n") - 2
     t = F.col("corr") * F.sqrt(free / F.nullif(1 - F.col("corr") * F.col("corr"), F.lit(0.0)))
-    return corr.withColumn("p_value", t_tail(t, free))
+    return corr.withColumn("p_value", F.when(free > 0, t_tail(t, free)))
 
 
 def _pair_correlations(batches):
+    """Correlations from sums over the times that both series have: (known, value, square) of x, then of y."""
     for batch in batches:
         for row in batch.itertuples(index=False):
             k = len(row.names)
-            g = moments.unpack(row.cells, 2 * k + 1)
-            mean = g[0, 1:] / row.n
-            cov = g[1:, 1:] / row.n - np.outer(mean, mean)
-            scale = np.sqrt(np.clip(np.diag(cov), 0, None))
+            g = moments.unpack(row.cells, 6 * k)[: 3 * k, 3 * k :].reshape(3, k, 3, k)
+            n, y, yy = (g[0, :, p, :] for p in range(3))
+            x, xy, xx = g[1, :, 0, :], g[1, :, 1, :], g[2, :, 0, :]
             with np.errstate(divide="ignore", invalid="ignore"):
-                c = cov / np.outer(scale, scale)
+                vx, vy = xx - x * x / n, yy - y * y / n
+                c = (xy - x * y / n) / np.sqrt(vx * vy)
+                c[(vx <= 1e-12 * xx) | (vy <= 1e-12 * yy)] = np.nan
+            i, j = np.nonzero(~np.eye(k, dtype=bool))
             yield pd.DataFrame(
-                [(row.names[i], row.names[j], row.lag, row.n, c[i, k + j]) for i in range(k) for j in range(k) if i != j],
-                columns=["src", "dst", "lag", "n", "corr"],
+                {"src": [row.names[a] for a in i], "dst": [row.names[b] for b in j], "lag": row.lag, "n": n[i, j].round().astype("int64"), "corr": np.clip(c[i, j], -1, 1)}
             )
 
 
