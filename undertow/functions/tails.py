@@ -30,8 +30,14 @@ def beta_fraction(a, b, x, rounds: int = 300):
     return h
 
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+def _lgamma(x):
+    return np.vectorize(math.lgamma, otypes=[float])(x)  # made anew: one that was called cannot be pickled
+
+
+def _erfc(x):
+    return np.vectorize(math.erfc, otypes=[float])(x)
 
 
 def betainc(a, b, x):
