@@ -5,9 +5,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from undertow.llm import attention_lm, decontaminate, language_id, quality_rules, secrets, token_counts, url_filter
 
@@ -171,6 +174,21 @@ def test_lm_base_and_totals(spark, odd, nothing):
     assert attention_lm.lm_query(nothing).count() == 0
 
 
+def test_lm_trains_on_every_text_however_it_is_partitioned(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*some_texts(120, 8), "word " * 900, None])], "doc_id long, text string")
+    windows = sum(-(-len(attention_lm.Subwords(attention_lm.VOCABULARY).ids(attention_lm.tokens((r["text"] or "").encode()))[0]) // attention_lm.STEP) for r in docs.collect())
+    monkeypatch.setattr(attention_lm, "SHARE", 1000)  # several shares, and one text in pieces
+    monkeypatch.setattr(attention_lm, "LONG", 400)
+    models = [attention_lm.trained(d)[0] for d in (docs.coalesce(1), docs.repartition(7).orderBy(F.desc("doc_id")))]
+    start = attention_lm.start_weights(models[0].plan.class_share)
+    assert np.abs(models[0].weights - start).max() > 0.01
+    assert np.allclose(models[0].weights, models[1].weights, atol=1e-6)
+    held = SimpleNamespace(value=(models[0].plan, start))
+    batch = pa.RecordBatch.from_pylist([{"share": 0, "text": r["text"]} for r in docs.collect()])
+    (out,) = attention_lm.train_batches([batch], path=attention_lm.VOCABULARY, held=held)
+    assert windows <= out["n"][0].as_py() <= windows + 4  # those of the long text overlap
+
+
 def small_model():
     counts = np.random.default_rng(1).integers(0, 50, 50_257).astype(float)
     plan = attention_lm.ranked_ids(counts)
