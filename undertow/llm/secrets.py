@@ -46,12 +46,11 @@ SENSITIVE = {
 HARMLESS = {"public": -3, "path": -3, "file": -3, "name": -3, "length": -3, "count": -3, "size": -3, "type": -3, "url": -2, "limit": -3, "expires": -3, "timeout": -3, "max": -2, "min": -2}
 PLACEHOLDER = re.compile(r"(?i)^(?:x{3,}|\*{3,}|\.{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|your[-_ ].*|changeme|example.*|placeholder|none|null|nil|true|false|undefined|todo|redacted|test|dummy)$")
 THRESHOLD = 6
-MOST_NAME = 64
 
 LEXER = re.compile(
     r"""
-      (?P<tag><(?P<tname>[A-Za-z_][\w.-]{0,63})>(?P<tlit>[^<>\s]{1,4096})</(?P=tname)>)
-    | (?P<name>(?<![\w.-])["']?(?:--)?[A-Za-z_][\w.-]{0,63}["']?)
+      (?P<tag><(?P<tname>[A-Za-z_][\w.-]*+)>(?P<tlit>[^<>\s]++)</(?P=tname)>)
+    | (?P<name>(?<![\w.-])["']?(?:--)?[A-Za-z_][\w.-]*+["']?)
       (?P<op>\x20*(?::=|=>|[:=])\x20*|(?<=\w)\x20+(?=["']))
       (?P<value>(?:"[^"\n]*"|'[^'\n]*'|`[^`\n]*`|[^\s"'`,;(){}\[\]<>\#&|+]+)(?:\x20*\+\x20*(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z_][\w.]*))*)
     """,
@@ -98,7 +97,7 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str] | str]]]:
         pieces: list[tuple[int, int, str] | str] = []
         for p in PIECE.finditer(text, m.start("value"), m.end("value")):
             k = p.lastindex
-            if k == 4 and BARE_NAME.match(p[4]) and len(p[4]) <= MOST_NAME:
+            if k == 4 and BARE_NAME.match(p[4]):
                 pieces.append(p[4])  # a name, or a bare word of a configuration
                 if ":" in m["op"] or "=" in m["op"]:
                     pieces.append((p.start(4), p.end(4), p[4]))
@@ -155,7 +154,8 @@ def scan_batches(batches):
         rows: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_lexed", "base_sha256", "spans")}
         for raw in texts_of(batch, 1):
             base, more = [], []
-            pairs_possible = b"=" in raw or b":" in raw or b"</" in raw or b"--" in raw
+            # what every match of the lexer holds: a sign, a closing tag, or a quote behind a blank
+            pairs_possible = b"=" in raw or b":" in raw or b"</" in raw or b' "' in raw or b" '" in raw
             if pairs_possible or b"AKIA" in raw or LONG_HEX.search(raw):
                 text = raw.decode()
                 low = raw.lower()
