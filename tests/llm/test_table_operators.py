@@ -68,6 +68,21 @@ def test_one_bucket_many_components(spark):
     assert {r["doc_id"]: r["component_id"] for r in rows} == want
 
 
+def test_dedup_stage_links_from_80_percent(spark):
+    import corpus_pipeline
+
+    docs = [(0, " ".join(f"w{i}" for i in range(104)))]
+    for k in range(1, 40):  # alone, and nine words of 104 changed at the end: similarities 91/109, 83 %, and less
+        base = [f"v{k}x{i}" for i in range(104)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[: 104 - 9 - k % 4], *(f"u{k}x{i}" for i in range(9 + k % 4))]))]
+    docs += [(i + 1000, t) for i, t in near_copies(5)]
+    at80, at85 = (set(components(docs, p)[0].values()) for p in (80, 85))
+    assert at80 < at85
+    rows = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(at80)
+    assert near_dedup.bands_for(85) == near_dedup.BANDS and (1 - 0.8**near_dedup.ROWS) ** near_dedup.bands_for(80) < 3e-7
+
+
 def test_one_of_each_keeps_columns_and_one_row(spark):
     docs = spark.createDataFrame(
         [(5, "a b c d e f", "s", "m", 1, 1), (3, "a b c d e f", None, "m", 1, 1), (3, "a b c d e f", None, "m", 1, 1), (None, None, None, None, None, None), (7, None, "s", "m", 1, 1)], DOCS

@@ -13,7 +13,8 @@
 4. Pairs of one bucket that are even then in different components are compared too, so no candidate is lost; a pair
    inside one component cannot change the result and needs no look.
 
-At the limit of 85 % the chance that no band of a linked pair agrees is (1 - 0.85^8)^48 = 2e-7.
+At the limit of 85 % the chance that no band of a linked pair agrees is (1 - 0.85^8)^48 = 2e-7.  Another limit takes as many
+bands as that chance needs (84 at 80 %), and a margin of as many standard deviations for its sketches.
 
 Edge cases: NULL and word-less texts have an empty set, link with nothing and are their own component; a text below
 five words is one shingle; repeated rows share class and component, and are both kept if their id is the smallest;
@@ -22,6 +23,7 @@ a NULL id never names a component unless the whole component has none; tables ma
 
 from __future__ import annotations
 
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +39,10 @@ PERCENT = 85
 BANDS, ROWS = 48, 8
 FINE = 1536  # samples of a sketch
 SKETCH_WORDS = 32  # of 64 bits
-MARGIN = 0.055  # of similarity, between sketch and full sets: about five standard deviations
+MARGIN = 0.055  # of similarity at 85 %, between sketch and full sets: about five standard deviations
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 TRIES = 64
 MORE_PIVOTS = 2
-K = BANDS * ROWS
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -94,11 +95,18 @@ def samples(hashes: np.ndarray, from_: np.ndarray) -> np.ndarray:
     return value
 
 
-def signatures(batches):
+def bands_for(percent: int) -> int:
+    """Bands that miss a pair at the limit no more often than ``BANDS`` do at ``PERCENT``."""
+    missed = lambda p: np.log1p(-((p / 100) ** ROWS))
+    return BANDS if percent == PERCENT else 1 if percent >= 100 else int(np.ceil(BANDS * missed(PERCENT) / missed(percent)))
+
+
+def signatures(batches, *, n_bands: int = BANDS):
     """id, text -> id, n_shingles, class (digest of the set), band hashes, odd sketch."""
-    from_, fine = borrowed(K), borrowed(FINE)
-    bin_, fine_bin = mixed(np.arange(1, K + 1, dtype=np.uint64)), mixed(np.arange(1, FINE + 1, dtype=np.uint64))
-    band = mixed(np.arange(7, BANDS + 7, dtype=np.uint64))
+    k = n_bands * ROWS
+    from_, fine = borrowed(k), borrowed(FINE)
+    bin_, fine_bin = mixed(np.arange(1, k + 1, dtype=np.uint64)), mixed(np.arange(1, FINE + 1, dtype=np.uint64))
+    band = mixed(np.arange(7, n_bands + 7, dtype=np.uint64))
     for batch in batches:
         count, digest, bands, sketches = [], [], [], []
         for text in texts_of(batch, 1):
@@ -112,7 +120,7 @@ def signatures(batches):
             with np.errstate(over="ignore"):
                 v = mixed(samples(h, from_) ^ bin_)
                 key = band.copy()
-                for column in v.reshape(BANDS, ROWS).T:
+                for column in v.reshape(n_bands, ROWS).T:
                     key = mixed(key + column)
             v = mixed(samples(h, fine) ^ fine_bin)
             bits = np.bincount((v >> np.uint64(11)).astype(np.int64) % (SKETCH_WORDS * 64), minlength=SKETCH_WORDS * 64) & 1
@@ -139,9 +147,18 @@ def differing(a: Column, b: Column) -> Column:
     return total
 
 
+def deviation(percent: int) -> float:
+    """Standard deviation of a similarity told by two sketches: of the samples that differ, and of their bits."""
+    n, apart = SKETCH_WORDS * 64, 1 - percent / 100
+    m = 2 * FINE * apart
+    bits = n / 4 * (1 - np.exp(-4 * m / n)) - m * np.exp(-4 * m / n)
+    return float(np.sqrt(apart * (1 - apart) / FINE + bits / (2 * FINE * np.exp(-2 * m / n)) ** 2))
+
+
 def most_differing(percent: int) -> int:
     """Bits that differ at most for a pair worth confirming: n/2 (1 - exp(-2 m / n)) for m = 2 FINE (1 - J)."""
-    n, m = SKETCH_WORDS * 64, 2 * FINE * (1 - percent / 100 + MARGIN)
+    margin = MARGIN * max(1.0, deviation(percent) / deviation(PERCENT))
+    n, m = SKETCH_WORDS * 64, 2 * FINE * (1 - percent / 100 + margin)
     return int(n / 2 * (1 - np.exp(-2 * m / n)))
 
 
@@ -149,7 +166,7 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", *, perc
     """id, n_shingles, component_id of every row of ``docs``."""
     narrow = docs.select(q(key).alias("id"), q(text).alias("text"))
     kind = dict(narrow.dtypes)["id"]
-    made = stash(map_batches(narrow, signatures, f"id {kind}, n_shingles long, class binary, bands array<long>, sketch array<long>"), "signatures")
+    made = stash(map_batches(narrow, partial(signatures, n_bands=bands_for(percent)), f"id {kind}, n_shingles long, class binary, bands array<long>, sketch array<long>"), "signatures")
     classes = made.filter("class is not null").groupBy("class").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.max("n_shingles").alias("n"))
     classes = stash(classes, "classes").filter("rep is not null")
 
@@ -219,9 +236,9 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", *, perc
     return rows.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", *, percent: int = PERCENT) -> DataFrame:
     """One document of each component, columns untouched: the one that names it (of repeated rows, one)."""
-    gone = stash(components(docs, text, key).filter("id is not null and id <> component_id").select(F.col("id").alias("_gone")).distinct(), "gone")
+    gone = stash(components(docs, text, key, percent=percent).filter("id is not null and id <> component_id").select(F.col("id").alias("_gone")).distinct(), "gone")
     away = F.broadcast(gone) if gone.count() <= 1_000_000 else gone
     rest = docs.join(away, q(key) == F.col("_gone"), "left_anti")
     repeated = stash(docs.filter(q(key).isNotNull()).groupBy(q(key).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id"), "repeated")
@@ -233,5 +250,5 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
 
 def dedup_query(docs: DataFrame) -> DataFrame:
-    rows = components(docs.select("doc_id", "text"))
+    rows = components(docs.select("doc_id", "text"), percent=PERCENT)
     return rows.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
