@@ -114,6 +114,21 @@ def test_language(spark, odd, nothing):
     assert language_id.language_query(nothing).count() == 0
 
 
+def test_language_keeps_every_gram(spark):
+    """A language with more than 200,000 kinds of grams, most of them met once, beside a small one."""
+    rng = random.Random(4)
+    texts = [("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9000)), "xx") for _ in range(40)] + [("aeiou bcd", "yy")]
+    want = {"xx": set(), "yy": set()}
+    for t, lang in texts:
+        want[lang] |= {("   " + t + " ")[i : i + 4] for i in range(len(t) + 1)}
+    assert len(want["xx"]) > 200_000
+    model = language_id.trained(spark.createDataFrame(texts, "text string, lang string"))
+    assert len(model.keys[-1]) == len(want["xx"] | want["yy"])
+    rare = np.array([int.from_bytes(g.encode(), "big") for g in sorted(want["xx"])[:2000]])
+    lone = language_id.trained(spark.createDataFrame(texts[:40], "text string, lang string"))
+    assert np.allclose(language_id.bits_of(model, rare)[:, 0], language_id.bits_of(lone, rare)[:, 0], atol=1e-4)
+
+
 def test_language_code_lengths_are_exact():
     """Against a context tree walked byte by byte."""
     rng = random.Random(3)

@@ -8,8 +8,8 @@ code length of (context, byte) is a constant: the trees of all languages become,
 sum over all its bytes; the language with the shortest one wins, the score is its posterior under equal priors.
 
 Training counts every gram of every training row (partial counts per batch, summed by Spark).  The driver receives the
-sums of grams that occur at least ``least`` times, at most ``MOST_GRAMS`` per language (the most frequent ones): this
-bound is fixed by the parameter, whatever the corpus.
+sums of all distinct grams that occur at least ``least`` times, and every worker the tables made from them: none is left
+out, so they grow with the kinds of grams a language has (not with its texts) and must fit in memory.
 
 Bytes are prepared alike in training and prediction: A-Z become lower case, ASCII digits, punctuation and white space
 become one space.
@@ -26,14 +26,13 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undertow.llm.common import fold, map_batches, q, stash, texts_of
+from undertow.llm.common import fold, map_batches, q, texts_of
 
 ORDER = 3
 LEAST = 1
-MOST_GRAMS = 200_000
 CHUNK = 1 << 21  # bytes that are looked up at once
 CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -73,23 +72,19 @@ def count_batches(batches, *, order: int):
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(counts), pa.int64())], names=["lang", "gram", "n"])
 
 
-def trained(rows: DataFrame, text: str = "text", lang: str = "lang", *, order: int = ORDER, least: int = LEAST, most: int = MOST_GRAMS) -> SimpleNamespace:
+def trained(rows: DataFrame, text: str = "text", lang: str = "lang", *, order: int = ORDER, least: int = LEAST) -> SimpleNamespace:
     """Frozen statistics from all of ``rows``."""
     known = rows.filter(q(lang).isNotNull() & q(text).isNotNull()).select(q(lang).alias("lang"), q(text).alias("text"))
     sums = map_batches(known, partial(count_batches, order=order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    sums = stash(sums, "grams")
-    # the most frequent grams of each language: a threshold from the counts' own distribution, not a sort of all grams
-    spread = sums.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("grams"))
-    upto = F.sum("grams").over(Window.partitionBy("lang").orderBy(F.col("n").desc()))
-    floor = spread.withColumn("upto", upto).filter(F.col("upto") <= most).groupBy("lang").agg(F.min("n").alias("floor"))
-    kept = sums.join(F.broadcast(floor), "lang").filter(F.col("n") >= F.col("floor")).select("lang", "gram", "n").toArrow()
+    kept = sums.toArrow()
     return frozen(kept["lang"].to_pylist(), kept["gram"].to_numpy(), kept["n"].to_numpy(), order)
 
 
 def frozen(langs: list[str], gram: np.ndarray, n: np.ndarray, order: int) -> SimpleNamespace:
     """Per gram length 1 .. order + 1: sorted grams, bits per language, and bits of an escape below each context."""
     names = sorted(set(langs))
-    which = np.array([names.index(x) for x in langs], np.int64)
+    column = {x: k for k, x in enumerate(names)}
+    which = np.fromiter(map(column.__getitem__, langs), np.int64, len(langs))
     made = SimpleNamespace(names=names, order=order, keys=[], bits=[], escape=[])
     counts = []
     for length in range(order + 2):  # length 0: the empty context
