@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from undertow.llm import attention_lm, decontaminate, language_id, mixing, near_dedup, quality_rules, secrets, sharding, token_counts, url_filter
+from undertow.llm import attention_lm, decontaminate, html_text, language_id, mixing, near_dedup, prefix_trie, quality_rules, runs, secrets, sharding, token_counts, url_filter
 from undertow.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -25,4 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_arrays": lambda s, d: decontaminate.decontamination_query(table(s, d, "documents"), table(s, d, "benchmark")),
     "op9_bloom_urls": lambda s, d: url_filter.url_query(table(s, d, "pages")),
     "op10_hash_ring": lambda s, d: sharding.sharding_query(table(s, d, "documents")),
+    "op11_html_clusters": lambda s, d: html_text.html_query(table(s, d, "pages")),
+    "op12_time_forward_trie": lambda s, d: prefix_trie.trie_query(table(s, d, "conversations")),
+    "op13_periodic_runs": lambda s, d: runs.runs_query(table(s, d, "documents")),
 }
