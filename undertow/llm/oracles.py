@@ -24,13 +24,13 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN runs USING (doc_id)"""
 
 OP9 = r"""
-WITH p AS (SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), AZ) AS host,
-       regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*(/[^?#]*)', 1) AS path,
-       regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1) AS qs FROM pages),
+WITH u AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, url, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), AZ) AS host,
+       regexp_extract(rest, '(?s)^[^/?#]*(/[^?#]*)', 1) AS path, regexp_extract(rest, '(?s)^[^?#]*\?([^#]*)', 1) AS qs FROM u),
 k AS (SELECT *, list_sort(list_filter(string_split(qs, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid|mc_[ce]id)(=|$)'))) AS kept FROM p),
 c AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(host, '^www\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
        || CASE WHEN len(kept) > 0 THEN '?' || list_aggregate(kept, 'string_agg', '&') ELSE '' END END AS canon FROM k),
-l AS (SELECT DISTINCT canon FROM c WHERE regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.') AND canon IS NOT NULL),
+l AS (SELECT DISTINCT canon FROM c WHERE regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.') AND lower(url[1:7]) = 'http://' AND canon IS NOT NULL),
 j AS (SELECT page_id, host, path, l.canon IS NOT NULL AS listed,
        CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
             WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'

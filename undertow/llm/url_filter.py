@@ -47,21 +47,26 @@ RULES = (UrlRule("block", "net"), UrlRule("allow", "example.net", "/en/"), UrlRu
 REPORTED = r"(^|\.)(spam-farm|cheap-pills)\."
 
 
+def rest_of(url: Column) -> Column:
+    """What follows the first ``://``; empty without it."""
+    return F.coalesce(F.get(F.split(url, "://", 2), F.lit(1)), F.lit(""))
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end; A-Z in lower case."""
-    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
+    host = F.regexp_extract(rest_of(url), r"(?s)^([^/?#]*)", 1)
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1)
+    return F.regexp_extract(rest_of(url), r"(?s)^[^/?#]*(/[^?#]*)", 1)
 
 
 def canonical(url: Column) -> Column:
     """Canonical URL; NULL without ``://``."""
     host = F.regexp_replace(F.regexp_replace(host_of(url), r"^www\.", ""), r":(80|443)$", "")
     path = F.regexp_replace(path_of(url), r"/+$", "")
-    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
+    query = F.regexp_extract(rest_of(url), r"(?s)^[^?#]*\?([^#]*)", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(TRACKING)))
     made = F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
     return F.when(url.contains("://"), made)
@@ -128,7 +133,8 @@ def judge(pages: DataFrame, listed: DataFrame, url: str = "url", key: str = "pag
 
 
 def url_query(pages: DataFrame) -> DataFrame:
-    """Listed are the canonical URLs of pages on reported hosts: their mirrors under other schemes, ``www.`` or tracking
-    parameters are found through the canonical form."""
-    listed = pages.select(canonical(F.col("url")).alias("url"), host_of(F.col("url")).alias("host")).filter(F.col("host").rlike(REPORTED)).select("url")
-    return judge(pages, listed)
+    """Listed are the canonical URLs that reported hosts serve without encryption: neither host nor path tells whether a page
+    is listed, and its encrypted, tracked or ``www.`` forms are found through the canonical form."""
+    url = F.col("url")
+    listed = pages.select(canonical(url).alias("url"), host_of(url).alias("host"), F.lower(F.substring(url, 1, 7)).alias("scheme"))
+    return judge(pages, listed.filter(F.col("host").rlike(REPORTED) & (F.col("scheme") == "http://")).select("url"))
