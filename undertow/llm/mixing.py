@@ -119,25 +119,49 @@ def schedule(sizes: DataFrame) -> DataFrame:
     inner = attach_summary(drawn, first, "source").filter("d.c1 = g.at_c1").select("d.source", "d.size", "d.tie", "d.v", "d.c1", "d.c2", "g.open")
     second = crossing(inner, "c2")
     edge = attach_summary(inner, second, "source").filter("d.c2 = g.at_c2").select("d.source", "d.size", "d.tie", "d.v", "g.open")
-    order = Window.partitionBy("source").orderBy("v", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    # rows alike in id and text share (v, tie): they count as one step of the order, and as many of them go in as fit;
     # the document that crosses the line goes where the sum ends up closer
-    inside = edge.withColumn("upto", F.sum("size").over(order)).filter(F.col("upto") - F.col("size") / 2 <= F.col("open"))
-    last = inside.groupBy("source").agg(F.max(F.struct("v", "tie")).alias("last"))
+    steps = edge.groupBy("source", "v", "tie", "size").agg(F.count(F.lit(1)).alias("rows"), F.max("open").alias("open"))
+    order = Window.partitionBy("source").orderBy("v", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("open") - F.coalesce(F.sum(F.col("size") * F.col("rows")).over(order), F.lit(0))
+    inside = steps.withColumn("fit", F.least("rows", F.floor(left / F.col("size") + 0.5))).filter("fit > 0")
+    last = inside.groupBy("source").agg(F.max(F.struct("v", "tie", "fit", "rows")).alias("last"))
     cut = first.drop("open").alias("d").join(second.drop("open").alias("g"), same, "left").select("d.*", "at_c2")
     cut = cut.alias("d").join(last.alias("g"), same, "left").select("d.*", "last")
     return stash(plan.drop("open").alias("d").join(cut.alias("g"), same, "left").select("d.*", "at_c1", "at_c2", "last"), "schedule")
 
 
 def with_copies(measured: DataFrame, plan: DataFrame, at: str, out: str) -> DataFrame:
-    """Adds ``out``: struct of source_size, target and copies. Rows stay where they are."""
+    """Adds ``out``: struct of source_size, target and copies. Rows stay where they are.
+
+    Only where rows alike in id and text are cut in two are they numbered: by their place in a stored copy, part by part.
+    """
     names = [c for c in measured.columns if c != at]
+    split = plan.filter("last.rows > last.fit")
+    cut_in_two = not split.isEmpty()
+    if cut_in_two:
+        (place,) = fresh(measured, "_place")
+        measured = stash(measured.withColumn(place, F.monotonically_increasing_id()), "placed")
     d = F.col(f"d.`{at}`")
     joined = attach_summary(measured, plan, **{"source": d["source"], "class": d["class"]})
     v = pareto(d, F.col("g.p"))
     c1, c2 = cells(v)
     level = F.struct(c1.alias("c1"), c2.alias("c2"))
     line = F.struct(F.col("g.at_c1").alias("c1"), F.col("g.at_c2").alias("c2"))
-    front = (level < line) | ((level == line) & (F.struct(v.alias("v"), d["tie"].alias("tie")) <= F.col("g.last")))
+    here, last = F.struct(v.alias("v"), d["tie"].alias("tie")), F.struct(F.col("g.last.v").alias("v"), F.col("g.last.tie").alias("tie"))
+    front = (level < line) | ((level == line) & (here <= last))
+    if cut_in_two:
+        part = F.shiftright(F.col(f"d.`{place}`"), 33)  # the number of the part that holds the row
+        same = joined.filter((level == line) & (here == last) & (F.col("g.last.rows") > F.col("g.last.fit")))
+        same = stash(same.select(d["source"].alias("source"), F.col("g.last.fit").alias("fit"), part.alias("part"), F.col(f"d.`{place}`").alias("place")), "alike")
+        counts = same.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"))
+        ahead = counts.select("source", "part", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+        inside = F.row_number().over(Window.partitionBy("source", "part").orderBy("place"))
+        late = attach_summary(same.withColumn("rank", inside), stash(ahead, "ahead"), "source", "part")
+        late = stash(late.filter(F.col("d.rank") + F.col("g.ahead") > F.col("d.fit")).select("d.place"), "late")
+        late = F.broadcast(late) if late.count() <= 1_000_000 else late
+        joined = joined.join(late.select("place", F.lit(True).alias("late")).alias("l"), F.col(f"d.`{place}`") == F.col("l.place"), "left")
+        front = front & F.col("l.late").isNull()
     copies = F.col("g.whole") + F.coalesce(front & v.isNotNull(), F.lit(False)).cast("long")
     return joined.select(*[F.col(f"d.`{c}`") for c in names], d.alias(at), F.struct("g.source_size", "g.target", copies.alias("copies")).alias(out))
 
