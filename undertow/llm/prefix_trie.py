@@ -39,7 +39,7 @@ from undertow.operators import blocks
 from undertow.session import attach
 
 CHUNK = 4096  # turns whose keys one window computes
-SHARDS, LEAST = 4096, 1000
+SHARDS, LEAST = 4096, 64
 QUEUE = 200_000  # messages of a task's queue in memory
 IDS = 4096  # ids of a chunk
 MOST_HEAD = 5  # turns of a head
