@@ -93,6 +93,40 @@ def test_one_of_each_keeps_columns_and_one_row(spark):
     assert near_dedup.one_of_each(docs.filter("false")).count() == 0
 
 
+def test_repeated_and_missing_ids_lose_no_link(spark):
+    rng = random.Random(8)
+    a, b, c = ([rng.choice("abcdefghijklmnop") + str(rng.randrange(90)) for _ in range(60)] for _ in range(3))
+    near = lambda w: " ".join(["new", *w[1:]])
+    docs = [(5, " ".join(a)), (5, " ".join(b)), (6, near(a)), (7, near(b)), (None, " ".join(c)), (9, near(c)), (None, "only here and nowhere else at all"), (None, "only here and nowhere else at all")]
+    df = spark.createDataFrame([(*d, "s", 1, 1, 1, 1, 1, 1, 1) for d in docs], "doc_id long, text string, source string, _gone int, _id int, _n int, counts int, placed int, `_gone_id` int, `class` int")
+    got = Counter((r["doc_id"], r["component_id"]) for r in near_dedup.dedup_query(df).collect())
+    assert got == {(5, 5): 2, (6, 5): 1, (7, 5): 1, (None, 9): 1, (9, 9): 1, (None, None): 2}
+    left = near_dedup.one_of_each(df)
+    assert left.columns == df.columns
+    assert Counter(r["doc_id"] for r in left.collect()) == {5: 2, 9: 1, None: 1}
+    again = near_dedup.one_of_each(df.unionByName(df).unionByName(spark.createDataFrame([(4, None, "s", *[1] * 7)], df.schema)))
+    assert Counter(r["doc_id"] for r in again.collect()) == {4: 1, 5: 2, 9: 1, None: 1}
+
+
+def test_large_groups_close_up_to_the_same_components(spark):
+    """A group whose members drift apart, and outsiders that share buckets with it."""
+    rng = random.Random(9)
+    w, docs = [f"w{rng.randrange(500)}" for _ in range(120)], []
+    for i in range(150):
+        if i % 3 == 0:
+            w[rng.randrange(120)] = f"x{i}"
+        docs.append((i, " ".join(w)))
+    for i in range(150, 220):
+        v = list(w)
+        for k in rng.sample(range(120), rng.randrange(2, 12)):
+            v[k] = f"y{i}"
+        docs.append((i, " ".join(v)))
+    for percent in (80, 85):
+        want, _ = components(docs, percent)
+        rows = near_dedup.components(spark.createDataFrame(docs, "doc_id long, text string"), percent=percent).collect()
+        assert {r["id"]: r["component_id"] for r in rows} == want
+
+
 def filled(sizes):
     """Targets by repeated sharing, as the contract tells it."""
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
@@ -136,6 +170,21 @@ def test_mixing(spark):
     assert mixing.mixing_query(df.filter("false")).count() == 0 and mixing.mix(df.filter("false")).count() == 0
 
 
+def test_mixing_cuts_through_rows_alike(spark):
+    """Rows of one id and text share their place in the order; as many of them are taken as fit."""
+    rows = [(1, "w " * 10, "a")] * 300 + [(None, "v " * 7, "b")] * 200 + [(k, "u " * 5, "c") for k in range(40)] + [(None, "u " * 5, "c")] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    sizes = {"a": 3000, "b": 1400, "c": 500}
+    want, taken = filled(sizes), Counter()
+    made = mixing.mixing_query(df).collect()
+    assert len(made) == len(rows)
+    for r in made:
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 5.001 for s in sizes)
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and Counter(r["source"] for r in mixed.collect()) == {"a": taken["a"] // 10, "b": taken["b"] // 7, "c": taken["c"] // 5}
+
+
 def test_order_prefers_likely_documents(spark):
     """Longer texts have larger inclusion odds: they are taken more often."""
     docs = [(i, " ".join(["w"] * (4 if i % 2 else 64)), "abcdefghijkl"[i % 12 // 2 * 2 : i % 12 // 2 * 2 + 1]) for i in range(3000)]
@@ -164,6 +213,38 @@ def test_shards(spark):
     assert sharding.sharding_query(df.filter("false")).count() == 0
 
 
+def test_equal_texts_share_a_shard(spark):
+    rng = random.Random(6)
+    docs = [(i, f"text {i // 2} " * rng.randrange(1, 40)) for i in range(0, 6000, 2)]
+    docs += [(i + 1, t) for i, t in docs] + [(10_000 + i, "heavy " * 30) for i in range(2500)] + [(None, "gone")] * 5
+    df = spark.createDataFrame([(*d, 1, 1) for d in docs], "doc_id long, text string, _piece int, _heavy int")
+    made = sharding.placed(df, keep=["doc_id", "text", "_piece"]).collect()
+    assert made[0].asDict().keys() == {"doc_id", "text", "_piece", "placed"} and len(made) == len(docs)
+    where, load, slots = defaultdict(set), Counter(), defaultdict(list)
+    for r in made:
+        where[r["text"]].add(r["placed"]["shard"])
+        load[r["placed"]["shard"]] += r["placed"]["size"]
+        slots[r["placed"]["shard"]].append(r["placed"]["slot"])
+    assert all(len(w) == 1 for t, w in where.items() if not t.startswith("heavy")) and len(where["heavy " * 30]) > 1
+    assert max(load.values()) <= 1.02 * sum(load.values()) / 8 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_walk_is_the_plain_walk():
+    rng = random.Random(7)
+    for shards in (3, 8):
+        points = sharding.ring(shards)
+        cells = [(rng.randrange(len(points)), rng.randrange(50), 0, 1, rng.randrange(1, 30)) for _ in range(3000)]
+        got = sharding.walk(points, cells, shards, 0.01)
+        cap, load = 1.01 * sum(c[-1] for c in cells) / shards, [0] * shards
+        for i in sorted(range(len(cells)), key=lambda i: (cells[i][1], cells[i][0], cells[i])):
+            at, tries = cells[i][0], 0
+            while load[points[at % len(points)][1]] + cells[i][-1] > cap and tries < len(points):
+                at, tries = at + 1, tries + 1
+            shard = points[at % len(points)][1] if tries < len(points) else load.index(min(load))
+            assert got[i] == shard
+            load[shard] += cells[i][-1]
+
+
 def test_ring_moves_little():
     rng = random.Random(5)
     points = {n: sharding.ring(n) for n in (8, 9)}
@@ -194,7 +275,7 @@ def test_pipeline_stages(spark):
     stages = dict(corpus_pipeline.STAGES)
     good = stages["quality_rules"](spark, docs, FOLDER).cache()
     single = stages["near_dedup"](spark, good, FOLDER).cache()
-    want, _ = components([(r["doc_id"], r["text"]) for r in good.collect()])
+    want, _ = components([(r["doc_id"], r["text"]) for r in good.collect()], 80)
     assert sorted(r["doc_id"] for r in single.collect()) == sorted(set(want.values()))
     clean = stages["decontamination"](spark, single, FOLDER).cache()
     mixed = stages["mixing"](spark, clean, FOLDER).cache()

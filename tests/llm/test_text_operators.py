@@ -358,6 +358,7 @@ def test_urls(spark):
     urls = [
         "https://A.Example.NET/en/1?x=1#t", "http://example.net/de/", "https://www.bad.org:443/p/?b=2&utm_source=q&a=1", "http://bad.org/p?a=1&b=2", "ftp://example.com/de/x",
         "http://notexample.com/de/", "https://org/fr/", "nothing", None, "", "http://h?x=/fr/", "http://h", "http://bad.org/p?a=1",
+        "http://x.org?next=http://y.com/fr/a", "http://x.org#http://y.net/en/", "http://bad.org?a=1&b=2#://z/p?c", "://org/fr/",
     ]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(3, urls[3], "h")], "page_id long, url string, html string")
     listed = spark.createDataFrame([("bad.org/p?a=1&b=2",), (None,), ("bad.org/p?a=1&b=2",), *[(f"x{i}",) for i in range(500)]], "url string")
@@ -370,5 +371,9 @@ def test_urls(spark):
     assert got[4][2:] == ("example.com/de/", "block") and got[5][2:] == (None, "allow") and got[6][2:] == ("org/fr/", "allow")
     assert got[7] == got[8] == got[9] == ("", "", None, "allow")
     assert got[10] == ("h", "", None, "allow") and got[11] == ("h", "", None, "allow")
+    assert got[13] == ("x.org", "", None, "allow") and got[14] == ("x.org", "", None, "allow") and got[15] == ("bad.org", "", None, "allow")
+    assert got[16] == ("org", "/fr/", "org/fr/", "allow")
+    canon = {r["page_id"]: r["c"] for r in pages.select("page_id", url_filter.canonical(F.col("url")).alias("c")).collect()}
+    assert canon[13] == "x.org?next=http://y.com/fr/a" and canon[14] == "x.org" and canon[15] == "bad.org?a=1&b=2"
     assert url_filter.judge(pages, listed.filter("false")).filter("listed").count() == 0
     assert url_filter.judge(pages.filter("false"), listed).count() == 0
