@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 
+from undertow.operators.moments import ols
 
-def select_order(gram: np.ndarray, n: int, k: int, p_max: int, criterion: str = "bic") -> int:
-    """Order with the smallest criterion on the common sample; design is [1, lags 1..p_max, y]."""
+
+def select_order(part, k: int, p_max: int, criterion: str = "bic") -> int:
+    """Order with the smallest criterion on the common sample; design is [1, lags 1..p_max, y], ``part`` its (n, means, moments)."""
+    n = part[0]
     ys = list(range(1 + k * p_max, 1 + k * p_max + k))
     best, best_value = 0, np.inf
     for p in range(0, p_max + 1):
         free = n - k * p - 1
         if free <= 0:
             break
-        _, rest = _fit(gram, k, p, ys)
+        _, rest = ols(part, range(0, 1 + k * p), ys)
         sign, logdet = np.linalg.slogdet(rest / n)
         if sign <= 0:
             continue
@@ -29,20 +32,13 @@ def select_order(gram: np.ndarray, n: int, k: int, p_max: int, criterion: str =
     return best
 
 
-def _fit(gram: np.ndarray, k: int, p: int, ys: list[int]):
-    xs = list(range(0, 1 + k * p))
-    xx, xy = gram[np.ix_(xs, xs)], gram[np.ix_(xs, ys)]
-    beta = np.linalg.solve(xx, xy)
-    return beta, gram[np.ix_(ys, ys)] - xy.T @ beta
-
-
-def fit(gram: np.ndarray, n: int, k: int, p: int, p_max: int):
+def fit(part, k: int, p: int, p_max: int):
     """Intercept, lag matrices (p, k, k) and residual covariance with adjusted degrees of freedom."""
     ys = list(range(1 + k * p_max, 1 + k * p_max + k))
-    free = n - k * p - 1
+    free = part[0] - k * p - 1
     if free <= 0:
         raise np.linalg.LinAlgError("too few rows for the order")
-    beta, rest = _fit(gram, k, p, ys)
+    beta, rest = ols(part, range(0, 1 + k * p), ys)
     lags = np.stack([beta[1 + k * i : 1 + k * (i + 1)].T for i in range(p)])
     return beta[0], lags, rest / free
 

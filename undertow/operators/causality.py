@@ -53,15 +53,15 @@ def granger_pairwise(
 def _residual_sums(packed: DataFrame, designs: dict[str, range], y: int) -> DataFrame:
     """Residual sum of squares of column y on each named set of columns; NULL when singular."""
 
-    def rss(cells, xs):
+    def rss(row, xs):
         try:
-            return float(moments.ols(moments.unpack(cells, y + 1), list(xs), [y])[1][0, 0])
+            return float(moments.ols((row.n, np.asarray(row.means), moments.unpack(row.cells, y + 1)), xs, [y])[1][0, 0])
         except np.linalg.LinAlgError:
             return np.nan
 
     def solve(batches):
         for batch in batches:
-            sums = {name: [rss(c, xs) for c in batch["cells"]] for name, xs in designs.items()}
+            sums = {name: [rss(row, xs) for row in batch.itertuples(index=False)] for name, xs in designs.items()}
             yield pd.DataFrame({"src": batch["src"], "dst": batch["dst"], "n": batch["n"], **sums})
 
     out = packed.mapInPandas(solve, "src string, dst string, n long, " + ", ".join(f"{name} double" for name in designs))
@@ -108,7 +108,7 @@ def _pair_correlations(batches):
     for batch in batches:
         for row in batch.itertuples(index=False):
             k = len(row.names)
-            g = moments.unpack(row.cells, 6 * k)[: 3 * k, 3 * k :].reshape(3, k, 3, k)
+            g = moments.products(row.n, np.asarray(row.means), moments.unpack(row.cells, 6 * k))[: 3 * k, 3 * k :].reshape(3, k, 3, k)
             n, y, yy = (g[0, :, p, :] for p in range(3))
             x, xy, xx = g[1, :, 0, :], g[1, :, 1, :], g[2, :, 0, :]
             with np.errstate(divide="ignore", invalid="ignore"):

@@ -1,7 +1,9 @@
 """Moment matrices: sums of products over all rows, solved as small matrices.
 
 Rows never leave their partition: each task turns its rows into packed partial
-matrices, and only those (a few hundred numbers per group) are shuffled.
+matrices, and only those (a few hundred numbers per group) are shuffled.  All
+matrices are centred and merged with their means, so an offset of the data costs
+no digits.
 """
 
 from __future__ import annotations
@@ -10,10 +12,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+FAN = 64  # tasks whose matrices are merged at once
+MOST_HELD = 2000  # groups whose matrices a task holds before it hands them on
+
 
 def lag_design(df: DataFrame, *, keys: Sequence[str], ts: str, values: Sequence[str], lags: int, trim: bool = True) -> DataFrame:
     """Columns ``<value>_l1..p`` inside each group of bars, and the row position."""
@@ -34,35 +40,60 @@ def gram_cells(df: DataFrame, *, keys: Sequence[str], columns: Sequence[str]) ->
     return long.select(*keys, parts[0].alias("a"), parts[1].alias("b"), "s", "n")
 
 
+def merge(parts: Sequence[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, means and centred moment matrix of several parts, merged pair by pair: no digits of an offset enter the sums."""
+    n, mean, m = parts[0]
+    for k, other, more in parts[1:]:
+        if not k:
+            continue
+        d = other - mean
+        mean = mean + d * (k / (n + k))
+        m = m + more + np.outer(d, d) * (n * k / (n + k))
+        n += k
+    return n, mean, m
+
+
 def gram_packed(df: DataFrame, *, keys: Sequence[str], vector: str) -> DataFrame:
-    """Packed upper triangle of the sum of v v' per group: (keys, n, cells array<double>)."""
+    """Moments of a vector column per group: (keys, n, means array<double>, cells array<double>).
+
+    ``cells`` is the packed upper triangle of the sum of (v - mean)(v - mean)'.  Each task merges its batches into one
+    row per group, and those rows are merged in two steps of at most ``FAN`` tasks each.
+    """
     keys = list(keys)
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("cells", T.ArrayType(T.DoubleType()))])
+    fields = [df.schema[k] for k in keys]
+    made = [T.StructField("n", T.LongType()), T.StructField("means", T.ArrayType(T.DoubleType())), T.StructField("cells", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([*fields, T.StructField("_salt", T.IntegerType()), *made])
+    names = [f.name for f in schema.fields]
+
+    def row(key, salt, part):
+        n, mean, m = part
+        return (*key, salt, n, mean, m[np.triu_indices(len(mean))])
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        salt, held = TaskContext.get().partitionId() // FAN, {}
         for batch in batches:
             if not len(batch):
                 continue
-            rows = []
-            groups = batch.groupby(keys, sort=False, dropna=False) if keys else [((), batch)]
-            for key, part in groups:
-                v = np.vstack(part[vector].to_numpy())
-                cells = (v.T @ v)[np.triu_indices(v.shape[1])]
-                rows.append((*(key if isinstance(key, tuple) else (key,)), np.concatenate([[len(part)], cells])))
-            yield pd.DataFrame(rows, columns=[*keys, "cells"])
+            for key, rows in batch.groupby(keys, sort=False, dropna=False) if keys else [((), batch)]:
+                v = np.vstack(rows[vector].to_numpy())
+                mean = v.mean(axis=0)
+                part = (len(v), mean, (v - mean).T @ (v - mean))
+                name = tuple(None if pd.isna(x) else x for x in (key if isinstance(key, tuple) else (key,)))
+                held[name] = merge([held[name], part]) if name in held else part
+            if len(held) > MOST_HELD:
+                yield pd.DataFrame([row(k, salt, p) for k, p in held.items()], columns=names)
+                held = {}
+        if held:
+            yield pd.DataFrame([row(k, salt, p) for k, p in held.items()], columns=names)
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        first = group.iloc[0]
+        part = merge([(int(n), np.asarray(mean), unpack(c, len(mean))) for n, mean, c in zip(group["n"], group["means"], group["cells"])])
+        return pd.DataFrame([row([first[k] for k in keys], int(first["_salt"]), part)], columns=names)
 
     partials = df.select(*keys, vector).mapInPandas(partial, schema)
-    summed = (
-        partials.select(*keys, F.posexplode("cells").alias("i", "c"))
-        .groupBy(*keys, "i")
-        .agg(F.sum("c").alias("c"))
-        .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("_cells"))
-    )
-    # The row count travels as the first cell, so the rows are read once.
-    return summed.select(
-        *keys, F.get("_cells", F.lit(0)).cast("long").alias("n"), F.slice("_cells", 2, F.greatest(F.size("_cells") - 1, F.lit(0))).alias("cells")
-    )
+    some = partials.groupBy(*keys, "_salt").applyInPandas(joined, schema)
+    return some.groupBy(*keys).applyInPandas(joined, schema).drop("_salt")
 
 
 def unpack(cells, d: int) -> np.ndarray:
@@ -72,11 +103,32 @@ def unpack(cells, d: int) -> np.ndarray:
     return m + np.triu(m, 1).T
 
 
-def ols(gram: np.ndarray, xs: Sequence[int], ys: Sequence[int]):
-    """Coefficients and residual cross-products of ys on xs from one moment matrix."""
-    xx, xy = gram[np.ix_(xs, xs)], gram[np.ix_(xs, ys)]
-    beta = np.linalg.solve(xx, xy)
-    return beta, gram[np.ix_(ys, ys)] - xy.T @ beta
+def products(n: int, mean: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Sums of plain products."""
+    return m + n * np.outer(mean, mean)
+
+
+def ols(part: tuple[int, np.ndarray, np.ndarray], xs: Sequence[int], ys: Sequence[int]):
+    """Coefficients and residual cross-products of ys on xs; with a constant among xs, from centred moments alone."""
+    n, mean, m = part
+    xs, ys = list(xs), list(ys)
+    constant = [i for i, x in enumerate(xs) if m[x, x] == 0 and mean[x] != 0]
+    if not constant:
+        m = products(n, mean, m)
+    elif len(constant) > 1:
+        raise np.linalg.LinAlgError("several constants")
+    moving = [x for i, x in enumerate(xs) if i not in constant]
+    scale = np.sqrt(np.diag(m)[moving])
+    if not (scale > 0).all():
+        raise np.linalg.LinAlgError("a column without variation")
+    xy = m[np.ix_(moving, ys)] / scale[:, None]
+    slope = np.linalg.solve(m[np.ix_(moving, moving)] / np.outer(scale, scale), xy) if moving else np.zeros((0, len(ys)))
+    rest = m[np.ix_(ys, ys)] - xy.T @ slope
+    slope = slope / scale[:, None]
+    if constant:
+        at = constant[0]
+        slope = np.insert(slope, at, (mean[ys] - mean[moving] @ slope) / mean[xs[at]], axis=0)
+    return slope, rest
 
 
 def ols_from_gram(packed: DataFrame, *, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -105,8 +157,7 @@ def ols_from_gram(packed: DataFrame, *, keys: Sequence[str], names: Sequence[str
                 head = [getattr(row, k) for k in keys]
                 beta, rss, reason = [None] * (d - 1), None, None
                 try:
-                    g = unpack(row.cells, d)
-                    b, rest = ols(g, list(range(d - 1)), [d - 1])
+                    b, rest = ols((row.n, np.asarray(row.means), unpack(row.cells, d)), range(d - 1), [d - 1])
                     beta, rss = b[:, 0].tolist(), float(rest[0, 0])
                 except np.linalg.LinAlgError:
                     reason = "singular"

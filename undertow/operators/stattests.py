@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from undertow.functions import tails
+from undertow.functions.tails import t_two_sided
 from undertow.operators import blocks, moments
 from undertow.session import attach, cut_lineage, match
 
@@ -53,7 +54,7 @@ def adf_test(
         F.array(F.lit(1.0), F.coalesce("_y1", F.lit(0.0)), *lags, F.coalesce("_d", F.lit(0.0))).alias("v"),
     ).filter("edge >= 2")
     packed = moments.gram_packed(design, keys=[*keys, "edge"], vector="v")
-    grouped = packed.groupBy(*keys).agg(F.collect_list(F.struct("edge", "n", "cells")).alias("edges"))  # at most max_lag + 1
+    grouped = packed.groupBy(*keys).agg(F.collect_list(F.struct("edge", "n", "means", "cells")).alias("edges"))  # at most max_lag + 1
     schema = T.StructType(
         [df.schema[k] for k in keys]
         + [T.StructField("lags", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("statistic", T.DoubleType())]
@@ -72,19 +73,15 @@ def adf_test(
 
 def _unit_root(edges, max_lag: int, criterion: str | None):
     d = max_lag + 3
-    parts = [(e["edge"], e["n"], moments.unpack(e["cells"], d)) for e in edges]
-
-    def sample(p):
-        used = [(n, g) for e, n, g in parts if e >= p + 2]
-        return (sum(n for n, _ in used), sum(g for _, g in used)) if used else (0, None)
+    parts = [(e["edge"], (e["n"], np.asarray(e["means"]), moments.unpack(e["cells"], d))) for e in edges]
 
     def regress(p, at):
-        n, g = sample(at)
-        if n <= p + 2:
+        used = [part for e, part in parts if e >= at + 2]
+        if not used or sum(part[0] for part in used) <= p + 2:
             raise np.linalg.LinAlgError("short")
-        xs = list(range(p + 2))
-        beta, rest = moments.ols(g, xs, [d - 1])
-        return n, beta, max(float(rest[0, 0]), 0.0), g[np.ix_(xs, xs)]
+        part = moments.merge(used)
+        beta, rest = moments.ols(part, range(p + 2), [d - 1])
+        return part[0], beta, max(float(rest[0, 0]), 0.0), part[2][1 : p + 2, 1 : p + 2]
 
     try:
         chosen = max_lag
@@ -97,11 +94,11 @@ def _unit_root(edges, max_lag: int, criterion: str | None):
                 if score < best:
                     best, chosen = score, p
         n, beta, rss, xx = regress(chosen, chosen)
-        variance = rss / (n - chosen - 2) * np.linalg.inv(xx)[1, 1]
+        variance = rss / (n - chosen - 2) * np.linalg.inv(xx)[0, 0]
         tau = float(beta[1, 0] / np.sqrt(variance)) if variance > 0 else np.nan
         return chosen, n, tau
     except np.linalg.LinAlgError:
-        return None, sum(n for _, n, _ in parts), np.nan
+        return None, sum(part[0] for _, part in parts), np.nan
 
 
 SHORT_LAGS = 24  # n^(2/9) for 1.6 million bars per series
@@ -350,7 +347,7 @@ def _t_quantile(df: pd.Series) -> pd.Series:
         lo, hi = 0.0, 1e3
         for _ in range(80):
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if tails.t_two_sided(mid, nu) > 0.05 else (lo, mid)
+            lo, hi = (mid, hi) if t_two_sided(mid, nu) > 0.05 else (lo, mid)
         return (lo + hi) / 2
 
     return df.map(solve)
@@ -497,9 +494,9 @@ def permutation_test(df: DataFrame, *, id: str, features: Sequence[str], target:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                g = moments.unpack(r.cells, d)
-                rss = moments.ols(g, list(range(d - 1)), [d - 1])[1][0, 0]
-                total = g[d - 1, d - 1] - g[0, d - 1] ** 2 / r.n
+                part = (r.n, np.asarray(r.means), moments.unpack(r.cells, d))
+                rss = moments.ols(part, range(d - 1), [d - 1])[1][0, 0]
+                total = part[2][d - 1, d - 1]
                 out.append((r.b, r.n, 1 - rss / total))
             yield pd.DataFrame(out, columns=["draw", "n", "r2"])
 

@@ -126,7 +126,7 @@ def var_moments(windows: DataFrame, *, max_lags: int) -> DataFrame:
     packed = moments.gram_packed(design, keys=["window_id", "names", "n_rows", "k", "p_max", "edge"], vector="v")
     return (
         packed.groupBy("window_id", "names", "n_rows", "k", "p_max")
-        .agg(F.array_sort(F.collect_list(F.struct("edge", "n", "cells"))).alias("edges"))  # at most p_max + 1 entries
+        .agg(F.array_sort(F.collect_list(F.struct("edge", "n", "means", "cells"))).alias("edges"))  # at most p_max + 1 entries
         .withColumn("names", F.split("names", SEPARATOR))
     )
 
@@ -163,21 +163,18 @@ def _fit_window(row, criterion: str, horizon: int, method: str, order: int | Non
     if row.n_rows < 5:
         return (*head, 0, "too few rows", *empty)
     d = 1 + k * p_max + k
-    edges = [(e["edge"], e["n"], moments.unpack(e["cells"], d)) for e in row.edges]
+    edges = [(e["edge"], (e["n"], np.asarray(e["means"]), moments.unpack(e["cells"], d))) for e in row.edges]
 
     def sample(p):
-        used = [(n, g) for e, n, g in edges if e >= p + 1]
-        return sum(n for n, _ in used), sum(g for _, g in used)
+        return moments.merge([part for e, part in edges if e >= p + 1])
 
     p, reason = order or 1, None
     try:
         if order is None and row.n_rows >= 30:
-            n, g = sample(p_max)
-            p = varmath.select_order(g, n, k, p_max, criterion)
+            p = varmath.select_order(sample(p_max), k, p_max, criterion)
             if p == 0:
                 p, reason = 1, "order 0 raised to 1"
-        n, g = sample(p)
-        intercept, lags, sigma = varmath.fit(g, n, k, p, p_max)
+        intercept, lags, sigma = varmath.fit(sample(p), k, p, p_max)
         theta = varmath.decompose(varmath.moving_average(lags, horizon), sigma, method)
         radius = varmath.companion_radius(lags)
     except np.linalg.LinAlgError as error:
