@@ -78,6 +78,82 @@ def test_failures_are_rows_with_a_reason(spark):
     assert same["theta"] is None and same["reason"]
 
 
+def several(n, k=3, seed=11):
+    rng = np.random.default_rng(seed)
+    y = np.zeros((n, k))
+    for t in range(1, n):
+        y[t] = 0.4 * y[t - 1] + 0.2 * np.roll(y[t - 1], 1) + rng.normal(size=k)
+    y[:, 0] = np.cumsum(y[:, 0])  # one series with a unit root
+    return y
+
+
+def test_rolling_windows_equal_fits_of_each_window(spark):
+    """Pane moments against a fit of each window's own rows, and against least squares."""
+    y = several(470)
+    panel = long(spark, y).cache()
+    got = {r["window_id"]: r for r in transmission.rolling_spillover(panel, window=100, step=20).collect()}
+    windows = transmission.rolling_windows(panel, window=100, step=20)
+    fits = transmission.analyse(windows, max_lags=5).cache()
+    want = {r["window_id"]: r for r in fits.join(transmission.spill_total(transmission.last_horizon(transmission.theta_table(fits))), "window_id").collect()}
+    ends = {r["window_id"]: r["d"] for r in windows.groupBy("window_id").agg(F.max("ts").alias("d")).collect()}
+    assert got.keys() == want.keys() == set(range(19))
+    for w, r in got.items():
+        assert (r["p"], r["reason"], r["date"]) == (want[w]["p"], want[w]["reason"], ends[w])
+        assert r["radius"] == pytest.approx(want[w]["radius"], abs=1e-9) and r["total"] == pytest.approx(want[w]["total"], abs=1e-8)
+    assert transmission.rolling_spillover(panel.filter("false")).count() == 0
+    short = transmission.rolling_spillover(panel, window=430, step=20)  # fewer than window + 50 times
+    assert short.count() == 0
+
+
+def test_panel_fit_equals_least_squares(spark):
+    y = several(500, k=5)
+    w = transmission.whole_window(long(spark, y))
+    fit = transmission.var_fit(transmission.var_moments(w, max_lags=6)).first()
+    p, n = fit["p"], len(y)
+    x = np.column_stack([np.ones(n - p), *[y[p - i : n - i] for i in range(1, p + 1)]])
+    beta, *_ = np.linalg.lstsq(x, y[p:], rcond=None)
+    e = y[p:] - x @ beta
+    sigma = e.T @ e / (n - p - 5 * p - 1)
+    lags = np.stack([beta[1 + 5 * i : 6 + 5 * i].T for i in range(p)])
+    np.testing.assert_allclose(np.reshape(fit["lags"], (p, 5, 5)), lags, atol=1e-9)
+    np.testing.assert_allclose(np.reshape(fit["sigma"], (5, 5)), sigma, atol=1e-9)
+    phi = [np.eye(5)]
+    for h in range(1, 10):
+        phi.append(sum(lags[i] @ phi[h - 1 - i] for i in range(min(p, h))))
+    hit = np.cumsum(np.stack([m @ np.linalg.cholesky(sigma) for m in phi]) ** 2, axis=0)
+    np.testing.assert_allclose(np.reshape(fit["theta"], (10, 5, 5)), hit / hit.sum(axis=2, keepdims=True), atol=1e-9)
+    made = {(r["h"], r["i"], r["j"]): r["phi"] for r in transmission.ma_long(transmission.var_fit(transmission.var_moments(w, max_lags=6))).collect()}
+    assert all(made[h, i, j] == pytest.approx(phi[h][i, j], abs=1e-9) for h in range(10) for i in range(5) for j in range(5))
+
+
+def test_offsets_cost_no_digits(spark):
+    y = simulate(400)
+    fits = [transmission.var_fit(transmission.var_moments(transmission.whole_window(long(spark, y + c)), max_lags=3), order=2).first() for c in (0.0, 2.0**26)]
+    np.testing.assert_allclose(fits[0]["lags"], fits[1]["lags"], atol=1e-8)
+    np.testing.assert_allclose(fits[0]["sigma"], fits[1]["sigma"], atol=1e-8)
+    walk = np.cumsum(y[:, 0])
+    stats = []
+    for c in (0.0, 2.0**26):
+        df = spark.createDataFrame([("a", int(t), float(v + c)) for t, v in enumerate(walk)], "k string, ts int, value double")
+        stats.append(stattests.adf_test(df, keys=["k"], ts="ts", value="value").first()["statistic"])
+    assert stats[0] == pytest.approx(stats[1], abs=1e-6)
+
+
+def test_wide_panels_are_solved(spark):
+    """k * p = 600: more than any table of the stored data asks for."""
+    rng = np.random.default_rng(2)
+    n = 1300  # more rows than coefficients and series together
+    y = rng.normal(size=(n, 600))
+    flat = pd.DataFrame({"ts": np.repeat(np.arange(n), 600), "series": [f"s{j}" for j in range(600)] * n, "value": y.ravel()})
+    panel = spark.createDataFrame(flat).withColumn("ts", F.timestamp_seconds(F.col("ts") * 3600))
+    fit = transmission.var_fit(transmission.var_moments(transmission.whole_window(panel), max_lags=1), order=1, horizon=2).first()
+    assert fit["reason"] is None
+    x = np.column_stack([np.ones(n - 1), y[:-1]])
+    beta, *_ = np.linalg.lstsq(x, y[1:], rcond=None)
+    order = sorted(range(600), key=lambda j: f"s{j}")  # series come in the order of their names
+    np.testing.assert_allclose(np.reshape(fit["lags"], (600, 600)), beta[1:].T[np.ix_(order, order)], atol=1e-6)
+
+
 def test_extreme_scales(spark):
     y = simulate(300) * np.array([1e6, 1e-6])
     total = transmission.spill_total(transmission.last_horizon(transmission.theta_table(transmission.analyse(transmission.whole_window(long(spark, y)))))).first()["total"]

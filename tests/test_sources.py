@@ -20,6 +20,8 @@ def test_nested_posts(spark, tmp_path):
     (tmp_path / "batch_1.json").write_text(json.dumps(posts))
     raw = readers.scan_nested_posts(spark, str(tmp_path))
     assert {r["batch_file"] for r in raw.collect()} == {"batch_1.json"}
+    flat = readers.explode_comments(raw)
+    assert len(flat.columns) == 18 and {"post_created_at", "comment_created_at", "batch_file"} <= set(flat.columns)
     rows = {(r["post_id"], r["comment_id"]): r for r in readers.explode_comments(raw).collect()}
     assert set(rows) == {("p1", "c1"), ("p1", "c2"), ("p2", None)}
     assert rows[("p1", "c1")]["sentiment_label"] == "positive" and rows[("p1", "c2")]["sentiment_score"] is None
@@ -28,7 +30,10 @@ def test_nested_posts(spark, tmp_path):
 def test_flat_posts(spark, tmp_path):
     (tmp_path / "BitcoinMarkets_batch_1.json").write_text(json.dumps([{"id": "a", "created_utc": 1704067200, "title": "hi", "score": 5}, {"id": "b", "title": "no time"}]))
     (tmp_path / "Bad_batch_2.json").write_text("{not json")
+    bad = readers.unreadable_files(readers.scan_arrays(spark, str(tmp_path), schemas.FLAT_POST)).collect()
+    assert [(r["file"], r["n_chars"]) for r in bad] == [("Bad_batch_2.json", 9)]
     rows = readers.scan_flat_posts(spark, str(tmp_path)).collect()
+    assert rows[0]["is_original_content"] is False and rows[0]["all_awardings_count"] == 0
     assert [(r["community"], r["id"], r["upvote_ratio"], r["num_comments"]) for r in rows] == [("BitcoinMarkets", "a", 0.5, 0)]
 
 

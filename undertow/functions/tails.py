@@ -149,3 +149,17 @@ def kpss_p(statistic: Column) -> Column:
     for (a, pa), (b, pb) in zip(KPSS_TABLE, KPSS_TABLE[1:]):
         out = out.when(statistic <= b, pa + (pb - pa) * (statistic - a) / (b - a))
     return out
+
+
+def adf_p_value(tau: float) -> float:
+    """:func:`adf_p` of one number; NaN stays."""
+    if tau != tau:
+        return math.nan
+    if tau > ADF_LARGE or tau < ADF_SMALL:
+        return float(tau > ADF_LARGE)
+    return float(normal_cdf(np.polynomial.polynomial.polyval(tau, ADF_LOW if tau <= ADF_STAR else ADF_HIGH)))
+
+
+def kpss_p_value(statistic: float) -> float:
+    """:func:`kpss_p` of one number; NaN stays."""
+    return math.nan if statistic != statistic else float(np.interp(statistic, *zip(*KPSS_TABLE)))

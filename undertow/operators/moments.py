@@ -86,14 +86,29 @@ def gram_packed(df: DataFrame, *, keys: Sequence[str], vector: str) -> DataFrame
         if held:
             yield pd.DataFrame([row(k, salt, p) for k, p in held.items()], columns=names)
 
-    def joined(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        part = merge([(int(n), np.asarray(mean), unpack(c, len(mean))) for n, mean, c in zip(group["n"], group["means"], group["cells"])])
-        return pd.DataFrame([row([first[k] for k in keys], int(first["_salt"]), part)], columns=names)
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows in the order of their keys -> one row per group."""
+        now, part = None, None
+        for batch in batches:
+            out = []
+            heads = batch[[*keys, "_salt"]].astype(object).where(batch[[*keys, "_salt"]].notna(), None)
+            for head, n, mean, cells in zip(heads.itertuples(index=False, name=None), batch["n"], batch["means"], batch["cells"]):
+                more = (int(n), np.asarray(mean), unpack(cells, len(mean)))
+                if head == now:
+                    part = merge([part, more])
+                    continue
+                if part is not None:
+                    out.append(row(now[:-1], now[-1], part))
+                now, part = head, more
+            yield pd.DataFrame(out, columns=names)
+        if part is not None:
+            yield pd.DataFrame([row(now[:-1], now[-1], part)], columns=names)
 
     partials = df.select(*keys, vector).mapInPandas(partial, schema)
-    some = partials.groupBy(*keys, "_salt").applyInPandas(joined, schema)
-    return some.groupBy(*keys).applyInPandas(joined, schema).drop("_salt")
+    some = partials.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt").mapInPandas(joined, schema)
+    some = some.withColumn("_salt", F.lit(0))
+    placed = some.repartition(*keys).sortWithinPartitions(*keys) if keys else some.repartition(1)
+    return placed.mapInPandas(joined, schema).drop("_salt")
 
 
 def unpack(cells, d: int) -> np.ndarray:

@@ -75,12 +75,22 @@ def _unit_root(edges, max_lag: int, criterion: str | None):
     d = max_lag + 3
     parts = [(e["edge"], (e["n"], np.asarray(e["means"]), moments.unpack(e["cells"], d))) for e in edges]
 
+    def sample(p):
+        used = [part for e, part in parts if e >= p + 2]
+        return moments.merge(used) if used else None
+
+    lag, n, tau = unit_root(sample, max_lag, criterion)
+    return lag, sum(part[0] for _, part in parts) if n is None else n, tau
+
+
+def unit_root(sample, max_lag: int, criterion: str | None = "bic"):
+    """Lag, rows and tau from ``sample(p)``: moments of [1, level, lagged differences, difference] over the rows that lag p allows."""
+
     def regress(p, at):
-        used = [part for e, part in parts if e >= at + 2]
-        if not used or sum(part[0] for part in used) <= p + 2:
+        part = sample(at)
+        if part is None or part[0] <= p + 2:
             raise np.linalg.LinAlgError("short")
-        part = moments.merge(used)
-        beta, rest = moments.ols(part, range(p + 2), [d - 1])
+        beta, rest = moments.ols(part, range(p + 2), [max_lag + 2])
         return part[0], beta, max(float(rest[0, 0]), 0.0), part[2][1 : p + 2, 1 : p + 2]
 
     try:
@@ -95,10 +105,9 @@ def _unit_root(edges, max_lag: int, criterion: str | None):
                     best, chosen = score, p
         n, beta, rss, xx = regress(chosen, chosen)
         variance = rss / (n - chosen - 2) * np.linalg.inv(xx)[0, 0]
-        tau = float(beta[1, 0] / np.sqrt(variance)) if variance > 0 else np.nan
-        return chosen, n, tau
+        return chosen, n, float(beta[1, 0] / np.sqrt(variance)) if variance > 0 else np.nan
     except np.linalg.LinAlgError:
-        return None, sum(part[0] for _, part in parts), np.nan
+        return None, None, np.nan
 
 
 SHORT_LAGS = 24  # n^(2/9) for 1.6 million bars per series

@@ -8,6 +8,7 @@ packed moment matrix per window and sample edge is all that is solved in NumPy.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -15,11 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from undertow.functions import varmath
-from undertow.operators import blocks, grid, moments, stattests
+from undertow.operators import blocks, grid, moments, panes, stattests
 from undertow.session import cut_lineage
 
 SEPARATOR = "\u0001"  # between series names while they serve as a key
-MAX_DIMENSION = 400  # k * p; beyond it a window reports an error
+MAX_DIMENSION = 2000  # k * p: a matrix of 128 MB in one task; beyond it a window reports the reason
 
 
 def var_panel(df: DataFrame, *, series: str, ts: str, value: str, step: int) -> DataFrame:
@@ -154,23 +155,28 @@ def var_fit(
 
 def _fit_window(row, criterion: str, horizon: int, method: str, order: int | None):
     k, p_max = int(row.k), int(row.p_max)
-    head = (row.window_id, list(row.names), row.n_rows, p_max)
+    d = 1 + k * p_max + k
+    edges = [(e["edge"], (e["n"], np.asarray(e["means"]), moments.unpack(e["cells"], d))) for e in row.edges] if k * p_max <= MAX_DIMENSION else []
+
+    def sample(p):
+        return moments.merge([part for e, part in edges if e >= p + 1])
+
+    return fit_sample((row.window_id, list(row.names), row.n_rows, p_max), k, sample, criterion, horizon, method, order)
+
+
+def fit_sample(head: tuple, k: int, sample, criterion: str, horizon: int, method: str, order: int | None = None) -> tuple:
+    """A row of ``FIT`` from ``sample(p)``: moments of [1, lags 1..p_max, y] over the rows that order p allows."""
+    _, _, n_rows, p_max = head
     empty = (None, None, None, None, None, horizon)
     if k < 2:
         return (*head, 0, "needs two series", *empty)
     if k * p_max > MAX_DIMENSION:
         return (*head, 0, "too many series times lags", *empty)
-    if row.n_rows < 5:
+    if n_rows < 5:
         return (*head, 0, "too few rows", *empty)
-    d = 1 + k * p_max + k
-    edges = [(e["edge"], (e["n"], np.asarray(e["means"]), moments.unpack(e["cells"], d))) for e in row.edges]
-
-    def sample(p):
-        return moments.merge([part for e, part in edges if e >= p + 1])
-
     p, reason = order or 1, None
     try:
-        if order is None and row.n_rows >= 30:
+        if order is None and n_rows >= 30:
             p = varmath.select_order(sample(p_max), k, p_max, criterion)
             if p == 0:
                 p, reason = 1, "order 0 raised to 1"
@@ -252,14 +258,16 @@ def spill_table(theta: DataFrame) -> DataFrame:
 
 
 def rolling_spillover(panel: DataFrame, *, window: int = 252, step: int = 21, horizon: int = 10, method: str = "cholesky") -> DataFrame:
-    """Per window: end date, total and net effects; a failed window keeps its reason."""
-    windows = cut_lineage(rolling_windows(panel, window=window, step=step))
-    ends = windows.groupBy("window_id").agg(F.max("ts").alias("date"))
-    fits = cut_lineage(analyse(windows, max_lags=min(10, window // 20), horizon=horizon, method=method))
+    """Per window: end date, total and net effects; a failed window keeps its reason.
+
+    Windows share the moments of their panes (:mod:`undertow.operators.panes`); a row is copied into two blocks at most.
+    """
+    fit = partial(fit_sample, criterion="bic", horizon=horizon, method=method)
+    fits = cut_lineage(panes.rolling_fits(panel, window=window, step=step, max_lags=min(10, window // 20), fit=fit, schema=FIT))
     theta = last_horizon(theta_table(fits))
     net = spill_net(theta).groupBy("window_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("series", "net")))).alias("net"))
     return (
-        ends.join(fits.select("window_id", "p", "reason", "radius"), "window_id", "left")
+        fits.select("window_id", "date", "p", "reason", "radius")
         .join(spill_total(theta), "window_id", "left")
         .join(net, "window_id", "left")
     )

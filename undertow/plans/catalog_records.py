@@ -38,25 +38,42 @@ def nested(t):
         ),
     )
     return t.articles.select(
+        "community", "id",
         F.to_json(
             F.struct(
                 F.col("community").alias("subreddit"), F.col("id").cast("string").alias("id"), "title", "score",
                 (F.col("id") * 60).alias("created_utc"), "num_comments", comments.alias("comments"),
+                F.timestamp_seconds(F.col("id") * 60).cast("string").alias("created_at"),
             )
         ).alias("json")
     )
 
 
+BATCHES, SPAN = 20, 100_000  # every SPAN ids of a community are BATCHES files of at most 5,000 posts; the last of each is cut, so that it is no JSON
+
+
+def array_files(df, name, id, json):
+    """JSON arrays ``<name>_batch_N.json`` in the shared folder; rows of one batch are one array, as a crawler leaves them."""
+    number = F.col(id) % BATCHES + F.floor(F.col(id) / SPAN) * BATCHES
+    rows = df.select(F.concat(F.col(name), F.lit("_batch_"), number.cast("string"), F.lit(".json")).alias("file"), number.alias("_n"), F.col(json).alias("_json"))
+    arrays = rows.groupBy("file", "_n").agg(F.concat(F.lit("["), F.array_join(F.collect_list("_json"), ","), F.lit("]")).alias("value"))
+    cut = F.when(F.col("_n") % BATCHES == BATCHES - 1, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    folder = f"{shared_folder(df.sparkSession)}/arrays-{uuid.uuid4().hex}"
+    arrays.select("file", cut.alias("value")).write.partitionBy("file").text(folder)
+    return folder
+
+
 @query(
     "scan_nested_posts",
     f"""WITH {ARTICLES} SELECT community AS subreddit, id::VARCHAR AS id, score::BIGINT AS score,
     to_timestamp(id * 60)::TIMESTAMP AS created, num_comments::BIGINT AS num_comments,
-    CASE WHEN length(body) > 0 THEN len(string_split(body, chr(10))) ELSE 0 END::BIGINT AS n_nested FROM articles""",
+    CASE WHEN length(body) > 0 THEN len(string_split(body, chr(10))) ELSE 0 END::BIGINT AS n_nested, community || '_batch_' || (id % 20 + id // 100000 * 20) || '.json' AS batch_file
+    FROM articles WHERE id % 20 <> 19""",
 )
 def _(t):
-    p = readers.parse_nested_posts(nested(t))
+    p = readers.scan_nested_posts(t.spark, array_files(nested(t), "community", "id", "json"))
     return p.select(
-        "subreddit", "id", "score", F.timestamp_seconds("created_utc").alias("created"), "num_comments",
+        "batch_file", "subreddit", "id", "score", F.timestamp_seconds("created_utc").alias("created"), "num_comments",
         F.coalesce(F.size("comments"), F.lit(0)).cast("long").alias("n_nested"),
     )
 
@@ -68,38 +85,41 @@ def _(t):
     SELECT community AS subreddit, id::VARCHAR AS post_id, CASE WHEN body IS NOT NULL THEN id::VARCHAR || '-' || i END AS comment_id,
     body AS comment_body, CASE WHEN body IS NOT NULL THEN to_timestamp(id * 60 + i)::TIMESTAMP END AS comment_created_utc,
     CASE WHEN body IS NULL THEN NULL WHEN length(body) % 3 = 0 THEN 'positive' WHEN length(body) % 3 = 1 THEN 'negative' ELSE 'neutral' END AS sentiment_label,
-    {R("length(body) % 10 / 10.0")} AS sentiment_score FROM e""",
+    {R("length(body) % 10 / 10.0")} AS sentiment_score, to_timestamp(id * 60)::TIMESTAMP AS post_created_at, NULL::TIMESTAMP AS comment_created_at FROM e""",
 )
 def _(t):
     e = readers.explode_comments(readers.parse_nested_posts(nested(t)))
     return e.select(
-        "subreddit", "post_id", "comment_id", "comment_body", "comment_created_utc", "sentiment_label",
+        "post_created_at", "comment_created_at", "subreddit", "post_id", "comment_id", "comment_body", "comment_created_utc", "sentiment_label",
         r("sentiment_score").alias("sentiment_score"),
     )
 
 
+def flat_files(t):
+    post = F.struct(
+        F.col("event_id").cast("string").alias("id"),
+        F.when(F.col("event_id") % 7 != 0, F.unix_seconds(F.col("ts").cast("timestamp"))).cast("double").alias("created_utc"),
+        F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("title"),
+        F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("score"),
+    )
+    return array_files(t.raw("events").select("event_type", "event_id", F.to_json(post).alias("json")), "event_type", "event_id", "json")
+
+
 @query(
     "scan_flat_posts",
-    """SELECT event_id::VARCHAR AS id, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS title, '' AS selftext,
-    CASE WHEN event_id % 5 = 0 THEN 0 ELSE user_id END::BIGINT AS score, 0::BIGINT AS gilded, 0.5::DOUBLE AS upvote_ratio,
-    date_trunc('second', ts) AS ts FROM events WHERE event_id % 7 <> 0""",
+    """SELECT event_id::VARCHAR AS id, event_type AS community, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS title, '' AS selftext,
+    CASE WHEN event_id % 5 = 0 THEN 0 ELSE user_id END::BIGINT AS score, 0::BIGINT AS gilded, 0::BIGINT AS all_awardings_count, false AS is_original_content,
+    0.5::DOUBLE AS upvote_ratio, date_trunc('second', ts) AS ts FROM events WHERE event_id % 7 <> 0 AND event_id % 20 <> 19""",
 )
 def _(t):
-    e = t.raw("events")
-    raw = e.select(
-        F.from_json(
-            F.to_json(
-                F.struct(
-                    F.col("event_id").cast("string").alias("id"),
-                    F.when(F.col("event_id") % 7 != 0, F.unix_seconds(F.col("ts").cast("timestamp"))).cast("double").alias("created_utc"),
-                    F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("title"),
-                    F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("score"),
-                )
-            ),
-            schemas.FLAT_POST,
-        ).alias("p")
-    ).select("p.*")
-    return readers.flat_post_defaults(raw).select("id", "title", "selftext", "score", "gilded", "upvote_ratio", "ts")
+    posts = readers.scan_flat_posts(t.spark, flat_files(t))
+    return posts.select("id", "community", "title", "selftext", "score", "gilded", "all_awardings_count", "is_original_content", "upvote_ratio", "ts")
+
+
+@query("unreadable_files", "SELECT DISTINCT event_type || '_batch_' || (event_id % 20 + event_id // 100000 * 20) || '.json' AS file, 1::BIGINT AS files FROM events WHERE event_id % 20 = 19")
+def _(t):
+    bad = readers.unreadable_files(readers.scan_arrays(t.spark, flat_files(t), schemas.FLAT_POST))
+    return bad.groupBy("file").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query(
@@ -123,12 +143,12 @@ SYMBOL_NAMES = {"URG": "Urgent", "HIG": "High", "MED": "Medium"}
 def _(t):
     line = F.concat_ws(",", F.col("day").cast("string"), F.col("price").cast("string"), F.col("market_cap").cast("string"), F.col("total_volume").cast("string"))
     file = F.concat(F.split(F.lower("symbol"), "-")[0], F.lit("x-usd-max.csv"))
-    lines = t.prices.select(file.alias("file"), line.alias("line"))
-    parsed = lines.select("file", F.from_csv("line", schemas.PRICE_FILE.simpleString()[7:-1].replace(":", " "), {"mode": "PERMISSIVE"}).alias("p"))
-    return parsed.select(
-        F.upper(F.split("file", "-")[0]).alias("symbol"), F.to_date("p.snapped_at").alias("day"),
-        r("p.price").alias("price"), F.col("p.total_volume").cast("long").alias("total_volume"),
-    )
+    folder = f"{shared_folder(t.spark)}/prices-{uuid.uuid4().hex}"
+    head = t.prices.select(file.alias("file")).distinct().select("file", F.lit("snapped_at,price,market_cap,total_volume").alias("value"), F.lit(0).alias("_k"))
+    lines = head.unionByName(t.prices.select(file.alias("file"), line.alias("value"), F.lit(1).alias("_k")))
+    lines.repartition("file").sortWithinPartitions("file", "_k").drop("_k").write.partitionBy("file").text(folder)
+    prices = readers.scan_prices_csv(t.spark, folder)
+    return prices.select("symbol", F.to_date("snapped_at").alias("day"), r("price").alias("price"), F.col("total_volume").cast("long").alias("total_volume"))
 
 
 @query(

@@ -23,7 +23,8 @@ NESTED_POST = _struct(
 FLAT_POST = _struct(
     id=_S, created_utc=_D, title=_S, selftext=_S, score=_L, num_comments=_L, author=_S, upvote_ratio=_D, url=_S,
     is_self=T.BooleanType(), is_video=T.BooleanType(), over_18=T.BooleanType(), spoiler=T.BooleanType(),
-    stickied=T.BooleanType(), locked=T.BooleanType(), gilded=_L, total_awards_received=_L, subreddit=_S,
+    stickied=T.BooleanType(), locked=T.BooleanType(), is_original_content=T.BooleanType(), gilded=_L, all_awardings_count=_L,
+    total_awards_received=_L, subreddit=_S,
 )
 
 PRICE_FILE = _struct(snapped_at=_TS, price=_D, market_cap=_D, total_volume=_D)
@@ -31,8 +32,8 @@ PRICE_FILE = _struct(snapped_at=_TS, price=_D, market_cap=_D, total_volume=_D)
 # Defaults of missing fields in a flat post.
 FLAT_POST_DEFAULTS = {
     "id": "", "title": "", "selftext": "", "author": "", "url": "", "score": 0, "num_comments": 0,
-    "upvote_ratio": 0.5, "gilded": 0, "total_awards_received": 0, "is_self": True, "is_video": False,
-    "over_18": False, "spoiler": False, "stickied": False, "locked": False,
+    "upvote_ratio": 0.5, "gilded": 0, "all_awardings_count": 0, "total_awards_received": 0, "is_self": True, "is_video": False,
+    "is_original_content": False, "over_18": False, "spoiler": False, "stickied": False, "locked": False,
 }
 
 # Word lists of the keyword and lexicon operators.

@@ -4,19 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from undertow import schemas
 from undertow.functions.scalars import map_value
 
 
+UNREADABLE = "_unreadable"
+
+
+def source_file() -> Column:
+    """Name of the file a row was read from; a file that Spark wrote is a folder of parts and has the folder's name."""
+    steps = F.split(F.col("_metadata.file_path"), "/")
+    last, above = F.element_at(steps, -1), F.element_at(steps, -2)
+    return F.url_decode(F.when(last.startswith("part-"), F.regexp_replace(above, "^[^=]*=", "")).otherwise(last))
+
+
+def scan_arrays(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Files that hold one JSON array each (a task a file): the fields, ``file``, and ``_unreadable``, the text of a file that is no JSON.
+
+    ``path`` is a folder of files, or of folders named after the files that Spark wrote in parts.
+    """
+    wide = T.StructType([*schema.fields, T.StructField(UNREADABLE, T.StringType())])
+    reader = spark.read.schema(wide).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", UNREADABLE)
+    return reader.option("recursiveFileLookup", True).json(path).withColumn("file", source_file())
+
+
+def unreadable_files(scanned: DataFrame) -> DataFrame:
+    """(file, n_chars) of what a scan could not read: skipped, but not unseen."""
+    some = next(f.name for f in scanned.schema.fields if f.name not in (UNREADABLE, "file"))  # Spark reads no unreadable text alone
+    bad = scanned.filter(F.col(UNREADABLE).isNotNull() & F.col(some).isNull())
+    return bad.select("file", F.char_length(UNREADABLE).cast("long").alias("n_chars"))
+
+
+def readable(scanned: DataFrame) -> DataFrame:
+    return scanned.filter(F.col(UNREADABLE).isNull()).drop(UNREADABLE)
+
+
 def scan_nested_posts(spark: SparkSession, path: str) -> DataFrame:
-    """Directory of JSON arrays of posts, comments nested."""
-    return (
-        spark.read.schema(schemas.NESTED_POST)
-        .option("multiLine", True)
-        .json(path)
-        .withColumn("batch_file", F.col("_metadata.file_name"))
-    )
+    """Directory of JSON arrays of posts, comments nested; see :func:`unreadable_files` for files that are no JSON."""
+    return readable(scan_arrays(spark, path, schemas.NESTED_POST)).withColumnRenamed("file", "batch_file")
 
 
 def parse_nested_posts(df: DataFrame, json: str = "json") -> DataFrame:
@@ -34,7 +61,9 @@ def explode_comments(posts: DataFrame) -> DataFrame:
         F.col("score").alias("post_score"),
         F.col("text").alias("post_text"),
         F.timestamp_seconds("created_utc").alias("post_created_utc"),
+        F.col("created_at").try_cast("timestamp").alias("post_created_at"),
         F.col("num_comments").alias("post_num_comments"),
+        *[F.col(c) for c in ("batch_file",) if c in posts.columns],
         F.explode_outer("comments").alias("c"),
     ).select(
         "*",
@@ -43,21 +72,16 @@ def explode_comments(posts: DataFrame) -> DataFrame:
         F.col("c.body").alias("comment_body"),
         F.col("c.score").alias("comment_score"),
         F.timestamp_seconds("c.created_utc").alias("comment_created_utc"),
+        F.col("c.created_at").try_cast("timestamp").alias("comment_created_at"),
         F.col("c.sentiment.label").alias("sentiment_label"),
         F.col("c.sentiment.score").alias("sentiment_score"),
     ).drop("c")
 
 
 def scan_flat_posts(spark: SparkSession, path: str) -> DataFrame:
-    """``<Community>_batch_N.json`` listings; unreadable records are skipped."""
-    raw = (
-        spark.read.schema(schemas.FLAT_POST)
-        .option("multiLine", True)
-        .option("mode", "DROPMALFORMED")
-        .json(path)
-        .withColumn("community", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)_batch_", 1))
-    )
-    return flat_post_defaults(raw)
+    """``<Community>_batch_N.json`` listings; :func:`unreadable_files` tells which files were skipped."""
+    raw = readable(scan_arrays(spark, path, schemas.FLAT_POST))
+    return flat_post_defaults(raw.withColumn("community", F.regexp_extract("file", r"^(.*)_batch_", 1)).drop("file"))
 
 
 def flat_post_defaults(df: DataFrame) -> DataFrame:
@@ -77,8 +101,9 @@ def scan_prices_csv(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.read.schema(schemas.PRICE_FILE)
         .option("header", True)
+        .option("recursiveFileLookup", True)
         .csv(path)
-        .withColumn("symbol", F.upper(F.split(F.col("_metadata.file_name"), "-")[0]))
+        .withColumn("symbol", F.upper(F.split(source_file(), "-")[0]))
     )
 
 
