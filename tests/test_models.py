@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from undertow.operators import causality, graph, stattests, transmission
+from undertow.operators.panes import kpss_statistic
 
 
 def simulate(n, seed=0, a=((0.5, 0.0), (0.4, 0.3))):
@@ -126,6 +127,16 @@ def test_panel_fit_equals_least_squares(spark):
     assert all(made[h, i, j] == pytest.approx(phi[h][i, j], abs=1e-9) for h in range(10) for i in range(5) for j in range(5))
 
 
+def test_level_stationarity_has_no_longest_series(spark):
+    """The automatic lag of two million bars, beside a short series; against sums over arrays."""
+    n = 2_000_000
+    value = F.sin(F.col("id") * 0.37) + F.pmod(F.hash("id"), F.lit(1000)) / 500
+    df = spark.range(n).select(F.when(F.col("id") % 20_000 == 0, "short").otherwise("long").alias("k"), "id", value.alias("value"))
+    got = {r["k"]: (r["n"], r["statistic"]) for r in stattests.kpss_test(df, keys=["k"], ts="id", value="value").collect()}
+    for k, rows in df.toPandas().groupby("k"):
+        assert got[k][0] == len(rows) and got[k][1] == pytest.approx(kpss_statistic(rows.sort_values("id")["value"].to_numpy()), rel=1e-6)
+
+
 def test_offsets_cost_no_digits(spark):
     y = simulate(400)
     fits = [transmission.var_fit(transmission.var_moments(transmission.whole_window(long(spark, y + c)), max_lags=3), order=2).first() for c in (0.0, 2.0**26)]
@@ -277,6 +288,10 @@ def test_betweenness_brute_force(edges):
     got = {r["node"]: r["betweenness"] for r in graph.betweenness(exact).collect()}
     want = shortest(exact.collect(), nodes)
     assert got == pytest.approx(want)
+    batched = {r["node"]: r["betweenness"] for r in graph.betweenness(exact, state=2 * len(nodes)).collect()}  # two sources at a time
+    assert batched == pytest.approx(want)
+    with pytest.raises(Exception, match="positive lengths"):
+        graph.betweenness(exact.withColumn("weight", F.when(F.col("src") == nodes[0], 0.0).otherwise(F.col("weight"))), weight_is_distance=True).collect()
 
 
 def test_pagerank_fixpoint(edges):

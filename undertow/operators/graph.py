@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undertow.operators import blocks
 from undertow.session import cut_lineage
 
 
@@ -145,19 +146,40 @@ def weighted_clustering(edges: DataFrame, nodes: DataFrame | None = None) -> Dat
     )
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame | None = None, *, weight_is_distance: bool = False, cut_every: int = 3) -> DataFrame:
+STATE = 10_000_000  # rows (source, node) that one batch of sources may hold
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame | None = None, *, weight_is_distance: bool = False, state: int = STATE) -> DataFrame:
     """Normalised weighted betweenness of every node.
 
-    Shortest paths from all sources grow together as one distributed table
-    (source, node): distances relax until nothing changes, then path counts run
+    Sources are handled in batches of ``state / n``, so that the table (source, node) stays bounded; what a batch adds
+    to the nodes is one row per node.  Inside a batch, distances relax until nothing changes, then path counts run
     down the shortest-path edges and dependencies run back up, hop by hop.
-    Distance is 1/weight unless ``weight_is_distance``.
+    Distance is 1/weight unless ``weight_is_distance``; a length that is not positive fails the job.
     """
-    names = nodes_of(edges) if nodes is None else nodes.select("node")
+    names = cut_lineage(nodes_of(edges) if nodes is None else nodes.select("node").distinct())
     n = names.count()
-    length = F.col("weight") if weight_is_distance else 1 / F.col("weight")
-    arcs = cut_lineage(edges.filter("src <> dst").groupBy("src", "dst").agg(F.min(length).alias("len")))
-    dist = cut_lineage(names.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0.0).alias("d")))
+    length = F.col("weight") if weight_is_distance else 1 / F.nullif(F.col("weight"), F.lit(0.0))
+    arcs = edges.filter("src <> dst").groupBy("src", "dst").agg(F.min(length).alias("len"), F.min(F.coalesce(length > 0, F.lit(False))).alias("_ok"))
+    fine = F.when(F.col("_ok"), F.col("len")).otherwise(F.raise_error(F.lit("betweenness needs positive lengths")))
+    arcs = cut_lineage(arcs.select("src", "dst", fine.alias("len")))
+    batches = max(1, -(-n * n // max(state, n)))
+    if batches == 1:
+        parts = [_dependencies(names, arcs)]
+    else:
+        sources = cut_lineage(blocks.positions(names, [], ["node"], name="_p").select("node", (F.col("_p") % batches).alias("_b")))
+        parts = [_dependencies(sources.filter(F.col("_b") == b).select("node"), arcs) for b in range(batches)]
+    total = parts[0]
+    for part in parts[1:]:
+        total = total.unionByName(part)
+    score = total.groupBy("v").agg(F.sum("b").alias("_b"))
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    return names.join(score, names.node == score.v, "left").select("node", (F.coalesce("_b", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def _dependencies(sources: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(v, b): what the shortest paths from ``sources`` add to each node between their ends."""
+    dist = cut_lineage(sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0.0).alias("d")))
     fresh = dist
     while True:
         offers = fresh.join(arcs.withColumnRenamed("src", "v"), "v").groupBy("s", F.col("dst").alias("v")).agg(
@@ -176,7 +198,7 @@ def betweenness(edges: DataFrame, nodes: DataFrame | None = None, *, weight_is_d
     far = dist.select("s", F.col("v").alias("dst"), F.col("d").alias("_dv"))
     dag = cut_lineage(near.join(arcs, "src").join(far, ["s", "dst"]).filter("_du + len = _dv").select("s", "src", "dst"))
     # Number of shortest paths: paths of h hops, summed over h.
-    hop = names.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("c"))
+    hop = sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("c"))
     parts, h = [hop], 0
     while True:
         step = dag.withColumnRenamed("src", "v")
@@ -199,14 +221,10 @@ def betweenness(edges: DataFrame, nodes: DataFrame | None = None, *, weight_is_d
         if flow.isEmpty():
             break
         back.append(flow)
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    if not back:
-        return names.withColumn("betweenness", F.lit(0.0))
-    total = back[0]
+    total = back[0] if back else flow
     for part in back[1:]:
         total = total.unionByName(part)
-    score = total.groupBy("s", "v").agg(F.sum("g").alias("g")).join(sigma, ["s", "v"]).groupBy("v").agg(F.sum(F.col("g") * F.col("sigma")).alias("_b"))
-    return names.join(score, names.node == score.v, "left").select("node", (F.coalesce("_b", F.lit(0.0)) * scale).alias("betweenness"))
+    return cut_lineage(total.groupBy("s", "v").agg(F.sum("g").alias("g")).join(sigma, ["s", "v"]).groupBy("v").agg(F.sum(F.col("g") * F.col("sigma")).alias("b")))
 
 
 def graph_counts(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

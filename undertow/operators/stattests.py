@@ -110,9 +110,6 @@ def unit_root(sample, max_lag: int, criterion: str | None = "bic"):
         return None, None, np.nan
 
 
-SHORT_LAGS = 24  # n^(2/9) for 1.6 million bars per series
-
-
 def kpss_test(
     df: DataFrame, *, keys: Sequence[str], ts: str, value: str, lags: int | None = None, alpha: float = 0.05
 ) -> DataFrame:
@@ -124,26 +121,28 @@ def kpss_test(
     """
     keys = list(keys)
     w, whole = _ordered(keys, ts), Window.partitionBy(*keys)
+    most = 0
+    if lags is None:  # the longest series says how many short lags are summed: n^(2/9), 24 for 1.6 million bars
+        most = int((df.groupBy(*keys).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0] or 0) ** (2.0 / 9.0) + 1e-9)
     known = df.filter(F.col(value).isNotNull()).select(
         *keys, ts, (F.col(value) - F.avg(value).over(whole)).alias("_e"), F.count(F.lit(1)).over(whole).alias("n")
     )
     e = known.select(
         *keys, "n", "_e", F.row_number().over(w).alias("_pos"), F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"),
-        *[F.lag("_e", i).over(w).alias(f"_e{i}") for i in range(1, SHORT_LAGS + 1) if lags is None],
+        *[F.lag("_e", i).over(w).alias(f"_e{i}") for i in range(1, most + 1)],
     )
     sums = {"ee": F.sum(F.col("_e") * F.col("_e")), "ss": F.sum(F.col("_s") * F.col("_s"))}
     if lags is None:
         c = F.floor(F.pow(F.col("n"), 2.0 / 9.0))
-        within = [F.when(c >= i, F.col("_e") * F.col(f"_e{i}")).otherwise(0.0) for i in range(1, SHORT_LAGS + 1)]
+        within = [F.when(c >= i, F.col("_e") * F.col(f"_e{i}")).otherwise(0.0) for i in range(1, most + 1)]
         sums["r"] = F.sum(sum((F.coalesce(x, F.lit(0.0)) for x in within), F.lit(0.0)))
         sums["ir"] = F.sum(sum((i * F.coalesce(x, F.lit(0.0)) for i, x in enumerate(within, 1)), F.lit(0.0)))
     base = e.groupBy(*keys, "n").agg(*[x.alias(name) for name, x in sums.items()])
     if lags is None:
         n, half = F.col("n"), F.col("n") / 2
-        short = F.when(F.floor(F.pow(n, 2.0 / 9.0)) > SHORT_LAGS, F.raise_error(F.lit("series too long for the automatic lag")))
         ratio = F.col("ir") / half / F.nullif(F.col("ee") / n + F.col("r") / half, F.lit(0.0))
         auto = F.floor(1.1447 * F.pow(ratio * ratio, 1.0 / 3.0) * F.pow(n, 1.0 / 3.0))
-        base = base.withColumn("lags", F.coalesce(short.cast("int"), F.least(auto, n - 1).cast("int"))).drop("r", "ir")
+        base = base.withColumn("lags", F.least(auto, n - 1).cast("int")).drop("r", "ir")
     else:
         base = base.withColumn("lags", F.lit(lags))
     steps = e.select(*keys, "_pos", "_s").join(base.select(*keys, "lags"), keys).select(

@@ -192,9 +192,9 @@ def _(t):
     return setops.union_all([a, b])
 
 
-@query("common_index", f"WITH {COMMENTS}, {PRICES} SELECT day FROM comments INTERSECT SELECT day FROM prices WHERE symbol = '1-URGENT'")
+@query("common_index", f"WITH {COMMENTS}, {PRICES} SELECT day FROM comments INTERSECT SELECT day FROM prices")
 def _(t):
-    return setops.common_index(t.comments.select("day"), t.prices.filter("symbol = '1-URGENT'").select("day"))
+    return setops.common_index(t.comments.select("day"), t.prices.select("day"))
 
 
 @query("missing_sets", f"WITH {COMMENTS}, {PRICES} SELECT day FROM prices EXCEPT SELECT day FROM comments")

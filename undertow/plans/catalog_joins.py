@@ -81,10 +81,12 @@ def _(t):
 
 @query(
     "align_inner",
-    f"""WITH {BARS} SELECT a.ts, {R('a.value', 10)} AS a, {R('b.value', 10)} AS b FROM bars a JOIN bars b ON a.ts = b.ts WHERE a.community = 'click' AND b.community = 'view'""",
+    f"""WITH {BARS} SELECT a.ts, {R('a.value', 10)} AS a, {R('b.value', 10)} AS b FROM (SELECT ts, avg(value) AS value FROM bars WHERE community <> 'view' GROUP BY 1) a JOIN bars b ON a.ts = b.ts WHERE b.community = 'view'""",
 )
 def _(t):
-    a, b = (t.bars.filter(F.col("community") == c).select("ts", F.col("value").alias(n)) for c, n in (("click", "a"), ("view", "b")))
+    """One community beside the mean of all others."""
+    a = t.bars.filter("community <> 'view'").groupBy("ts").agg(F.avg("value").alias("a"))
+    b = t.bars.filter("community = 'view'").select("ts", F.col("value").alias("b"))
     return rounded(joins.align_inner(a, b, on="ts"), 10)
 
 
@@ -107,12 +109,14 @@ def _(t):
     return rounded(joins.node_feature_join(c, deg, key="node", features=["out_w", "out_n"], keep_all=True), 2)
 
 
-PRESENT = "present AS (SELECT DISTINCT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 5000)"
+# Nations whose suppliers hold more than the mean of all suppliers.
+PRESENT = "present AS (SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 HAVING avg(s_acctbal) > (SELECT avg(s_acctbal) FROM supplier))"
 
 
 def present_nations(t):
-    s = t.raw("supplier").filter("s_acctbal > 5000")
-    return s.join(t.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_name").distinct()
+    s = t.raw("supplier")
+    held = s.join(t.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.avg("s_acctbal").alias("_held"))
+    return held.filter(F.col("_held") > s.agg(F.avg("s_acctbal")).scalar()).select("n_name")
 
 
 @query(
@@ -130,8 +134,11 @@ def _(t):
     f"""WITH {PRESENT} SELECT a.n_name AS src, b.n_name AS dst, 1.0::DOUBLE AS weight FROM present a JOIN present b ON a.n_name <> b.n_name""",
 )
 def _(t):
-    region = t.raw("region").agg(F.min("r_name").alias("src"), F.max("r_name").alias("dst")).withColumn("weight", F.lit(1.0))
-    return joins.fallback_complete_graph(region, present_nations(t), key="n_name")
+    """Flows between regions have no end among the nations, so every pair of these is returned."""
+    place = t.raw("nation").join(t.raw("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    ends = [place.select(F.col("n_name").alias(c), F.col("r_name").alias(f"_{c}")) for c in ("src", "dst")]
+    flows = t.flows.join(ends[0], "src").join(ends[1], "dst").groupBy(F.col("_src").alias("src"), F.col("_dst").alias("dst")).agg(F.sum("weight").alias("weight"))
+    return joins.fallback_complete_graph(flows, present_nations(t), key="n_name")
 
 
 @query(

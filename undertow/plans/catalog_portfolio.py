@@ -117,13 +117,13 @@ def _(t):
 
 @query(
     "benchmark_returns",
-    f"""WITH {MARKET}, p AS (SELECT ts, avg(price) AS price FROM market GROUP BY 1), b AS (SELECT ts, price / lag(price) OVER (ORDER BY ts) - 1 AS bench FROM p), i AS (SELECT ts FROM market WHERE series = '1-URGENT')
+    f"""WITH {MARKET}, p AS (SELECT ts, avg(price) AS price FROM market GROUP BY 1), b AS (SELECT ts, price / lag(price) OVER (ORDER BY ts) - 1 AS bench FROM p), i AS (SELECT ts FROM market)
     SELECT i.ts, {R('bench')} AS bench FROM i ASOF LEFT JOIN (SELECT * FROM b WHERE bench IS NOT NULL) b ON i.ts >= b.ts""",
 )
 def _(t):
     m = market(t)
     p = m.groupBy("ts").agg(F.avg("price").alias("price"))
-    return rounded(portfolio.benchmark_returns(p, m.filter("series = '1-URGENT'")))
+    return rounded(portfolio.benchmark_returns(p, m))
 
 
 @query(

@@ -12,7 +12,7 @@ from undertow.operators import aggregate, features
 from undertow.plans.registry import R, query, r, rounded
 from undertow.session import shared_folder
 from undertow.sources import readers, sinks
-from undertow.sources.tables import ARTICLES, COMMENTS, POSTS, PRICES
+from undertow.sources.tables import ARTICLES, COMMENTS, FLOWS, POSTS, PRICES
 
 # Word lists that occur in the stored texts (the default lists hardly do).
 POS, NEG, SURE = ["up", "great", "the"], ["hate", "sell", "worthless"], ["maybe", "ent", "doubt"]
@@ -217,6 +217,33 @@ def _(t):
     return t.spark.read.option("header", True).schema("o_orderkey long, o_orderstatus string, split string").csv(f"{path}/data")
 
 
+@query(
+    "sink_network",
+    f"""WITH {FLOWS} SELECT 'edge' AS part, src, dst, {R('weight', 2)} AS weight FROM edges
+    UNION ALL SELECT 'node', n, NULL, count(*)::DOUBLE FROM (SELECT src AS n FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 2""",
+)
+def _(t):
+    path = scratch(t, "network")
+    ends = t.flows.select(F.col("src").alias("n")).unionAll(t.flows.select("dst"))
+    sinks.sink_network(ends.groupBy("n").agg(F.count(F.lit(1)).cast("double").alias("weight")), t.flows, path)
+    nodes = t.spark.read.parquet(f"{path}/nodes").select(F.lit("node").alias("part"), F.col("n").alias("src"), F.lit(None).cast("string").alias("dst"), "weight")
+    edges = t.spark.read.parquet(f"{path}/edges").select(F.lit("edge").alias("part"), "src", "dst", r("weight", 2).alias("weight"))
+    return edges.unionByName(nodes)
+
+
+@query(
+    "sink_results_tables",
+    f"""WITH {PRICES} SELECT 'levels' AS result, symbol, {R('avg(price)')} AS value FROM prices GROUP BY 2
+    UNION ALL SELECT 'volumes', symbol, sum(total_volume)::DOUBLE FROM prices GROUP BY 2""",
+)
+def _(t):
+    path = scratch(t, "results")
+    by = t.prices.groupBy("symbol")
+    sinks.sink_results_tables({"levels": by.agg(r(F.avg("price")).alias("value")), "volumes": by.agg(F.sum("total_volume").cast("double").alias("value"))}, path)
+    parts = [t.spark.read.parquet(f"{path}/{name}").select("result", "symbol", "value") for name in ("levels", "volumes")]
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "scan_events_range",
     f"WITH {COMMENTS} SELECT community, comment_id, ts FROM comments WHERE day BETWEEN DATE '{FIRST}' AND DATE '{LAST}'",

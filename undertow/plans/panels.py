@@ -85,6 +85,9 @@ def spill_dynamics(panel: DataFrame, *, window: int = 252, step: int = 21, min_r
     if panel.select("ts").distinct().count() >= min_rolling:
         rolling = transmission.rolling_spillover(panel, window=window, step=step, horizon=horizon)
         parts.append(row(rolling, "rolling", F.lit("total"), F.col("total"), ts=F.col("date"), reason=F.col("reason")))
+    else:
+        one = panel.sparkSession.range(1)
+        parts.append(row(one, "rolling", F.lit("total"), none, reason=F.lit(f"fewer than {min_rolling} times")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
