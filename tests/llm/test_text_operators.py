@@ -189,6 +189,54 @@ def test_lm_base_and_totals(spark, odd, nothing):
     assert attention_lm.lm_query(nothing).count() == 0
 
 
+def test_lm_spelling_is_a_distribution_and_is_mixed_word_by_word(spark, monkeypatch):
+    texts = some_texts(40, 9)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, words = attention_lm.trained(docs)
+    subwords = attention_lm.Subwords(attention_lm.VOCABULARY, model.head, model.grams)
+    counts = Counter(x for t in texts for x in attention_lm.tokens(t.encode()))
+    grams = Counter()
+    for token, n in counts.items():
+        pieces = attention_lm.Subwords(attention_lm.VOCABULARY).ids([token])[0].tolist()
+        before = [subwords.size, *pieces]
+        for j in range(1, len(pieces)):
+            grams[-1, pieces[j - 1], pieces[j]] += n
+            grams[before[j - 1], pieces[j - 1], pieces[j]] += n
+    assert len(grams) == len(model.grams.key)
+    totals = Counter()
+    for (a, b, _), n in grams.items():
+        totals[a, b] += n
+    for (a, b), t in totals.items():
+        of = [n for (x, y, _), n in grams.items() if (x, y) == (a, b)]
+        left = model.grams.left[np.searchsorted(model.grams.context, model.grams.code(a, b))]
+        assert sum(n - attention_lm.DISCOUNT for n in of) / t + left == pytest.approx(1)
+    # one text, word by word and id by id
+    text = "".join(texts[:2]) + " unheardofword"
+    list_ = attention_lm.tokens(text.encode())
+    ids, sizes = subwords.ids(list_)
+    logs, want, at = attention_lm.id_logs(model, ids, np.array([len(ids)]), subwords.size - 1), 0.0, 0
+    for token, size in zip(list_, sizes):
+        p = 1.0
+        for j in range(at, at + size):
+            here = 10 ** logs[j]
+            if j > at:
+                for a in (-1, subwords.size if j == at + 1 else int(ids[j - 2])):
+                    t = totals[a, int(ids[j - 1])]
+                    if t:
+                        of = [n for (x, y, _), n in grams.items() if (x, y) == (a, int(ids[j - 1]))]
+                        here = max(grams[a, int(ids[j - 1]), int(ids[j])] - attention_lm.DISCOUNT, 0) / t + attention_lm.DISCOUNT * len(of) / t * here
+            p *= here
+        want += math.log10(attention_lm.GATE * counts[token] / model.n + (1 - attention_lm.GATE) * p)
+        at += size
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = attention_lm.score(one, model, words).first()["score"]
+    assert got == pytest.approx(want, rel=1e-4)
+    monkeypatch.setattr(attention_lm, "HEAD", 3)  # most words take the join
+    assert attention_lm.score(one, attention_lm.trained(docs)[0], words).first()["score"] == pytest.approx(want, rel=1e-4)
+    monkeypatch.setattr(attention_lm, "LONG", 20)  # and the text goes in pieces
+    assert attention_lm.score(one, model, words).first()["score"] == pytest.approx(want, rel=1e-4)
+
+
 def test_lm_trains_on_every_text_however_it_is_partitioned(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([*some_texts(120, 8), "word " * 900, None])], "doc_id long, text string")
     windows = sum(-(-len(attention_lm.Subwords(attention_lm.VOCABULARY).ids(attention_lm.tokens((r["text"] or "").encode()))[0]) // attention_lm.STEP) for r in docs.collect())
