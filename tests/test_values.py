@@ -176,3 +176,16 @@ def test_lagged_correlations_use_the_times_each_pair_has(spark):
         at = np.array([i for i in range(30) if i != 10])  # c at i meets a at i + lag
         assert sparse["c", "a", lag].n == 29
         assert sparse["c", "a", lag].corr == pytest.approx(np.corrcoef(full["c"][at], full["a"][at + lag])[0, 1], abs=1e-6)
+
+
+def test_distinct_sketches_roll_up_without_the_ids(spark):
+    rows = spark.range(40_000).selectExpr("id % 3 AS k", "id % 10 AS day", "CASE WHEN id % 7 > 0 THEN id % 9000 END AS v")
+    rows = rows.unionByName(spark.createDataFrame([(9, 1, None)], "k long, day long, v long"))
+    stored = aggregate.distinct_sketches(rows, value="v", by=["k", "day"])
+    exact = {r["k"]: r["n_distinct"] for r in aggregate.count_distinct(rows, value="v", by=["k"]).collect()}
+    got = {r["k"]: r["n_estimated"] for r in aggregate.rolled_distinct(stored, ["k"]).collect()}
+    assert got.keys() == exact.keys() and got[9] == 0
+    assert all(got[k] == pytest.approx(n, rel=0.04) for k, n in exact.items())
+    assert aggregate.rolled_distinct(stored).first()["n_estimated"] == pytest.approx(9000, rel=0.04)
+    small = aggregate.distinct_sketches(rows.limit(0), value="v", by=["k"])
+    assert aggregate.rolled_distinct(small, ["k"]).count() == 0

@@ -266,6 +266,20 @@ def count_distinct(df: DataFrame, *, value: str, by: Sequence[str] = (), approxi
     return df.groupBy(*by, value).agg(F.lit(1)).groupBy(*by).agg(F.count(value).alias("n_distinct"))
 
 
+def distinct_sketches(df: DataFrame, *, value: str, by: Sequence[str], bits: int = 14) -> DataFrame:
+    """A sketch of the distinct values of every group, to be stored: 2^bits registers, whatever the number of values.
+
+    The estimate of a group, or of any union of groups, has a relative standard error of about 1.04 / 2^(bits / 2)
+    (0.8 % for 14 bits).  NULL is no value; a group without values has an empty sketch.
+    """
+    return df.groupBy(*by).agg(F.hll_sketch_agg(F.col(value).cast("string"), F.lit(bits)).alias("sketch"))
+
+
+def rolled_distinct(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Estimated distinct values of coarser groups from stored sketches alone; values that groups share count once."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_estimated"))
+
+
 def quantile_flag_score(
     df: DataFrame,
     *,

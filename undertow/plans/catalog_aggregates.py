@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from undertow.functions import scalars
 from undertow.operators import aggregate
 from undertow.plans.registry import R, query, r, rounded
+from undertow.session import match, shared_folder
+from undertow.sources import sinks
 from undertow.sources.tables import BARS, COMMENTS, POSTS, PRICES
 
 DAILY = """SELECT community, day, count(DISTINCT post_id)::BIGINT AS posts, count(comment_id)::BIGINT AS comments, {avgs}, {counts},
@@ -245,3 +249,24 @@ def _(t):
 @query("count_distinct_ids", "SELECT event_type AS community, count(DISTINCT user_id)::BIGINT AS n_distinct FROM events GROUP BY 1")
 def _(t):
     return aggregate.count_distinct(t.comments, value="post_id", by=["community"])
+
+
+@query(
+    "distinct_rollup",
+    """WITH e AS (SELECT event_type AS community, user_id FROM events)
+    SELECT community, count(DISTINCT user_id)::BIGINT AS n_distinct, true AS within_5_percent FROM e GROUP BY 1
+    UNION ALL SELECT '(all)', count(DISTINCT user_id)::BIGINT, true FROM e""",
+)
+def _(t):
+    """Sketches stored per community and day, rolled up to communities and to everything, beside the exact counts."""
+    path = f"{shared_folder(t.spark)}/undertow-sketches-{uuid.uuid4().hex}"
+    sinks.sink_truncate(aggregate.distinct_sketches(t.comments, value="post_id", by=["community", "day"]), path)
+    stored = t.spark.read.parquet(path)
+    named = F.lit("(all)").alias("community")
+    exact = aggregate.count_distinct(t.comments, value="post_id", by=["community"]).unionByName(
+        aggregate.count_distinct(t.comments, value="post_id").select(named, "n_distinct")
+    )
+    guess = aggregate.rolled_distinct(stored, ["community"]).unionByName(aggregate.rolled_distinct(stored).select(named, "n_estimated"))
+    both = match(exact, guess, ["community"])
+    near = F.abs(F.col("n_estimated") - F.col("n_distinct")) * 20 <= F.col("n_distinct")
+    return both.select("community", "n_distinct", near.alias("within_5_percent"))
