@@ -319,3 +319,34 @@ def test_clustering_of_a_triangle(spark):
 def test_components_of_a_long_chain(spark):
     chain = spark.range(40).select(F.format_string("v%03d", F.col("id")).alias("src"), F.format_string("v%03d", F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight"))
     assert [(r["label"], r["size"]) for r in graph.weak_components(chain).collect()] == [("v000", 41)]
+
+
+def test_fold_models_equal_training(spark):
+    """Moments give what Spark's own training gives, whatever the offset, with constant and NULL columns."""
+    from undertow.operators import mlmodels
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 2))
+    y = 3 * x[:, 0] - x[:, 1] + rng.normal(size=400)
+    fold = np.arange(400) % 2
+    rows = [(int(fold[i]), "test" if i % 5 == 0 else "train", float(x[i, 0]), float(x[i, 1] + 1e6), 7.0, float(y[i])) for i in range(400)]
+    df = spark.createDataFrame(rows, "fold int, role string, a double, b double, c double, y double").cache()
+    dirty = df.unionByName(df.limit(5).withColumn("a", F.lit(None).cast("double")))
+    got = {(r["model"], r["fold"]): r for r in mlmodels.cv_scores(dirty, features=["a", "b", "c"], target="y", kinds=["linear", "ridge"]).collect()}
+    assert len(got) == 4
+    for (kind, number), row in got.items():
+        part = df.filter(F.col("fold") == number).withColumn("b", F.col("b") - 1e6)  # the offset is taken off for the training
+        model = mlmodels.train_regressor(part.filter("role = 'train'"), features=["a", "b", "c"], target="y", kind=kind)
+        e = np.array([r["y"] - r["prediction"] for r in model.transform(part.filter("role = 'test'")).collect()])
+        truth = np.array([r["y"] for r in part.filter("role = 'test'").collect()])
+        assert row["n"] == len(e)
+        np.testing.assert_allclose([row["mse"], row["mae"], row["r2"]], [np.mean(e**2), np.mean(abs(e)), 1 - np.mean(e**2) / truth.var()], rtol=1e-6)
+
+
+def test_folds_without_rows(spark):
+    from undertow.operators import mlmodels
+
+    df = spark.createDataFrame([(1, "train", 1.0, 2.0), (1, "train", 2.0, 2.0), (2, "test", 1.0, 1.0)], "fold int, role string, a double, y double")
+    got = {r["fold"]: r for r in mlmodels.cv_scores(df, features=["a"], target="y", kinds=["linear"]).collect()}
+    assert (got[1]["n"], got[1]["mse"], got[2]["n"], got[2]["mse"], got[2]["r2"]) == (0, None, 1, None, None)
+    assert mlmodels.cv_scores(df.limit(0), features=["a"], target="y", kinds=["linear", "ridge"]).count() == 0

@@ -167,10 +167,19 @@ def _(t):
     return rounded(scores, 3)
 
 
-@query("grid_search")
+RIDGE_FOLDS = """p AS (SELECT l_quantity AS a, l_discount AS b, l_extendedprice AS y, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos, count(*) OVER () AS n FROM lineitem),
+  f AS (SELECT a, b, y, fold, pos < n - (3 - fold + 1) * (n // 4) AS train FROM p, range(1, 4) g(fold) WHERE pos < n - (3 - fold + 1) * (n // 4) + n // 4),
+  m AS (SELECT fold, l, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, l / stddev_pop(y) AS pen, corr(a, b) AS c12, covar_pop(a, y) / stddev_pop(a) AS c1, covar_pop(b, y) / stddev_pop(b) AS c2
+    FROM f, (SELECT unnest([0.01, 1.0]) AS l) WHERE train GROUP BY 1, 2),
+  w AS (SELECT *, ((1 + pen) * c1 - c12 * c2) / ((1 + pen) * (1 + pen) - c12 * c12) / sa AS wa, ((1 + pen) * c2 - c12 * c1) / ((1 + pen) * (1 + pen) - c12 * c12) / sb AS wb FROM m),
+  e AS (SELECT w.fold, l, y, y - my - wa * (a - ma) - wb * (b - mb) AS err FROM f JOIN w ON w.fold = f.fold WHERE NOT train),
+  s AS (SELECT fold, l, avg(err * err) AS mse, 1 - avg(err * err) / var_pop(y) AS r2 FROM e GROUP BY 1, 2), o AS (SELECT l, avg(mse) AS mse, avg(r2) AS r2 FROM s GROUP BY 1)"""
+
+
+@query("grid_search", f"WITH {RIDGE_FOLDS} SELECT '{{''regParam'': ' || l::DOUBLE || '}}' AS params, {R('mse', 2)} AS mse, {R('r2')} AS r2, row_number() OVER (ORDER BY mse)::INT AS rank FROM o")
 def _(t):
     g = mlmodels.grid_search(folded(t), features=["l_quantity", "l_discount"], target="l_extendedprice", kind="ridge", grid={"regParam": [0.01, 1.0]})
-    return rounded(g, 3)
+    return g.select("params", r("mse", 2).alias("mse"), r("r2").alias("r2"), "rank")
 
 
 GUESS = "CASE WHEN l_discount < 0.03 THEN 'A' WHEN l_discount < 0.07 THEN 'N' ELSE 'R' END"
