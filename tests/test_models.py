@@ -350,3 +350,44 @@ def test_folds_without_rows(spark):
     got = {r["fold"]: r for r in mlmodels.cv_scores(df, features=["a"], target="y", kinds=["linear"]).collect()}
     assert (got[1]["n"], got[1]["mse"], got[2]["n"], got[2]["mse"], got[2]["r2"]) == (0, None, 1, None, None)
     assert mlmodels.cv_scores(df.limit(0), features=["a"], target="y", kinds=["linear", "ridge"]).count() == 0
+
+
+def test_break_by_counts(spark):
+    """p-values agree with resampling of rows, wherever the values lie; series without a key, short and empty ones have a result."""
+    rng = np.random.default_rng(3)
+    y = np.column_stack([rng.normal(size=600), rng.normal(size=600) * np.repeat([1.0, 1.12], 300), rng.normal(size=600) * np.repeat([1.0, 3.0], 300)])
+    df = long(spark, y, ["flat", "slight", "jump"])
+    lost = df.filter("series = 'jump'").withColumn("series", F.lit(None).cast("string"))
+    short = df.filter("series = 'flat'").orderBy("ts").limit(1).withColumn("series", F.lit("one"))
+    rows = df.unionByName(lost).unionByName(short)
+    run = lambda d, **kw: {r["series"]: r for r in stattests.variance_break_bootstrap(d, key="series", ts="ts", value="value", **kw).collect()}
+    got = run(rows, draws=300)
+    for j, name in enumerate(["flat", "slight", "jump"]):
+        shift = lambda z: abs(z[:300].var() - z[300:].var()) / np.sqrt(z[:300].var() + z[300:].var())
+        p = np.mean([shift(rng.choice(y[:, j], 600)) >= shift(y[:, j]) for _ in range(2000)])
+        assert abs(got[name]["statistic"] - shift(y[:, j])) < 1e-9 and abs(got[name]["p_value"] - p) < 0.09, (name, p)
+    assert got[None]["statistic"] == got["jump"]["statistic"] and got[None]["p_value"] < 0.05
+    assert got["one"]["n"] == 1 and got["one"]["statistic"] == 0
+    moved = run(df.withColumn("value", F.col("value") + 1e8), draws=300)
+    assert moved["slight"]["p_value"] == pytest.approx(got["slight"]["p_value"], abs=0.02)
+    assert run(df.limit(0)) == {}
+
+
+def test_permutations_in_blocks(spark):
+    """Small blocks give the p-value of whole permutations; a target that follows its feature stands out."""
+    rng = np.random.default_rng(4)
+    x, e = rng.normal(size=2000), rng.normal(size=2000)
+    rows = [(i, float(x[i]), float(e[i]), float(e[i] + 0.2 * x[i] + 1e7)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, z double")
+    df = df.unionByName(df.limit(3).withColumn("x", F.lit(None).cast("double")))
+    for size in (100, 10_000):
+        for target, clear in (("y", False), ("z", True)):
+            s = stattests.permutation_test(df, id="id", features=["x"], target=target, draws=40, rows=size).collect()
+            r2 = {r["draw"]: r["r2"] for r in s}
+            assert len(r2) == 41 and {r["n"] for r in s} == {2000}
+            assert r2[0] == pytest.approx(np.corrcoef(x, e if target == "y" else e + 0.2 * x)[0, 1] ** 2, rel=1e-6)
+            assert 0 <= max(v for b, v in r2.items() if b) < 0.02 and len(set(r2.values())) == 41
+            assert (r2[0] > max(v for b, v in r2.items() if b)) == clear or not clear
+    still = stattests.permutation_test(df.withColumn("y", F.lit(1.0)), id="id", features=["x"], target="y", draws=2).collect()
+    assert [r["r2"] for r in still] == [None] * 3
+    assert stattests.permutation_test(df.limit(0), id="id", features=["x"], target="y", draws=2).count() == 0

@@ -53,6 +53,11 @@ def merge(parts: Sequence[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.
     return n, mean, m
 
 
+def _packed_row(key, salt, part):
+    n, mean, m = part
+    return (*key, salt, n, mean, m[np.triu_indices(len(mean))])
+
+
 def gram_packed(df: DataFrame, *, keys: Sequence[str], vector: str) -> DataFrame:
     """Moments of a vector column per group: (keys, n, means array<double>, cells array<double>).
 
@@ -65,10 +70,6 @@ def gram_packed(df: DataFrame, *, keys: Sequence[str], vector: str) -> DataFrame
     schema = T.StructType([*fields, T.StructField("_salt", T.IntegerType()), *made])
     names = [f.name for f in schema.fields]
 
-    def row(key, salt, part):
-        n, mean, m = part
-        return (*key, salt, n, mean, m[np.triu_indices(len(mean))])
-
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         salt, held = TaskContext.get().partitionId() // FAN, {}
         for batch in batches:
@@ -81,10 +82,18 @@ def gram_packed(df: DataFrame, *, keys: Sequence[str], vector: str) -> DataFrame
                 name = tuple(None if pd.isna(x) else x for x in (key if isinstance(key, tuple) else (key,)))
                 held[name] = merge([held[name], part]) if name in held else part
             if len(held) > MOST_HELD:
-                yield pd.DataFrame([row(k, salt, p) for k, p in held.items()], columns=names)
+                yield pd.DataFrame([_packed_row(k, salt, p) for k, p in held.items()], columns=names)
                 held = {}
         if held:
-            yield pd.DataFrame([row(k, salt, p) for k, p in held.items()], columns=names)
+            yield pd.DataFrame([_packed_row(k, salt, p) for k, p in held.items()], columns=names)
+
+    return merge_packed(df.select(*keys, vector).mapInPandas(partial, schema), keys=keys)
+
+
+def merge_packed(partials: DataFrame, *, keys: Sequence[str]) -> DataFrame:
+    """One row of moments per group from partial rows (keys, _salt, n, means, cells): first per salt, then over the salts."""
+    keys, schema = list(keys), partials.schema
+    names = [f.name for f in schema.fields]
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows in the order of their keys -> one row per group."""
@@ -98,13 +107,12 @@ def gram_packed(df: DataFrame, *, keys: Sequence[str], vector: str) -> DataFrame
                     part = merge([part, more])
                     continue
                 if part is not None:
-                    out.append(row(now[:-1], now[-1], part))
+                    out.append(_packed_row(now[:-1], now[-1], part))
                 now, part = head, more
             yield pd.DataFrame(out, columns=names)
         if part is not None:
-            yield pd.DataFrame([row(now[:-1], now[-1], part)], columns=names)
+            yield pd.DataFrame([_packed_row(now[:-1], now[-1], part)], columns=names)
 
-    partials = df.select(*keys, vector).mapInPandas(partial, schema)
     some = partials.repartition(*keys, "_salt").sortWithinPartitions(*keys, "_salt").mapInPandas(joined, schema)
     some = some.withColumn("_salt", F.lit(0))
     placed = some.repartition(*keys).sortWithinPartitions(*keys) if keys else some.repartition(1)

@@ -8,6 +8,8 @@ group, and p-values are taken over the result rows only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
+from math import exp
 from statistics import NormalDist
 
 import numpy as np
@@ -419,17 +421,79 @@ def _variance_shift(first: Column, second: Column) -> Column:
     return F.when(first + second > 0, F.abs(first - second) / F.sqrt(first + second)).otherwise(0.0)
 
 
+PRIME = 2**31 - 1  # numbers of rows and draws live below it, so their products fit into 64 bits
+
+
+def draw_number(tag: str, b: int) -> int:
+    """Number of a draw in [0, PRIME), from md5 like :func:`hash_number`."""
+    return int(md5(f"{tag}-{b}".encode()).hexdigest()[:8], 16) % PRIME
+
+
+def draw_lines(tag: str, draws: int, start: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Per draw a factor and an offset: (factor * seed + offset) % PRIME spreads the rows' seeds, pairwise independently."""
+    span = range(start, draws + 1)
+    return np.array([1 + draw_number(f"{tag}a", b) % (PRIME - 1) for b in span]), np.array([draw_number(f"{tag}c", b) for b in span])
+
+
+def poisson_steps(rate: float) -> np.ndarray:
+    """Numbers below PRIME at which a Poisson count rises by one."""
+    steps, term, below, k = [], exp(-rate), 0.0, 0
+    while True:
+        below += term
+        step = int(below * PRIME)
+        if step >= PRIME - 1:
+            return np.array(steps)
+        steps.append(step)
+        k += 1
+        term *= rate / k
+
+
 def variance_break_bootstrap(df: DataFrame, *, key: str, ts: str, value: str, draws: int = 200) -> DataFrame:
-    """Change of variance between the two halves of a series against resampled series."""
+    """Change of variance between the two halves of a series against resampled series: (key, n, statistic, p_value).
+
+    Every row enters each half of draw b with a Poisson count of mean 1/2 that depends on its place and on b alone, so no row
+    is copied: a task sums its rows' weights and weighted moments about the series' mean for all draws at once, and
+    only those sums are shuffled. Draws that leave a half empty do not count. Rows with a NULL value are left out.
+    """
     numbered = _numbered(df, [key], ts, value)
+    early = F.col("pos") <= F.floor(F.col("n") / 2)
+    seen = numbered.groupBy(key).agg(
+        F.max("n").alias("n"), F.var_pop(F.when(early, F.col("x"))).alias("v1"), F.var_pop(F.when(~early, F.col("x"))).alias("v2"), F.avg("x").alias("_mean")
+    )
+    seen = cut_lineage(seen.select(key, "n", _variance_shift(F.col("v1"), F.col("v2")).alias("statistic"), "_mean"))
+    seeds = attach(numbered, seen.select(key, "_mean"), [key]).select(
+        key, (hash_number(F.col(key), F.col("pos")) % PRIME).alias("seed"), (F.col("x") - F.col("_mean")).cast("double").alias("d")
+    )
+    sums = [f"{side}{power}" for side in "el" for power in range(3)]
+    fields = [T.StructField("b", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in sums]]
+    schema = T.StructType([seeds.schema[key], *fields])
+    lines, steps = [draw_lines(side, draws) for side in "el"], poisson_steps(0.5)
 
-    def halves(d: DataFrame, keys):
-        early = F.col("pos") <= F.floor(F.col("n") / 2)
-        return d.groupBy(*keys).agg(F.max("n").alias("n"), F.var_pop(F.when(early, F.col("x"))).alias("v1"), F.var_pop(F.when(~early, F.col("x"))).alias("v2"))
+    def weigh(batches):
+        held = {}
 
-    seen = halves(numbered, [key]).select(key, "n", _variance_shift(F.col("v1"), F.col("v2")).alias("statistic"))
-    drawn = halves(_redraw(numbered, [key], draws, F.col(key)), [key, "b"]).select(key, _variance_shift(F.col("v1"), F.col("v2")).alias("_d"))
-    return seen.join(drawn, key).groupBy(key, "n", "statistic").agg(F.avg((F.col("_d") >= F.col("statistic")).cast("int")).alias("p_value"))
+        def made():
+            for name, total in held.items():
+                yield pd.DataFrame({key: [name] * draws, "b": range(1, draws + 1), **dict(zip(sums, total))}).astype({key: object})
+
+        for batch in batches:
+            for name, rows in batch.groupby(key, sort=False, dropna=False):
+                seed, d = rows["seed"].to_numpy()[:, None], rows["d"].to_numpy()
+                powers = np.stack([np.ones(len(d)), d, d * d])
+                counts = [np.searchsorted(steps, (a * seed + c) % PRIME, side="right").astype(float) for a, c in lines]
+                part = np.concatenate([powers @ w for w in counts])
+                name = None if pd.isna(name) else name
+                held[name] = held[name] + part if name in held else part
+            if len(held) > moments.MOST_HELD:
+                yield from made()
+                held.clear()
+        yield from made()
+
+    drawn = seeds.mapInPandas(weigh, schema).groupBy(key, "b").agg(*[F.sum(c).alias(c) for c in sums])
+    half = lambda side: F.col(f"{side}2") / F.col(f"{side}0") - (F.col(f"{side}1") / F.col(f"{side}0")) ** 2
+    drawn = drawn.filter("e0 > 0 and l0 > 0").select(key, _variance_shift(F.greatest(half("e"), F.lit(0.0)), F.greatest(half("l"), F.lit(0.0))).alias("_d"))
+    joined = match(seen.drop("_mean"), drawn, [key], "left")
+    return joined.groupBy(key, "n", "statistic").agg(F.avg((F.col("_d") >= F.col("statistic")).cast("int")).alias("p_value"))
 
 
 def event_window_bootstrap(df: DataFrame, events: DataFrame, *, key: str, ts: str, value: str, draws: int = 200) -> DataFrame:
@@ -481,32 +545,55 @@ def spill_significance(df: DataFrame, events: DataFrame, *, key: str, ts: str, v
     )
 
 
-def permutation_test(df: DataFrame, *, id: str, features: Sequence[str], target: str, draws: int = 20) -> DataFrame:
-    """In-sample R^2 of a linear model against label permutations: (draw, r2), draw 0 = the data.
+PERMUTED_ROWS = 65_536  # rows whose targets are permuted among each other
+
+
+def permutation_test(df: DataFrame, *, id: str, features: Sequence[str], target: str, draws: int = 20, rows: int = PERMUTED_ROWS) -> DataFrame:
+    """In-sample R^2 of a linear model against label permutations: (draw, n, r2), draw 0 = the data.
 
-    Permuted labels meet rows by position in hash order; positions come from
-    even blocks, so no task ever orders a whole permutation.
+    Rows are laid out by the hash of their id and cut into blocks of ``rows`` rows; a draw permutes the targets inside
+    every block (such permutations form a group, so the test stays exact). One shuffle serves all draws: a task
+    holds one block and hands on one matrix of moments per draw. Rows with a NULL feature or target are left out.
+    r2 is NULL where the target or a feature does not vary.
     """
-    rows = df.select(F.col(id).alias("id"), F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features]).alias("x"), F.col(target).cast("double").alias("y"))
-    at_home = hash_number(F.lit("row"), F.col("id"))
-    home = rows.select("id", "x", at_home.alias("h"))
-    copies = rows.select("id", "y", F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("b"))
-    away = copies.withColumn("h", F.when(F.col("b") == 0, at_home).otherwise(hash_number(F.col("b"), F.col("id"))))
-    x = blocks.positions(home, [], ["h", "id"]).select("pos", "x")
-    y = blocks.positions(away, ["b"], ["h", "id"]).select("b", "pos", "y")
-    v = y.join(x, "pos").select("b", F.concat("x", F.array("y")).alias("v"))
-    packed = moments.gram_packed(v, keys=["b"], vector="v")
+    cells = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features], F.col(target).cast("double"))
+    known = df.select(F.col(id).alias("id"), hash_number(F.lit("row"), F.col(id)).alias("h"), cells.alias("v")).filter("not exists(v, x -> x is null)")
+    placed = blocks.positions(known, [], ["h", "id"])
+    placed = placed.select(F.floor((F.col("pos") - 1) / rows).alias("block"), "pos", (F.col("h") % PRIME).alias("seed"), "v")
     d = len(features) + 2
+    factors, offsets = draw_lines("p", draws)
+
+    def permuted(table):  # one block
+        table = table.sort_values("pos", ignore_index=True)
+        v, seed = np.vstack(table["v"].to_numpy()), table["seed"].to_numpy()
+        mean = v.mean(axis=0)
+        v = v - mean
+        fixed = v.T @ v
+        out = []
+        for b in range(draws + 1):
+            m = fixed
+            if b:
+                order = np.argsort((factors[b - 1] * seed + offsets[b - 1]) % PRIME, kind="stable")
+                m = fixed.copy()
+                m[:-1, -1] = m[-1, :-1] = v[:, :-1].T @ v[order, -1]
+            out.append((b, int(table["block"].iloc[0]) // moments.FAN, len(v), mean, m[np.triu_indices(d)]))
+        return pd.DataFrame(out, columns=["b", "_salt", "n", "means", "cells"])
+
+    parts = placed.groupBy("block").applyInPandas(permuted, "b int, _salt int, n long, means array<double>, cells array<double>")
+    packed = moments.merge_packed(parts, keys=["b"])
 
     def score(batches):
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
                 part = (r.n, np.asarray(r.means), moments.unpack(r.cells, d))
-                rss = moments.ols(part, range(d - 1), [d - 1])[1][0, 0]
-                total = part[2][d - 1, d - 1]
-                out.append((r.b, r.n, 1 - rss / total))
-            yield pd.DataFrame(out, columns=["draw", "n", "r2"])
+                try:
+                    total = part[2][d - 1, d - 1]
+                    r2 = 1 - moments.ols(part, range(d - 1), [d - 1])[1][0, 0] / total if total > 0 else None
+                except np.linalg.LinAlgError:
+                    r2 = None
+                out.append((r.b, r.n, r2))
+            yield pd.DataFrame(out, columns=["draw", "n", "r2"]).astype({"r2": float})
 
     return packed.mapInPandas(score, "draw int, n long, r2 double")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -185,14 +187,32 @@ def _(t):
 DRAWS = 60
 
 
-def draw(tag, b="b", pos="pos"):
-    return f"(('0x' || substr(md5(concat_ws('-', {tag}, {b}, {pos})), 1, 8))::UBIGINT::BIGINT)"
+def draw(*parts):
+    return f"(('0x' || substr(md5(concat_ws('-', {', '.join(parts)})), 1, 8))::UBIGINT::BIGINT)"
+
+
+def lines(tag):
+    p = stattests.PRIME
+    return f"1 + {draw(repr(tag + 'a'), 'b')} % {p} % {p - 1} AS {tag}a, {draw(repr(tag + 'c'), 'b')} % {p} AS {tag}c"
+
+
+def spread(tag):
+    return f"(({tag}a * seed + {tag}c) % {stattests.PRIME})"
+
+
+def poisson(tag, rate=0.5):
+    """Count of the Poisson distribution whose share the number has passed."""
+    below = [sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+    steps = [int(x * stattests.PRIME) for x in below]
+    return "(" + " + ".join(f"({spread(tag)} >= {x})::INT" for x in steps if x < stattests.PRIME - 1) + ")"
 
 
 BREAK = RETURNS + f""", nb AS (SELECT series, ts, ret AS x, row_number() OVER (PARTITION BY series ORDER BY ts) AS pos, count(*) OVER (PARTITION BY series) AS n FROM returns),
   hv AS (SELECT series, n, var_pop(x) FILTER (pos <= n // 2) AS v1, var_pop(x) FILTER (pos > n // 2) AS v2 FROM nb GROUP BY 1, 2), seen AS (SELECT series, n, abs(v1 - v2) / sqrt(v1 + v2) AS stat FROM hv),
-  pick AS (SELECT series, n, b, pos, {draw('series')} % n + 1 AS k FROM nb, range(1, {DRAWS + 1}) g(b)), dr AS (SELECT p.series, p.n, b, p.pos, x FROM pick p JOIN nb ON nb.series = p.series AND nb.pos = k),
-  bv AS (SELECT series, b, var_pop(x) FILTER (pos <= n // 2) AS v1, var_pop(x) FILTER (pos > n // 2) AS v2 FROM dr GROUP BY 1, 2),
+  dn AS (SELECT b, {lines('e')}, {lines('l')} FROM range(1, {DRAWS + 1}) g(b)), sd AS (SELECT series, n, x, {draw('series', 'pos')} % {stattests.PRIME} AS seed FROM nb),
+  wt AS (SELECT series, b, x, {poisson('e')} AS we, {poisson('l')} AS wl FROM sd, dn),
+  mv AS (SELECT series, b, sum(we) AS e0, sum(wl) AS l0, sum(we * x) AS e1, sum(wl * x) AS l1, sum(we * x * x) AS e2, sum(wl * x * x) AS l2 FROM wt GROUP BY 1, 2),
+  bv AS (SELECT series, b, e2 / e0 - (e1 / e0) ** 2 AS v1, l2 / l0 - (l1 / l0) ** 2 AS v2 FROM mv WHERE e0 > 0 AND l0 > 0),
   brk AS (SELECT series, n, stat, avg((abs(v1 - v2) / sqrt(v1 + v2) >= stat)::INT) AS p FROM bv JOIN seen USING (series) GROUP BY 1, 2, 3)"""
 
 
@@ -205,7 +225,7 @@ EVENT_DAYS = ["2024-01-03", "2025-03-03", "2026-06-01", "2028-02-29"]
 EVENT = f"""ev AS (SELECT unnest([{', '.join(f"DATE '{d}'" for d in EVENT_DAYS)}]) AS event), hit AS (SELECT series, event, pos AS at_, n AS n0, least(20, n // 4) AS wd FROM nb JOIN ev ON ts = event),
   near AS (SELECT hit.series, event, x, pos < at_ AS before, row_number() OVER w AS pos, count(*) OVER (PARTITION BY hit.series, event) AS n FROM hit JOIN nb ON nb.series = hit.series AND pos >= at_ - wd AND pos < at_ + wd WINDOW w AS (PARTITION BY hit.series, event ORDER BY pos)),
   side AS (SELECT series, event, max(n) AS n, count(*) FILTER (before) AS nb_, abs(avg(x) FILTER (before) - avg(x) FILTER (NOT before)) AS d FROM near GROUP BY 1, 2),
-  epick AS (SELECT series, event, n, b, pos, {draw("concat_ws('-', series, event::DATE::VARCHAR)")} % n + 1 AS k FROM near, range(1, {DRAWS + 1}) g(b)),
+  epick AS (SELECT series, event, n, b, pos, {draw("concat_ws('-', series, event::DATE::VARCHAR)", "b", "pos")} % n + 1 AS k FROM near, range(1, {DRAWS + 1}) g(b)),
   edraw AS (SELECT e.series, e.event, b, e.pos, x FROM epick e JOIN near ON near.series = e.series AND near.event = e.event AND near.pos = k),
   ed AS (SELECT q.series, q.event, b, abs(avg(x) FILTER (pos <= nb_) - avg(x) FILTER (pos > nb_)) AS dd FROM edraw q JOIN side ON side.series = q.series AND side.event = q.event GROUP BY 1, 2, 3),
   ep AS (SELECT side.series, side.event, CASE WHEN nb_ >= 5 AND n - nb_ >= 5 THEN d ELSE 0 END AS stat, CASE WHEN nb_ >= 5 AND n - nb_ >= 5 THEN avg((dd >= d)::INT) ELSE 1 END AS p FROM side JOIN ed USING (series, event) GROUP BY 1, 2, 3, nb_, n)"""
@@ -233,14 +253,12 @@ def spill_results(t):
     return stattests.spill_significance(t.returns, event_days(t), key="series", ts="ts", value="ret", draws=DRAWS)
 
 
-def mixed(tag):
-    return f"(('0x' || substr(md5(concat_ws('-', {tag}, id)), 1, 8))::UBIGINT::BIGINT)"
-
-
 PERMUTED = f"""li AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, l_quantity AS q, l_discount AS d, l_extendedprice AS y FROM lineitem),
-  px AS (SELECT q, d, row_number() OVER (ORDER BY {mixed(chr(39) + 'row' + chr(39))}, id) AS pos FROM li),
-  py AS (SELECT b, y, row_number() OVER (PARTITION BY b ORDER BY CASE WHEN b = 0 THEN {mixed(chr(39) + 'row' + chr(39))} ELSE {mixed('b')} END, id) AS pos FROM li, range(0, 11) g(b)),
-  pm AS (SELECT b, count(*) AS n, var_pop(q) AS v1, var_pop(d) AS v2, covar_pop(q, d) AS c12, covar_pop(y, q) AS c1, covar_pop(y, d) AS c2, var_pop(y) AS vy FROM py JOIN px USING (pos) GROUP BY 1),
+  px AS (SELECT q, d, y, h % {stattests.PRIME} AS seed, pos, (pos - 1) // {stattests.PERMUTED_ROWS} AS blk FROM (SELECT q, d, y, h, row_number() OVER (ORDER BY h, id) AS pos FROM (SELECT *, {draw("'row'", 'id')} AS h FROM li))),
+  pn AS (SELECT b, {lines('p')} FROM range(0, 11) g(b)),
+  pk AS (SELECT b, blk, y, row_number() OVER (PARTITION BY b, blk ORDER BY CASE WHEN b = 0 THEN pos ELSE {spread('p')} END, pos) AS slot FROM px, pn),
+  py AS (SELECT b, y, blk * {stattests.PERMUTED_ROWS} + slot AS pos FROM pk),
+  pm AS (SELECT b, count(*) AS n, var_pop(q) AS v1, var_pop(d) AS v2, covar_pop(q, d) AS c12, covar_pop(y, q) AS c1, covar_pop(y, d) AS c2, var_pop(y) AS vy FROM (SELECT b, pos, py.y, q, d FROM py JOIN px USING (pos)) GROUP BY 1),
   pr AS (SELECT b, n, ((c1 * v2 - c2 * c12) * c1 + (c2 * v1 - c1 * c12) * c2) / (v1 * v2 - c12 * c12) / vy AS r2 FROM pm), ps AS (SELECT r2 AS seen FROM pr WHERE b = 0)"""
 
 
