@@ -425,3 +425,34 @@ def test_urls(spark):
     assert canon[13] == "x.org?next=http://y.com/fr/a" and canon[14] == "x.org" and canon[15] == "bad.org?a=1&b=2"
     assert url_filter.judge(pages, listed.filter("false")).filter("listed").count() == 0
     assert url_filter.judge(pages.filter("false"), listed).count() == 0
+
+
+def test_stored_trees(spark):
+    """A second round of edits starts from the stored tree: only what it touches is encoded, and the counts are those of the text."""
+    rng = random.Random(5)
+    texts = ["", None, "one", "  ünï 漢字  " * 40, " ".join(rng.choice(["the", "cat's", "12345", "--", "\n", "  "]) for _ in range(4000))]
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)] + [(2, "one", 2)], "id int, text string, n_built int")
+    counter = token_counts.Counter()
+    count = lambda t: sum(map(counter.count, counter.cut.findall(t or "")))
+    built, names = token_counts.edited(docs, keep=["id", "text", "n_built"])
+    n_built, after, tree = names[5:]
+    assert n_built != "n_built" and [r[names[1]] for r in built.orderBy("id").collect()] == [count(r["text"]) for r in docs.orderBy("id").collect()]
+    state = built.select("id", F.col(after).alias("t"), F.col(tree).alias("tree")).cache()
+    for turn in range(3):
+        edits = F.array(F.struct(F.least(F.length("t"), F.lit(20 * turn)).alias("start"), F.least(F.length("t"), F.lit(20 * turn + 3)).alias("end"), F.lit(f" x{turn} ").alias("replacement")))
+        rows, names = token_counts.edited(state.withColumn("e", edits), "e", "t", "tree", keep=["id", "t"])
+        got = rows.collect()
+        for r in got:
+            want = r["t"]
+            if want is not None:
+                want = want[: 20 * turn] + f" x{turn} " + want[20 * turn + 3 :]
+            assert r["text_after"] == want and r["n_tokens"] == count(r["t"]) and r["n_tokens_after"] == count(want)
+            assert r["n_built"] == 0 and r["n_reencoded"] < 80
+            assert sum(sum(leaf["sizes"]) for leaf in r["tree_after"]["leaves"]) == len(want or "")
+        state = rows.select("id", F.col("text_after").alias("t"), F.col("tree_after").alias("tree")).cache()
+    other = state.filter("id = 4").withColumn("t", F.concat("t", F.lit(" more")))
+    broken = state.filter("id = 4").withColumn("tree", F.struct(F.col("tree.text_crc32"), F.array(F.struct(F.array(F.lit(1)).alias("sizes"), F.lit(None).cast("array<int>").alias("tokens"))).alias("leaves")))
+    for rows in (other, broken):
+        r = token_counts.edited(rows, None, "t", "tree")[0].first()
+        assert r["n_built"] > 1000 and r["n_tokens"] == count(r["t"])
+    assert token_counts.edited(docs.limit(0))[0].count() == 0

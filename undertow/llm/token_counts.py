@@ -8,9 +8,12 @@ edit: from such a boundary on the old cut is the new one, as the pattern never l
 replaced, and the sums above them.
 
 The operator takes documents with an array of edits (start, end, replacement, in code points of the stored text, applied
-together) and gives the tokens before and after, and how many pre-tokens were encoded again.
+together) and gives the tokens before and after, and how many pre-tokens were encoded again. ``edited`` also takes and gives the
+trees: the leaves are a column beside the text, so the next edits start from the stored tree and encode only what they touch.
+``n_built`` counts the pre-tokens encoded because no tree was stored.
 
-Edge cases: NULL and empty texts have 0 tokens; edits are ordered by start, those that overlap an earlier one or lie outside
+Edge cases: a stored tree that is NULL, broken or made from another text (its crc32 tells) is built anew and counted in ``n_built``
+(a tree of another vocabulary cannot be told); NULL and empty texts have 0 tokens; edits are ordered by start, those that overlap an earlier one or lie outside
 the text are left out and counted as skipped; an edit with a NULL field is skipped; insertions (start = end) and
 deletions (empty replacement) are edits; repeated rows are counted each; other columns pass untouched.
 """
@@ -18,6 +21,7 @@ deletions (empty replacement) are edits; repeated rows are counted each; other c
 from __future__ import annotations
 
 import base64
+import zlib
 from bisect import bisect_right
 from functools import partial
 
@@ -35,6 +39,12 @@ LEAF = 64
 AHEAD = 2  # characters beyond its end that a pre-token's cut may depend on
 MOST_CACHED = 200_000
 EDITS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("replacement", T.StringType())]))
+TREE = T.StructType(
+    [
+        T.StructField("text_crc32", T.LongType()),
+        T.StructField("leaves", T.ArrayType(T.StructType([T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("tokens", T.ArrayType(T.IntegerType()))]))),
+    ]
+)
 
 
 class Counter:
@@ -183,12 +193,23 @@ def edit_once(tree: Tree, counter: Counter, text: str, start: int, end: int, rep
     return new
 
 
-def applied(counter: Counter, text: str, edits) -> tuple[int, int, int, int, int]:
-    """Tokens before, tokens after, edits applied, edits skipped, pre-tokens encoded again."""
+def stored(tree: dict | None, text: str) -> Tree | None:
+    """The tree of a stored column, if it was made from this text."""
+    if not tree or tree["text_crc32"] != zlib.crc32(text.encode("utf-8", "surrogatepass")):
+        return None
+    leaves = [((leaf or {}).get("sizes"), (leaf or {}).get("tokens")) for leaf in tree["leaves"] or []]
+    if any(s is None or t is None or len(s) != len(t) or None in s or None in t for s, t in leaves):
+        return None
+    return Tree(leaves) if sum(sum(s) for s, _ in leaves) == len(text) else None
+
+
+def edit_document(counter: Counter, text: str, tree: Tree | None, edits) -> tuple[list[int], str, Tree]:
+    """Counts in the order of ``NAMES``, the text after all edits, and its tree."""
     counter.encoded = 0
-    tree = Tree(counter.leaves(counter.cut.findall(text)))
-    before, whole = tree.total, counter.encoded
-    todo, skipped, upto = [], 0, 0
+    if tree is None:
+        tree = Tree(counter.leaves(counter.cut.findall(text)))
+    before, built = tree.total, counter.encoded
+    todo, upto = [], 0
     known = [e for e in edits or [] if e and None not in e.values()]
     skipped = len(edits or []) - len(known)
     for e in sorted(known, key=lambda e: (e["start"], e["end"])):
@@ -200,30 +221,64 @@ def applied(counter: Counter, text: str, edits) -> tuple[int, int, int, int, int
     counter.encoded = 0
     for e in reversed(todo):  # places before an edit do not move
         text = edit_once(tree, counter, text, e["start"], e["end"], e["replacement"])
-    return before, tree.total, len(todo), skipped, counter.encoded
+    return [before, tree.total, len(todo), skipped, counter.encoded, built], text, tree
+
+
+def applied(counter: Counter, text: str, edits) -> tuple[int, int, int, int, int]:
+    """Tokens before, tokens after, edits applied, edits skipped, pre-tokens encoded again."""
+    return tuple(edit_document(counter, text, None, edits)[0][:5])
 
 
-def count_batches(batches, *, path: str, text_at: int, edits_at: int, keep: int):
+NAMES = ("n_tokens", "n_tokens_after", "n_edits", "n_skipped", "n_reencoded", "n_built")
+KEPT = pa.struct([("text_crc32", pa.int64()), ("leaves", pa.list_(pa.struct([("sizes", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])))])
+
+
+def count_batches(batches, *, path: str, keep: int, trees: bool):
+    """Columns to keep, text, edits and perhaps tree -> kept columns, counts and perhaps text and tree after the edits."""
     counter = Counter(path)
     for batch in batches:
-        rows = [applied(counter, t or "", e) for t, e in zip(batch.column(text_at).to_pylist(), batch.column(edits_at).to_pylist())]
-        made = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
-        columns = batch.columns[:keep]
-        yield pa.RecordBatch.from_arrays([*columns, *made], names=[f"c{i}" for i in range(len(columns) + 5)])
+        texts, edits = (batch.column(keep + i).to_pylist() for i in (0, 1))
+        old = batch.column(keep + 2) if trees else None
+        counts, after, made = [], [], []
+        for i, (text, e) in enumerate(zip(texts, edits)):
+            tree = stored(old[i].as_py(), text or "") if trees else None
+            n, new, tree = edit_document(counter, text or "", tree, e)
+            counts.append(n)
+            if trees:
+                after.append(None if text is None and not new else new)
+                made.append({"text_crc32": zlib.crc32(new.encode("utf-8", "surrogatepass")), "leaves": [{"sizes": s, "tokens": t} for s, t in tree.leaves]})
+        columns = [*batch.columns[:keep], *[pa.array([n[i] for n in counts], pa.int64()) for i in range(len(NAMES))]]
+        if trees:
+            columns += [pa.array(after, pa.string()), pa.array(made, KEPT)]
+        yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
+
+
+def _counted(docs: DataFrame, edits: str | None, text: str, tree: str | None, keep: list[str], path: str, trees: bool) -> tuple[DataFrame, list[str]]:
+    names = fresh(docs, *NAMES, *(("text_after", "tree_after") if trees else ()))
+    t, e, k = fresh(docs, "_text", "_edits", "_tree")
+    given = (F.lit(None) if edits is None else q(edits)).cast(EDITS).alias(e)
+    rows = docs.select(*[q(c) for c in keep], q(text).alias(t), given, *([(F.lit(None) if tree is None else q(tree)).cast(TREE).alias(k)] if trees else []))
+    n = len(keep)
+    made = [T.StructField(x, T.LongType()) for x in names[: len(NAMES)]]
+    if trees:
+        made += [T.StructField(names[-2], T.StringType()), T.StructField(names[-1], TREE)]
+    return map_batches(rows, partial(count_batches, path=path, keep=n, trees=trees), T.StructType([*rows.schema.fields[:n], *made])), names
 
 
-NAMES = ("n_tokens", "n_tokens_after", "n_edits", "n_skipped", "n_reencoded")
+def with_counts(docs: DataFrame, edits: str, text: str = "text", *, keep: list[str] | None = None, path: str = VOCABULARY) -> tuple[DataFrame, list[str]]:
+    """Columns ``keep`` (all) of ``docs`` with the counts; returns also the names of the six new columns."""
+    return _counted(docs, edits, text, None, docs.columns if keep is None else keep, path, False)
 
 
-def with_counts(docs: DataFrame, edits: str, text: str = "text", *, keep: list[str] | None = None, path: str = VOCABULARY) -> tuple[DataFrame, list[str]]:
-    """Columns ``keep`` (all) of ``docs`` with the counts; returns also the names of the five new columns."""
-    keep = docs.columns if keep is None else keep
-    names = fresh(docs, *NAMES)
-    t, e = fresh(docs, "_text", "_edits")
-    rows = docs.select(*[q(c) for c in keep], q(text).alias(t), q(edits).cast(EDITS).alias(e))
-    n = len(keep)
-    schema = T.StructType([*rows.schema.fields[:n], *[T.StructField(x, T.LongType()) for x in names]])
-    return map_batches(rows, partial(count_batches, path=path, text_at=n, edits_at=n + 1, keep=n), schema), names
+def edited(
+    docs: DataFrame, edits: str | None = None, text: str = "text", tree: str | None = None, *, keep: list[str] | None = None, path: str = VOCABULARY
+) -> tuple[DataFrame, list[str]]:
+    """Like ``with_counts``, with two more columns: the text after the edits and its tree, to be stored beside it.
+
+    Given back as ``text`` and ``tree`` with the next edits, a document is not cut and encoded as a whole again. Without
+    ``edits`` the trees are only built.
+    """
+    return _counted(docs, edits, text, tree, docs.columns if keep is None else keep, path, True)
 
 
 # ---- edits of the query: personal data and keys give way to a mark
