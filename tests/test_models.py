@@ -391,3 +391,25 @@ def test_permutations_in_blocks(spark):
     still = stattests.permutation_test(df.withColumn("y", F.lit(1.0)), id="id", features=["x"], target="y", draws=2).collect()
     assert [r["r2"] for r in still] == [None] * 3
     assert stattests.permutation_test(df.limit(0), id="id", features=["x"], target="y", draws=2).count() == 0
+
+
+def test_tiled_correlations(spark):
+    """More series than a tile, with gaps: every pair as numpy has it, for each lag; pairs that never meet are NULL."""
+    rng = np.random.default_rng(6)
+    y = rng.normal(size=(30, 70)).cumsum(axis=0) + 1e4
+    y[rng.random(y.shape) < 0.2] = np.nan
+    y[:, 0], y[3:, 1], y[:10, 69], y[:, 68] = np.nan, np.nan, np.nan, 5.0
+    y[0, 0] = 1.0
+    rows = [(t, f"s{j:02d}", float(y[t, j])) for t in range(30) for j in range(70) if not np.isnan(y[t, j])] + [(3, None, 1.0)]
+    df = spark.createDataFrame(rows, "ts int, series string, value double")
+    got = {(r["src"], r["dst"], r["lag"]): r for r in causality.pair_correlations(df, series="series", ts="ts", value="value", lags=[0, 2]).collect()}
+    assert len(got) == 2 * 70 * 69
+    for (a, b, lag), r in got.items():
+        u, v = y[: 30 - lag, int(a[1:])], y[lag:, int(b[1:])]
+        both = ~np.isnan(u) & ~np.isnan(v)
+        assert r["n"] == both.sum()
+        if r["n"] < 2 or np.ptp(u[both]) == 0 or np.ptp(v[both]) == 0:
+            assert r["corr"] is None
+        else:
+            assert r["corr"] == pytest.approx(np.corrcoef(u[both], v[both])[0, 1], abs=1e-8)
+    assert causality.pair_correlations(df.limit(0), series="series", ts="ts", value="value", lags=[1]).count() == 0

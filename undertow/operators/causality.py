@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from undertow.functions.tails import f_tail, t_tail
 from undertow.operators import moments
 from undertow.operators.joins import all_ordered_pairs
-from undertow.session import attach, ceiling, cut_lineage
+from undertow.session import attach, cut_lineage
 
 
 def paired_bars(bars: DataFrame, *, series: str, ts: str, value: str, max_series: int = 2000) -> DataFrame:
@@ -73,54 +75,81 @@ def granger_edges(tests: DataFrame, *, alpha: float = 0.05) -> DataFrame:
     return tests.filter(F.col("p_value") < alpha).withColumn("weight", F.col("f_stat") / (1 + F.col("p_value")))
 
 
-def lagged_corr(bars: DataFrame, *, series: str, ts: str, value: str, max_lags: int = 5, max_series: int = 300) -> DataFrame:
-    """corr(src at t-l, dst at t) for every ordered pair and lag, with its two-sided p.
+TILE = 64  # series whose sums with 64 others make one matrix
+
+
+def pair_correlations(bars: DataFrame, *, series: str, ts: str, value: str, lags: Sequence[int]) -> DataFrame:
+    """Correlation of src at t - lag with dst at t for every ordered pair: (src, dst, lag, n, corr).
 
-    Lags are steps of the calendar (all times at which any series has a bar), and every pair uses all the times
-    that it has in common: one row per time holds, for all series (a bounded dimension), whether a value is known,
-    the value about the series mean, and its square, so one moment matrix per lag gives the sums of every pair.
-    Several bars of one series and time count as their mean; pairs without spread in common have a NULL coefficient.
+    Lags are steps of the calendar (all times at which any series has a bar), and every pair uses all the times that it
+    has in common. Series are laid out in tiles; one row per time and tile holds whether each value is known, the value about
+    its series' mean, and its square, so one moment matrix per lag and pair of tiles gives the sums of all their pairs:
+    calendar times series^2 / 11 numbers instead of a table of pairs and times, for any number of series. Several bars of one
+    series and time count as their mean; bars without a series or time are left out; a pair without spread in common, or
+    without common times (n = 0), has a NULL coefficient.
     """
     bars = cut_lineage(bars.filter(F.col(series).isNotNull() & F.col(ts).isNotNull()).groupBy(series, ts).agg(F.avg(value).alias("_v")))
     means = bars.groupBy(series).agg(F.avg("_v").alias("_mean"))
-    names = means.agg(F.array_sort(F.collect_list(series)).alias("names"))
-    dims = names.select(ceiling(max_series, "series")(F.col("names")).alias("names"))
-    known = attach(bars, means, [series]).select(ts, F.col(series).alias("_name"), (F.col("_v") - F.col("_mean")).alias("_d"))
-    rows = known.groupBy(ts).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_d"))).alias("_cells"))
-    cells = rows.withColumn("_names", dims.scalar()).select(ts, F.transform("_names", lambda n: F.element_at("_cells", n)).alias("d"))
+    names = cut_lineage(means.withColumn("_at", F.row_number().over(Window.orderBy(series)) - 1))  # one row per series
+    k = names.count()
+    width = min(TILE, max(k, 1))
+    steps = bars.select(ts).distinct().withColumn("_step", F.row_number().over(Window.orderBy(ts)))  # the calendar, not the data
+    known = attach(attach(bars, names, [series]), steps, [ts]).select(
+        "_step", F.floor(F.col("_at") / width).cast("int").alias("_tile"), (F.col("_at") % width).alias("_slot"), (F.col("_v") - F.col("_mean")).alias("_d")
+    )
+    rows = known.groupBy("_step", "_tile").agg(F.map_from_entries(F.collect_list(F.struct("_slot", "_d"))).alias("_cells"))
+    cells = rows.select("_step", "_tile", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.element_at("_cells", i)).alias("_d"))
     parts = [lambda c: c.isNotNull().cast("double"), lambda c: F.coalesce(c, F.lit(0.0)), lambda c: F.coalesce(c * c, F.lit(0.0))]
-    base = cells.select(ts, F.concat(*[F.transform("d", part) for part in parts]).alias("v"))
-    w = Window.orderBy(ts)  # one row per grid step: the calendar, not the data
-    lagged = base.select("v", *[F.lag("v", i).over(w).alias(f"v{i}") for i in range(1, max_lags + 1)])
-    stacked = lagged.select(
-        F.inline(F.array(*[F.struct(F.lit(i).alias("lag"), F.col("v").alias("y"), F.col(f"v{i}").alias("x")) for i in range(1, max_lags + 1)]))
-    ).filter("x is not null")
-    packed = moments.gram_packed(stacked.select("lag", F.concat("x", "y").alias("v")), keys=["lag"], vector="v").withColumn("names", dims.scalar())
-    corr = packed.mapInPandas(_pair_correlations, "src string, dst string, lag int, n long, corr double")
+    base = cut_lineage(cells.select("_step", "_tile", F.concat(*[F.transform("_d", part) for part in parts]).alias("_w")))
+    y = base.select("_step", F.col("_tile").alias("_dst"), F.col("_w").alias("_y"))
+    x = base.withColumn("lag", F.explode(F.array(*[F.lit(i) for i in lags]))).select(
+        (F.col("_step") + F.col("lag")).alias("_step"), "lag", F.col("_tile").alias("_src"), F.col("_w").alias("_x")
+    )
+    met = x.join(y, "_step").select("lag", "_src", "_dst", F.concat("_x", "_y").alias("_w"))
+    # a row of zeros for every pair of tiles, so that pairs that never meet have a result
+    tiles = names.agg(F.array_sort(F.collect_set(F.floor(F.col("_at") / width).cast("int"))).alias("_tiles"))
+    none = tiles.select("_tiles", F.explode("_tiles").alias("_src")).withColumn("_dst", F.explode("_tiles")).withColumn("lag", F.explode(F.array(*[F.lit(i) for i in lags])))
+    none = none.select("lag", "_src", "_dst", F.array_repeat(F.lit(0.0), 6 * width).alias("_w"))
+    packed = moments.gram_packed(met.unionByName(none), keys=["lag", "_src", "_dst"], vector="_w")
+
+    def solve(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                yield _correlations(row, row[1], row[2], k, width)
+
+    corr = packed.select("lag", F.col("_src").alias("src"), F.col("_dst").alias("dst"), "n", "means", "cells").mapInPandas(solve, "_src int, _dst int, lag int, n long, corr double")
     corr = corr.withColumn("corr", F.when(~F.isnan("corr"), F.col("corr")))
+    for side, at in (("src", "_src"), ("dst", "_dst")):
+        corr = attach(corr, names.select(F.col("_at").alias(at), F.col(series).alias(side)), [at])
+    return corr.select("src", "dst", "lag", "n", "corr")
+
+
+def _correlations(row, src: int, dst: int, k: int, width: int) -> pd.DataFrame:
+    """Correlations of two tiles from sums over the times that both series have: (known, value, square) of x, then of y."""
+    size = 3 * width
+    sums = moments.products(row.n, np.asarray(row.means), moments.unpack(row.cells, 2 * size))
+    g = sums[:size, size:].reshape(3, width, 3, width)
+    # squares of each series over all times: rounding is relative to them
+    all_x, all_y = (np.diag(sums[i : i + width, i + 2 * width : i + size]) for i in (0, size))
+    n, y, yy = (g[0, :, p, :] for p in range(3))
+    x, xy, xx = g[1, :, 0, :], g[1, :, 1, :], g[2, :, 0, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        vx, vy = xx - x * x / n, yy - y * y / n
+        c = (xy - x * y / n) / np.sqrt(vx * vy)
+        c[(n < 1.5) | (vx <= 1e-13 * all_x[:, None]) | (vy <= 1e-13 * all_y[None, :])] = np.nan
+    a, b = np.meshgrid(src * width + np.arange(width), dst * width + np.arange(width), indexing="ij")
+    here = (a < k) & (b < k) & (a != b)
+    return pd.DataFrame({"_src": a[here], "_dst": b[here], "lag": row.lag, "n": n[here].round().astype("int64"), "corr": np.clip(c[here], -1, 1)})
+
+
+def lagged_corr(bars: DataFrame, *, series: str, ts: str, value: str, max_lags: int = 5) -> DataFrame:
+    """corr(src at t-l, dst at t) for every ordered pair and lag (see :func:`pair_correlations`), with its two-sided p."""
+    corr = pair_correlations(bars, series=series, ts=ts, value=value, lags=range(1, max_lags + 1))
     free = F.col("n") - 2
     t = F.col("corr") * F.sqrt(free / F.nullif(1 - F.col("corr") * F.col("corr"), F.lit(0.0)))
     return corr.withColumn("p_value", F.when(free > 0, t_tail(t, free)))
 
 
-def _pair_correlations(batches):
-    """Correlations from sums over the times that both series have: (known, value, square) of x, then of y."""
-    for batch in batches:
-        for row in batch.itertuples(index=False):
-            k = len(row.names)
-            g = moments.products(row.n, np.asarray(row.means), moments.unpack(row.cells, 6 * k))[: 3 * k, 3 * k :].reshape(3, k, 3, k)
-            n, y, yy = (g[0, :, p, :] for p in range(3))
-            x, xy, xx = g[1, :, 0, :], g[1, :, 1, :], g[2, :, 0, :]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                vx, vy = xx - x * x / n, yy - y * y / n
-                c = (xy - x * y / n) / np.sqrt(vx * vy)
-                c[(vx <= 1e-12 * xx) | (vy <= 1e-12 * yy)] = np.nan
-            i, j = np.nonzero(~np.eye(k, dtype=bool))
-            yield pd.DataFrame(
-                {"src": [row.names[a] for a in i], "dst": [row.names[b] for b in j], "lag": row.lag, "n": n[i, j].round().astype("int64"), "corr": np.clip(c[i, j], -1, 1)}
-            )
-
-
 def lagged_corr_score(correlations: DataFrame, *, alpha: float = 0.1) -> DataFrame:
     """Largest significant |corr| over the lags of each ordered pair; 0 when none is."""
     hit = F.when((F.col("p_value") < alpha), F.abs("corr"))
@@ -137,11 +166,9 @@ def activity_nodes(filled: DataFrame, *, series: str, value: str) -> DataFrame:
 
 
 def correlation_network(bars: DataFrame, *, series: str, ts: str, value: str, above: float = 0.3) -> DataFrame:
-    """Edges in both directions where |corr| of two series exceeds the level."""
-    pairs = paired_bars(bars, series=series, ts=ts, value=value).filter("src < dst")
-    half = pairs.groupBy("src", "dst").agg(F.corr("x", "y").alias("corr")).filter(F.abs("corr") > above)
-    both = half.unionByName(half.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "corr"))
-    return both.withColumn("weight", F.abs("corr"))
+    """Edges in both directions where |corr| of two series over their common times exceeds the level."""
+    both = pair_correlations(bars, series=series, ts=ts, value=value, lags=[0])
+    return both.filter(F.abs("corr") > above).select("src", "dst", "corr", F.abs("corr").alias("weight"))
 
 
 def causality_matrix(edges: DataFrame, nodes: DataFrame, *, key: str) -> DataFrame:

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FAN = 64  # tasks whose matrices are merged at once
-MOST_HELD = 2000  # groups whose matrices a task holds before it hands them on
+MOST_HELD = 2000  # groups whose matrices a task holds before it hands them on, if they fit into
+HELD_BYTES = 1 << 28
 
 
 def lag_design(df: DataFrame, *, keys: Sequence[str], ts: str, values: Sequence[str], lags: int, trim: bool = True) -> DataFrame:
@@ -81,7 +82,7 @@ def gram_packed(df: DataFrame, *, keys: Sequence[str], vector: str) -> DataFrame
                 part = (len(v), mean, (v - mean).T @ (v - mean))
                 name = tuple(None if pd.isna(x) else x for x in (key if isinstance(key, tuple) else (key,)))
                 held[name] = merge([held[name], part]) if name in held else part
-            if len(held) > MOST_HELD:
+            if len(held) > min(MOST_HELD, HELD_BYTES // (8 * mean.size**2)):
                 yield pd.DataFrame([_packed_row(k, salt, p) for k, p in held.items()], columns=names)
                 held = {}
         if held:
