@@ -108,8 +108,8 @@ def _(t):
 @query(
     "threshold_strategy_summary",
     f"""WITH {STRATEGY}, c AS (SELECT *, sum(sr) OVER (PARTITION BY series ORDER BY ts) AS c FROM st WHERE sr IS NOT NULL), d AS (SELECT *, c - max(c) OVER (PARTITION BY series ORDER BY ts) AS d FROM c),
-    g AS (SELECT series, sum(sr) AS total, avg(sr) * 252 AS ann, avg((sr > 0)::INT) AS win, avg(sr) / stddev_samp(sr) * sqrt(252) AS sh, min(d) AS dd FROM d GROUP BY 1), tr AS (SELECT series, sum(turn) / 2 AS trades FROM st GROUP BY 1)
-    SELECT series, {R('total', 5)} AS total_return, {R('ann', 5)} AS annual_return, {R('win', 5)} AS win_rate, {R('sh', 5)} AS sharpe, {R('dd', 5)} AS max_drawdown, {R('trades', 5)} AS trades, {R('total / trades', 5)} AS per_trade FROM g JOIN tr USING (series)""",
+    g AS (SELECT series, sum(sr) AS total, avg(sr) * 252 AS ann, avg((sr > 0)::INT) AS win, avg(sr) / nullif(stddev_samp(sr), 0) * sqrt(252) AS sh, min(d) AS dd FROM d GROUP BY 1), tr AS (SELECT series, sum(turn) / 2 AS trades FROM st GROUP BY 1)
+    SELECT series, {R('total', 5)} AS total_return, {R('ann', 5)} AS annual_return, {R('win', 5)} AS win_rate, {R('sh', 5)} AS sharpe, {R('dd', 5)} AS max_drawdown, {R('trades', 5)} AS trades, {R('total / nullif(trades, 0)', 5)} AS per_trade FROM g JOIN tr USING (series)""",
 )
 def _(t):
     return rounded(portfolio.threshold_summary(portfolio.threshold_strategy(market(t))), 5)
