@@ -32,3 +32,16 @@ def test_strategy_without_trades(spark, tmp_path):
     got, want = beside_sql(spark, tmp_path, "threshold_strategy_summary", (catalog.QUERIES, catalog.ORACLES), orders=orders)
     assert got == want and len(got) == 2
     assert "inf" not in str(got)
+
+
+def test_list_of_every_scheme(spark, tmp_path):
+    """Pages of reported hosts are on the list whatever their scheme; so are their other forms."""
+    pytest.importorskip("undertow.llm.queries")
+    from undertow.llm import queries
+
+    urls = ["https://spam-farm.org/a", "ftp://www.spam-farm.org:80/a/?utm_x=1", "HTTP://x.cheap-pills.com/b?q=1", "https://fine.org/a", "spam-farm.org/a", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got, want = beside_sql(spark, tmp_path, "op9_bloom_urls", (queries.QUERIES, queries.ORACLES), pages=pages)
+    assert got == want
+    listed = {r["page_id"]: r["listed"] for r in queries.QUERIES["op9_bloom_urls"](spark, str(tmp_path)).collect()}
+    assert listed == {0: True, 1: True, 2: True, 3: False, 4: False, 5: False}
