@@ -45,3 +45,51 @@ def test_list_of_every_scheme(spark, tmp_path):
     assert got == want
     listed = {r["page_id"]: r["listed"] for r in queries.QUERIES["op9_bloom_urls"](spark, str(tmp_path)).collect()}
     assert listed == {0: True, 1: True, 2: True, 3: False, 4: False, 5: False}
+
+
+def test_permutations_of_the_whole_table(spark):
+    """Targets leave their block: every draw pairs places of whole orders, as worked out row by row."""
+    import hashlib
+
+    import numpy as np
+
+    from undertow.operators import stattests
+
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=900), rng.normal(size=900)
+    ids = [f"r{i}" for i in range(900)]
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, a, b in zip(ids, x, y)], "id string, x double, y double")
+    number = lambda tag, i: int(hashlib.md5(f"{tag}-{i}".encode()).hexdigest()[:8], 16)
+    order = lambda tag: sorted(range(900), key=lambda k: (number(tag, ids[k]), ids[k]))
+    got = {r["draw"]: r["r2"] for r in stattests.permutation_test(df, id="id", features=["x"], target="y", draws=3, rows=50).collect()}
+    for b in range(4):
+        want = np.corrcoef(x[order("row")], y[order("row" if b == 0 else b)])[0, 1] ** 2
+        assert got[b] == pytest.approx(want, rel=1e-9), b
+    assert list(stattests._order(np.array([5, 2, 5, 2]), np.array(["b", "d", "a", None], dtype=object))) == [3, 1, 2, 0]
+
+
+@pytest.mark.parametrize("rows", [20, 10_000])
+def test_folds_without_ordering_the_table(spark, rows, monkeypatch):
+    """Folds by comparison with a few keys are those by position; equal and missing times keep exact sizes; moments match."""
+    import numpy as np
+
+    from undertow.operators import blocks, mlmodels, mlprep, moments
+
+    monkeypatch.setattr(blocks, "ROWS_PER_BLOCK", rows)
+    rng = np.random.default_rng(2)
+    times = [None if i % 50 == 0 else dt.datetime(2024, 1, 1) + dt.timedelta(minutes=int(rng.integers(40))) for i in range(203)]
+    df = spark.createDataFrame([(t, i, float(i % 7), 1e8 + float(i % 11)) for i, t in enumerate(times)], "ts timestamp, id int, a double, y double")
+    made = mlprep.timeseries_folds(df, ts="ts", id=["id"], folds=3)
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+    order = sorted(range(203), key=lambda i: (times[i] is not None, times[i] or 0, i))
+    place = {i: p for p, i in enumerate(order)}
+    want = {(i, f, "train" if place[i] < 203 - (4 - f) * 50 else "test") for i in range(203) for f in (1, 2, 3) if place[i] < 203 - (4 - f) * 50 + 50}
+    assert {(r["id"], r["fold"], r["role"]) for r in made.collect()} == want
+    alike = mlprep.timeseries_folds(df.withColumn("id", F.lit(1)).withColumn("ts", F.lit("2024-01-01").cast("timestamp")), ts="ts", id=["id"], folds=3)
+    assert {(r["fold"], r["role"]): r["count"] for r in alike.groupBy("fold", "role").count().collect()} == {(f, o): c for f in (1, 2, 3) for o, c in (("train", 3 + 50 * f), ("test", 50))}
+    split = mlprep.time_split(df, ts="ts", id=["id"], shares={"train": 0.7, "val": 0.15, "test": 0.15}).collect()
+    assert all(r["split"] == ("train" if place[r["id"]] < 142 else "val" if place[r["id"]] < 172 else "test") for r in split)
+    for r in mlmodels.fold_moments(made, features=["a"], target="y").collect():
+        v = np.array([[i % 7, 1e8 + i % 11] for i, f, o in want if (f, o) == (r["fold"], r["role"])])
+        np.testing.assert_allclose(moments.unpack(r["cells"], 2), np.cov(v.T, ddof=0) * len(v), rtol=1e-9)
+        np.testing.assert_allclose(r["means"], v.mean(axis=0), rtol=1e-12)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from hashlib import md5
-from math import exp
+from math import ceil, exp
 from statistics import NormalDist
 
 import numpy as np
@@ -545,41 +545,62 @@ def spill_significance(df: DataFrame, events: DataFrame, *, key: str, ts: str, v
     )
 
 
-PERMUTED_ROWS = 65_536  # rows whose targets are permuted among each other
+def _order(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Row numbers by hash, equal ones by id (NULL first)."""
+    order = np.argsort(h, kind="stable")
+    same = np.flatnonzero(np.diff(h[order]) == 0)
+    for run in np.split(same, np.flatnonzero(np.diff(same) > 1) + 1) if len(same) else []:
+        here = slice(run[0], run[-1] + 2)
+        order[here] = sorted(order[here], key=lambda i: (not pd.isna(ids[i]), ids[i]))
+    return order
+
+
+PERMUTED_ROWS = 65_536  # rows of a block, which one task holds for all draws
 
 
 def permutation_test(df: DataFrame, *, id: str, features: Sequence[str], target: str, draws: int = 20, rows: int = PERMUTED_ROWS) -> DataFrame:
     """In-sample R^2 of a linear model against label permutations: (draw, n, r2), draw 0 = the data.
 
-    Rows are laid out by the hash of their id and cut into blocks of ``rows`` rows; a draw permutes the targets inside
-    every block (such permutations form a group, so the test stays exact). One shuffle serves all draws: a task
-    holds one block and hands on one matrix of moments per draw. Rows with a NULL feature or target are left out.
-    r2 is NULL where the target or a feature does not vary.
+    Every draw permutes the targets of the whole table: the target at place k in the order of the draw's hash meets the
+    features at place k in the order of the rows' hash (ties by id). Hashes are even, so one range of them holds about
+    ``rows`` rows in every draw; counts per (draw, range) tell the places it covers, and the features go to the few ranges
+    that cover theirs. One shuffle brings all draws of a range together, and each hands on one matrix of moments per draw.
+    Rows with a NULL feature or target are left out. r2 is NULL where the target or a feature does not vary.
     """
     cells = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features], F.col(target).cast("double"))
-    known = df.select(F.col(id).alias("id"), hash_number(F.lit("row"), F.col(id)).alias("h"), cells.alias("v")).filter("not exists(v, x -> x is null)")
-    placed = blocks.positions(known, [], ["h", "id"])
-    placed = placed.select(F.floor((F.col("pos") - 1) / rows).alias("block"), "pos", (F.col("h") % PRIME).alias("seed"), "v")
+    known = df.select(F.col(id).alias("id"), cells.alias("v")).filter("not exists(v, x -> x is null)")
     d = len(features) + 2
-    factors, offsets = draw_lines("p", draws)
-
-    def permuted(table):  # one block
-        table = table.sort_values("pos", ignore_index=True)
-        v, seed = np.vstack(table["v"].to_numpy()), table["seed"].to_numpy()
-        mean = v.mean(axis=0)
-        v = v - mean
-        fixed = v.T @ v
+    width = ceil(2**32 / max(1, ceil(known.count() / rows)))
+    hashes = [hash_number(F.lit("row" if b == 0 else b), F.col("id")) for b in range(draws + 1)]
+    copies = known.select("id", F.get("v", F.lit(d - 1)).alias("y"), F.posexplode(F.array(*hashes)).alias("b", "h"))
+    copies = copies.withColumn("block", F.floor(F.col("h") / width).cast("int"))
+    sizes = cut_lineage(copies.groupBy("b", "block").agg(F.count(F.lit(1)).alias("n")))
+    every = sizes.select("b").distinct().crossJoin(sizes.select("block").distinct()).join(sizes, ["b", "block"], "left").fillna(0, ["n"])
+    line = Window.partitionBy("b").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per draw and range
+    starts = cut_lineage(every.select("b", "block", "n", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("start")))
+    home = known.select("id", F.slice("v", 1, d - 1).alias("x"), hashes[0].alias("h")).withColumn("block", F.floor(F.col("h") / width).cast("int"))
+    home = home.join(F.broadcast(starts.filter("b = 0").select("block", "start")), "block")
+    place = F.col("start") + F.row_number().over(Window.partitionBy("block").orderBy("h", "id")) - 1
+    home = home.select(place.alias("pos"), "x").withColumn("_piece", F.floor(F.col("pos") / rows))
+    span = starts.groupBy("block").agg(F.min("start").alias("_first"), F.max(F.col("start") + F.col("n")).alias("_end"))
+    span = span.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("_first") / rows), F.floor((F.col("_end") - 1) / rows))))
+    home = home.join(F.broadcast(span), "_piece").filter("pos >= _first and pos < _end").select("block", "pos", "x")
+    away = copies.join(F.broadcast(starts.drop("n")), ["b", "block"])
+
+    def permuted(x, y):  # one range of hashes
+        x = x.sort_values("pos")
+        first, v = int(x["pos"].iloc[0]), np.vstack(x["x"].to_numpy())
         out = []
-        for b in range(draws + 1):
-            m = fixed
-            if b:
-                order = np.argsort((factors[b - 1] * seed + offsets[b - 1]) % PRIME, kind="stable")
-                m = fixed.copy()
-                m[:-1, -1] = m[-1, :-1] = v[:, :-1].T @ v[order, -1]
-            out.append((b, int(table["block"].iloc[0]) // moments.FAN, len(v), mean, m[np.triu_indices(d)]))
+        for b, drawn in y.groupby("b"):
+            drawn = drawn.take(_order(drawn["h"].to_numpy(), drawn["id"].to_numpy()))
+            k = int(drawn["start"].iloc[0]) - first
+            w = np.column_stack([v[k : k + len(drawn)], drawn["y"].to_numpy()])
+            mean = w.mean(axis=0)
+            w = w - mean
+            out.append((b, int(drawn["block"].iloc[0]) // moments.FAN, len(w), mean, (w.T @ w)[np.triu_indices(d)]))
         return pd.DataFrame(out, columns=["b", "_salt", "n", "means", "cells"])
 
-    parts = placed.groupBy("block").applyInPandas(permuted, "b int, _salt int, n long, means array<double>, cells array<double>")
+    parts = home.groupBy("block").cogroup(away.groupBy("block")).applyInPandas(permuted, "b int, _salt int, n long, means array<double>, cells array<double>")
     packed = moments.merge_packed(parts, keys=["b"])
 
     def score(batches):
