@@ -263,7 +263,8 @@ def weak_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFra
 
 
 def node_table(edges: DataFrame, nodes: DataFrame | None = None, *, net: DataFrame | None = None, with_betweenness: bool = True, rank_options: dict | None = None) -> DataFrame:
-    """All metrics per node; ``net`` (node, net) defaults to the net weight."""
+    """All metrics per node; ``net`` (node, net) defaults to the net weight. The edges are computed once."""
+    edges = cut_lineage(edges)
     table = weighted_degree(edges, nodes)
     table = table.join(pagerank(edges, nodes, **(rank_options or {})), "node", "left").join(weighted_clustering(edges, nodes), "node", "left")
     if with_betweenness:
