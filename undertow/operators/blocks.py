@@ -8,6 +8,7 @@ rows into blocks of about equal size along their order, work inside
 * ``even_block`` - block number along an order, from cut points of a small sample;
 * ``running``    - running totals: block totals are summed ahead of the blocks;
 * ``positions``  - running row number;
+* ``first_rows`` - whether a row is among the first c, without ordering the table;
 * ``previous``   - the value of the row before;
 * ``carry``      - last known value, handed from block to block;
 * ``over_rows``  - row frames: each block also receives the few rows before/after it;
@@ -22,8 +23,10 @@ and block.  Data that fits one block skips the summaries.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
 from math import ceil
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,6 +132,40 @@ def positions(
     return running(df, keys, order, {name: F.lit(1).cast("long")}, block)
 
 
+def first_rows(df: DataFrame, order: Sequence[str], counts: Iterable[int], block: Column | None = None) -> tuple[DataFrame, dict[int, Column]]:
+    """Per count c a condition that holds for the first c rows along ``order``, and the rows to which it applies.
+
+    Rows are counted per block and only the blocks that a count cuts are ordered, so a condition is a comparison with the key of one
+    row.  Where a cut would part rows of equal keys, every row gets its position instead.
+    """
+    point = [F.unix_micros(F.col(c).cast("timestamp")) if isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(c) for c in order]
+    block = even_block(df, order) if block is None else block
+    number = F.lit(0) if block is None else F.coalesce(block.cast("long"), F.lit(-(2**62)))  # rows without a time come first
+    keyed = df.select(number.cast("long").alias("_block"), *[c.alias(f"_k{i}") for i, c in enumerate(point)])
+    sizes = sorted(tuple(r) for r in keyed.groupBy("_block").count().collect())  # bounded: one row per block
+    n = sum(size for _, size in sizes)
+    made = {c: F.lit(c >= n) for c in counts if c <= 0 or c >= n}
+    wanted, start = [], 0
+    for at, size in sizes:
+        wanted += [(at, c - start + 1, c) for c in counts if start <= c < start + size and c not in made]
+        start += size
+    if not wanted:
+        return df, made
+    key = F.struct(*[f"_k{i}" for i in range(len(point))])
+    w = Window.partitionBy("_block").orderBy(*[f"_k{i}" for i in range(len(point))])
+    cut = keyed.filter(F.col("_block").isin([at for at, _, _ in wanted]))
+    cut = cut.select("*", F.row_number().over(w).alias("_row"), F.lag(key).over(w).eqNullSafe(key).alias("_tie"))
+    cut = cut.filter(reduce(or_, [(F.col("_block") == at) & (F.col("_row") == row) for at, row, _ in wanted]))
+    found = {(r["_block"], r["_row"]): r for r in cut.collect()}  # one row per count
+    if any(r["_tie"] for r in found.values()):
+        placed = positions(df, [], order, block, "_pos")
+        return placed, {c: F.col("_pos") <= c for c in counts}
+    for at, row, c in wanted:
+        edge = [F.lit(found[at, row][f"_k{i}"]).cast(keyed.schema[f"_k{i}"].dataType) for i in range(len(point))]
+        made[c] = F.struct(*point) < F.struct(*edge)
+    return df, made
+
+
 def previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Mapping[str, str], block: Column | None = None
 ) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -73,14 +75,24 @@ def linear_from_moments(df: DataFrame, *, features: Sequence[str], target: str,
     return moments.ols_from_gram(packed, keys=keys, names=["intercept", *features, target])
 
 
+FEW = 6  # columns whose moments (21 pairs) fit into one aggregate
 FOLD_SCORES = "model string, fold int, beta array<double>, n long, mse double, r2 double"
 
 
 def fold_moments(folded: DataFrame, *, features: Sequence[str], target: str) -> DataFrame:
     """Moments of (features, target) per (fold, role) in one pass; rows with a NULL among them count for no model."""
-    cells = F.array(*[F.col(c).cast("double") for c in [*features, target]])
-    rows = folded.select(F.col("fold").cast("int").alias("fold"), "role", cells.alias("v")).filter("not exists(v, x -> x is null)")
-    return moments.gram_packed(rows, keys=["fold", "role"], vector="v")
+    columns = [F.col(c).cast("double") for c in [*features, target]]
+    known = folded.select(F.col("fold").cast("int").alias("fold"), "role", *[c.alias(f"_x{i}") for i, c in enumerate(columns)])
+    known = known.filter(reduce(and_, [F.col(f"_x{i}").isNotNull() for i in range(len(columns))]))
+    x = [F.col(f"_x{i}") for i in range(len(columns))]
+    if len(x) > FEW:
+        return moments.gram_packed(known.select("fold", "role", F.array(*x).alias("v")), keys=["fold", "role"], vector="v")
+    # Spark's own covariances are merged pair by pair, too, and the rows stay out of Python; the mean of all comes off first
+    middle = [F.lit(m or 0.0) for m in known.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)]).first()]
+    x = [c - m for c, m in zip(x, middle)]
+    spread = [F.covar_pop(x[i], x[j]) * F.count(F.lit(1)) for i in range(len(x)) for j in range(i, len(x))]
+    means = [m + F.avg(c) for c, m in zip(x, middle)]
+    return known.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.array(*means).alias("means"), F.array(*spread).alias("cells"))
 
 
 def ridge(part, penalty: float) -> np.ndarray:

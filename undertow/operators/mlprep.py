@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,26 +48,30 @@ def time_position(df: DataFrame, *, ts: str, id: Sequence[str], block: Column |
 
 def time_split(df: DataFrame, *, ts: str, id: Sequence[str], shares: Mapping[str, float], block: Column | None = None) -> DataFrame:
     """Cut the time order by position, e.g. {"train": .7, "val": .15, "test": .15}."""
-    placed = time_position(df, ts=ts, id=id, block=block)
-    names = list(shares)
-    split, edge = None, 0.0
+    names, n = list(shares), df.count()
+    edges, edge = {}, 0.0
     for name in names[:-1]:
         edge = round(edge + shares[name], 12)
-        inside = F.col("pos") < F.floor(F.col("n") * edge)
-        split = F.when(inside, name) if split is None else split.when(inside, name)
-    return placed.withColumn("split", split.otherwise(names[-1])).drop("pos", "n")
+        edges[name] = floor(n * edge)
+    rows, first = blocks.first_rows(df, [ts, *id], set(edges.values()), block)
+    split = None
+    for name, count in edges.items():
+        split = F.when(first[count], name) if split is None else split.when(first[count], name)
+    return rows.select(*df.columns, split.otherwise(names[-1]).alias("split"))
 
 
 def timeseries_folds(df: DataFrame, *, ts: str, id: Sequence[str], folds: int | None = None, block: Column | None = None) -> DataFrame:
     """Expanding-window folds: each row with (fold, role); 3 folds up to 50 rows, else 5."""
-    placed = time_position(df, ts=ts, id=id, block=block)
-    k = F.lit(folds) if folds else F.when(F.col("n") <= 50, 3).otherwise(5)
-    placed = placed.withColumn("_k", k)
-    size = F.floor(F.col("n") / (F.col("_k") + 1))
-    each = placed.withColumn("_size", size).withColumn("fold", F.explode(F.sequence(F.lit(1), F.col("_k"))))
-    start = F.col("n") - (F.col("_k") - F.col("fold") + 1) * F.col("_size")
-    role = F.when(F.col("pos") < start, "train").when(F.col("pos") < start + F.col("_size"), "test")
-    return each.withColumn("role", role).filter("role is not null").drop("pos", "n", "_k", "_size")
+    n = df.count()
+    k = folds or (3 if n <= 50 else 5)
+    size = n // (k + 1)
+    edges = [n - fold * size for fold in range(k, -1, -1)]  # a fold's test rows end where those of the next begin
+    rows, first = blocks.first_rows(df, [ts, *id], set(edges), block)
+    part = F.lit(k)
+    for number in range(k - 1, -1, -1):
+        part = F.when(first[edges[number]], number).otherwise(part)
+    each = rows.withColumn("_part", part).withColumn("fold", F.explode(F.sequence(F.greatest("_part", F.lit(1)), F.lit(k))))
+    return each.select(*df.columns, "fold", F.when(F.col("fold") == F.col("_part"), "test").otherwise("train").alias("role"))
 
 
 def kfold_repeated(df: DataFrame, *, id: Sequence[str], folds: int = 5, repeats: int = 2, seed: int = 42) -> DataFrame:
