@@ -1,6 +1,7 @@
 """Queries on tables that the stored ones do not show: constant moods, lists of every scheme, permutations over the whole table."""
 
 import datetime as dt
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -93,3 +94,22 @@ def test_folds_without_ordering_the_table(spark, rows, monkeypatch):
         v = np.array([[i % 7, 1e8 + i % 11] for i, f, o in want if (f, o) == (r["fold"], r["role"])])
         np.testing.assert_allclose(moments.unpack(r["cells"], 2), np.cov(v.T, ddof=0) * len(v), rtol=1e-9)
         np.testing.assert_allclose(r["means"], v.mean(axis=0), rtol=1e-12)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="stored tables are not here")
+def test_shared_steps_are_stored(spark, monkeypatch):
+    """Edges are not joined again, and rows not hashed again, by every reader."""
+    from undertow.operators import mlmodels
+    from undertow.sources.tables import Tables
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan(Tables(spark, "/root/testdata/sf0.001").flows)
+    train, plans = mlmodels.train_regressor, []
+
+    def seen(df, **kw):
+        plans.append(plan(df))
+        return train(df, **kw)
+
+    monkeypatch.setattr(mlmodels, "train_regressor", seen)
+    assert catalog.QUERIES["train_regressor"](spark, "/root/testdata/sf0.001").count() == 3
+    assert len(plans) == 3 and not any("md5" in p for p in plans)
