@@ -456,3 +456,26 @@ def test_stored_trees(spark):
         r = token_counts.edited(rows, None, "t", "tree")[0].first()
         assert r["n_built"] > 1000 and r["n_tokens"] == count(r["t"])
     assert token_counts.edited(docs.limit(0))[0].count() == 0
+
+
+def test_lm_spelling_beyond_the_broadcast_is_joined(spark, monkeypatch):
+    texts = [*some_texts(40, 9), "unheardofword", "an unheardofword " * 30, "", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    learned = docs.filter("doc_id < 30")
+
+    def scores():
+        return {r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in attention_lm.score(docs, *attention_lm.trained(learned)).collect()}
+
+    want = scores()
+    for grams, head, long in ((0, 100_000, 100_000), (25, 100_000, 100_000), (25, 3, 20)):
+        monkeypatch.setattr(attention_lm, "GRAMS", grams)
+        monkeypatch.setattr(attention_lm, "HEAD", head)
+        monkeypatch.setattr(attention_lm, "LONG", long)
+        if long < 100_000:  # training in pieces gives other weights
+            monkeypatch.setattr(attention_lm, "GRAMS", 500_000)
+            want = scores()
+            monkeypatch.setattr(attention_lm, "GRAMS", grams)
+        got = scores()
+        assert len(got) == len(texts)
+        for i, row in want.items():
+            assert got[i] == pytest.approx(row, rel=1e-6), (grams, i)

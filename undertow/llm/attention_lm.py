@@ -13,7 +13,8 @@ and they sum to one.
 The spelling of a word is what the ids inside it know better than any wider view: the probability of an id after the first of
 its word is ``alpha + beta * attention``, where alpha is the discounted share of the id after the one or two ids before it in
 the word and beta what the discounts leave.  These counts come from the words and their counts; the ``GRAMS`` most frequent ones
-are broadcast (a size fixed by the parameter), and beta takes up what the others would have had.  A word as a whole is
+are broadcast (a size fixed by the parameter).  A word with an id that these do not settle - its sequence is not among them, and its context
+may have others - leaves the task with what attention says of its ids, and gets its shares from the whole table by a join.  A word as a whole is
 ``GATE`` times its relative frequency in training, plus the rest of one times the product over its ids; words beyond the
 broadcast head get their frequency by the join that the base takes too.  The sum over all words stays at most one.
 
@@ -53,7 +54,7 @@ INPUTS, CLASSES = 1024, 96
 WIDTH = 16
 CONTEXT, STEP = 8, 16
 ROUNDS = 1
-GRAMS = 500_000  # id sequences inside words that are broadcast
+GRAMS = 500_000  # id sequences inside words that are broadcast; words that need others take a join
 DISCOUNT = 0.5
 GATE = 0.5  # weight of a word's own frequency against its spelling in context
 SHARE = 250_000  # tokens of a share of the training texts: its steps follow one another
@@ -95,17 +96,19 @@ def inner(pieces: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np
 class Grams:
     """Discounted shares of ids after the one or two ids before them in a word, and what each such context leaves to shorter ones.
 
-    Taken from columns a (-1: only one id before), b, id, n and t, the number of times that the context occurred at all.
+    Taken from columns a (-1: only one id before), b, id, n, and of the context t and k: how often it occurred at all, and with how many ids.
+    ``whole``: these rows are all there are.
     """
 
-    def __init__(self, size: int, a: np.ndarray, b: np.ndarray, one: np.ndarray, n: np.ndarray, t: np.ndarray):
-        self.size = size
+    def __init__(self, size: int, a: np.ndarray, b: np.ndarray, one: np.ndarray, n: np.ndarray, t: np.ndarray, k: np.ndarray, whole: bool = True):
+        self.size, self.whole = size, whole
         context = self.code(a.astype(np.int64), b.astype(np.int64))
         key, share = context * (size + 2) + one, (n - DISCOUNT) / t
         order = np.argsort(key)
         self.key, self.share = key[order], share[order]
-        self.context, of = np.unique(context, return_inverse=True)
-        self.left = 1 - np.bincount(of, share, len(self.context))
+        self.context, first, held = np.unique(context, return_index=True, return_counts=True)
+        self.left = DISCOUNT * k[first] / t[first]
+        self.missing = (held < k[first]).astype(float)  # contexts with ids that are not here
 
     def code(self, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
         return (a + 1) * (self.size + 2) + b
@@ -117,15 +120,18 @@ class Grams:
         place = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
         return np.where(keys[place] == at, values[place], other)
 
-    def parts(self, pieces: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """alpha and beta of every id of words that begin at ``at``."""
+    def parts(self, pieces: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """alpha and beta of every id of words that begin at ``at``, and whether rows that are not here may change them."""
         where, b, a = inner(pieces, at, self.size)
-        alpha, beta = np.zeros(len(pieces)), np.ones(len(pieces))
+        alpha, beta, unsure = np.zeros(len(pieces)), np.ones(len(pieces)), np.zeros(len(pieces), bool)
         for context in (self.code(-1, b), self.code(a, b)):
             left = self.found(self.context, self.left, context, 1.0)
-            alpha[where] = alpha[where] * left + self.found(self.key, self.share, context * (self.size + 2) + pieces[where], 0.0)
+            share = self.found(self.key, self.share, context * (self.size + 2) + pieces[where], 0.0)
+            alpha[where] = alpha[where] * left + share
             beta[where] *= left
-        return alpha, beta
+            if not self.whole:
+                unsure[where] |= (share == 0) & (self.found(self.context, self.missing, context, 1.0) > 0)
+        return alpha, beta, unsure
 
 
 class Subwords:
@@ -152,6 +158,7 @@ class Subwords:
         self.alpha, self.beta = np.zeros(1 << 16), np.ones(1 << 16)
         self.start, self.sizes = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64)
         self.count = np.full(1 << 14, self.counts.get(END, -1), np.int64)
+        self.unsure = np.zeros(1 << 14, bool)
 
     def learn(self) -> None:
         """Pieces of all fresh words, encoded in one go."""
@@ -162,10 +169,11 @@ class Subwords:
         while end > len(self.flat):
             self.flat, self.alpha, self.beta = (np.r_[x, np.zeros_like(x)] for x in (self.flat, self.alpha, self.beta))
         while last > len(self.start):
-            self.start, self.sizes, self.count = (np.r_[x, np.zeros_like(x)] for x in (self.start, self.sizes, self.count))
+            self.start, self.sizes, self.count, self.unsure = (np.r_[x, np.zeros_like(x)] for x in (self.start, self.sizes, self.count, self.unsure))
         self.flat[self.used : end] = pieces
         if self.grams is not None:
-            self.alpha[self.used : end], self.beta[self.used : end] = self.grams.parts(pieces, at)
+            self.alpha[self.used : end], self.beta[self.used : end], unsure = self.grams.parts(pieces, at)
+            self.unsure[first:last] = np.logical_or.reduceat(unsure, at)
         self.start[first:last] = self.used + at
         self.sizes[first:last] = np.diff(np.r_[at, len(pieces)])
         if self.counts:
@@ -492,16 +500,21 @@ def train_batches(batches, *, path: str, held):
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE), pa.int64()), pa.array(total), pa.array(np.full(SIZE, float(seen)))], names=["at", "w", "n"])
 
 
-def spelled(subwords: Subwords, numbers: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """log10 probability of every numbered word by its ids: what attention says of them, with their share inside words."""
+def spelled(subwords: Subwords, numbers: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """log10 probability of every numbered word by its ids: what attention says of them, with their share inside words.
+
+    Also, for words whose shares the broadcast does not settle, what attention says of each id.
+    """
     at, n = subwords.places(numbers), subwords.sizes[numbers]
+    first = np.cumsum(n) - n
+    ask = {int(j): logs[first[j] : first[j] + n[j]] for j in np.flatnonzero(subwords.unsure[numbers])}
     if subwords.grams is not None:
         logs = np.log10(subwords.alpha[at] + subwords.beta[at] * 10**logs)
-    return np.add.reduceat(logs, np.cumsum(n) - n)
+    return np.add.reduceat(logs, first), ask
 
 
-def word_logs(model: SimpleNamespace, subwords: Subwords, numbers: list[np.ndarray]) -> list[np.ndarray]:
-    """log10 probability of each word of each text, spelled in context; words are given by their numbers."""
+def word_logs(model: SimpleNamespace, subwords: Subwords, numbers: list[np.ndarray]) -> list[tuple[np.ndarray, dict[int, np.ndarray]]]:
+    """``spelled`` for the words of each text, in context; words are given by their numbers."""
     made: list = [None] * len(numbers)
     for k, at in enumerate(numbers):
         if len(at) > LONG:  # a very long text goes in pieces; ids in view are carried over
@@ -512,9 +525,12 @@ def word_logs(model: SimpleNamespace, subwords: Subwords, numbers: list[np.ndarr
         ids, n = subwords.pieces(every)
         ends = np.cumsum([len(numbers[k]) for k in short])
         sizes = np.diff(np.r_[0, np.cumsum(n)[ends - 1]])
-        logs = spelled(subwords, every, id_logs(model, ids, sizes, subwords.size - 1))
+        logs, ask = spelled(subwords, every, id_logs(model, ids, sizes, subwords.size - 1))
         for k, part in zip(short, np.split(logs, ends[:-1])):
-            made[k] = part
+            made[k] = part, {}
+        for j, of_ids in ask.items():
+            text = int(np.searchsorted(ends, j, "right"))
+            made[short[text]][1][j - int(ends[text]) + len(numbers[short[text]])] = of_ids
     return made
 
 
@@ -539,19 +555,24 @@ def id_logs(model: SimpleNamespace, ids: np.ndarray, sizes: np.ndarray, first: i
     return out / np.log(10) + model.plan.share[ids]
 
 
-def long_logs(model: SimpleNamespace, subwords: Subwords, numbers: np.ndarray, piece: int = 50_000) -> np.ndarray:
+def long_logs(model: SimpleNamespace, subwords: Subwords, numbers: np.ndarray, piece: int = 50_000) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """A very long text in pieces that overlap by the context."""
-    made, tail = [], np.zeros(0, np.int32)
+    made, ask, tail = [], {}, np.zeros(0, np.int32)
     for at in range(0, len(numbers), piece):
         ids, _ = subwords.pieces(numbers[at : at + piece])
         logs = id_logs(model, np.r_[tail, ids], np.array([len(tail) + len(ids)]), subwords.size - 1)
-        made.append(spelled(subwords, numbers[at : at + piece], logs[len(tail) :]))
+        part, more = spelled(subwords, numbers[at : at + piece], logs[len(tail) :])
+        made.append(part)
+        ask |= {at + j: of_ids for j, of_ids in more.items()}
         tail = np.r_[tail, ids][-(CONTEXT + 1) :]
-    return np.concatenate(made)
+    return np.concatenate(made), ask
 
 
 def score_batches(batches, *, path: str, held):
-    """doc_id, held_out, text -> scores; tokens beyond the broadcast head are listed with their spelled probability."""
+    """doc_id, held_out, text -> scores; tokens that the broadcast does not settle are listed.
+
+    Those beyond the head have no count yet; those with ids beyond the broadcast sequences come with what attention says of their ids.
+    """
     model = held.value
     subwords = Subwords(path, model.head, model.grams)
     unit = log10(model.n + model.v + 1)
@@ -565,21 +586,22 @@ def score_batches(batches, *, path: str, held):
             words = [tokens(t) for _, t in part]
             numbers = subwords.numbers(list(chain.from_iterable(words)))
             numbers = np.split(numbers, np.cumsum([len(x) for x in words])[:-1])
-            for (i, _), list_, at, logs in zip(part, words, numbers, word_logs(model, subwords, numbers)):
+            for (i, _), list_, at, (logs, ask) in zip(part, words, numbers, word_logs(model, subwords, numbers)):
                 c = subwords.count[at]
-                inside = c >= 0
-                if model.n:  # a word outside the head counts as spelled, until the join adds its frequency
-                    score[i] = np.log10(GATE / model.n * c[inside] + (1 - GATE) * 10 ** logs[inside]).sum() + (log10(1 - GATE) + logs[~inside]).sum()
+                inside, sure = c >= 0, ~subwords.unsure[at]
+                if model.n:  # a word outside the head counts as spelled, until the join adds its frequency; an unsure one is left to the join
+                    here, out = inside & sure, ~inside & sure
+                    score[i] = np.log10(GATE / model.n * c[here] + (1 - GATE) * 10 ** logs[here]).sum() + (log10(1 - GATE) + logs[out]).sum()
                 else:
                     score[i] = logs.sum()
                 n_tokens.append(len(list_))
                 known.append(int((c > 0).sum()))
                 base.append(float(np.log10(c[inside] + 1.0).sum()) - len(list_) * unit)
-                rare.append([(list_[j], logs[j]) for j in np.flatnonzero(~inside)])
+                rare.append([(list_[j], c[j] if inside[j] else None, logs[j], ask.get(j)) for j in np.flatnonzero(~(inside & sure)).tolist()])
                 uid.append(row_number)
                 row_number += 1
-        kind = pa.list_(pa.struct([("token", pa.binary()), ("spelled", pa.float64())]))
-        rare = pa.array([[{"token": t, "spelled": x} for t, x in list_] for list_ in rare], kind)
+        kind = pa.list_(pa.struct([("token", pa.binary()), ("held", pa.int64()), ("spelled", pa.float64()), ("logs", pa.list_(pa.float64()))]))
+        rare = pa.array([[dict(zip(("token", "held", "spelled", "logs"), x)) for x in list_] for list_ in rare], kind)
         yield pa.RecordBatch.from_arrays(
             [pa.array(uid, pa.int64()), batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), rare],
             names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
@@ -611,30 +633,72 @@ def trained(rows: DataFrame, text: str = "text", key: str = "doc_id", *, path: s
             weights = weights.copy()
             weights[mean["at"].to_numpy()] = mean["w"].to_numpy().astype(np.float32)
     table = dict(zip(head["token"].to_pylist(), head["n"].to_pylist()))
-    return SimpleNamespace(plan=plan, weights=weights, head=table, n=n, v=v, grams=spelling(words, subwords.size, path)), words
+    grams, every = spelling(words, subwords.size, path)
+    return SimpleNamespace(plan=plan, weights=weights, head=table, n=n, v=v, grams=grams, every=every), words
 
 
-def spelling(words: DataFrame, size: int, path: str) -> Grams:
-    """The ``GRAMS`` most frequent id sequences inside words, each beside the count of its context (at most a vocabulary of rows)."""
+def spelling(words: DataFrame, size: int, path: str) -> tuple[Grams, DataFrame]:
+    """The ``GRAMS`` most frequent id sequences inside words, each beside the count of its context (at most a vocabulary of rows), and the table of all."""
     grams = map_batches(words, partial(gram_batches, path=path), "a long, b long, id long, n long").groupBy("a", "b", "id").agg(F.sum("n").alias("n"))
-    beside = grams.withColumn("t", F.sum("n").over(Window.partitionBy("a", "b")))
-    top = beside.orderBy(F.col("n").desc(), "a", "b", "id").limit(GRAMS).toArrow()
-    return Grams(size, *(top[c].to_numpy() for c in ("a", "b", "id", "n", "t")))
+    context = Window.partitionBy("a", "b")
+    every = stash(grams.withColumns({"t": F.sum("n").over(context), "k": F.count(F.lit(1)).over(context)}), "grams")
+    top = every.orderBy(F.col("n").desc(), "a", "b", "id").limit(GRAMS).toArrow()
+    return Grams(size, *(top[c].to_numpy() for c in ("a", "b", "id", "n", "t", "k")), whole=every.count() <= GRAMS), every
+
+
+def place_batches(batches, *, path: str):
+    """token -> (token, at, a, b, id) for every id of the token but its first."""
+    subwords = Subwords(path)
+    for batch in batches:
+        words = texts_of(batch, 0)
+        pieces, sizes = subwords.ids(words)
+        first = np.cumsum(sizes) - sizes
+        where, b, a = inner(pieces, first, subwords.size)
+        of = np.repeat(np.arange(len(words)), sizes)[where]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([words[i] for i in of], pa.binary()), *(pa.array(x, pa.int64()) for x in (where - first[of], a, b, pieces[where]))], names=["token", "at", "a", "b", "id"]
+        )
+
+
+def shares_by_join(tokens_: DataFrame, every: DataFrame, path: str) -> DataFrame:
+    """token, parts: alpha and beta of every id of the token but its first, in order, from the table of all id sequences."""
+    table = every.select("a", "b", "id", ((F.col("n") - DISCOUNT) / F.col("t")).alias("v")).unionAll(
+        every.select("a", "b", F.lit(-1).cast("long"), (F.lit(DISCOUNT) * F.col("k") / F.col("t"))).distinct()  # what the context leaves
+    )
+    places = map_batches(tokens_, partial(place_batches, path=path), "token binary, at long, a long, b long, id long")
+    looked = [(name, a, one) for a, tag in ((F.lit(-1).cast("long"), "1"), (F.col("a"), "2")) for name, one in ((f"share{tag}", F.col("id")), (f"left{tag}", F.lit(-1).cast("long")))]
+    asked = places.select("token", "at", "b", F.inline(F.array(*[F.struct(F.lit(name).alias("what"), a.alias("a"), one.alias("id")) for name, a, one in looked])))
+    found = asked.join(table, ["a", "b", "id"], "left").groupBy("token", "at").agg(*[F.max(F.when(F.col("what") == name, F.col("v"))).alias(name) for name, _, _ in looked])
+    left1, left2 = (F.coalesce(c, F.lit(1.0)) for c in ("left1", "left2"))
+    alpha = F.coalesce("share1", F.lit(0.0)) * left2 + F.coalesce("share2", F.lit(0.0))
+    parts = F.sort_array(F.collect_list(F.struct("at", alpha.alias("alpha"), (left1 * left2).alias("beta"))))
+    return found.groupBy("token").agg(parts.alias("parts"))
 
 
 def score(docs: DataFrame, model: SimpleNamespace, words: DataFrame, text: str = "text", key: str = "doc_id", held_out: Column | None = None, *, path: str = VOCABULARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    sent = SimpleNamespace(**{name: x for name, x in vars(model).items() if name != "every"})
+    held = docs.sparkSession.sparkContext.broadcast(sent)
     narrow = docs.select(q(key).alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), q(text).alias("text"))
     kind = dict(narrow.dtypes)["doc_id"]
-    schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<token: binary, spelled: double>>"
+    listed = "array<struct<token: binary, held: long, spelled: double, logs: array<double>>>"
+    schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare {listed}"
     made = stash(map_batches(narrow, partial(score_batches, path=path, held=held), schema), "scores")
-    rare = made.select("uid", F.inline("rare"))
+    rare, given = made.select("uid", F.inline("rare")), F.lit(log10(1 - GATE)) + F.col("spelled")
     whole = F.log10(F.lit(GATE / max(model.n, 1)) * F.col("c") + F.lit(1 - GATE) * F.pow(F.lit(10.0), F.col("spelled")))
-    more = rare.join(words.withColumnRenamed("n", "c"), "token").groupBy("uid").agg(
-        F.count(F.lit(1)).alias("more_known"), F.sum(F.log10(F.col("c") + 1)).alias("more_base"),
-        F.sum(whole - F.col("spelled") - F.lit(log10(1 - GATE))).alias("more_score"),
-    )
+    sure = rare.filter("logs is null").join(words.withColumnRenamed("n", "c"), "token")
+    found = sure.select("uid", F.lit(1).alias("known"), F.log10(F.col("c") + 1).alias("base"), (whole - given).alias("more"))
+    if not model.grams.whole:
+        unsure = rare.filter("logs is not null")
+        parts = shares_by_join(unsure.select("token").distinct(), model.every, path)
+        mixed = F.zip_with(F.slice("logs", 2, F.greatest(F.size("logs") - 1, F.lit(0))), "parts", lambda x, p: F.log10(p["alpha"] + p["beta"] * F.pow(F.lit(10.0), x)))
+        unsure = unsure.join(parts, "token").withColumn("spelled", F.element_at("logs", 1) + F.aggregate(mixed, F.lit(0.0), lambda total, x: total + x))
+        unsure = unsure.join(words, "token", "left").withColumn("c", F.coalesce("held", "n"))
+        late = F.col("held").isNull() & F.col("n").isNotNull()
+        found = found.unionAll(unsure.select(
+            "uid", F.when(late, 1).otherwise(0), F.when(late, F.log10(F.col("n") + 1)).otherwise(0.0), F.when(F.col("c") > 0, whole).otherwise(given),
+        ))
+    more = found.groupBy("uid").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("more").alias("more_score"))
     rows = made.drop("rare").join(more, "uid", "left")
     return rows.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
