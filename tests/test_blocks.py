@@ -112,6 +112,24 @@ def test_rolling_time_statistics_keep_their_digits(spark, monkeypatch, rows):
                     assert getattr(row, f"kurt_{hours}h") == pytest.approx((z**4).mean() / m2**2 - 3, rel=1e-6, abs=1e-6)
 
 
+def test_rolling_time_statistics_cut_blocks_before_any_window(data, monkeypatch):
+    # Cut points are looked for once, in stored instants: not in totals that would be worked out again for them.
+    seen, cut = [], blocks.even_block
+
+    def noted(df, *rest):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut(df, *rest)
+
+    monkeypatch.setattr(blocks, "ROWS_PER_BLOCK", 20)
+    monkeypatch.setattr(blocks, "even_block", noted)
+    got = ordered(features.rolling_stats_time(data, "x", keys=["series"], ts="ts", hours=(1, 6)))
+    monkeypatch.setattr(blocks, "ROWS_PER_BLOCK", 2_000_000)
+    want = ordered(features.rolling_stats_time(data, "x", keys=["series"], ts="ts", hours=(1, 6)))
+    assert len(seen) == 2 and not any("Window" in plan for plan in seen)
+    made = [c for c in want.columns if c.split("_")[0] in ("mean", "std", "skew", "kurt")]
+    assert len(made) == 8 and np.allclose(got[made].astype(float), want[made].astype(float), rtol=1e-9, atol=1e-9, equal_nan=True)
+
+
 def test_even_blocks_bound_every_group(spark, monkeypatch):
     # Half of all rows share one instant and one series; the id still splits them.
     df = spark.range(4000).select(

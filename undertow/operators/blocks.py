@@ -290,35 +290,58 @@ def time_moments(
 
     Time is cut into parts as wide as the span, so a frame is the end of one part and the beginning of the next:
     a running total backwards and one forwards, merged by the rules for central moments.  Nothing is taken off a
-    longer total, so values outside a frame leave no trace in it; powers are about the median of their part, so
+    longer total, so values outside a frame leave no trace in it; powers are about a median of their part, so
     neither large offsets nor small units cost digits.  Linear at any width, and parts with many rows run in blocks.
     Rows without a time have no frame (NULL); rows without a value have the frame of the others.
+
+    Instants are stored once, whatever the number of spans.  Every instant asks at the opening of its frame for the total
+    behind it, and takes the answer along to the part it lies in, where the second total is added.
     """
-    keys, powers = list(keys), ["n", "s1", "s2", "s3", "s4"]
+    keys, powers, group = list(keys), ["n", "s1", "s2", "s3", "s4"], [*keys, "_tag", "_in"]
+    width = {tag: span * 1_000_000 for tag, span in spans.items()}
+    tags = F.array(*[F.struct(F.lit(tag).alias("_tag"), F.lit(us).cast("long").alias("_span")) for tag, us in width.items()])
+    slot, least = "_slot", min(width.values())
     timed = df.withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp")))
-    tags = F.array(*[F.struct(F.lit(tag).alias("_tag"), F.lit(span * 1_000_000).cast("long").alias("_span")) for tag, span in spans.items()])
-    rows = timed.filter("_at is not null").select(*keys, "_at", F.col(value).cast("double").alias("_x"), F.inline(tags))
-    rows = rows.withColumn("_part", F.col("_at") - F.pmod("_at", "_span"))
-    middle = rows.groupBy(*keys, "_tag", "_part").agg(F.coalesce(F.percentile_approx("_x", 0.5, 1000), F.lit(0.0)).alias("_c"))
-    d = F.col("_x") - F.col("_c")
-    instants = attach(rows, middle, [*keys, "_tag", "_part"]).groupBy(*keys, "_tag", "_span", "_part", "_at").agg(
-        F.first("_c").alias("_c"), F.count("_x").cast("double").alias("n"), *[F.coalesce(F.sum(d**k), F.lit(0.0)).alias(f"s{k}") for k in range(1, 5)],
-        F.max("_x").alias("_high"), F.max(-F.col("_x")).alias("_low"),
-    )
-    here = F.struct(F.col("_part").alias("_in"), F.col("_at").alias("_us"), F.lit(True).alias("_own"))
-    opens = F.struct((F.col("_part") - F.col("_span")).alias("_in"), (F.col("_at") - F.col("_span")).alias("_us"), F.lit(False).alias("_own"))
-    stream = cut_lineage(instants).select("*", F.inline(F.array(here, opens))).withColumn("_down", -F.col("_us"))
-
-    def run(stream, order, side, cut):
+    rows = timed.filter("_at is not null").select(*keys, "_at", F.col(value).cast("double").alias("_x"), (F.col("_at") - F.pmod("_at", F.lit(least))).alias(slot))
+    median = lambda c: F.percentile_approx(c, 0.5, 1000)
+    slots = cut_lineage(rows.groupBy(*keys, slot).agg(median("_x").alias("_m")))
+    reached = F.array_distinct(F.transform(F.array(F.col(slot), F.col(slot) + (least - 1)), lambda us: us - F.pmod(us, F.col("_span"))))
+    centers = slots.select("*", F.inline(tags)).select(*keys, "_tag", "_m", F.explode(reached).alias("_in")).groupBy(*group).agg(F.coalesce(median("_m"), F.lit(0.0)).alias("_c"))
+    d = F.col("_x") - F.col("_m")
+    instants = cut_lineage(attach(rows, slots, [*keys, slot]).groupBy(*keys, "_at").agg(
+        F.coalesce(F.first("_m"), F.lit(0.0)).alias("_m"), F.count("_x").cast("double").alias("n"),
+        *[F.coalesce(F.sum(d**k), F.lit(0.0)).alias(f"s{k}") for k in range(1, 5)], F.max("_x").alias("_high"), F.max(-F.col("_x")).alias("_low"),
+    ))
+    tagged = instants.select("*", F.inline(tags)).withColumn("_in", F.col("_at") - F.pmod("_at", "_span"))
+    e, n, s1, s2, s3, s4 = F.col("_m") - F.col("_c"), *(F.col(c) for c in powers)
+    about = {"s1": s1 + n * e, "s2": s2 + 2 * e * s1 + n * e**2, "s3": s3 + 3 * e * s2 + 3 * e**2 * s1 + n * e**3, "s4": s4 + 4 * e * s3 + 6 * e**2 * s2 + 4 * e**3 * s1 + n * e**4}
+    tagged = attach(tagged, centers, group).withColumns(about).select(*group, "_span", "_at", *powers, "_high", "_low", "_c")
+    here = F.struct(F.col("_in").alias("_to"), F.col("_at").alias("_us"), F.lit(True).alias("_own"))
+    opens = F.struct((F.col("_in") - F.col("_span")).alias("_to"), (F.col("_at") - F.col("_span")).alias("_us"), F.lit(False).alias("_own"))
+    asked = tagged.select("*", F.inline(F.array(here, opens))).withColumnsRenamed({"_in": "_part", "_to": "_in"}).withColumn("_down", -F.col("_us"))
+    cut = even_block(asked.select("_us"), ["_us"]) if block is None else block("_us")
+
+    def run(stream, summed, side, order, most, cut):
+        """At every row of ``stream`` the totals of its own rows so far; ``summed`` has these own rows, and a row in every block."""
         own = lambda c: F.when(F.col("_own"), F.col(c))
-        most = {f"{side}{c}": own(c) for c in ("_high", "_low", "_c")}
-        return running(stream, [*keys, "_tag", "_in"], [order], {f"{side}{c}": F.coalesce(own(c), F.lit(0.0)) for c in powers}, cut, peers=True, most=most)
-
-    stream = run(stream, "_us", "b", None if block is None else block("_us"))
-    stream = run(stream, "_down", "a", None if block is None else -block("_us"))
-    frames = stream.groupBy(*keys, "_tag", "_at").agg(
-        *[F.max(F.when(F.col("_own") == (side == "b"), F.col(side + c))).alias(side + c) for side in "ab" for c in (*powers, "_high", "_low", "_c")]
-    )
+        steps = {f"{side}{c}": (F.sum, F.coalesce(own(c), F.lit(0.0))) for c in powers} | {f"{side}{c}": (F.max, own(c)) for c in most}
+        within = group if cut is None else [*group, "_block"]
+        w = Window.partitionBy(*within).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+        blocked = (lambda rows: rows) if cut is None else (lambda rows: rows.withColumn("_block", cut))
+        local = blocked(stream).select("*", *[f(c).over(w).alias(name) for name, (f, c) in steps.items()])
+        if cut is None:
+            return local
+        before = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        sums = blocked(summed).groupBy(*within).agg(*[f(c).alias(name) for name, (f, c) in steps.items()])
+        ahead = sums.select(*within, *[f(name).over(before).alias(f"_ahead_{name}") for name, (f, _) in steps.items()])
+        both = {name: F.col(name) + F.coalesce(f"_ahead_{name}", F.lit(0.0)) if f is F.sum else F.greatest(name, f"_ahead_{name}") for name, (f, _) in steps.items()}
+        return attach(local, ahead, within).withColumns(both).drop("_block", *[f"_ahead_{name}" for name in steps])
+
+    behind = run(asked, asked, "a", "_down", ["_high", "_low", "_c"], None if cut is None else -cut).filter(~F.col("_own"))
+    answers = behind.select(*keys, "_tag", F.col("_part").alias("_in"), F.col("_at").alias("_us"), F.lit(False).alias("_own"), "_c", *[f"a{c}" for c in (*powers, "_high", "_low", "_c")])
+    own = tagged.select(*group, F.col("_at").alias("_us"), F.lit(True).alias("_own"), "_c", *powers, "_high", "_low")
+    stream = own.unionByName(answers, allowMissingColumns=True)
+    frames = run(stream, own, "b", "_us", ["_high", "_low"], cut).filter(~F.col("_own")).withColumnsRenamed({"_c": "b_c", "_us": "_at"}).drop(*powers)
     (am, a2, a3, a4), (bm, b2, b3, b4) = (_central(*[F.col(side + c) for c in powers]) for side in "ab")
     frames = frames.withColumns({"am": am, "a2": a2, "a3": a3, "a4": a4, "bm": bm, "b2": b2, "b3": b3, "b4": b4, "n": F.col("an") + F.col("bn")})
     both = (F.col("an") > 0) & (F.col("bn") > 0)
@@ -333,9 +356,10 @@ def time_moments(
         "m4": a4 + b4 + d**4 * a * b * (a * a - a * b + b * b) / n**3 + 6 * d**2 * (a * a * b2 + b * b * a2) / n**2 + 4 * d * (a * b3 - b * a3) / n,
         "low": -F.greatest("a_low", "b_low"), "high": F.greatest("a_high", "b_high"),
     }
-    tagged = frames.select(*keys, "_tag", "_at", *[c.alias(name) for name, c in merged.items()])
-    wide = tagged.groupBy(*keys, "_at").agg(*[F.max(F.when(F.col("_tag") == tag, F.col(name))).alias(f"{name}_{tag}") for tag in spans for name in merged])
-    return match(timed, wide, [*keys, "_at"], "left").select(*df.columns, *[f"{name}_{tag}" for tag in spans for name in merged])
+    place = F.struct(*keys, "_at").alias("_place")  # one key in which NULL equals NULL: grouping and join share an exchange
+    told = frames.select(place, "_tag", *[c.alias(name) for name, c in merged.items()])
+    wide = told.groupBy("_place").agg(*[F.max(F.when(F.col("_tag") == tag, F.col(name))).alias(f"{name}_{tag}") for tag in spans for name in merged])
+    return timed.select("*", place).join(wide, "_place", "left").select(*df.columns, *[f"{name}_{tag}" for tag in spans for name in merged])
 
 
 def quantiles(
