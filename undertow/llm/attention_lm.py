@@ -14,7 +14,7 @@ The spelling of a word is what the ids inside it know better than any wider view
 its word is ``alpha + beta * attention``, where alpha is the discounted share of the id after the one or two ids before it in
 the word and beta what the discounts leave.  These counts come from the words and their counts; the ``GRAMS`` most frequent ones
 are broadcast (a size fixed by the parameter).  A word with an id that these do not settle - its sequence is not among them, and its context
-may have others - leaves the task with what attention says of its ids, and gets its shares from the whole table by a join.  A word as a whole is
+may have others - leaves the task with what attention says of these ids, and gets their shares from the whole table by a join.  A word as a whole is
 ``GATE`` times its relative frequency in training, plus the rest of one times the product over its ids; words beyond the
 broadcast head get their frequency by the join that the base takes too.  The sum over all words stays at most one.
 
@@ -155,7 +155,7 @@ class Subwords:
     def forget(self) -> None:
         self.known = Numbered(END)
         self.flat, self.used = np.full(1 << 16, self.size - 1, np.int32), 1
-        self.alpha, self.beta = np.zeros(1 << 16), np.ones(1 << 16)
+        self.alpha, self.beta, self.open = np.zeros(1 << 16), np.ones(1 << 16), np.zeros(1 << 16, bool)
         self.start, self.sizes = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64)
         self.count = np.full(1 << 14, self.counts.get(END, -1), np.int64)
         self.unsure = np.zeros(1 << 14, bool)
@@ -167,13 +167,13 @@ class Subwords:
         at = np.flatnonzero(self.opens[pieces])
         first, last, end = len(self.known) - len(words), len(self.known), self.used + len(pieces)
         while end > len(self.flat):
-            self.flat, self.alpha, self.beta = (np.r_[x, np.zeros_like(x)] for x in (self.flat, self.alpha, self.beta))
+            self.flat, self.alpha, self.beta, self.open = (np.r_[x, np.zeros_like(x)] for x in (self.flat, self.alpha, self.beta, self.open))
         while last > len(self.start):
             self.start, self.sizes, self.count, self.unsure = (np.r_[x, np.zeros_like(x)] for x in (self.start, self.sizes, self.count, self.unsure))
         self.flat[self.used : end] = pieces
         if self.grams is not None:
-            self.alpha[self.used : end], self.beta[self.used : end], unsure = self.grams.parts(pieces, at)
-            self.unsure[first:last] = np.logical_or.reduceat(unsure, at)
+            self.alpha[self.used : end], self.beta[self.used : end], self.open[self.used : end] = self.grams.parts(pieces, at)
+            self.unsure[first:last] = np.logical_or.reduceat(self.open[self.used : end], at)
         self.start[first:last] = self.used + at
         self.sizes[first:last] = np.diff(np.r_[at, len(pieces)])
         if self.counts:
@@ -503,13 +503,16 @@ def train_batches(batches, *, path: str, held):
 def spelled(subwords: Subwords, numbers: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """log10 probability of every numbered word by its ids: what attention says of them, with their share inside words.
 
-    Also, for words whose shares the broadcast does not settle, what attention says of each id.
+    Ids whose shares the broadcast does not settle are left out; by word, what attention says of them is given beside.
     """
     at, n = subwords.places(numbers), subwords.sizes[numbers]
-    first = np.cumsum(n) - n
-    ask = {int(j): logs[first[j] : first[j] + n[j]] for j in np.flatnonzero(subwords.unsure[numbers])}
+    first, ask = np.cumsum(n) - n, {}
     if subwords.grams is not None:
-        logs = np.log10(subwords.alpha[at] + subwords.beta[at] * 10**logs)
+        open_ = subwords.open[at]
+        for j in np.flatnonzero(subwords.unsure[numbers]).tolist():
+            own = slice(first[j], first[j] + n[j])
+            ask[j] = logs[own][open_[own]]
+        logs = np.where(open_, 0.0, np.log10(subwords.alpha[at] + subwords.beta[at] * 10**logs))
     return np.add.reduceat(logs, first), ask
 
 
@@ -571,7 +574,7 @@ def long_logs(model: SimpleNamespace, subwords: Subwords, numbers: np.ndarray, p
 def score_batches(batches, *, path: str, held):
     """doc_id, held_out, text -> scores; tokens that the broadcast does not settle are listed.
 
-    Those beyond the head have no count yet; those with ids beyond the broadcast sequences come with what attention says of their ids.
+    Those beyond the head have no count yet; those with ids beyond the broadcast sequences come with what attention says of these ids.
     """
     model = held.value
     subwords = Subwords(path, model.head, model.grams)
@@ -579,7 +582,7 @@ def score_batches(batches, *, path: str, held):
     row_number = TaskContext.get().partitionId() << 33
     for batch in batches:
         raw = texts_of(batch, 2)
-        n_tokens, known, base, score, rare, uid = [], [], [], np.zeros(len(raw)), [], []
+        n_tokens, known, base, score, rare, unsure, uid = [], [], [], np.zeros(len(raw)), [], [], []
         for part in grouped(raw):
             if len(subwords.known) > MOST_CACHED:
                 subwords.forget()
@@ -597,14 +600,15 @@ def score_batches(batches, *, path: str, held):
                 n_tokens.append(len(list_))
                 known.append(int((c > 0).sum()))
                 base.append(float(np.log10(c[inside] + 1.0).sum()) - len(list_) * unit)
-                rare.append([(list_[j], c[j] if inside[j] else None, logs[j], ask.get(j)) for j in np.flatnonzero(~(inside & sure)).tolist()])
+                rare.append([{"token": list_[j], "spelled": logs[j]} for j in np.flatnonzero(~inside & sure).tolist()])
+                unsure.append([{"token": list_[j], "held": c[j] if inside[j] else None, "spelled": logs[j], "logs": x} for j, x in ask.items()])
                 uid.append(row_number)
                 row_number += 1
-        kind = pa.list_(pa.struct([("token", pa.binary()), ("held", pa.int64()), ("spelled", pa.float64()), ("logs", pa.list_(pa.float64()))]))
-        rare = pa.array([[dict(zip(("token", "held", "spelled", "logs"), x)) for x in list_] for list_ in rare], kind)
+        fields = [("token", pa.binary()), ("spelled", pa.float64())]
+        rare, unsure = pa.array(rare, pa.list_(pa.struct(fields))), pa.array(unsure, pa.list_(pa.struct([*fields, ("held", pa.int64()), ("logs", pa.list_(pa.float64()))])))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(uid, pa.int64()), batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), rare],
-            names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+            [pa.array(uid, pa.int64()), batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), rare, unsure],
+            names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "unsure"],
         )
 
 
@@ -646,26 +650,28 @@ def spelling(words: DataFrame, size: int, path: str) -> tuple[Grams, DataFrame]:
     return Grams(size, *(top[c].to_numpy() for c in ("a", "b", "id", "n", "t", "k")), whole=every.count() <= GRAMS), every
 
 
-def place_batches(batches, *, path: str):
-    """token -> (token, at, a, b, id) for every id of the token but its first."""
-    subwords = Subwords(path)
+def place_batches(batches, *, path: str, held):
+    """token -> (token, at, a, b, id) for every id of the token that the broadcast does not settle."""
+    subwords = Subwords(path, None, held.value.grams)
     for batch in batches:
         words = texts_of(batch, 0)
         pieces, sizes = subwords.ids(words)
         first = np.cumsum(sizes) - sizes
         where, b, a = inner(pieces, first, subwords.size)
+        asked = subwords.open[subwords.places(subwords.numbers(words))][where]
+        where, b, a = where[asked], b[asked], a[asked]
         of = np.repeat(np.arange(len(words)), sizes)[where]
         yield pa.RecordBatch.from_arrays(
             [pa.array([words[i] for i in of], pa.binary()), *(pa.array(x, pa.int64()) for x in (where - first[of], a, b, pieces[where]))], names=["token", "at", "a", "b", "id"]
         )
 
 
-def shares_by_join(tokens_: DataFrame, every: DataFrame, path: str) -> DataFrame:
-    """token, parts: alpha and beta of every id of the token but its first, in order, from the table of all id sequences."""
+def shares_by_join(tokens_: DataFrame, every: DataFrame, path: str, held) -> DataFrame:
+    """token, parts: alpha and beta of every id of the token that the broadcast does not settle, in order, from the table of all id sequences."""
     table = every.select("a", "b", "id", ((F.col("n") - DISCOUNT) / F.col("t")).alias("v")).unionAll(
         every.select("a", "b", F.lit(-1).cast("long"), (F.lit(DISCOUNT) * F.col("k") / F.col("t"))).distinct()  # what the context leaves
     )
-    places = map_batches(tokens_, partial(place_batches, path=path), "token binary, at long, a long, b long, id long")
+    places = map_batches(tokens_, partial(place_batches, path=path, held=held), "token binary, at long, a long, b long, id long")
     looked = [(name, a, one) for a, tag in ((F.lit(-1).cast("long"), "1"), (F.col("a"), "2")) for name, one in ((f"share{tag}", F.col("id")), (f"left{tag}", F.lit(-1).cast("long")))]
     asked = places.select("token", "at", "b", F.inline(F.array(*[F.struct(F.lit(name).alias("what"), a.alias("a"), one.alias("id")) for name, a, one in looked])))
     found = asked.join(table, ["a", "b", "id"], "left").groupBy("token", "at").agg(*[F.max(F.when(F.col("what") == name, F.col("v"))).alias(name) for name, _, _ in looked])
@@ -681,25 +687,25 @@ def score(docs: DataFrame, model: SimpleNamespace, words: DataFrame, text: str =
     held = docs.sparkSession.sparkContext.broadcast(sent)
     narrow = docs.select(q(key).alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), q(text).alias("text"))
     kind = dict(narrow.dtypes)["doc_id"]
-    listed = "array<struct<token: binary, held: long, spelled: double, logs: array<double>>>"
-    schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare {listed}"
+    fields = "token: binary, spelled: double"
+    listed = f"rare array<struct<{fields}>>, unsure array<struct<{fields}, held: long, logs: array<double>>>"
+    schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, {listed}"
     made = stash(map_batches(narrow, partial(score_batches, path=path, held=held), schema), "scores")
-    rare, given = made.select("uid", F.inline("rare")), F.lit(log10(1 - GATE)) + F.col("spelled")
-    whole = F.log10(F.lit(GATE / max(model.n, 1)) * F.col("c") + F.lit(1 - GATE) * F.pow(F.lit(10.0), F.col("spelled")))
-    sure = rare.filter("logs is null").join(words.withColumnRenamed("n", "c"), "token")
-    found = sure.select("uid", F.lit(1).alias("known"), F.log10(F.col("c") + 1).alias("base"), (whole - given).alias("more"))
+    rare = made.select("uid", F.inline("rare")).select("*", F.lit(None).cast("long").alias("held"), F.lit(True).alias("sure"))
     if not model.grams.whole:
-        unsure = rare.filter("logs is not null")
-        parts = shares_by_join(unsure.select("token").distinct(), model.every, path)
-        mixed = F.zip_with(F.slice("logs", 2, F.greatest(F.size("logs") - 1, F.lit(0))), "parts", lambda x, p: F.log10(p["alpha"] + p["beta"] * F.pow(F.lit(10.0), x)))
-        unsure = unsure.join(parts, "token").withColumn("spelled", F.element_at("logs", 1) + F.aggregate(mixed, F.lit(0.0), lambda total, x: total + x))
-        unsure = unsure.join(words, "token", "left").withColumn("c", F.coalesce("held", "n"))
-        late = F.col("held").isNull() & F.col("n").isNotNull()
-        found = found.unionAll(unsure.select(
-            "uid", F.when(late, 1).otherwise(0), F.when(late, F.log10(F.col("n") + 1)).otherwise(0.0), F.when(F.col("c") > 0, whole).otherwise(given),
-        ))
-    more = found.groupBy("uid").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("more").alias("more_score"))
-    rows = made.drop("rare").join(more, "uid", "left")
+        unsure = made.select("uid", F.inline("unsure"))
+        parts = shares_by_join(unsure.select("token").distinct(), model.every, path, held)
+        mixed = F.zip_with("logs", "parts", lambda x, p: F.log10(p["alpha"] + p["beta"] * F.pow(F.lit(10.0), x)))
+        whole = F.col("spelled") + F.aggregate(mixed, F.lit(0.0), lambda total, x: total + x)
+        rare = rare.unionAll(unsure.join(parts, "token").select("uid", "token", whole.alias("spelled"), "held", F.lit(False).alias("sure")))
+    found = rare.join(words, "token", "left").filter("not sure or n is not null").withColumn("c", F.coalesce("held", "n"))
+    late, given = F.col("held").isNull() & F.col("n").isNotNull(), F.lit(log10(1 - GATE)) + F.col("spelled")
+    mixture = F.log10(F.lit(GATE / max(model.n, 1)) * F.col("c") + F.lit(1 - GATE) * F.pow(F.lit(10.0), F.col("spelled")))
+    more = found.groupBy("uid").agg(
+        F.count(F.when(late, 1)).alias("more_known"), F.sum(F.when(late, F.log10(F.col("n") + 1))).alias("more_base"),
+        F.sum(F.when(F.col("c") > 0, mixture).otherwise(given) - F.when(F.col("sure"), given).otherwise(0.0)).alias("more_score"),
+    )
+    rows = made.drop("rare", "unsure").join(more, "uid", "left")
     return rows.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
