@@ -479,3 +479,33 @@ def test_lm_spelling_beyond_the_broadcast_is_joined(spark, monkeypatch):
         assert len(got) == len(texts)
         for i, row in want.items():
             assert got[i] == pytest.approx(row, rel=1e-6), (grams, i)
+
+
+def test_lm_gradient_and_spelling_take_few_passes(monkeypatch):
+    model, rng = small_model(), np.random.default_rng(5)
+    ids = rng.integers(0, 50_256, 37)
+    row, real, target = attention_lm.windows(ids, np.array([33, 3, 1]), 50_256)  # the last places of a window have nothing in view
+    rows, kinds = model.plan.row[row], np.where(target >= 0, model.plan.kind[ids[target]], -1)
+    m, maxima = attention_lm.unpacked(model.weights), []
+
+    class Watched(np.ndarray):
+        def max(self, axis=None, **named):
+            maxima.append(axis)
+            return super().max(axis=axis, **named)
+
+    watched = attention_lm.unpacked(model.weights.view(Watched))
+    g, loss = attention_lm.gradient(m, rows, real, kinds)
+    assert np.isfinite(g).all()
+    assert loss == pytest.approx(-np.log(10) * (attention_lm.id_logs(model, ids, np.array([33, 3, 1]), 50_256) - model.plan.share[ids]).mean(), rel=1e-5)
+    assert np.allclose(attention_lm.gradient(watched, rows, real, kinds)[0], g, atol=1e-6)
+    assert 1 not in maxima and 2 not in maxima  # small weights: no maximum per place is taken off
+    # one search for each kind of sequence
+    a, b, one = (np.array(x) for x in ([-1, -1, 7, 50_257], [5, 7, 5, 7], [6, 5, 6, 5]))
+    n, t, k = np.array([3, 2, 1, 2]), np.array([4, 2, 1, 2]), np.array([2, 1, 1, 1])
+    grams, searches, search = attention_lm.Grams(50_257, a, b, one, n, t, k, whole=False), [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda *x: searches.append(len(x[1])) or search(*x))
+    alpha, beta, unsure = grams.parts(np.array([7, 5, 6, 7, 9, 4]), np.array([0, 3]))
+    assert len(searches) <= 3
+    assert alpha.tolist() == pytest.approx([0, 1.5 / 2 * 0.25 + 1.5 / 2, 2.5 / 4 * 0.5 + 0.5, 0, 0, 0])
+    assert beta.tolist() == pytest.approx([1, 0.25 * 0.25, 0.25 * 0.5, 1, 0.25 * 0.25, 1])
+    assert unsure.tolist() == [False, False, False, False, False, True]

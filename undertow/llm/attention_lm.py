@@ -108,29 +108,42 @@ class Grams:
         self.key, self.share = key[order], share[order]
         self.context, first, held = np.unique(context, return_index=True, return_counts=True)
         self.left = DISCOUNT * k[first] / t[first]
-        self.missing = (held < k[first]).astype(float)  # contexts with ids that are not here
+        self.missing = held < k[first]  # contexts with ids that are not here
+        one = self.context[: np.searchsorted(self.context, size + 2)]  # contexts of one id are that id
+        self.left_one, self.missing_one = np.ones(size + 2), np.ones(size + 2, bool)
+        self.left_one[one], self.missing_one[one] = self.left[: len(one)], self.missing[: len(one)]
 
     def code(self, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
         return (a + 1) * (self.size + 2) + b
 
     @staticmethod
-    def found(keys: np.ndarray, values: np.ndarray, at: np.ndarray, other: float) -> np.ndarray:
+    def found(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``at`` are among the keys, and their places there."""
         if not len(keys):
-            return np.full(len(at), other)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        order = np.argsort(at)  # in order, one search goes on where the last one ended
+        at = at[order]
         place = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
-        return np.where(keys[place] == at, values[place], other)
+        hit = np.flatnonzero(keys[place] == at)
+        return order[hit], place[hit]
 
     def parts(self, pieces: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """alpha and beta of every id of words that begin at ``at``, and whether rows that are not here may change them."""
         where, b, a = inner(pieces, at, self.size)
         alpha, beta, unsure = np.zeros(len(pieces)), np.ones(len(pieces)), np.zeros(len(pieces), bool)
-        for context in (self.code(-1, b), self.code(a, b)):
-            left = self.found(self.context, self.left, context, 1.0)
-            share = self.found(self.key, self.share, context * (self.size + 2) + pieces[where], 0.0)
-            alpha[where] = alpha[where] * left + share
-            beta[where] *= left
-            if not self.whole:
-                unsure[where] |= (share == 0) & (self.found(self.context, self.missing, context, 1.0) > 0)
+        one, context = pieces[where].astype(np.int64), self.code(a, b)
+        share, left, missing = np.zeros((2, len(where))), np.ones((2, len(where))), np.ones((2, len(where)), bool)
+        left[0], missing[0] = self.left_one[b], self.missing_one[b]
+        hit, place = self.found(self.key, b * (self.size + 2) + one)
+        share[0, hit] = self.share[place]
+        known, place = self.found(self.context, context)
+        left[1, known], missing[1, known] = self.left[place], self.missing[place]
+        hit, place = self.found(self.key, context[known] * (self.size + 2) + one[known])
+        share[1, known[hit]] = self.share[place]
+        alpha[where] = share[0] * left[1] + share[1]
+        beta[where] = left[0] * left[1]
+        if not self.whole:
+            unsure[where] = ((share == 0) & missing).any(axis=0)
         return alpha, beta, unsure
 
 
@@ -314,57 +327,51 @@ def ranked_ids(counts: np.ndarray) -> SimpleNamespace:
 #: Distance of a key column from a query row; those beyond the context or ahead of the query are masked.
 DISTANCE = (np.arange(STEP)[:, None] + CONTEXT) - np.arange(CONTEXT + STEP)[None, :]
 SEEN = (DISTANCE >= 0) & (DISTANCE <= CONTEXT)
+NEAR = np.clip(DISTANCE, 0, CONTEXT)
 PENALTY = np.where(SEEN, 0.0, -1e9).astype(np.float32)
 
 
-def forward(m: SimpleNamespace, rows: np.ndarray, real: np.ndarray):
-    """rows: (windows, CONTEXT + STEP) input rows; real: which of them exist. States of the last STEP places."""
-    k, v = m.key[rows], m.value[rows]
-    own = rows[:, CONTEXT:]
-    qy = m.query[own]
-    a = np.matmul(qy, k.transpose(0, 2, 1)) * np.float32(WIDTH**-0.5)
-    a += m.bias[np.clip(DISTANCE, 0, CONTEXT)] + PENALTY
-    short = np.flatnonzero(~real.all(axis=1))  # where a text begins or ends
-    a[short] += np.where(real[short], np.float32(0), np.float32(-1e9))[:, None, :]
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    h = np.tanh(np.matmul(a, v) + m.own[own])
-    return k, v, qy, own, a, h
-
-
-def scorer(m: SimpleNamespace) -> SimpleNamespace:
-    """Weights laid out for scoring: ones beside the values add up the attention, biases stand below the output weights.
+def laid_out(m: SimpleNamespace) -> SimpleNamespace:
+    """Weights as the passes take them.  Ones beside the values add up the attention, and what is added beside them makes tanh return one: the factor of the
+    biases, which stand below the output weights.
 
     ``calm``: attention exponents cannot leave single precision, so no maximum per row has to be taken off first;
     ``top``: no class can score above it (states lie between -1 and 1); ``flat``: nor so far below that all vanish.
     """
-    reach = np.sqrt(np.square(m.query).sum(axis=1).max() * np.square(m.key).sum(axis=1).max() / WIDTH) + np.abs(m.bias).max()
+    longest = [np.einsum("ij,ij->i", x, x).max() for x in (m.query, m.key)]
+    reach = np.sqrt(longest[0] * longest[1] / WIDTH) + np.abs(m.bias).max()
     wide = np.abs(m.out).sum(axis=0)
     top = float((wide + m.out_bias).max())
+    value, own = np.ones((INPUTS, WIDTH + 1), m.value.dtype), np.full((INPUTS, WIDTH + 1), 30, m.own.dtype)
+    value[:, :WIDTH], own[:, :WIDTH] = m.value, m.own
     return SimpleNamespace(
-        query=m.query * np.float32(WIDTH**-0.5), key=m.key, own=m.own, value=np.c_[m.value, np.ones(INPUTS, np.float32)], mask=m.bias[np.clip(DISTANCE, 0, CONTEXT)] + PENALTY,
-        out=np.r_[m.out, m.out_bias[None, :] - np.float32(top)], calm=bool(reach < 40), flat=top - float((m.out_bias - wide).max()) < 80,
+        query=m.query * np.float32(WIDTH**-0.5), key=m.key, value=value, own=own, mask=m.bias[NEAR] + PENALTY,
+        out=np.concatenate([m.out, m.out_bias[None, :] - m.out.dtype.type(top)]), calm=bool(reach < 40), flat=top - float((m.out_bias - wide).max()) < 80,
     )
 
 
-def states(m: SimpleNamespace, rows: np.ndarray, real: np.ndarray) -> np.ndarray:
-    """What ``forward`` has last, for scoring alone, and a one behind each; places without any id in view are undefined."""
+def states(m: SimpleNamespace, rows: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, SimpleNamespace]:
+    """rows: (windows, CONTEXT + STEP) input rows; real: which of them exist.
+
+    States of the last STEP places of each window, a one behind each, and what led to them: the attention before it is divided by its sum,
+    one by this sum, and what attention gathers.
+    """
     own = rows[:, CONTEXT:]
-    a = np.matmul(m.query.take(own, axis=0), m.key.take(rows, axis=0).transpose(0, 2, 1))
+    query, key, value = m.query.take(own, axis=0), m.key.take(rows, axis=0), m.value.take(rows, axis=0)
+    a = np.matmul(query, key.transpose(0, 2, 1))
     a += m.mask
-    short = np.flatnonzero(~real.all(axis=1))
+    short = np.flatnonzero(~real.all(axis=1))  # where a text begins or ends
     a[short] += np.where(real[short], np.float32(0), np.float32(-1e9))[:, None, :]
     if not m.calm:
         a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    h = np.matmul(a, m.value.take(rows, axis=0))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        h[:, :, :WIDTH] /= h[:, :, WIDTH:]
-    h[:, :, :WIDTH] += m.own.take(own, axis=0)
+    seen = np.matmul(a, value)
+    each = 1 / np.maximum(seen[:, :, WIDTH:], seen.dtype.type(1e-30))  # nothing may be in view behind the end of a text
+    seen *= each
+    h = m.own.take(own, axis=0)
+    h += seen
     np.tanh(h, out=h)
-    h[:, :, WIDTH] = 1
-    return h
+    return h.reshape(-1, WIDTH + 1), SimpleNamespace(query=query, key=key, value=value, a=a, each=each, seen=seen)
 
 
 def windows(ids: np.ndarray, sizes: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -385,44 +392,64 @@ def windows(ids: np.ndarray, sizes: np.ndarray, first: int) -> tuple[np.ndarray,
     return row, real, np.where(wanted, starts[text][:, None] + np.minimum(target, sizes[text][:, None] - 1), -1)
 
 
-def gradient(m: SimpleNamespace, rows: np.ndarray, real: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, float]:
-    """Gradient of the mean log loss over a block of windows; kinds is -1 where no id is to be predicted."""
-    k, v, qy, own, a, h = forward(m, rows, real)
-    z = h.reshape(-1, WIDTH) @ m.out
-    z += m.out_bias
-    z -= z.max(axis=1, keepdims=True)
+def row_sums(at: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Input rows met, and the sum of what was found at each."""
+    at = at.reshape(-1).astype(np.uint16)  # INPUTS rows: sorted by digits
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    new = np.ones(len(at), bool)
+    np.not_equal(at[1:], at[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return at[first], np.add.reduceat(d.reshape(-1, d.shape[-1]).take(order, axis=0), first, axis=0)
+
+
+def gradient(m: SimpleNamespace, rows: np.ndarray, real: np.ndarray, kinds: np.ndarray, room: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Gradient of the mean log loss over a block of windows; kinds is -1 where no id is to be predicted.
+
+    Scores of classes are the widest arrays: they are passed over as seldom as can be, so factors per place go to the narrow side of each product.
+    ``room`` for these scores can be given, so that it is not asked for at every step.
+    """
+    laid = laid_out(m)
+    h, made = states(laid, rows, real)
+    z = np.matmul(h, laid.out, out=None if room is None else room[: len(h)])
+    if not laid.flat:
+        z -= z.max(axis=1, keepdims=True)
     flat = kinds.reshape(-1)
     use = np.flatnonzero(flat >= 0)
-    each = max(1, len(use))
-    hit = z[use, flat[use]]
-    dz = np.exp(z, out=z)
-    total = dz @ np.ones(CLASSES, dz.dtype)
-    loss = float((np.log(total[use]) - hit).sum()) / each
-    dz *= (np.where(flat >= 0, 1 / each, 0) / total).astype(dz.dtype)[:, None]
-    dz[use, flat[use]] -= 1 / each
+    each, hit = max(1, len(use)), use * CLASSES + flat[use]
+    score = z.reshape(-1)[hit]
+    np.exp(z, out=z)
+    total = z @ np.ones(CLASSES, z.dtype)
+    loss = float((np.log(total[use]) - score).sum()) / each
+    z.reshape(-1)[hit] -= total[use]
+    factor = (np.where(flat >= 0, 1 / each, 0) / total).astype(z.dtype)[:, None]
     g = np.zeros(SIZE, np.float32)
     out = unpacked(g)
-    out.out[:] = h.reshape(-1, WIDTH).T @ dz
-    out.out_bias[:] = dz.sum(axis=0)
-    dh = (dz @ m.out.T).reshape(h.shape) * (1 - h * h)
-    da = np.matmul(dh, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dh)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    np.add.at(out.bias, np.clip(DISTANCE, 0, CONTEXT), ds.sum(axis=0))
-    ds *= np.float32(WIDTH**-0.5)
-    dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), qy)
-
-    def gather(at: np.ndarray, tables: list[np.ndarray], d: list[np.ndarray]) -> None:
-        """Sums of the gradient rows of every input row, sorted once for all tables it is looked up in."""
-        at = at.reshape(-1).astype(np.uint16)  # INPUTS rows: sorted by digits
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        for table, rows_ in zip(tables, d):
-            table[at[first]] = np.add.reduceat(rows_.reshape(-1, WIDTH).take(order, axis=0), first, axis=0)
-
-    gather(own, [out.query, out.own], [dq, dh])
-    gather(rows, [out.key, out.value], [dk, dv])
+    below = z.T @ (h * factor)
+    out.out[:], out.out_bias[:] = below[:, :WIDTH].T, below[:, WIDTH]
+    dh = np.zeros_like(h)
+    np.matmul(z, laid.out[:WIDTH].T, out=dh[:, :WIDTH])
+    h *= h
+    np.subtract(1, h, out=h)
+    dh *= h
+    dh *= factor
+    back = dh.copy()  # by what was gathered, and behind it by the sum of the attention
+    back[:, WIDTH] = -np.einsum("ij,ij->i", dh, made.seen.reshape(dh.shape))
+    back = back.reshape(made.seen.shape)
+    back *= made.each
+    ds = np.matmul(back, made.value.transpose(0, 2, 1))
+    ds *= made.a
+    out.bias[:] = np.bincount(NEAR.reshape(-1), np.ones(len(ds), ds.dtype) @ ds.reshape(len(ds), -1), CONTEXT + 1)
+    d = np.empty((*made.a.shape[:2], 2 * WIDTH), z.dtype)
+    np.matmul(ds, made.key, out=d[:, :, :WIDTH])
+    d[:, :, WIDTH:] = dh.reshape(back.shape)[:, :, :WIDTH]
+    at, sums = row_sums(rows[:, CONTEXT:], d)
+    out.query[at], out.own[at] = sums[:, :WIDTH] * np.float32(WIDTH**-0.5), sums[:, WIDTH:]
+    d = np.empty((*rows.shape, 2 * WIDTH), z.dtype)
+    np.matmul(ds.transpose(0, 2, 1), made.query, out=d[:, :, :WIDTH])
+    np.matmul(made.a.transpose(0, 2, 1), back[:, :, :WIDTH], out=d[:, :, WIDTH:])
+    at, sums = row_sums(rows, d)
+    out.key[at], out.value[at] = sums[:, :WIDTH], sums[:, WIDTH:]
     return g, loss
 
 
@@ -432,6 +459,7 @@ class Steps:
     def __init__(self, w: np.ndarray):
         self.w, self.m1, self.m2 = w.copy(), np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
         self.step, self.seen, self.held, self.pending = 0, 0, [], 0
+        self.room = np.empty((TRAIN_BLOCK * STEP, CLASSES), np.float32)
 
     def add(self, *windows_: np.ndarray) -> None:
         self.held.append(windows_)
@@ -443,12 +471,21 @@ class Steps:
         rows, real, kinds = (np.concatenate(x) for x in zip(*self.held))
         for at in range(0, upto, TRAIN_BLOCK):
             part = slice(at, min(at + TRAIN_BLOCK, upto))
-            g, _ = gradient(unpacked(self.w), rows[part], real[part], kinds[part])
+            g, _ = gradient(unpacked(self.w), rows[part], real[part], kinds[part], self.room)
             self.step += 1
-            self.m1[:] = 0.9 * self.m1 + 0.1 * g
-            self.m2[:] = 0.99 * self.m2 + 0.01 * g * g
-            rate = np.float32(RATE / (1 + 0.02 * self.step))
-            self.w = self.w - rate * (self.m1 / (1 - 0.9**self.step)) / (np.sqrt(self.m2 / (1 - 0.99**self.step)) + np.float32(1e-6))
+            self.m1 *= 0.9
+            self.m1 += 0.1 * g
+            g *= g
+            g *= 0.01
+            self.m2 *= 0.99
+            self.m2 += g
+            rate = np.float32(RATE / (1 + 0.02 * self.step) / (1 - 0.9**self.step))
+            np.multiply(self.m2, 1 / (1 - 0.99**self.step), out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-6)
+            np.divide(self.m1, g, out=g)
+            g *= rate
+            self.w -= g
         self.seen += upto
         self.held, self.pending = [(rows[upto:], real[upto:], kinds[upto:])], len(rows) - upto
 
@@ -500,75 +537,69 @@ def train_batches(batches, *, path: str, held):
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE), pa.int64()), pa.array(total), pa.array(np.full(SIZE, float(seen)))], names=["at", "w", "n"])
 
 
-def spelled(subwords: Subwords, numbers: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+def spelled(subwords: Subwords, numbers: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """log10 probability of every numbered word by its ids: what attention says of them, with their share inside words.
 
-    Ids whose shares the broadcast does not settle are left out; by word, what attention says of them is given beside.
+    Ids whose shares the broadcast does not settle are left out; how many there are in each word, and what attention says of them, is given beside.
     """
     at, n = subwords.places(numbers), subwords.sizes[numbers]
-    first, ask = np.cumsum(n) - n, {}
-    if subwords.grams is not None:
-        open_ = subwords.open[at]
-        for j in np.flatnonzero(subwords.unsure[numbers]).tolist():
-            own = slice(first[j], first[j] + n[j])
-            ask[j] = logs[own][open_[own]]
-        logs = np.where(open_, 0.0, np.log10(subwords.alpha[at] + subwords.beta[at] * 10**logs))
-    return np.add.reduceat(logs, first), ask
-
-
-def word_logs(model: SimpleNamespace, subwords: Subwords, numbers: list[np.ndarray]) -> list[tuple[np.ndarray, dict[int, np.ndarray]]]:
-    """``spelled`` for the words of each text, in context; words are given by their numbers."""
-    made: list = [None] * len(numbers)
-    for k, at in enumerate(numbers):
-        if len(at) > LONG:  # a very long text goes in pieces; ids in view are carried over
-            made[k] = long_logs(model, subwords, at)
-    short = [k for k, at in enumerate(numbers) if len(at) <= LONG]
-    if short:
-        every = np.concatenate([numbers[k] for k in short])
-        ids, n = subwords.pieces(every)
-        ends = np.cumsum([len(numbers[k]) for k in short])
-        sizes = np.diff(np.r_[0, np.cumsum(n)[ends - 1]])
-        logs, ask = spelled(subwords, every, id_logs(model, ids, sizes, subwords.size - 1))
-        for k, part in zip(short, np.split(logs, ends[:-1])):
-            made[k] = part, {}
-        for j, of_ids in ask.items():
-            text = int(np.searchsorted(ends, j, "right"))
-            made[short[text]][1][j - int(ends[text]) + len(numbers[short[text]])] = of_ids
-    return made
+    first = np.cumsum(n) - n
+    if subwords.grams is None:
+        return np.add.reduceat(logs, first), np.zeros(len(n), np.int64), np.zeros(0)
+    open_ = np.flatnonzero(subwords.open[at])
+    asked = np.bincount(np.searchsorted(first, open_, "right") - 1, minlength=len(n))
+    mixed = np.exp(logs * np.log(10))
+    mixed *= subwords.beta[at]
+    mixed += subwords.alpha[at]
+    mixed[open_] = 1
+    return np.add.reduceat(np.log10(mixed), first), asked, logs[open_]
+
+
+def word_logs(model: SimpleNamespace, subwords: Subwords, numbers: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``spelled`` for the words of texts of the given sizes, in context; words are given by their numbers."""
+    ends = np.cumsum(sizes)
+    if (sizes > LONG).any():  # a very long text goes in pieces; ids in view are carried over
+        made = [(long_logs(model, subwords, at) if len(at) > LONG else word_logs(model, subwords, at, np.array([len(at)]))) for at in np.split(numbers, ends[:-1])]
+        return tuple(np.concatenate(x) for x in zip(*made))
+    ids, n = subwords.pieces(numbers)
+    return spelled(subwords, numbers, id_logs(model, ids, np.diff(np.r_[0, np.cumsum(n)[ends - 1]]), subwords.size - 1))
 
 
 def id_logs(model: SimpleNamespace, ids: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
     """log10 probability of every id, each scored once; blocks are small enough for a core's cache."""
-    m = scorer(unpacked(model.weights))
+    m = laid_out(unpacked(model.weights))
     row, real, target = windows(ids, sizes, first)
     row, kind, one = model.plan.row[row], model.plan.kind[ids], np.ones(CLASSES, np.float32)
-    out = np.zeros(len(ids))
+    out, room = np.zeros(len(ids)), np.empty((BLOCK * STEP, CLASSES), np.float32)
     for at in range(0, len(row), BLOCK):
         t = target[at : at + BLOCK].reshape(-1)
-        h = states(m, row[at : at + BLOCK], real[at : at + BLOCK]).reshape(-1, WIDTH + 1)
+        h, _ = states(m, row[at : at + BLOCK], real[at : at + BLOCK])
         use = np.flatnonzero(t >= 0)
         if len(use) < len(t):
             h, t = h[use], t[use]
-        z = h @ m.out
+        z = np.matmul(h, m.out, out=room[: len(h)])
         if not m.flat:
             z -= z.max(axis=1, keepdims=True)
-        own = z[np.arange(len(t)), kind[t]]
+        own = z.reshape(-1)[np.arange(0, CLASSES * len(t), CLASSES) + kind[t]]
         np.exp(z, out=z)
         out[t] = own - np.log(z @ one)
     return out / np.log(10) + model.plan.share[ids]
 
 
-def long_logs(model: SimpleNamespace, subwords: Subwords, numbers: np.ndarray, piece: int = 50_000) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """A very long text in pieces that overlap by the context."""
-    made, ask, tail = [], {}, np.zeros(0, np.int32)
+def long_logs(model: SimpleNamespace, subwords: Subwords, numbers: np.ndarray, piece: int = 50_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``spelled`` for a very long text, in pieces that overlap by the context."""
+    made, tail = [], np.zeros(0, np.int32)
     for at in range(0, len(numbers), piece):
         ids, _ = subwords.pieces(numbers[at : at + piece])
         logs = id_logs(model, np.r_[tail, ids], np.array([len(tail) + len(ids)]), subwords.size - 1)
-        part, more = spelled(subwords, numbers[at : at + piece], logs[len(tail) :])
-        made.append(part)
-        ask |= {at + j: of_ids for j, of_ids in more.items()}
+        made.append(spelled(subwords, numbers[at : at + piece], logs[len(tail) :]))
         tail = np.r_[tail, ids][-(CONTEXT + 1) :]
-    return np.concatenate(made), ask
+    return tuple(np.concatenate(x) for x in zip(*made))
+
+
+def lists_of(sizes: np.ndarray, items: pa.Array) -> pa.ListArray:
+    """Items in order as lists of the given sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), items)
 
 
 def score_batches(batches, *, path: str, held):
@@ -581,33 +612,36 @@ def score_batches(batches, *, path: str, held):
     unit = log10(model.n + model.v + 1)
     row_number = TaskContext.get().partitionId() << 33
     for batch in batches:
-        raw = texts_of(batch, 2)
-        n_tokens, known, base, score, rare, unsure, uid = [], [], [], np.zeros(len(raw)), [], [], []
-        for part in grouped(raw):
+        made, rare_words, unsure_words = [], [], []
+        for part in grouped(texts_of(batch, 2)):
             if len(subwords.known) > MOST_CACHED:
                 subwords.forget()
-            words = [tokens(t) for _, t in part]
-            numbers = subwords.numbers(list(chain.from_iterable(words)))
-            numbers = np.split(numbers, np.cumsum([len(x) for x in words])[:-1])
-            for (i, _), list_, at, (logs, ask) in zip(part, words, numbers, word_logs(model, subwords, numbers)):
-                c = subwords.count[at]
-                inside, sure = c >= 0, ~subwords.unsure[at]
-                if model.n:  # a word outside the head counts as spelled, until the join adds its frequency; an unsure one is left to the join
-                    here, out = inside & sure, ~inside & sure
-                    score[i] = np.log10(GATE / model.n * c[here] + (1 - GATE) * 10 ** logs[here]).sum() + (log10(1 - GATE) + logs[out]).sum()
-                else:
-                    score[i] = logs.sum()
-                n_tokens.append(len(list_))
-                known.append(int((c > 0).sum()))
-                base.append(float(np.log10(c[inside] + 1.0).sum()) - len(list_) * unit)
-                rare.append([{"token": list_[j], "spelled": logs[j]} for j in np.flatnonzero(~inside & sure).tolist()])
-                unsure.append([{"token": list_[j], "held": c[j] if inside[j] else None, "spelled": logs[j], "logs": x} for j, x in ask.items()])
-                uid.append(row_number)
-                row_number += 1
-        fields = [("token", pa.binary()), ("spelled", pa.float64())]
-        rare, unsure = pa.array(rare, pa.list_(pa.struct(fields))), pa.array(unsure, pa.list_(pa.struct([*fields, ("held", pa.int64()), ("logs", pa.list_(pa.float64()))])))
+            lists = [tokens(t) for _, t in part]
+            words, sizes = list(chain.from_iterable(lists)), np.array([len(x) for x in lists])
+            first, at = np.cumsum(sizes) - sizes, subwords.numbers(words)
+            logs, asked, values = word_logs(model, subwords, at, sizes)
+            c = subwords.count[at]
+            inside, sure = c >= 0, asked == 0
+            worth = logs
+            if model.n:  # a word outside the head counts as spelled, until the join adds its frequency; an unsure one is left to the join
+                worth = log10(1 - GATE) + logs
+                worth[inside] = np.log10(GATE / model.n * c[inside] + (1 - GATE) * 10 ** logs[inside])
+                worth[~sure] = 0
+            base = np.where(inside, np.log10(np.maximum(c, 0) + 1.0), 0.0)
+            rare, unsure = ~inside & sure, ~sure
+            known, n_rare, n_unsure = (np.add.reduceat(x, first, dtype=np.int64) for x in (c > 0, rare, unsure))
+            j, k = np.flatnonzero(rare), np.flatnonzero(unsure)
+            rare_words += [words[i] for i in j.tolist()]
+            unsure_words += [words[i] for i in k.tolist()]
+            made.append((sizes, known, np.add.reduceat(base, first) - sizes * unit, np.add.reduceat(worth, first), n_rare, n_unsure, logs[j], logs[k], c[k], asked[k], values))
+        sizes, known, base, score, n_rare, n_unsure, rare_logs, unsure_logs, c, asked, values = (np.concatenate(x) for x in zip(*made))
+        uid = np.arange(row_number, row_number + len(sizes))
+        row_number += len(sizes)
+        rare = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_logs)], ["token", "spelled"])
+        unsure = [pa.array(unsure_words, pa.binary()), pa.array(unsure_logs), pa.array(c, pa.int64(), mask=c < 0), lists_of(asked, pa.array(values))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(uid, pa.int64()), batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), rare, unsure],
+            [pa.array(uid, pa.int64()), batch.column(0), batch.column(1), *(pa.array(x) for x in (sizes, known, base, score)), lists_of(n_rare, rare),
+             lists_of(n_unsure, pa.StructArray.from_arrays(unsure, ["token", "spelled", "held", "logs"]))],
             names=["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "unsure"],
         )
 
