@@ -69,7 +69,9 @@ MOST_CACHED = 400_000
 
 def tokens(text: bytes) -> list[bytes]:
     """Words in lower case, and the end."""
-    return [*text.translate(LOWER).split(), END]
+    words = text.translate(LOWER).split()
+    words.append(END)
+    return words
 
 
 class Numbered(dict):
@@ -290,16 +292,12 @@ def gram_batches(batches, *, path: str, limit: int = 1_000_000):
 # ---- the model: weights are one flat vector, so that averaging is a sum by position
 
 SHAPES = {"query": (INPUTS, WIDTH), "key": (INPUTS, WIDTH), "value": (INPUTS, WIDTH), "own": (INPUTS, WIDTH), "bias": (CONTEXT + 1,), "out": (WIDTH, CLASSES), "out_bias": (CLASSES,)}
-SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+ENDS = np.cumsum([np.prod(s) for s in SHAPES.values()]).tolist()
+SIZE = ENDS[-1]
 
 
 def unpacked(w: np.ndarray) -> SimpleNamespace:
-    made, at = {}, 0
-    for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
-        made[name] = w[at : at + n].reshape(shape)
-        at += n
-    return SimpleNamespace(**made)
+    return SimpleNamespace(**{name: w[first:last].reshape(shape) for (name, shape), first, last in zip(SHAPES.items(), [0, *ENDS], ENDS)})
 
 
 def start_weights(class_share: np.ndarray) -> np.ndarray:
@@ -374,22 +372,23 @@ def states(m: SimpleNamespace, rows: np.ndarray, real: np.ndarray) -> tuple[np.n
     return h.reshape(-1, WIDTH + 1), SimpleNamespace(query=query, key=key, value=value, a=a, each=each, seen=seen)
 
 
-def windows(ids: np.ndarray, sizes: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows over texts laid end to end: the place of each column's id, whether it is the text's own, and the targets.
+def windows(rows: np.ndarray, kinds: np.ndarray, sizes: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows over texts laid end to end: the row of each column, whether it is the text's own, and what the last STEP places are to predict (-1: nothing).
 
-    Column c of a window predicts the id after it; a text begins with an invisible ``first`` id in front of it.
+    Column c of a window predicts the id after it; a text begins with an invisible id of row ``first`` in front of it.
     """
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    per = -(-sizes // STEP)
-    text = np.repeat(np.arange(len(sizes)), per)
-    begin = (np.arange(per.sum()) - np.repeat(np.r_[0, np.cumsum(per)[:-1]], per)) * STEP
-    column = begin[:, None] + np.arange(-CONTEXT, STEP)[None, :] - 1  # the id in view, counted inside the text
-    target = begin[:, None] + np.arange(STEP)[None, :]
-    real = (column >= -1) & (column < sizes[text][:, None])
-    wanted = target < sizes[text][:, None]
-    place = starts[text][:, None] + np.maximum(column, 0)
-    row = np.where(column >= 0, ids[np.minimum(place, len(ids) - 1)], first)
-    return row, real, np.where(wanted, starts[text][:, None] + np.minimum(target, sizes[text][:, None] - 1), -1)
+    blocks = 1 - (-sizes // STEP)  # one in front of each text, for the context of its first window
+    ends = np.cumsum(blocks)
+    begin = (ends - blocks + 1) * STEP
+    place = np.arange(len(rows)) + np.repeat(begin - np.cumsum(sizes) + sizes, sizes)
+    row, real, kind = np.full(ends[-1] * STEP, first, rows.dtype), np.zeros(ends[-1] * STEP, bool), np.full(ends[-1] * STEP, -1, kinds.dtype)
+    row[place], real[place], kind[place] = rows, True, kinds
+    real[begin - 1] = True
+    keep = np.ones(ends[-1], bool)
+    keep[ends - blocks] = False
+    keep = np.flatnonzero(keep)
+    row, real = (np.lib.stride_tricks.sliding_window_view(x, CONTEXT + STEP)[STEP - CONTEXT - 1 :: STEP][keep - 1] for x in (row, real))
+    return row, real, kind.reshape(-1, STEP)[keep]
 
 
 def row_sums(at: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -400,18 +399,22 @@ def row_sums(at: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(at), bool)
     np.not_equal(at[1:], at[:-1], out=new[1:])
     first = np.flatnonzero(new)
-    return at[first], np.add.reduceat(d.reshape(-1, d.shape[-1]).take(order, axis=0), first, axis=0)
+    pairs = d.reshape(-1, d.shape[-1]).take(order, axis=0)
+    if d.dtype == np.float32:
+        pairs = pairs.view(np.complex64)  # numpy goes down every column by itself: pairs are half as many
+    return at[first], np.add.reduceat(pairs, first, axis=0).view(d.dtype)
 
 
-def gradient(m: SimpleNamespace, rows: np.ndarray, real: np.ndarray, kinds: np.ndarray, room: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+def gradient(m: SimpleNamespace, rows: np.ndarray, real: np.ndarray, kinds: np.ndarray, room: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, float]:
     """Gradient of the mean log loss over a block of windows; kinds is -1 where no id is to be predicted.
 
     Scores of classes are the widest arrays: they are passed over as seldom as can be, so factors per place go to the narrow side of each product.
-    ``room`` for these scores can be given, so that it is not asked for at every step.
+    ``room`` for the gradient and for these scores can be given, so that it is not asked for at every step.
     """
     laid = laid_out(m)
+    g, space = room or (np.empty(SIZE, np.float32), None)
     h, made = states(laid, rows, real)
-    z = np.matmul(h, laid.out, out=None if room is None else room[: len(h)])
+    z = np.matmul(h, laid.out, out=None if space is None else space[: len(h)])
     if not laid.flat:
         z -= z.max(axis=1, keepdims=True)
     flat = kinds.reshape(-1)
@@ -423,7 +426,7 @@ def gradient(m: SimpleNamespace, rows: np.ndarray, real: np.ndarray, kinds: np.n
     loss = float((np.log(total[use]) - score).sum()) / each
     z.reshape(-1)[hit] -= total[use]
     factor = (np.where(flat >= 0, 1 / each, 0) / total).astype(z.dtype)[:, None]
-    g = np.zeros(SIZE, np.float32)
+    g.fill(0)
     out = unpacked(g)
     below = z.T @ (h * factor)
     out.out[:], out.out_bias[:] = below[:, :WIDTH].T, below[:, WIDTH]
@@ -459,7 +462,7 @@ class Steps:
     def __init__(self, w: np.ndarray):
         self.w, self.m1, self.m2 = w.copy(), np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32)
         self.step, self.seen, self.held, self.pending = 0, 0, [], 0
-        self.room = np.empty((TRAIN_BLOCK * STEP, CLASSES), np.float32)
+        self.room = np.empty(SIZE, np.float32), np.empty((TRAIN_BLOCK * STEP, CLASSES), np.float32)
 
     def add(self, *windows_: np.ndarray) -> None:
         self.held.append(windows_)
@@ -509,8 +512,9 @@ def train_batches(batches, *, path: str, held):
 
     def learn(ids: np.ndarray, sizes: np.ndarray, known: int = 0) -> None:
         """Windows of texts end to end; the first ``known`` ids are only looked at."""
-        row, real, target = windows(ids, sizes, subwords.size - 1)
-        steps.add(plan.row[row], real, np.where(target >= known, plan.kind[ids[target]], -1))
+        kinds = plan.kind[ids]
+        kinds[:known] = -1
+        steps.add(*windows(plan.row[ids], kinds, sizes, plan.row[subwords.size - 1]))
 
     for batch in batches:
         shares, raw = batch.column(0).to_numpy(), texts_of(batch, 1)
@@ -568,21 +572,19 @@ def word_logs(model: SimpleNamespace, subwords: Subwords, numbers: np.ndarray, s
 def id_logs(model: SimpleNamespace, ids: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
     """log10 probability of every id, each scored once; blocks are small enough for a core's cache."""
     m = laid_out(unpacked(model.weights))
-    row, real, target = windows(ids, sizes, first)
-    row, kind, one = model.plan.row[row], model.plan.kind[ids], np.ones(CLASSES, np.float32)
-    out, room = np.zeros(len(ids)), np.empty((BLOCK * STEP, CLASSES), np.float32)
+    row, real, kind = windows(model.plan.row[ids], model.plan.kind[ids], sizes, model.plan.row[first])
+    kind, one = kind.reshape(-1), np.ones(CLASSES, np.float32)
+    out, room = np.empty(len(kind), np.float32), np.empty((BLOCK * STEP, CLASSES), np.float32)
     for at in range(0, len(row), BLOCK):
-        t = target[at : at + BLOCK].reshape(-1)
         h, _ = states(m, row[at : at + BLOCK], real[at : at + BLOCK])
-        use = np.flatnonzero(t >= 0)
-        if len(use) < len(t):
-            h, t = h[use], t[use]
+        k = kind[at * STEP : at * STEP + len(h)]
         z = np.matmul(h, m.out, out=room[: len(h)])
         if not m.flat:
             z -= z.max(axis=1, keepdims=True)
-        own = z.reshape(-1)[np.arange(0, CLASSES * len(t), CLASSES) + kind[t]]
+        own = z.reshape(-1)[np.arange(0, CLASSES * len(k), CLASSES) + k]  # of places that predict nothing, any score will do
         np.exp(z, out=z)
-        out[t] = own - np.log(z @ one)
+        out[at * STEP : at * STEP + len(h)] = own - np.log(z @ one)
+    out = out[kind >= 0].astype(np.float64)
     return out / np.log(10) + model.plan.share[ids]
 
 
