@@ -34,7 +34,7 @@ are not looked at, whatever they are called.
 from __future__ import annotations
 
 import base64
-from functools import partial
+from functools import lru_cache, partial
 from itertools import chain, repeat
 from math import log10
 from types import SimpleNamespace
@@ -74,17 +74,17 @@ def tokens(text: bytes) -> list[bytes]:
     return words
 
 
-class Numbered(dict):
-    """Words to consecutive numbers; a word not met before gets the next one and is noted in ``fresh``."""
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> SimpleNamespace:
+    """The public vocabulary, read once per worker: its coder, its size with the end, and which ids begin with a blank."""
+    import tiktoken
 
-    def __init__(self, first: bytes):
-        super().__init__({first: 0})
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.fresh.append(word)
-        return n
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    size = max(ranks.values()) + 2
+    opens = np.zeros(size, bool)
+    opens[[n for piece, n in ranks.items() if piece.startswith(b" ")]] = True
+    return SimpleNamespace(coder=tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), size=size, opens=opens)
 
 
 def inner(pieces: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,28 +156,23 @@ class Subwords:
     """
 
     def __init__(self, path: str, counts: dict[bytes, int] | None = None, grams: Grams | None = None):
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.coder = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.size = max(ranks.values()) + 2  # and the end
-        self.opens = np.zeros(self.size, bool)  # ids that begin with a blank: they open a word, as no word holds one
-        self.opens[[n for piece, n in ranks.items() if piece.startswith(b" ")]] = True
+        public = vocabulary(path)
+        self.coder, self.size = public.coder, public.size
+        self.opens = public.opens  # these ids open a word, as no word holds a blank
         self.counts, self.grams = counts or {}, grams
         self.forget()
 
     def forget(self) -> None:
-        self.known = Numbered(END)
+        self.known = {END: 0}  # words to consecutive numbers
         self.flat, self.used = np.full(1 << 16, self.size - 1, np.int32), 1
         self.alpha, self.beta, self.open = np.zeros(1 << 16), np.ones(1 << 16), np.zeros(1 << 16, bool)
         self.start, self.sizes = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int64)
         self.count = np.full(1 << 14, self.counts.get(END, -1), np.int64)
         self.unsure = np.zeros(1 << 14, bool)
 
-    def learn(self) -> None:
-        """Pieces of all fresh words, encoded in one go."""
-        words, self.known.fresh = self.known.fresh, []
+    def learn(self, words: list[bytes]) -> None:
+        """Pieces of words not met before, encoded in one go."""
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
         pieces = np.array(self.coder.encode_ordinary((b" " + b" ".join(words)).decode("utf-8", "replace")), np.int32)
         at = np.flatnonzero(self.opens[pieces])
         first, last, end = len(self.known) - len(words), len(self.known), self.used + len(pieces)
@@ -199,9 +194,12 @@ class Subwords:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Number of every word; its pieces are known afterwards."""
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        if self.known.fresh:
-            self.learn()
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            self.learn(list(dict.fromkeys(fresh)))
+            at[new] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
         return at
 
     def pieces(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
