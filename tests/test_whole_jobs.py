@@ -113,3 +113,41 @@ def test_shared_steps_are_stored(spark, monkeypatch):
     monkeypatch.setattr(mlmodels, "train_regressor", seen)
     assert catalog.QUERIES["train_regressor"](spark, "/root/testdata/sf0.001").count() == 3
     assert len(plans) == 3 and not any("md5" in p for p in plans)
+
+
+def test_permutations_leave_no_shuffle_and_carry_no_id(spark, monkeypatch):
+    """Copies travel by a number instead of the id, in rounds, into as many partitions as ranges; equal hashes go by id; no round leaves its shuffle."""
+    import hashlib
+    import re
+
+    import numpy as np
+
+    from undertow.operators import stattests
+
+    def left():
+        files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    number = lambda tag, i: int(hashlib.md5(f"{tag}-{i}".encode()).hexdigest()[:2], 16)
+    monkeypatch.setattr(stattests, "hash_number", lambda *p: F.conv(F.substring(F.md5(F.concat_ws("-", *[c.cast("string") for c in p])), 1, 2), 16, 10).cast("long"))
+    monkeypatch.setattr(stattests, "DRAWS_AT_ONCE", 2)
+    plans, cut = [], stattests.cut_lineage
+    monkeypatch.setattr(stattests, "cut_lineage", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or cut(d))
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=900), rng.normal(size=900)
+    ids = [f"r{i}" for i in rng.permutation(900)]
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, a, b in zip(ids, x, y)], "id string, x double, y double")
+    before = left()
+    got = {r["draw"]: r["r2"] for r in stattests.permutation_test(df, id="id", features=["x"], target="y", draws=5, rows=200).collect()}
+    order = lambda tag: sorted(range(900), key=lambda k: (number(tag, ids[k]), ids[k]))
+    for b in range(6):
+        want = np.corrcoef(x[order("row")], y[order("row" if b == 0 else b)])[0, 1] ** 2
+        assert got[b] == pytest.approx(want, rel=1e-9), b
+    assert len(left() - before) <= 8  # of the result itself: the moments of the data
+    rounds = [p.splitlines() for p in plans if "CoGroup" in p]
+    assert len(rounds) == 3
+    for lines in rounds:
+        below = lines[next(i for i, line in enumerate(lines) if "CoGroup" in line) :]
+        made = [i for i, line in enumerate(below) if re.search(r"Exchange hashpartitioning\(block#\w+, 5\), REPARTITION_BY_NUM", line)]
+        assert len(made) == 2
+        assert not any(re.search(r"\bid#", below[i + 1]) for i in made)  # the columns that are shuffled

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undertow.session import shared_folder
+from undertow.session import stash  # noqa: F401
 
 SPACE = r"[\x20\x09-\x0D]+"  # fixed value: the white space of the contracts
 BATCH_ROWS = 512  # rows handed to Python at once: bounds a worker's memory by text, not by table
@@ -42,14 +41,6 @@ def fold(key: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, lineage cut, safe from lost executors."""
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/undertow-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def attach_summary(rows: DataFrame, summary: DataFrame, *keys: str, limit: int = 1_000_000, **sides: Column) -> DataFrame:
     """``rows`` (alias d) joined to a stored summary (alias g), NULL keys included.
 

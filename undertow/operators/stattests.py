@@ -8,8 +8,10 @@ group, and p-values are taken over the result rows only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from hashlib import md5
 from math import ceil, exp
+from operator import and_
 from statistics import NormalDist
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import types as T
 from undertow.functions import tails
 from undertow.functions.tails import t_two_sided
 from undertow.operators import blocks, moments
-from undertow.session import attach, cut_lineage, match
+from undertow.session import attach, brief_shuffles, cut_lineage, match, stash
 
 
 def _ordered(keys: Sequence[str], ts: str):
@@ -555,53 +557,71 @@ def _order(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return order
 
 
-PERMUTED_ROWS = 65_536  # rows of a block, which one task holds for all draws
+PERMUTED_ROWS = 65_536  # rows of a range of hashes, which one task holds for the draws of a round
+DRAWS_AT_ONCE = 5  # draws of a round; its shuffle is removed before the next
 
 
 def permutation_test(df: DataFrame, *, id: str, features: Sequence[str], target: str, draws: int = 20, rows: int = PERMUTED_ROWS) -> DataFrame:
     """In-sample R^2 of a linear model against label permutations: (draw, n, r2), draw 0 = the data.
 
     Every draw permutes the targets of the whole table: the target at place k in the order of the draw's hash meets the
-    features at place k in the order of the rows' hash (ties by id). Hashes are even, so one range of them holds about
-    ``rows`` rows in every draw; counts per (draw, range) tell the places it covers, and the features go to the few ranges
-    that cover theirs. One shuffle brings all draws of a range together, and each hands on one matrix of moments per draw.
+    features at place k in the order of the rows' hash (ties by id, NULL first; a number that grows with the id stands for it).
+    Hashes are even, so one range of them holds about ``rows`` rows in every draw; counts per (draw, range) tell the places
+    it covers, and the features go to the few ranges that cover theirs.  One shuffle per round of ``DRAWS_AT_ONCE`` draws
+    brings a range together, and each range hands on one matrix of moments per draw.
     Rows with a NULL feature or target are left out. r2 is NULL where the target or a feature does not vary.
     """
-    cells = F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features], F.col(target).cast("double"))
-    known = df.select(F.col(id).alias("id"), cells.alias("v")).filter("not exists(v, x -> x is null)")
-    d = len(features) + 2
-    width = ceil(2**32 / max(1, ceil(known.count() / rows)))
-    hashes = [hash_number(F.lit("row" if b == 0 else b), F.col("id")) for b in range(draws + 1)]
-    copies = known.select("id", F.get("v", F.lit(d - 1)).alias("y"), F.posexplode(F.array(*hashes)).alias("b", "h"))
-    copies = copies.withColumn("block", F.floor(F.col("h") / width).cast("int"))
-    sizes = cut_lineage(copies.groupBy("b", "block").agg(F.count(F.lit(1)).alias("n")))
-    every = sizes.select("b").distinct().crossJoin(sizes.select("block").distinct()).join(sizes, ["b", "block"], "left").fillna(0, ["n"])
-    line = Window.partitionBy("b").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per draw and range
-    starts = cut_lineage(every.select("b", "block", "n", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("start")))
-    home = known.select("id", F.slice("v", 1, d - 1).alias("x"), hashes[0].alias("h")).withColumn("block", F.floor(F.col("h") / width).cast("int"))
-    home = home.join(F.broadcast(starts.filter("b = 0").select("block", "start")), "block")
-    place = F.col("start") + F.row_number().over(Window.partitionBy("block").orderBy("h", "id")) - 1
-    home = home.select(place.alias("pos"), "x").withColumn("_piece", F.floor(F.col("pos") / rows))
-    span = starts.groupBy("block").agg(F.min("start").alias("_first"), F.max(F.col("start") + F.col("n")).alias("_end"))
-    span = span.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("_first") / rows), F.floor((F.col("_end") - 1) / rows))))
-    home = home.join(F.broadcast(span), "_piece").filter("pos >= _first and pos < _end").select("block", "pos", "x")
-    away = copies.join(F.broadcast(starts.drop("n")), ["b", "block"])
+    xs, d = [f"x{i}" for i in range(len(features))], len(features) + 2
+    known = df.select(F.col(id).alias("id"), *[F.col(f).cast("double").alias(x) for f, x in zip(features, xs)], F.col(target).cast("double").alias("y"))
+    known = known.filter(reduce(and_, [F.col(c).isNotNull() for c in [*xs, "y"]]))
 
     def permuted(x, y):  # one range of hashes
         x = x.sort_values("pos")
-        first, v = int(x["pos"].iloc[0]), np.vstack(x["x"].to_numpy())
+        first, v = int(x["pos"].iloc[0]), x[xs].to_numpy()
         out = []
         for b, drawn in y.groupby("b"):
-            drawn = drawn.take(_order(drawn["h"].to_numpy(), drawn["id"].to_numpy()))
+            drawn = drawn.take(_order(drawn["h"].to_numpy(), drawn["r"].to_numpy()))
             k = int(drawn["start"].iloc[0]) - first
-            w = np.column_stack([v[k : k + len(drawn)], drawn["y"].to_numpy()])
+            w = np.column_stack([np.ones(len(drawn)), v[k : k + len(drawn)], drawn["y"].to_numpy()])
             mean = w.mean(axis=0)
             w = w - mean
             out.append((b, int(drawn["block"].iloc[0]) // moments.FAN, len(w), mean, (w.T @ w)[np.triu_indices(d)]))
         return pd.DataFrame(out, columns=["b", "_salt", "n", "means", "cells"])
 
-    parts = home.groupBy("block").cogroup(away.groupBy("block")).applyInPandas(permuted, "b int, _salt int, n long, means array<double>, cells array<double>")
-    packed = moments.merge_packed(parts, keys=["b"])
+    with brief_shuffles(df.sparkSession):
+        numbered = known.repartitionByRange("id").sortWithinPartitions("id").withColumn("r", F.monotonically_increasing_id())
+        ranked = stash(numbered, "ranked")
+        ranges = max(1, ceil(ranked.count() / rows))
+        width = ceil(2**32 / ranges)
+
+        def copies(some: range, *columns: str) -> DataFrame:
+            """A row per draw; draw 0 has the order of the features."""
+            hashes = [hash_number(F.lit(b) if b else F.lit("row"), F.col("id")) for b in some]
+            made = ranked.select(*columns, F.posexplode(F.array(*hashes)).alias("b", "h")).withColumn("b", F.col("b") + some.start)
+            return made.withColumn("block", F.floor(F.col("h") / width).cast("int"))
+
+        sizes = cut_lineage(copies(range(draws + 1)).groupBy("b", "block").agg(F.count(F.lit(1)).alias("n")))
+        every = sizes.select("b").distinct().crossJoin(sizes.select("block").distinct()).join(sizes, ["b", "block"], "left").fillna(0, ["n"])
+        line = Window.partitionBy("b").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per draw and range
+        starts = cut_lineage(every.select("b", "block", "n", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("start")))
+        place = F.col("start") + F.row_number().over(Window.partitionBy("block").orderBy("h", "r")) - 1
+        home = copies(range(1), "r", *xs).join(F.broadcast(starts.filter("b = 0").select("block", "start")), "block")
+        home = stash(home.select(place.alias("pos"), *xs), "places").withColumn("_piece", F.floor(F.col("pos") / rows))
+        scored = []
+        for b in range(1, draws + 1, DRAWS_AT_ONCE):
+            some = range(b, min(b + DRAWS_AT_ONCE, draws + 1))
+            here = starts.filter(F.col("b").between(some.start, some.stop - 1))
+            span = here.groupBy("block").agg(F.min("start").alias("_first"), F.max(F.col("start") + F.col("n")).alias("_end"))
+            span = span.withColumn("_piece", F.explode(F.sequence(F.floor(F.col("_first") / rows), F.floor((F.col("_end") - 1) / rows))))
+            near = home.join(F.broadcast(span), "_piece").filter("pos >= _first and pos < _end").select("block", "pos", *xs)
+            # as many partitions as ranges: what a task sorts stays in memory, however many rows there are
+            away = copies(some, "r", "y").repartition(ranges, "block").join(F.broadcast(here.drop("n")), ["b", "block"])
+            pairs = near.repartition(ranges, "block").groupBy("block").cogroup(away.groupBy("block"))
+            parts = pairs.applyInPandas(permuted, "b int, _salt int, n long, means array<double>, cells array<double>")
+            scored.append(cut_lineage(moments.merge_packed(parts, keys=["b"])))
+
+    data = ranked.select(F.lit(0).alias("b"), F.array(F.lit(1.0), *xs, "y").alias("v"))
+    packed = reduce(DataFrame.unionByName, scored, moments.gram_packed(data, keys=["b"], vector="v"))
 
     def score(batches):
         for batch in batches:

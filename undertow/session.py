@@ -1,9 +1,11 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults, lineage cutting and stored steps."""
 
 from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
@@ -56,6 +58,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, lineage cut, safe from lost executors."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/undertow-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession):
+    """Queries made and run inside remove their shuffle files when they end; Spark else keeps them until the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ceiling(limit: int, what: str):
     """``array -> array`` guard: fail the job when a dimension outgrows its bound."""
 
