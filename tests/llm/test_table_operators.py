@@ -229,6 +229,26 @@ def test_equal_texts_share_a_shard(spark):
     assert max(load.values()) <= 1.02 * sum(load.values()) / 8 and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shards_read_and_hash_each_text_once(spark):
+    """Ids and hashes are stored by one pass over the texts, also with a heavy text; no text is hashed per point of the ring."""
+    docs = [(i, f"text {i} " * (i % 9), "s") for i in range(1200)] + [(5000 + i, "heavy " * 30, "s") for i in range(300)] + [(None, None, None)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").mapInPandas(counted, "doc_id long, text string, source string")
+    rows = sharding.sharding_query(df).collect()
+    assert read.value == len(docs) == len(rows)
+    made = sharding.placed(df)
+    assert sorted((repr(r["doc_id"]), r["placed"]["shard"], r["placed"]["slot"]) for r in made.collect()) == sorted((repr(r["doc_id"]), r["shard"], r["slot"]) for r in rows)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    points = plan[plan.index("lambdafunction(") :].split("alse)", 1)[0]  # the comparison with a point
+    assert "xxhash64" in plan and "xxhash64" not in points
+
+
 def test_walk_is_the_plain_walk():
     rng = random.Random(7)
     for shards in (3, 8):

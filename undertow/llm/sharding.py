@@ -1,7 +1,7 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
 Every shard owns ``nodes`` points of a ring.  A document's place is the hash of its text, and inside an arc it has a rank by
-another hash of its text.  Arc and rank give one of ``nodes x shards x ranks`` cells, so equal texts share a cell and
+another hash of its text.  One pass over the texts stores ids, sizes and hashes.  Arc and rank give one of ``nodes x shards x ranks`` cells, so equal texts share a cell and
 with it a shard.  Only a text whose copies weigh more than the slack of a shard is dealt out by the hash of the id, to
 as many pieces as it weighs slacks; no more than ``shards / slack`` texts can.  The cells' loads - rows and bytes, one
 aggregate over all rows - are all that the driver sees: their number is bounded by the parameters, not by the data.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from undertow.llm.common import fresh, q
+from undertow.llm.common import fresh, q, stash
 
 RING = 1 << 32
 NODES = 16
@@ -71,22 +71,28 @@ def placed(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc
     points = ring(shards, nodes)
     whole = F.coalesce(q(text), F.lit(""))
     place, name = F.pmod(F.xxhash64(whole), F.lit(RING)), F.xxhash64(F.lit(1), whole)
-    # the arc that ends at the first point not below the place; beyond the last point the ring begins again
     ends = F.array(*[F.lit(p) for p, _ in points])
-    index = (F.size(F.filter(ends, lambda p: p < place)) % len(points)).cast("int")
 
     def known(d: DataFrame, columns: list[str]) -> DataFrame:
         size = (F.octet_length(whole) + 1).cast("long")
-        cell = F.struct(index.alias("arc"), F.pmod(name, F.lit(ranks)).cast("int").alias("rank"), name.alias("name"))
+        read = F.struct(place.alias("place"), name.alias("name"), size.alias("size"), F.crc32(F.encode(whole, "UTF-8")).alias("text_crc32"))
+        # one row each: the text is hashed once, not once per point of the ring
+        d = d.select(*[q(c) for c in columns], F.explode(F.array(read)).alias(out))
+        # the arc that ends at the first point not below the place; beyond the last point the ring begins again
+        index = (F.size(F.filter(ends, lambda p: p < F.col(f"{out}.place"))) % len(points)).cast("int")
+        cell = F.struct(index.alias("arc"), F.pmod(f"{out}.name", F.lit(ranks)).cast("int").alias("rank"))
         # one row each; the join below must not infer filters from how the cell is computed
-        d = d.select(*[q(c) for c in columns], F.struct(size.alias("size"), F.crc32(F.encode(whole, "UTF-8")).alias("text_crc32")).alias(out), F.explode(F.array(cell)).alias(arc))
-        return d.select(*[q(c) for c in columns], out, F.col(f"{arc}.name").alias(heavy), F.col(f"{arc}.rank").alias(rank), F.col(f"{arc}.arc").alias(arc))
+        d = d.select(*[q(c) for c in columns], out, F.explode(F.array(cell)).alias(arc))
+        return d.select(
+            *[q(c) for c in columns], F.struct(f"{out}.size", f"{out}.text_crc32").alias(out),
+            F.col(f"{out}.name").alias(heavy), F.col(f"{arc}.rank").alias(rank), F.col(f"{arc}.arc").alias(arc),
+        )
 
     def loads(d: DataFrame, *by: str):
         sums = d.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum(f"{out}.size").alias("load")).toArrow()
         return sorted(zip(*[sums.column(i).to_pylist() for i in range(len(by) + 2)]))
 
-    narrow = known(docs, [key])
+    narrow = stash(known(docs, [key]), "shards")  # ids, sizes and hashes: the texts are read once for all that follows
     cells = [(a, r, 0, n, load) for a, r, n, load in loads(narrow, arc, rank)]
     most = slack * sum(c[-1] for c in cells) / shards
     full = [(a, r) for a, r, _, _, load in cells if load > most]  # at most shards / slack cells, and as many texts in them
@@ -111,7 +117,8 @@ def placed(docs: DataFrame, shards: int = 8, text: str = "text", key: str = "doc
     plan = F.broadcast(spark.createDataFrame(table))  # at most shards x nodes x ranks rows, and the pieces
     order = Window.partitionBy(arc, rank, piece).orderBy(q(key).asc_nulls_first(), F.col(out)["text_crc32"], F.col(out)["size"])
     slot = F.col(start) + F.row_number().over(order) - 1
-    rows = known(docs, list(dict.fromkeys([*keep, key]))).withColumn(piece, pieces.cast("int")).join(plan, [arc, rank, piece])
+    rows = narrow if set(keep) <= {key} else known(docs, list(dict.fromkeys([*keep, key])))  # other columns are read where they lie
+    rows = rows.withColumn(piece, pieces.cast("int")).join(plan, [arc, rank, piece])
     return rows.select(*[q(c) for c in keep], F.struct(f"{out}.size", f"{out}.text_crc32", F.col(shard).alias("shard"), slot.alias("slot")).alias(out))
 
 
