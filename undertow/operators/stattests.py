@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from undertow.functions import tails
 from undertow.functions.tails import t_two_sided
 from undertow.operators import blocks, moments
-from undertow.session import attach, brief_shuffles, cut_lineage, match, stash
+from undertow.session import attach, configured, cut_lineage, match, stash
 
 
 def _ordered(keys: Sequence[str], ts: str):
@@ -558,6 +558,7 @@ def _order(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 PERMUTED_ROWS = 65_536  # rows of a range of hashes, which one task holds for the draws of a round
+RANGES_A_TASK = 8  # ranges whose rows one task reads and copies: what it sorts for the shuffle stays in memory
 DRAWS_AT_ONCE = 5  # draws of a round; its shuffle is removed before the next
 
 
@@ -588,11 +589,15 @@ def permutation_test(df: DataFrame, *, id: str, features: Sequence[str], target:
             out.append((b, int(drawn["block"].iloc[0]) // moments.FAN, len(w), mean, (w.T @ w)[np.triu_indices(d)]))
         return pd.DataFrame(out, columns=["b", "_salt", "n", "means", "cells"])
 
-    with brief_shuffles(df.sparkSession):
-        numbered = known.repartitionByRange("id").sortWithinPartitions("id").withColumn("r", F.monotonically_increasing_id())
+    spark = df.sparkSession
+    ranges = max(1, ceil(known.count() / rows))
+    width = ceil(2**32 / ranges)
+    files = max(spark.sparkContext.defaultParallelism, ceil(ranges / RANGES_A_TASK))
+    # shuffle files go when their query ends, not when the driver collects garbage; scans have as many tasks as there are files
+    conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.files.minPartitionNum": str(files)}
+    with configured(spark, conf):
+        numbered = known.repartitionByRange(files, "id").sortWithinPartitions("id").withColumn("r", F.monotonically_increasing_id())
         ranked = stash(numbered, "ranked")
-        ranges = max(1, ceil(ranked.count() / rows))
-        width = ceil(2**32 / ranges)
 
         def copies(some: range, *columns: str) -> DataFrame:
             """A row per draw; draw 0 has the order of the features."""
@@ -605,7 +610,7 @@ def permutation_test(df: DataFrame, *, id: str, features: Sequence[str], target:
         line = Window.partitionBy("b").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per draw and range
         starts = cut_lineage(every.select("b", "block", "n", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("start")))
         place = F.col("start") + F.row_number().over(Window.partitionBy("block").orderBy("h", "r")) - 1
-        home = copies(range(1), "r", *xs).join(F.broadcast(starts.filter("b = 0").select("block", "start")), "block")
+        home = copies(range(1), "r", *xs).repartition(files, "block").join(F.broadcast(starts.filter("b = 0").select("block", "start")), "block")
         home = stash(home.select(place.alias("pos"), *xs), "places").withColumn("_piece", F.floor(F.col("pos") / rows))
         scored = []
         for b in range(1, draws + 1, DRAWS_AT_ONCE):

@@ -67,15 +67,16 @@ def stash(df: DataFrame, label: str) -> DataFrame:
 
 
 @contextmanager
-def brief_shuffles(spark: SparkSession):
-    """Queries made and run inside remove their shuffle files when they end; Spark else keeps them until the driver collects garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def configured(spark: SparkSession, conf: dict[str, str]):
+    """Settings that hold for queries made and run inside."""
+    before = {key: spark.conf.get(key, None) for key in conf}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def ceiling(limit: int, what: str):
